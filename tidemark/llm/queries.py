@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, jaccard_join, mixing, token_files
 from .lsm_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_substrings
 
@@ -15,20 +16,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public tokenizer's vocabulary; only its place is kept, the file is read where texts are encoded."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_substrings(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digest(decontaminate.find_contamination(documents(spark, sf_dir), benchmark, ["doc_id"]))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(documents(spark, sf_dir), ["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_passages(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.near_duplicates(documents(spark, sf_dir))
+    return out.select(F.col("k").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_mixing": op6_mixing,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_token_output": op10_token_output,
     }
 
 

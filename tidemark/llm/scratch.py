@@ -46,6 +46,6 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Texts are long: hand Python fewer rows at a time than Spark's 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Texts are long: cut the batches that Python gets by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
