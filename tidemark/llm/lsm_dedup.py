@@ -108,8 +108,9 @@ def remove_repeated_passages(docs: DataFrame, width: int = 35, gram: int = 12, b
     index.drop()
     hits = scratch.keep("hits", hits.distinct())
     scratch.drop(*(f"hits{b}" for b in range(batches)))
-    often = hits.groupBy("h").agg(F.count("*").alias("m"))
+    # a table of its own, so that the join may split a hot hash
+    often = scratch.keep("often", hits.groupBy("h").agg(F.count("*").alias("m")))
     candidates = rp.salted(hits.join(often, "h"))
     ranges = scratch.keep("ranges", rp.match(rp.segments(docs, candidates, unit), unit, same_words, scratch.keep))
-    scratch.drop("found", "hits")
+    scratch.drop("found", "hits", "often")
     return rp.cover(docs, ranges, unit)

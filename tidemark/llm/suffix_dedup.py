@@ -173,8 +173,9 @@ def remove_repeated_substrings(docs: DataFrame, width: int = 200, gram: int = 50
     scratch = Scratch(spark, "suffix")
     docs = rp.keyed(docs)
     all_anchors = scratch.keep("anchors", rp.anchors(docs, unit))
-    often = all_anchors.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    # a table of its own, so that the join may split a hot hash
+    often = scratch.keep("often", all_anchors.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"))
     candidates = rp.salted(all_anchors.join(often, "h"))
     ranges = scratch.keep("ranges", rp.match(rp.segments(docs, candidates, unit), unit, deep_shallow, scratch.keep))
-    scratch.drop("anchors", "found")
+    scratch.drop("anchors", "often", "found")
     return rp.cover(docs, ranges, unit)
