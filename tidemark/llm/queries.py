@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, token_files
+from . import decontaminate, folds, jaccard_join, language, line_quality, mixing, secrets, token_files, toxicity
 from .lsm_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_substrings
 
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of a public tokenizer's vocabulary; only its place is kept, the file is read where texts are encoded."""
     import public_tokenizers
@@ -23,11 +27,26 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir), ["doc_id"]))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rated = line_quality.rate_quality(docs, line_quality.learn(docs, labels(spark, sf_dir)), ["doc_id"])
+    return rated.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_substrings(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), ["doc_id"])
+    return out.select("row.doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.digest(decontaminate.find_contamination(documents(spark, sf_dir), benchmark, ["doc_id"]))
@@ -42,6 +61,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language.identify(docs, language.fit(docs), ["doc_id"])
+    return out.select("row.doc_id", folds.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("k").alias("doc_id"), "n_shingles", "component_id")
@@ -53,10 +78,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_quality_rules": op2_quality_rules,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_mixing": op6_mixing,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_language_id": op8_language_id,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_token_output": op10_token_output,
     }
