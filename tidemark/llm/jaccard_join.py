@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -322,3 +322,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     least = named.filter("n > 0").groupBy("component").agg(F.min("k").alias("least"))
     named = named.join(least, "component", "left")
     return named.select("k", "th", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near duplicates: of each component the row of its smallest doc_id stays (of rows that share it, the one of smallest text hash).
+
+    Rows without words link with nothing and all stay. Columns are those of docs.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    some, none = found.filter("n_shingles > 0"), found.filter("n_shingles = 0")
+    first = some.groupBy("component_id").agg(F.min(F.struct("k", "th")).alias("x")).select("x.k", "x.th", F.lit(False).alias("every"))
+    stay = first.unionByName(none.select("k", "th", F.lit(True).alias("every")).distinct())
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.hash("text").alias("th"))
+    same = Window.partitionBy("k", "th").orderBy(F.lit(0))
+    return keyed.join(stay, ["k", "th"]).withColumn("place", F.row_number().over(same)).filter("every or place = 1").select("row.*")

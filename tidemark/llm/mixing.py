@@ -99,3 +99,9 @@ def sample(docs: DataFrame, carry: list[str], share: float = 1.5, cap: float = 2
     both = easy.select(*names).unionByName(edge.select(*names))
     copies = F.col("sure") + F.col("extra")
     return both.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 11, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mixed corpus: each row of docs as often as it was sampled, with the columns of docs."""
+    rows = sample(docs, docs.columns, share, cap, seed, weights)
+    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
