@@ -1,8 +1,60 @@
-"""A corpus from raw documents to token files, in stages."""
+"""A corpus from raw documents to token files: what is bad goes, copies go, benchmark passages go, sources are mixed, texts are encoded."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, jaccard_join, line_quality, mixing, token_files
+from tidemark.llm.queries import vocabulary
+from tidemark.llm.scratch import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the quality rules and whose words are mostly content."""
+    field = line_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_quality.rate_quality(docs, field, docs.columns, only_kept=True).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of the benchmark."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
+    return found.filter(F.size("hits") == 0).select("row.*")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the target weights of their sources ask for."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files of all rows hold: one row per document and copy."""
+    return token_files.token_files(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID output", tokens),
+]
+
+#: No stage's method can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(f"stage{i}", stage(spark, docs, sf_dir))
+        if i:
+            scratch.drop(f"stage{i - 1}")
+    return docs
