@@ -6,10 +6,11 @@ shingles that are frequent in the corpus (by a count-min sketch of fixed size) l
 ones. Representatives that share a prefix shingle are dealt to tiles of sets of nearby sizes. In a tile the popcounts
 of hashed bitmap signatures bound the intersection from above; pairs that pass are intersected exactly.
 
-No group is expanded into all its pairs. First, members of a tile are paired with their neighbours in size only, each
-keeps the partner that it meets in most tiles, and the links found give components. Then tiles that still span
-several components are compared block against block; only pairs from different components that the bitmaps cannot
-exclude come out and are intersected, so no link between different components is lost.
+No group is expanded into all its pairs. First, members of a tile are paired with their neighbours in size only, and
+the links found give components. Then tiles that still span several components, each set of members once, are
+compared block against block; only pairs from different components that the bitmaps cannot exclude come out and are
+intersected, so no link between different components is lost. Sets are made again from the texts of those that take
+part in such a pair; only signatures are kept for all.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .scratch import Scratch, small_batches
 #: Cells of the sketch of shingle frequencies; its size does not depend on the corpus.
 SKETCH = 1 << 18
 #: Bits of a signature.
-BITS = 1024
+BITS = 2048
 #: Representatives of one block of a tile.
 TILE = 512
 #: Rows looked at together where groups are read in order.
@@ -83,23 +84,23 @@ def class_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """k, th, c, n of each document, and pages of this task's sketch of shingle frequencies."""
+    """k, th, c, n, g (signature) of each document, and pages of this task's sketch of shingle frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "th", "c", "n", "page", "counts"]
+        names = ["k", "th", "c", "n", "g", "page", "counts"]
         cells = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for s in bt.slices(batch.column(2)):
                 part = batch.slice(s.first, s.count)
                 h, n = shingle_sets(s, k)
                 cells += np.bincount(_cell(h), minlength=SKETCH)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(class_ids(h, n)), pa.array(n.astype(np.int32)), pa.nulls(s.count, pa.int32()), pa.nulls(s.count, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(class_ids(h, n)), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in signature(h, np.repeat(np.arange(s.count), n), s.count)], pa.binary()), pa.nulls(s.count, pa.int32()), pa.nulls(s.count, pa.binary())], names=names)
         if cells.any():
             pages = cells.reshape(-1, PAGE)
             m = len(pages)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(np.arange(m, dtype=np.int32)), pa.array([x.tobytes() for x in pages], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array([x.tobytes() for x in pages], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "k long, th int, c long, n int, page int, counts binary")
+    return docs.mapInArrow(run, "k long, th int, c long, n int, g binary, page int, counts binary")
 
 
 #: Cells of a page of the sketch.
@@ -191,25 +192,47 @@ def _runs(prefixes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "t long, c long, n int, place long, before long")
 
 
-def _rep_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """c, n, g (signature), s (sorted shingle hashes) of the classes in reps (k, th, c)."""
+def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """c, s (sorted shingle hashes) of the classes in reps (k, th, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in bt.slices(batch.column(1)):
                 h, n = shingle_sets(s, k)
-                sig = signature(h, np.repeat(np.arange(s.count), n), s.count)
+                # a hash of the text may stand for two texts: only that of the class counts
+                fits = batch.column(0).slice(s.first, s.count).to_numpy() == class_ids(h, n)
                 raw, cuts = h.astype("<u8").tobytes(), np.concatenate([[0], np.cumsum(n) * 8]).tolist()
-                sets = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(sets, pa.binary())], names=["c", "n", "g", "s"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["c", "s"])
+                yield out.filter(pa.array(fits))
 
-    joined = docs.join(reps, ["k", "th"]).select("c", "text")
-    # a hash of the text may stand for two texts: one set a class
-    return joined.mapInArrow(run, "c long, n int, g binary, s binary").dropDuplicates(["c"])
+    return docs.join(reps, ["k", "th"]).select("c", "text").mapInArrow(run, "c long, s binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, by exact intersection."""
+def _bounds(n1: np.ndarray, n2: np.ndarray, g1: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """The most elements that sets with these signatures can share: a bit that only one has is an element that only it has."""
+    one = n1 - np.bitwise_count(g1 & ~g2).sum(axis=-1, dtype=np.int64)
+    two = n2 - np.bitwise_count(g2 & ~g1).sum(axis=-1, dtype=np.int64)
+    return np.minimum(one, two)
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that signatures cannot exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            ga, gb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 5))
+            ok = pa.array(_bounds(na, nb, ga, gb) >= needed(na, nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    left, right = (reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ga", "nb", "gb").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of classes that are similar enough, by exact intersection of sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,18 +241,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            ok = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
+    members = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    sets = scratch.keep(f"{name}-sets", _sets(docs, reps.select("c", "k", "th").join(members, "c"), k).dropDuplicates(["c"]))
     left, right = (sets.select(F.col("c").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    out = scratch.keep(name, found)
+    scratch.drop(f"{name}-sets")
+    return out
 
 
-def _across(runs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(runs: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of one tile and different components that bitmaps cannot exclude."""
     rows = runs.select("t", "c", "n", "place").join(comp.withColumnRenamed("node", "c"), "c", "left")
     rows = rows.withColumn("component", F.coalesce("component", "c"))
-    mixed = rows.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y"), (F.floor(F.max("place") / TILE) + 1).cast("int").alias("blocks")).filter("x != y").select("t", "blocks")
-    rows = rows.join(mixed, "t").join(sets.select("c", "g"), "c").withColumn("block", F.floor(F.col("place") / TILE).cast("int"))
+    # tiles of two are done with: their members are neighbours. Of tiles with the same members one is enough
+    members = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("c", F.lit(2))).alias("x2")]
+    mixed = rows.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y"), (F.floor(F.max("place") / TILE) + 1).cast("int").alias("blocks"), *members)
+    mixed = mixed.filter("x != y and size > 2").groupBy("size", "x1", "x2").agg(F.min(F.struct("t", "blocks")).alias("tile")).select("tile.*")
+    rows = rows.join(mixed, "t").join(reps.select("c", "g"), "c").withColumn("block", F.floor(F.col("place") / TILE).cast("int"))
     # block i meets every block j >= i of its tile
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
     rows = rows.select("t", "c", "n", "component", "g", "block", other.alias("to")).select("t", "to.i", "to.j", "block", "c", "n", "component", "g")
@@ -242,8 +274,7 @@ def _across(runs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
             y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
             if not len(y):
                 continue
-            bound = np.minimum(n[x] - np.bitwise_count(g[x] & ~g[y]).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(g[y] & ~g[x]).sum(axis=1, dtype=np.int64))
-            y = y[bound >= needed(n[x], n[y], percent)]
+            y = y[_bounds(n[x], n[y], g[x], g[y]) >= needed(n[x], n[y], percent)]
             found.append((np.full(len(y), c[x]), c[y]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -306,16 +337,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     counts = _sketch(first.filter("page is not null").select("page", "counts"))
     member = first.filter("page is null").select("k", "th", "c", "n")
     runs = scratch.keep("runs", _runs(_prefixes(keyed, shingle, percent, counts), percent))
-    reps = member.filter("n > 0").groupBy("c").agg(F.min(F.struct("k", "th")).alias("r")).select("c", "r.k", "r.th")
-    involved = runs.select("c").distinct()
-    sets = scratch.keep("sets", _rep_sets(keyed, reps.join(involved, "c"), shingle))
-    # one partner each: the one met in most tiles
-    pairs = runs.filter("before is not null").groupBy(F.col("c").alias("a"), F.col("before").alias("b")).agg(F.count("*").alias("m"))
-    pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("best")).select("a", "best.b")
-    links = scratch.keep("links", _verified(pairs, sets, percent))
+    chosen = first.filter("n > 0").groupBy("c").agg(F.min(F.struct("k", "th", "n", "g")).alias("r"))
+    reps = scratch.keep("reps", chosen.select("c", "r.k", "r.th", "r.n", "r.g"))
+    pairs = runs.filter("before is not null").select(F.col("c").alias("a"), F.col("before").alias("b")).distinct()
+    pairs = scratch.keep("pairs", _possible(pairs, reps, percent))
+    links = _verified(pairs, keyed, reps, shingle, percent, scratch, "links")
     comp = scratch.keep("comp", components(links, scratch, "near"))
-    rest = scratch.keep("rest", _verified(_across(runs, comp, sets, percent), sets, percent))
-    scratch.drop("sets", "runs")
+    pairs = scratch.keep("across", _across(runs, comp, reps, percent))
+    rest = _verified(pairs, keyed, reps, shingle, percent, scratch, "rest")
+    scratch.drop("runs", "reps", "pairs", "across")
     if not rest.isEmpty():
         comp = scratch.keep("all", components(links.unionByName(rest), scratch, "far"))
     named = member.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
