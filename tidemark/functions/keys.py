@@ -40,5 +40,5 @@ def values_equal(a: Column, b: Column, rel_tol: float = 1e-9, abs_tol: float = 1
     """True if both are missing, or both are there and |a - b| <= max(rel * max(|a|, |b|), abs)."""
     x, y = missing_as_null(a).cast("double"), missing_as_null(b).cast("double")
     near = F.abs(x - y) <= F.greatest(F.lit(rel_tol) * F.greatest(F.abs(x), F.abs(y)), F.lit(abs_tol))
-    # equal infinities have no difference to take
-    return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise((x == y) | F.coalesce(near & ~F.isnan(F.abs(x - y)), F.lit(False)))
+    finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise((x == y) | (finite & near))
