@@ -91,15 +91,15 @@ def entropy_spans(text: bytes, cls: CharacterClass, window: int = WINDOW) -> lis
             j += 1
         counts, total, digits = [0] * 256, 0.0, 0  # total: sum of c * log2(c)
         for x in range(i, j):
-            c = text[x]
-            total += gain[counts[c] + 1] - gain[counts[c]]
-            counts[c] += 1
-            digits += c < 58 and c > 47
-            if x - i >= window:
+            if x - i >= window:  # one leaves before one enters: no count passes the window's length
                 c = text[x - window]
                 total += gain[counts[c] - 1] - gain[counts[c]]
                 counts[c] -= 1
-                digits -= c < 58 and c > 47
+                digits -= 47 < c < 58
+            c = text[x]
+            total += gain[counts[c] + 1] - gain[counts[c]]
+            counts[c] += 1
+            digits += 47 < c < 58
             if x - i >= window - 1 and 0 < digits < window and log2(window) - total / window >= cls.bits:
                 a, b = x - window + 1, x + 1
                 if found and a <= found[-1][1]:
