@@ -29,10 +29,12 @@ from .scratch import Scratch, small_batches
 
 #: Cells of the sketch of shingle frequencies; its size does not depend on the corpus.
 SKETCH = 1 << 18
-#: Bits of a signature.
-BITS = 2048
+#: Bits of a signature: the power of two at four times the set's size or above, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
 #: Representatives of one block of a tile.
 TILE = 512
+#: Shingles of the sets that verification holds as one block.
+BLOCK_SHINGLES = 8_000_000
 #: Rows looked at together where groups are read in order.
 CHUNK_ROWS = 100_000
 
@@ -65,12 +67,27 @@ def needed(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
 
 
-def signature(h: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """Bitmaps (rows, BITS / 64) of hashed elements."""
-    out = np.zeros((rows, BITS // 64), np.uint64)
-    bit = (bt.mix(h) % np.uint64(BITS)).astype(np.int64)
-    np.bitwise_or.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-    return out
+def signature_bits(n: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def signatures(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap of hashed elements for each set."""
+    bits = signature_bits(n)
+    first = np.cumsum(bits) - bits
+    out = np.zeros(int(bits.sum()), bool)
+    out[np.repeat(first, n) + (bt.mix(h) & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)] = True
+    raw = np.packbits(out).tobytes()
+    cuts = [*(first // 8).tolist(), len(raw)]
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def folded(g: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows, words of 64 bits) as those of fewer bits."""
+    while g.shape[-1] > words:
+        half = g.shape[-1] // 2
+        g = g[..., :half] | g[..., half:]
+    return g
 
 
 def class_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -94,7 +111,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(s.first, s.count)
                 h, n = shingle_sets(s, k)
                 cells += np.bincount(_cell(h), minlength=SKETCH)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(class_ids(h, n)), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in signature(h, np.repeat(np.arange(s.count), n), s.count)], pa.binary()), pa.nulls(s.count, pa.int32()), pa.nulls(s.count, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(class_ids(h, n)), pa.array(n.astype(np.int32)), pa.array(signatures(h, n), pa.binary()), pa.nulls(s.count, pa.int32()), pa.nulls(s.count, pa.binary())], names=names)
         if cells.any():
             pages = cells.reshape(-1, PAGE)
             m = len(pages)
@@ -192,23 +209,45 @@ def _runs(prefixes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "t long, c long, n int, place long, before long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """c, s (sorted shingle hashes) of the classes in reps (k, th, c)."""
+#: Bits of the filter that spares documents without a part in a pair; its size does not depend on the corpus.
+FILTER = 1 << 22
+
+
+def _filter(rows: DataFrame) -> np.ndarray:
+    """Which remainders of th by FILTER occur in rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
         for batch in batches:
-            for s in bt.slices(batch.column(1)):
+            bits[batch.column(0).to_numpy() & (FILTER - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER // 8, np.uint8)
+    # a few tasks: each sends one bitmap
+    for row in rows.select("th").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
+    """k, th, c, s (sorted shingle hashes) of the documents that pass the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted[batch.column(1).to_numpy() & (FILTER - 1)]))
+            for s in bt.slices(batch.column(2)):
+                part = batch.slice(s.first, s.count)
                 h, n = shingle_sets(s, k)
-                # a hash of the text may stand for two texts: only that of the class counts
-                fits = batch.column(0).slice(s.first, s.count).to_numpy() == class_ids(h, n)
                 raw, cuts = h.astype("<u8").tobytes(), np.concatenate([[0], np.cumsum(n) * 8]).tolist()
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["c", "s"])
-                yield out.filter(pa.array(fits))
+                sets = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(class_ids(h, n)), pa.array(sets, pa.binary())], names=["k", "th", "c", "s"])
 
-    return docs.join(reps, ["k", "th"]).select("c", "text").mapInArrow(run, "c long, s binary")
+    return docs.select("k", "th", "text").mapInArrow(run, "k long, th int, c long, s binary")
 
 
-def _bounds(n1: np.ndarray, n2: np.ndarray, g1: np.ndarray, g2: np.ndarray) -> np.ndarray:
+def _bounds(n1: np.ndarray | int, n2: np.ndarray | int, g1: np.ndarray, g2: np.ndarray) -> np.ndarray:
     """The most elements that sets with these signatures can share: a bit that only one has is an element that only it has."""
     one = n1 - np.bitwise_count(g1 & ~g2).sum(axis=-1, dtype=np.int64)
     two = n2 - np.bitwise_count(g2 & ~g1).sum(axis=-1, dtype=np.int64)
@@ -223,8 +262,12 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
-            ga, gb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 5))
-            ok = pa.array(_bounds(na, nb, ga, gb) >= needed(na, nb, percent))
+            most = []
+            for x, y, p, q in zip(na.tolist(), nb.tolist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                words = min(len(p), len(q))
+                most.append(_bounds(x, y, folded(p, words), folded(q, words)))
+            ok = pa.array(np.array(most) >= needed(na, nb, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     left, right = (reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
@@ -232,24 +275,47 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, by exact intersection of sorted arrays."""
+    """The pairs (a, b) of classes that are similar enough, by exact intersection of sorted arrays.
+
+    Pairs that hang together meet in one group, so a set is sent once and not with each of its pairs; a group of more
+    than BLOCK_SHINGLES is cut into blocks of sets and a pair goes where its two blocks meet. Sets with a common
+    smallest partner are in one block, so most pairs have both in it.
+    """
+    group = scratch.keep(f"{name}-group", components(pairs, scratch, f"{name}-g"))
+    sizes = group.join(reps.select(F.col("c").alias("node"), "n"), "node")
+    blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    family = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("family"))
+    placed = group.join(blocks, "component").join(family, "node").select("node", F.col("component").alias("g"), F.pmod(F.hash("family"), F.col("blocks")).alias("block"))
+    left = placed.select(F.col("node").alias("a"), "g", F.col("block").alias("x"))
+    right = placed.select(F.col("node").alias("b"), F.col("block").alias("y"))
+    dealt = pairs.join(left, "a").join(right, "b").select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b")
+    dealt = scratch.keep(f"{name}-dealt", dealt)
+    where = dealt.select("g", "i", "j", F.explode(F.array("a", "b")).alias("c")).distinct().join(reps.select("c", "k", "th"), "c")
+    where = scratch.keep(f"{name}-where", where)
+    sets = _sets(docs, _filter(where), k).join(where, ["k", "th", "c"])
+    rows = sets.select("g", "i", "j", F.lit(0).alias("kind"), F.col("c").alias("a"), F.col("c").alias("b"), "s").unionByName(dealt.select("g", "i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("s")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            found = []
+            for g, i, j, kind, a, b, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (g, i, j) != now:
+                    now, sets = (g, i, j), {}
+                if kind == 0:
+                    sets[a] = np.frombuffer(s, "<u8")
+                    continue
+                x, y = sets[a], sets[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            ok = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
-
-    members = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = scratch.keep(f"{name}-sets", _sets(docs, reps.select("c", "k", "th").join(members, "c"), k).dropDuplicates(["c"]))
-    left, right = (sets.select(F.col("c").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-    out = scratch.keep(name, found)
-    scratch.drop(f"{name}-sets")
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = rows.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "kind")
+    out = scratch.keep(name, together.mapInArrow(run, "a long, b long"))
+    scratch.drop(f"{name}-group", f"{name}-dealt", f"{name}-where")
     return out
 
 
@@ -266,16 +332,25 @@ def _across(runs: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) ->
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
     rows = rows.select("t", "c", "n", "component", "g", "block", other.alias("to")).select("t", "to.i", "to.j", "block", "c", "n", "component", "g")
 
-    def tile(c: np.ndarray, n: np.ndarray, comp: np.ndarray, g: np.ndarray, block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    def tile(c: np.ndarray, n: np.ndarray, comp: np.ndarray, g: list[bytes], block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        words = signature_bits(n) // 64
+        # signatures of each length, and of twice that length folded: partners differ by no more
+        place, table = {}, {}
+        for w in np.unique(words).tolist():
+            rows = np.flatnonzero((words == w) | (words == 2 * w))
+            table[w] = np.stack([folded(np.frombuffer(g[r], np.uint64), w) for r in rows.tolist()])
+            place[w] = np.full(len(c), -1)
+            place[w][rows] = np.arange(len(rows))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for x in left.tolist():  # one row of the tile at a time: memory stays that of a block
             y = right[right > x] if i == j else right
             y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if not len(y):
-                continue
-            y = y[_bounds(n[x], n[y], g[x], g[y]) >= needed(n[x], n[y], percent)]
-            found.append((np.full(len(y), c[x]), c[y]))
+            shorter = np.minimum(words[y], words[x])
+            for w in np.unique(shorter).tolist():
+                z = y[shorter == w]
+                z = z[_bounds(n[x], n[z], table[w][place[w][x]], table[w][place[w][z]]) >= needed(n[x], n[z], percent)]
+                found.append((np.full(len(z), c[x]), c[z]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = (np.concatenate(z) for z in zip(*found, strict=True))
@@ -285,7 +360,7 @@ def _across(runs: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) ->
         def work(x: pa.Table) -> Iterator[pa.RecordBatch]:
             t, i, j, block, c, n, comp = (x.column(m).to_numpy() for m in range(7))
             n = n.astype(np.int64)
-            g = np.frombuffer(b"".join(x.column(7).to_pylist()), np.uint64).reshape(len(x), -1)
+            g = x.column(7).to_pylist()
             cut = np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             pairs: set[tuple[int, int]] = set()
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(t)], strict=True):

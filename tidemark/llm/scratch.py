@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,7 +41,10 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
+        """Delete tables that are no longer read, and let Spark's cleaner take the shuffle files of finished steps."""
         jvm = self.spark.sparkContext._jvm
+        gc.collect()
+        jvm.System.gc()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
