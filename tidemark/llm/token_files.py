@@ -320,7 +320,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 parts = [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(parts, pa.binary())], names=["doc_id", "start", "ids"])
 
-    rows = files.select("shard", "first", "doc_ids", "lengths", "words").join(before, "shard")
+    # one row a shard: as many as the write had partitions
+    rows = files.select("shard", "first", "doc_ids", "lengths", "words").join(F.broadcast(before), "shard")
     return rows.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
