@@ -6,8 +6,8 @@ shingles that are frequent in the corpus (by a count-min sketch of fixed size) l
 ones. Representatives that share a prefix shingle are dealt to tiles of sets of nearby sizes. In a tile the popcounts
 of hashed bitmap signatures bound the intersection from above; pairs that pass are intersected exactly.
 
-No group is expanded into all its pairs. First, members of a tile are paired with their neighbours in size only, and
-the links found give components. Then tiles that still span several components, each set of members once, are
+No group is expanded into all its pairs. First, members of a tile are paired with their neighbours in size only, then
+with the likeliest partner outside their component; the links found give components. Then tiles that still span several components, each set of members once, are
 compared block against block; only pairs from different components that the bitmaps cannot exclude come out and are
 intersected, so no link between different components is lost. Sets are made again from the texts of those that take
 part in such a pair; only signatures are kept for all.
@@ -319,8 +319,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
     return out
 
 
-def _across(runs: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of one tile and different components that bitmaps cannot exclude."""
+def _across(runs: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Pairs of classes of one tile and different components that bitmaps cannot exclude; with ``nearest`` only the likeliest partner of each class in each tile."""
     rows = runs.select("t", "c", "n", "place").join(comp.withColumnRenamed("node", "c"), "c", "left")
     rows = rows.withColumn("component", F.coalesce("component", "c"))
     # tiles of two are done with: their members are neighbours. Of tiles with the same members one is enough
@@ -347,10 +347,15 @@ def _across(runs: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) ->
             y = right[right > x] if i == j else right
             y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
             shorter = np.minimum(words[y], words[x])
+            most = np.empty(len(y), np.int64)
             for w in np.unique(shorter).tolist():
-                z = y[shorter == w]
-                z = z[_bounds(n[x], n[z], table[w][place[w][x]], table[w][place[w][z]]) >= needed(n[x], n[z], percent)]
-                found.append((np.full(len(z), c[x]), c[z]))
+                z = shorter == w
+                most[z] = _bounds(n[x], n[y[z]], table[w][place[w][x]], table[w][place[w][y[z]]])
+            spare = most - needed(n[x], n[y], percent)
+            y = y[spare >= 0]
+            if nearest and len(y):
+                y = y[[np.argmax(spare[spare >= 0])]]
+            found.append((np.full(len(y), c[x]), c[y]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = (np.concatenate(z) for z in zip(*found, strict=True))
@@ -418,9 +423,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = scratch.keep("pairs", _possible(pairs, reps, percent))
     links = _verified(pairs, keyed, reps, shingle, percent, scratch, "links")
     comp = scratch.keep("comp", components(links, scratch, "near"))
+    # likeliest partners first: they bring most families together, so that few pairs are left between components
+    pairs = scratch.keep("likely", _across(runs, comp, reps, percent, nearest=True))
+    links = scratch.keep("more", links.unionByName(_verified(pairs, keyed, reps, shingle, percent, scratch, "partners")))
+    comp = scratch.keep("comp2", components(links, scratch, "mid"))
     pairs = scratch.keep("across", _across(runs, comp, reps, percent))
     rest = _verified(pairs, keyed, reps, shingle, percent, scratch, "rest")
-    scratch.drop("runs", "reps", "pairs", "across")
+    scratch.drop("runs", "reps", "pairs", "likely", "across", "comp")
     if not rest.isEmpty():
         comp = scratch.keep("all", components(links.unionByName(rest), scratch, "far"))
     named = member.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
