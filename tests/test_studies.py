@@ -134,6 +134,19 @@ def test_resampling_studies(spark):
     assert abs(lost["a"]) < 1e-9 < lost["b"]
 
 
+def test_shuffles_of_all_repeats_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(9)), rng.random(), int(rng.random() < 0.3)) for i in rng.sample(range(1000), 150)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(3)
+    got = {r.repeat: (r.roc_auc, r.average_precision) for r in metrics.block_shuffle_study(df, F.col("a") + F.col("b"), ["b"], "id", repeats=3).collect()}
+    by_id = sorted(rows)
+    for r in range(3):
+        given = [x.b for x in sorted(df.withColumn("h", F.xxhash64(F.lit(42 + r), F.col("id"))).collect(), key=lambda x: x.h)]
+        assert got[r] == pytest.approx(brute_metrics(np.array([x[1] + g for x, g in zip(by_id, given, strict=True)]), np.array([x[3] for x in by_id])))
+    assert len(got) == 3
+    assert [tuple(r) for r in metrics.block_shuffle_study(df.limit(0), F.col("a"), ["b"], "id", repeats=1).collect()] == [(0, None, None)]
+
+
 def test_monitoring(spark):
     a = spark.createDataFrame([(float(x),) for x in range(100)], "v double")
     same = monitoring.stability(a, a, "v", [25, 50, 75]).agg(F.sum("psi")).first()[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -141,22 +142,23 @@ def availability_timeline(transactions: DataFrame, label_id: int, hours: float =
     return rows.filter(shown).select("transaction_id", "event_ts", "amount", "label", "availability", "hours_from_cutoff").dropDuplicates(["transaction_id"])
 
 
-def running_sums(df: DataFrame, key: str, sums: list[str], ascending: bool = True, parts: int = 32) -> DataFrame:
+def running_sums(df: DataFrame, key: str, sums: list[str], ascending: bool = True, parts: int = 32, by: Sequence[str] = (), like: DataFrame | None = None) -> DataFrame:
     """df with upto_<name>: the sum of a column over all rows up to this key (unique), without sorting all rows in one task.
 
     Keys are cut at quantiles; running sums within a cut are windows, and the cuts' totals, a few rows, are broadcast.
+    ``by``: sums run apart for each value of these columns. ``like``: a smaller frame whose keys tell the quantiles.
     """
     sign = 1.0 if ascending else -1.0
-    low = df.select((F.col(key).cast("double") * sign).alias("v"))
+    low = (df if like is None else like).select((F.col(key).cast("double") * sign).alias("v"))
     edges = sorted(set(low.approxQuantile("v", [i / parts for i in range(1, parts)], 0.01)))
     place = F.lit(0)
     for e in edges:
         place = place + F.when(F.col(key).cast("double") * sign > F.lit(e), 1).otherwise(0)
     cut = df.withColumn("_cut", place)
-    totals = cut.groupBy("_cut").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
-    earlier = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_cut", *(F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums))
+    totals = cut.groupBy(*by, "_cut").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
+    earlier = Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_cut", *(F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums))
     order = F.col(key).asc() if ascending else F.col(key).desc()
-    within = Window.partitionBy("_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut.join(F.broadcast(totals), "_cut")
+    within = Window.partitionBy(*by, "_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.join(F.broadcast(totals), [*by, "_cut"])
     return cut.select(*(F.col(c) for c in df.columns), *((F.sum(s).over(within) + F.col(f"_{s}")).alias(f"upto_{s}") for s in sums))

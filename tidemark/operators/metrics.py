@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.cohort import running_sums
 
 
-def score_groups(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """score, pos, neg: one row per distinct score."""
+def score_groups(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """score, pos, neg: one row per distinct score (of each value of ``by``)."""
     y = F.col(label).cast("int")
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((y == 1).cast("long")).alias("pos"), F.sum((y == 0).cast("long")).alias("neg"))
+    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((y == 1).cast("long")).alias("pos"), F.sum((y == 0).cast("long")).alias("neg"))
 
 
 def check_inputs(df: DataFrame, score: str, label: str = "label", features: Sequence[str] = ()) -> None:
@@ -38,24 +38,25 @@ def check_inputs(df: DataFrame, score: str, label: str = "label", features: Sequ
             raise ValueError(f"{c} has {row[c]} infinite values")
 
 
-def _descending(groups: DataFrame) -> DataFrame:
-    """Groups with the positives and negatives at or above each score, and of all."""
-    total = groups.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return running_sums(groups, "score", ["pos", "neg"], ascending=False).crossJoin(F.broadcast(total))
+def _descending(groups: DataFrame, by: Sequence[str] = (), like: DataFrame | None = None) -> DataFrame:
+    """Groups with the positives and negatives at or above each score, and of all (of the same ``by``)."""
+    total = groups.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    rows = running_sums(groups, "score", ["pos", "neg"], ascending=False, by=by, like=like)
+    return rows.join(F.broadcast(total), [*by]) if by else rows.crossJoin(F.broadcast(total))
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """roc_auc and average_precision from one pass over the score groups. One row; nulls without both classes.
+def ranking_metrics(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = (), like: DataFrame | None = None) -> DataFrame:
+    """roc_auc and average_precision from one pass over the score groups. One row, or one per ``by``; nulls without both classes.
 
     roc_auc: the chance that a positive scores above a negative, ties counting half. average_precision: the sum over
-    scores of the recall gained times the precision there.
+    scores of the recall gained times the precision there. ``like``: rows with ``score`` that tell its quantiles.
     """
-    rows = _descending(score_groups(df, score, label))
+    rows = _descending(score_groups(df, score, label, by), by, like)
     below = F.col("all_neg") - F.col("upto_neg")
     won = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2))
     precision = F.col("upto_pos") / (F.col("upto_pos") + F.col("upto_neg"))
     gained = F.try_divide(F.col("pos").cast("double"), F.col("all_pos"))
-    return rows.agg(F.try_divide(won, F.max("all_pos").cast("double") * F.max("all_neg")).alias("roc_auc"), F.sum(gained * precision).alias("average_precision"))
+    return rows.groupBy(*by).agg(F.try_divide(won, F.max("all_pos").cast("double") * F.max("all_neg")).alias("roc_auc"), F.sum(gained * precision).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -157,34 +158,47 @@ def shuffled_block(df: DataFrame, columns: Sequence[str], key: str, seed: int) -
 
     Ranks come from buckets of hashes and ids, so no task sorts all rows.
     """
-    by_id = _ranked(df, F.col(key).cast("double"), [key])
-    given = _ranked(df.select(*columns, key), F.xxhash64(F.lit(seed), F.col(key)).cast("double"), [key]).select(*(F.col(c).alias(f"_{c}") for c in columns), F.col("_rank").alias("_r"))
+    return shuffled_blocks(df, columns, key, [seed]).drop("_seed")
+
+
+def shuffled_blocks(df: DataFrame, columns: Sequence[str], key: str, seeds: Sequence[int], parts: int = 32) -> DataFrame:
+    """``shuffled_block`` for each of the seeds, with _seed, in one pass: rows are ranked by id once and by hash for all seeds together."""
+    by_id = _ranked(df, F.col(key).cast("double"), [key], parts)
+    given = df.select(*columns, key).withColumn("_seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
+    even = [(2 * i / parts - 1) * 2.0**63 for i in range(1, parts)]  # hashes spread evenly
+    given = _ranked(given, F.xxhash64("_seed", key).cast("double"), [key], parts, ["_seed"], even)
+    given = given.select(*(F.col(c).alias(f"_{c}") for c in columns), F.col("_rank").alias("_r"), "_seed")
     joined = by_id.join(given, F.col("_rank") == F.col("_r"))
-    return joined.select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns))
+    return joined.select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns), "_seed")
 
 
-def _ranked(df: DataFrame, by, ties: list[str], parts: int = 32) -> DataFrame:
-    """df with _rank, the place of each row in order of an expression."""
+def _ranked(df: DataFrame, by, ties: list[str], parts: int = 32, of: Sequence[str] = (), edges: list[float] | None = None) -> DataFrame:
+    """df with _rank, the place of each row in order of an expression (among the rows of the same ``of``)."""
     valued = df.withColumn("_by", by)
-    edges = sorted(set(valued.approxQuantile("_by", [i / parts for i in range(1, parts)], 0.01)))
+    if edges is None:
+        edges = sorted(set(valued.approxQuantile("_by", [i / parts for i in range(1, parts)], 0.01)))
     cut = F.lit(0)
     for e in edges:
         cut = cut + F.when(F.col("_by") > F.lit(e), 1).otherwise(0)
     valued = valued.withColumn("_cut", cut)
-    sizes = valued.groupBy("_cut").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("_cut", (F.sum("_n").over(Window.orderBy("_cut")) - F.col("_n")).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_cut").orderBy("_by", *ties))
-    return valued.join(F.broadcast(sizes), "_cut").withColumn("_rank", within + F.col("_first")).drop("_by", "_cut", "_first")
+    sizes = valued.groupBy(*of, "_cut").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(*of, "_cut", (F.sum("_n").over(Window.partitionBy(*of).orderBy("_cut")) - F.col("_n")).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*of, "_cut").orderBy("_by", *ties))
+    return valued.join(F.broadcast(sizes), [*of, "_cut"]).withColumn("_rank", within + F.col("_first")).drop("_by", "_cut", "_first")
 
 
 def block_shuffle_study(df: DataFrame, score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 50, seed: int = 42) -> DataFrame:
-    """repeat, roc_auc, average_precision of a fitted ``score`` (Column over the features) with the columns shuffled as a block; no refit."""
-    out = None
-    for r in range(repeats):
-        scored = shuffled_block(df, columns, key, seed + r).select(score.alias("score"), label)
-        one = ranking_metrics(scored, "score", label).withColumn("repeat", F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out.select("repeat", "roc_auc", "average_precision")
+    """repeat, roc_auc, average_precision of a fitted ``score`` (Column over the features) with the columns shuffled as a block; no refit.
+
+    All repeats are one job; one repeat more tells the quantiles at which scores are cut.
+    """
+
+    def scored(seeds: Sequence[int]) -> DataFrame:
+        return shuffled_blocks(df, columns, key, seeds).select("_seed", score.alias("score"), label)
+
+    found = ranking_metrics(scored(range(seed, seed + repeats)), "score", label, ["_seed"], scored([seed]))
+    every = df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))
+    return every.join(F.broadcast(found), F.col("repeat") + seed == F.col("_seed"), "left").select("repeat", "roc_auc", "average_precision")
 
 
 def study_summary(study: DataFrame, baseline_ap: float) -> DataFrame:

@@ -480,24 +480,24 @@ def _pair(spark, sf_dir) -> DataFrame:
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    return metrics.paired_bootstrap(_pair(spark, sf_dir), "a", "b", replicates=50)
+    return metrics.paired_bootstrap(_pair(spark, sf_dir), "a", "b")
 
 
 @query()
 def block_shuffle(spark, sf_dir):
-    return metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id", repeats=1)
+    return metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id")
 
 
 @query()
 def permutation_importance(spark, sf_dir):
-    return metrics.permutation_importance(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["a", "b"], "label_id", repeats=1)
+    return metrics.permutation_importance(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["a", "b"], "label_id")
 
 
 @query()
 def boosted_trees(spark, sf_dir):
     rows = features.build(facts(spark, sf_dir), custom(*WEEK))
     at = F.lit(_AT).cast("timestamp_ntz")
-    scored, _ = metrics.boosted_trees(rows.filter(F.col("cutoff_ts") < at), rows.filter(F.col("cutoff_ts") >= at), [n for n, _, _ in WEEK], trees=3, depth=3)
+    scored, _ = metrics.boosted_trees(rows.filter(F.col("cutoff_ts") < at), rows.filter(F.col("cutoff_ts") >= at), [n for n, _, _ in WEEK])
     return scored
 
 
