@@ -84,3 +84,11 @@ def test_bloom_filters_have_no_false_negatives_and_the_rate_they_say():
     rate = (f.look(other)[0] >> np.uint64(3) & np.uint64(1)).mean()
     assert abs(rate - f.false_rates()[3]) < 0.01
     assert f.shares(inside, np.array([2000, 0]))[3].tolist() == [1.0, 0.0]
+
+
+def test_no_accepted_feature_is_left_out():
+    rng = np.random.default_rng(4)
+    features = np.arange(10_000)
+    texts = [features[i % 20 :: 20] for i in range(60)] + [rng.integers(20_000, 30_000, 50) for _ in range(600)]
+    weights, _ = toxicity.fit([np.unique(x) for x in texts], np.arange(660) < 60, 0.1)
+    assert (weights[features] > 0).all() and not weights[20_000:].any()

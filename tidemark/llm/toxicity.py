@@ -58,7 +58,6 @@ def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     expected = (seen[False] + 0.5) * len(p) / (len(u) + 1)
     odds = np.log(seen[True] + 0.5) - np.log(expected)
     chosen = np.flatnonzero((odds > 0.75 * np.log(1 / prior)) & (seen[True] - expected > 4 * np.sqrt(expected)) & (seen[True] >= 3))
-    chosen = np.sort(chosen[np.argsort(-seen[True][chosen], kind="stable")[:8192]])
     column = np.full(DIMENSION, -1)
     column[chosen] = np.arange(len(chosen))
 
