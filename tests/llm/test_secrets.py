@@ -49,6 +49,12 @@ def test_entropy_kinds_and_allow_list(spark):
     assert got[1] == "entropy_base64:6:30" and got[2] == "" and got[3] == "access:0:20" and got[4] == ""
 
 
+def test_base64url_tokens_are_found_whole(spark):
+    docs = [(1, "key Zk3vQ9xT7mB2nW_pL8rJ4cF6tY1d-hG0s end"), (2, "key Zk3vQ9xT7mB2nW5pL8rJ4cF6"), (3, "a-well-known-file-name-of-2024")]
+    got = {r.doc_id: r.spans for r in digest(find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"])).collect()}
+    assert got == {1: "entropy_base64url:4:37", 2: "entropy_base64:4:28", 3: ""}
+
+
 def test_empty_table_and_clashing_columns(spark):
     schema = "doc_id long, text string, spans string, row int"
     df = spark.createDataFrame([(1, "a", "x", 2)], schema)

@@ -39,16 +39,21 @@ _TOKEN = _lut(_DIGITS + _LOWER + _LOWER.upper() + "+/=_-")
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """A window counts if its entropy (bits a character) is at least ``bits`` and it has a digit and a letter."""
+    """A window counts if its entropy (bits a character) is at least ``bits`` and it has a digit and a letter.
+
+    With ``needs``, only spans that hold one of these characters are reported: other classes have the rest.
+    """
 
     kind: str
     chars: str
     bits: float
+    needs: str = ""
 
 
 CLASSES = (
     CharacterClass("entropy_hex", _DIGITS + "abcdefABCDEF", 3.0),
     CharacterClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper() + "+/", 3.85),
+    CharacterClass("entropy_base64url", _DIGITS + _LOWER + _LOWER.upper() + "-_", 3.85, "-_"),
 )
 #: Candidates that are not secrets: UUIDs, documentation samples, alphabets and digit sequences.
 ALLOW = (
@@ -146,7 +151,7 @@ def find_secrets(docs: DataFrame, carry: list[str], classes: tuple[CharacterClas
         for a, b in zip(*(x.tolist() for x in runs(_TOKEN[s.data], s.offsets, window)), strict=True):
             text = raw[a:b]
             if not any(p.search(text) for p in patterns):
-                found += [(a + x, order[c.kind], a + y) for c in classes for x, y in entropy_spans(text, c, window)]
+                found += [(a + x, order[c.kind], a + y) for c in classes for x, y in entropy_spans(text, c, window) if not c.needs or any(n in text[x:y] for n in c.needs.encode())]
         out: dict[int, list[tuple[int, int, int]]] = {}
         for x in sorted(found):
             out.setdefault(int(np.searchsorted(s.offsets, x[0], "right")) - 1, []).append(x)
