@@ -55,6 +55,15 @@ def test_base64url_tokens_are_found_whole(spark):
     assert got == {1: "entropy_base64url:4:37", 2: "entropy_base64:4:28", 3: ""}
 
 
+def test_allow_list_spares_the_rest_of_the_run(spark):
+    key = "Zk3vQ9xT7mB2nW5pL8rJ"
+    docs = [(1, f"docs/example/key={key}"), (2, f"example/{key}"), (3, f"my_example_{key}"), (4, f"{key}/example/abc"), (5, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")]
+    docs += [(6, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), (7, f"example{key}"), (8, "example_Zk3vQ9x_T7mB2nW5pL-8rJ")]
+    got = {r.doc_id: r.spans for r in digest(find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"])).collect()}
+    at = {d: t.index(key) for d, t in docs if key in t}
+    assert got == {d: f"entropy_base64:{at[d]}:{at[d] + 20}" if d < 5 else "" if d < 8 else "entropy_base64url:8:30" for d in got} and len(got) == 8
+
+
 def test_empty_table_and_clashing_columns(spark):
     schema = "doc_id long, text string, spans string, row int"
     df = spark.createDataFrame([(1, "a", "x", 2)], schema)

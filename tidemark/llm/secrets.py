@@ -2,7 +2,8 @@
 
 Candidate strings are runs of token characters. Within one, each character class has its own runs; over a run of at
 least ``window`` characters a window slides, its entropy kept by incremental counts: one character enters, one
-leaves. Windows of high entropy are joined into spans. A candidate that an allow-list pattern matches adds none.
+leaves. Windows of high entropy are joined into spans. A candidate that a pattern of the allow-list matches whole adds
+none; of other spans that a pattern touches, the parts between separators that it does not touch are looked at alone.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def _lut(chars: str) -> np.ndarray:
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _HEX = _lut(_DIGITS + "abcdef")
+_SEPARATORS = b"/=_-"
+_PART = re.compile(rb"[^/=_-]+")
 _TOKEN = _lut(_DIGITS + _LOWER + _LOWER.upper() + "+/=_-")
 
 
@@ -115,6 +118,37 @@ def entropy_spans(text: bytes, cls: CharacterClass, window: int = WINDOW) -> lis
     return found
 
 
+def unlisted(text: bytes, cls: CharacterClass, spans: list[tuple[int, int]], listed: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Spans without what the allow-list matched at ``listed``.
+
+    A span goes with the separated parts it lies in. If a match touches these, only parts free of any count, by windows
+    of their own; parts next to each other stay together across '_' and '-'.
+    """
+    out: list[tuple[int, int]] = []
+    done = 0  # parts up to here were looked at
+    for a, b in spans:
+        low, high = a, b
+        while low and text[low - 1] not in _SEPARATORS:
+            low -= 1
+        while high < len(text) and text[high] not in _SEPARATORS:
+            high += 1
+        if not any(x < high and low < y for x, y in listed):
+            out.append((a, b))
+            continue
+        low = max(low, done)
+        free: list[tuple[int, int]] = []
+        for m in _PART.finditer(text, low, high):
+            if any(x < m.end() and m.start() < y for x, y in listed):
+                continue
+            if free and not text[free[-1][1] : m.start()].strip(b"_-"):
+                free[-1] = (free[-1][0], m.end())
+            else:
+                free.append(m.span())
+        out += [(f + x, f + y) for f, g in free for x, y in entropy_spans(text[f:g], cls, window)]
+        done = max(done, high)
+    return out
+
+
 def find_secrets(docs: DataFrame, carry: list[str], classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> DataFrame:
     """row (struct of the ``carry`` columns), spans (kind, start, end in code points, by start and then kind): one row per document.
 
@@ -150,8 +184,13 @@ def find_secrets(docs: DataFrame, carry: list[str], classes: tuple[CharacterClas
         found += [(a, 2, b) for a, b in zip(*(x.tolist() for x in runs(_HEX[s.data], s.offsets, 32)), strict=True)]
         for a, b in zip(*(x.tolist() for x in runs(_TOKEN[s.data], s.offsets, window)), strict=True):
             text = raw[a:b]
-            if not any(p.search(text) for p in patterns):
-                found += [(a + x, order[c.kind], a + y) for c in classes for x, y in entropy_spans(text, c, window) if not c.needs or any(n in text[x:y] for n in c.needs.encode())]
+            listed = [m.span() for p in patterns for m in p.finditer(text)]
+            if (0, b - a) in listed:
+                continue
+            for c in classes:
+                spans = entropy_spans(text, c, window)
+                spans = unlisted(text, c, spans, listed, window) if listed else spans
+                found += [(a + x, order[c.kind], a + y) for x, y in spans if not c.needs or any(n in text[x:y] for n in c.needs.encode())]
         out: dict[int, list[tuple[int, int, int]]] = {}
         for x in sorted(found):
             out.setdefault(int(np.searchsorted(s.offsets, x[0], "right")) - 1, []).append(x)
