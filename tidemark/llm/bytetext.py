@@ -6,6 +6,7 @@ offsets at which each begins. A null text is an empty one. Documents never share
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,11 +16,23 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes or symbols hashed at a time: sums and powers of this many are in memory, however long a text is.
+STRIDE = 1 << 17
 
 _rng = np.random.default_rng(20240229)
 _CODES = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _run_of(base: int) -> np.ndarray:
+    """Powers of a base modulo 2**64, as many as a stride needs."""
+    out = np.full(STRIDE + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = [_run_of(b) for b in _BASES]
+_INVERSE = [_run_of(pow(b, -1, 2**64)) for b in _BASES]
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,38 +85,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _table(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, grown to the longest slice seen."""
-    while len(_powers) < 2:
-        _powers.append((np.ones(1, np.uint64), np.ones(1, np.uint64)))
-    if len(_powers[which][0]) < n:
-        size = max(n, 1 << 20)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            full = np.full(size, b, np.uint64)
-            full[0] = 1
-            both.append(np.multiply.accumulate(full))
-        _powers[which] = (both[0], both[1])
-    return _powers[which]
-
-
-def prefix(symbols: np.ndarray, which: int = 0) -> np.ndarray:
-    """S with S[j] - S[i] standing for symbols[i:j], up to the power of its place."""
-    powers, _ = _table(len(symbols) + 1, which)
-    out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * powers[: len(symbols)], out=out[1:])
-    return out
+def codes(symbols: np.ndarray, which: int = 0) -> np.ndarray:
+    """Bytes as 64-bit symbols; other symbols as they are."""
+    return _CODES[which][symbols] if symbols.dtype == np.uint8 else symbols
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal content at any place."""
-    _, inverse = _table(len(sums), which)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of spans, equal for equal content at any place. Neither starts nor ends may go back."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + STRIDE, "right"))
+        if j <= i:  # a span of more than a stride
+            out[i] = _long_hash(symbols, lo, int(ends[i]), which)
+            i += 1
+            continue
+        part = codes(symbols[lo : int(ends[j - 1])], which)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _POWERS[which][: len(part)], out=sums[1:])
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((sums[b] - sums[a]) * _INVERSE[which][a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
-def codes(data: np.ndarray, which: int = 0) -> np.ndarray:
-    return _CODES[which][data]
+def _long_hash(symbols: np.ndarray, lo: int, hi: int, which: int) -> np.uint64:
+    total = 0
+    for at in range(lo, hi, STRIDE):
+        part = codes(symbols[at : min(at + STRIDE, hi)], which)
+        total += int((part * _POWERS[which][: len(part)]).sum()) * pow(_BASES[which], at - lo, 2**64)
+    return mix(np.array([(total + hi - lo) % 2**64], np.uint64))[0]
 
 
 def word_spans(s: Slice, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,17 +136,20 @@ def word_spans(s: Slice, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(s: Slice, starts: np.ndarray, ends: np.ndarray, lower: bool = False, which: int = 0) -> np.ndarray:
-    data = LOWER[s.data] if lower else s.data
-    return span_hash(prefix(codes(data, which), which), starts, ends, which)
+    return span_hashes(LOWER[s.data] if lower else s.data, starts, ends, which)
 
 
 def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k symbols (document limits not heeded)."""
-    if len(symbols) < k:
-        return np.zeros(0, np.uint64)
-    sums = prefix(symbols)
-    at = np.arange(len(symbols) - k + 1)
-    return span_hash(sums, at, at + k)
+    at = np.arange(max(len(symbols) - k + 1, 0))
+    return span_hashes(symbols, at, at + k)
+
+
+def tally(member: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many members each range has."""
+    sums = np.zeros(len(member) + 1, np.int32)
+    np.cumsum(member, out=sums[1:])
+    return (sums[ends] - sums[starts]).astype(np.int64)
 
 
 def window_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -165,3 +180,13 @@ def union_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.concatenate([[True], lo[1:] > hi[:-1]])
     first = np.flatnonzero(new)
     return lo[first], hi[np.concatenate([first[1:], [len(lo)]]) - 1]
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library hold for later back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -24,12 +24,14 @@ from .scratch import Scratch, small_batches
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 512
-#: Ids of a chunk, if no single document has more.
-CHUNK_IDS = 1 << 17
+#: Ids of a chunk, if no single document has more; blocks packed and unpacked at a time.
+CHUNK_IDS, CHUNK_BLOCKS = 1 << 17, 256
 ESCAPE = np.uint64((15 << 60) | ((1 << 60) - 1))
 _LARGEST = (1 << 60) - 2
-#: Pieces of text whose ids are remembered in a Python worker (about 40 bytes each); then it starts afresh.
-REMEMBERED = 3_000_000
+#: Pieces of text and ids of theirs that are remembered in a Python worker (in arrays of 25 MB in all); then it starts afresh.
+REMEMBERED, REMEMBERED_IDS = 400_000, 2_000_000
+#: Bytes of pieces that go to the library at a time.
+CALL_BYTES = 1 << 17
 
 
 def _needs(ids: np.ndarray) -> np.ndarray:
@@ -46,10 +48,17 @@ def _needs(ids: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint64) of unsigned ids, and the word at which each block begins."""
-    ids = np.ascontiguousarray(ids, np.uint64)
+    words, blocks, have = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for i in range(0, len(ids), CHUNK_BLOCKS * BLOCK):
+        part, begin = _encode_blocks(np.ascontiguousarray(ids[i : i + CHUNK_BLOCKS * BLOCK], np.uint64))
+        words.append(part)
+        blocks.append(begin + have)
+        have += len(part)
+    return np.concatenate(words), np.concatenate(blocks)
+
+
+def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     need = _needs(ids)
     inside = np.arange(n, dtype=np.int32) % BLOCK
     best = np.full(n, 15, np.int8)
@@ -124,17 +133,25 @@ def decode(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def decode_strides(words: np.ndarray, block_words: list[int]) -> Iterator[np.ndarray]:
+    """Ids of a chunk, some blocks at a time."""
+    edges = [*block_words[::CHUNK_BLOCKS], len(words)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield decode(words[a:b])
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     Byte-level BPE with this vocabulary's splitting pattern never merges across the point before a space, unless the
     space has white space (or an end of the text) on both sides. So a text is the sequence of its space-led pieces.
-    Ids of pieces are remembered under 64-bit hashes in an open-addressing table; the unseen pieces of a slice go to
-    the library as one text, whose ids are dealt to the pieces by the bytes that each id stands for. Texts with such
-    spaces, or with what may be a special token, go to the library whole.
+    Ids of pieces are remembered under 64-bit hashes in an open-addressing table of fixed size. The unseen pieces of a
+    slice that a letter or mark follows the space of go to the library many at a time, as one text whose ids are dealt
+    to the pieces by the bytes that each id stands for; others, which white space might tie to what is before them or
+    which may hold a special token, go by themselves.
     """
 
-    SLOTS = 1 << 23
+    SLOTS = 1 << 20
 
     def __init__(self, path: str):
         import os
@@ -146,13 +163,10 @@ class Encoder:
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that an id stands for
         for token, number in self.tokenizer.get_vocab().items():
             self.width[number] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
         self.keys = np.zeros(self.SLOTS, np.uint64)  # 0: free
         self.entry = np.zeros(self.SLOTS, np.int32)
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.ids, self.used, self.count = np.zeros(1 << 18, np.uint32), 0, 0
+        self.starts, self.lengths = np.zeros(REMEMBERED, np.int32), np.zeros(REMEMBERED, np.int32)
+        self.ids, self.used, self.count = np.zeros(REMEMBERED_IDS, np.int32), 0, 0
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each hash, and whether it is taken (else it is the free slot where the search ended)."""
@@ -169,15 +183,18 @@ class Encoder:
         return slot, taken
 
     def _learn(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Remember the ids of pieces with distinct unseen hashes."""
-        m, total = len(h), len(ids)
-        while self.count + m > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[self.count : self.count + m] = self.used + np.cumsum(counts) - counts
-        self.lengths[self.count : self.count + m] = counts
-        self.ids[self.used : self.used + total] = ids
+        """Remember the ids of pieces with distinct unseen hashes, as far as there is room; a full table is emptied first."""
+        if self.count + len(h) > REMEMBERED or self.used + len(ids) > REMEMBERED_IDS:
+            self.keys[:] = 0
+            self.used = self.count = 0
+        ends = np.cumsum(counts)
+        m = min(len(h), REMEMBERED, int(np.searchsorted(ends, REMEMBERED_IDS, "right")))
+        if not m:
+            return
+        h, total = h[:m], int(ends[m - 1])
+        self.starts[self.count : self.count + m] = self.used + ends[:m] - counts[:m]
+        self.lengths[self.count : self.count + m] = counts[:m]
+        self.ids[self.used : self.used + total] = ids[:total]
         left = np.arange(m)
         while len(left):
             slot, _ = self._find(h[left])
@@ -188,59 +205,65 @@ class Encoder:
         self.count += m
         self.used += total
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+    def _encode(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int32)
+
+    def _encode_pieces(self, pieces: list[bytes], joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and the number of each; ``joint`` ones may follow one another in a text."""
+        ids, counts, i = [], [], 0
+        while i < len(pieces):
+            j, size = i + 1, len(pieces[i])
+            while joint[i] and j < len(pieces) and joint[j] and size + len(pieces[j]) <= CALL_BYTES:
+                size += len(pieces[j])
+                j += 1
+            made = self._encode(b"".join(pieces[i:j]))
+            ids.append(made)
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.width[made]), np.cumsum([0, *map(len, pieces[i:j])]), "right")) if j > i + 1 else [len(made)])
+            i = j
+        return (np.concatenate(ids), np.concatenate(counts).astype(np.int64)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def slice(self, s: bt.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of each text's."""
         n, docs = len(s.data), s.count
         if not n:
-            return np.zeros(0, np.int64), np.zeros(docs, np.int64)
-        if self.count > REMEMBERED:
-            self._forget()
+            return np.zeros(0, np.int32), np.zeros(docs, np.int64)
         data, raw = s.data, s.data.tobytes()
-        # texts for the library alone
         first = np.zeros(n + 1, bool)
         first[s.offsets] = True
         space = data == 0x20
         before = np.concatenate([[True], _MAY_END[data[:-1]]]) | first[:n]
         after = np.concatenate([_MAY_BEGIN[data[1:]], [True]]) | first[1:]
-        odd = np.flatnonzero((space & before & after) | ((data == 0x3C) & np.concatenate([data[1:] == 0x7C, [False]])))
-        whole = np.unique(np.searchsorted(s.offsets, odd, "right") - 1)
-        # pieces of the others
-        begin = np.flatnonzero(space | first[:n])
+        # pieces: from one space that may be cut before to the next
+        begin = np.flatnonzero((space & ~(before & after)) | first[:n])
+        joins = (space & ~after)[begin]
         end = np.append(begin[1:], n)
-        doc = np.searchsorted(s.offsets, begin, "right") - 1
-        if len(whole):
-            use = ~np.isin(doc, whole)
-            begin, end, doc = begin[use], end[use], doc[use]
-        h = np.maximum(bt.span_hash(bt.prefix(bt.codes(data)), begin, end), np.uint64(1))
+        special = np.flatnonzero((data == 0x3C) & np.concatenate([data[1:] == 0x7C, [False]]))
+        joins[np.searchsorted(begin, special, "right") - 1] = False
+        h = np.maximum(bt.span_hashes(data, begin, end), np.uint64(1))
         slot, seen = self._find(h)
-        new = np.flatnonzero(~seen)
-        if len(new):
-            keys, at = np.unique(h[new], return_index=True)
-            at = new[at]
-            led = data[begin[at]] == 0x20
-            at, keys = np.concatenate([at[~led], at[led]]), np.concatenate([keys[~led], keys[led]])
-            pieces = [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            k = int((~led).sum())
-            made = self._encode(pieces[:k] + ([b"".join(pieces[k:])] if len(pieces) > k else []))
-            ids = np.array([x for part in made for x in part], np.int64)
-            ends = np.cumsum(self.width[ids])
-            counts = np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, pieces)]), "right"))
-            self._learn(keys, ids, counts)
-            slot, _ = self._find(h)
         entry = self.entry[slot]
-        sizes = self.lengths[entry].astype(np.int64)
-        ids = self.ids[bt.ragged(self.starts[entry], sizes)].astype(np.int64)
-        counts = np.bincount(doc, sizes, docs).astype(np.int64)
-        if not len(whole):
-            return ids, counts
-        ends = np.cumsum(counts)
-        parts = [ids[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-        for d, made in zip(whole.tolist(), self._encode([raw[s.offsets[d] : s.offsets[d + 1]] for d in whole.tolist()]), strict=True):
-            parts[d], counts[d] = np.array(made, np.int64), len(made)
-        return np.concatenate(parts), counts
+        sizes = np.where(seen, self.lengths[entry], 0).astype(np.int64)
+        new = np.flatnonzero(~seen)
+        keys, at, of = np.unique(h[new], return_index=True, return_inverse=True)
+        turn = np.argsort(joins[new[at]], kind="stable")  # single ones first
+        at = new[at][turn]
+        made, counts = self._encode_pieces([raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], joins[at])
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        of = place[of.ravel()]
+        sizes[new] = counts[of]
+        # remembered ids and those made now, in the order of the pieces
+        where = np.zeros(len(h), np.int64)
+        where[seen] = self.starts[entry[seen]]
+        where[new] = (np.cumsum(counts) - counts)[of]
+        ids = np.empty(int(sizes.sum()), np.int32)
+        owner = np.repeat(seen, sizes)
+        known = np.flatnonzero(seen)
+        ids[owner] = self.ids[bt.ragged(where[known], sizes[known])]
+        ids[~owner] = made[bt.ragged(where[new], sizes[new])]
+        self._learn(keys[turn], made, counts)
+        doc = np.searchsorted(s.offsets, begin, "right") - 1
+        return ids, np.bincount(doc, sizes, docs).astype(np.int64)
 
 
 #: Bytes that may end, and begin, a white-space character in UTF-8.
@@ -283,7 +306,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             for s in bt.slices(batch.column(1)):
                 ids, counts = encoder.slice(s)
                 lengths = counts + 1
-                full = np.full(int(lengths.sum()), end_id, np.int64)
+                full = np.full(int(lengths.sum()), end_id, np.int32)
                 at = np.cumsum(lengths) - lengths
                 full[bt.ragged(at, counts)] = ids
                 held.append((doc_ids[s.first : s.first + s.count], lengths, full))
@@ -291,6 +314,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     yield flush()
         if held:
             yield flush()
+        bt.release()
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = kept.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
@@ -310,18 +334,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode(np.frombuffer(row["words"], "<u8"))
-                if len(ids) and ids.max() >= 2**32:
-                    raise ValueError("a token id needs more than 32 bits")
-                raw = ids.astype("<u4").tobytes()
+                words, raw = np.frombuffer(row["words"], "<u8"), bytearray()
+                for ids in decode_strides(words, row["block_words"]):
+                    if len(ids) and ids.max() >= 2**32:
+                        raise ValueError("a token id needs more than 32 bits")
+                    raw += ids.astype("<u4").tobytes()
                 ends = np.cumsum(row["lengths"]) * 4
                 begins = np.concatenate([[0], ends[:-1]])
                 start = begins // 4 + row["first"] + row["base"]
-                parts = [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                parts = [bytes(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(parts, pa.binary())], names=["doc_id", "start", "ids"])
+        bt.release()
 
     # one row a shard: as many as the write had partitions
-    rows = files.select("shard", "first", "doc_ids", "lengths", "words").join(F.broadcast(before), "shard")
+    rows = files.select("shard", "first", "doc_ids", "lengths", "block_words", "words").join(F.broadcast(before), "shard")
     return rows.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
