@@ -84,3 +84,50 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, n_words int, row string")
     assert lq.rate_quality(df, lq.DEFAULT, df.columns).select("row.*").collect() == df.collect()
     assert lq.rate_quality(df.limit(0), lq.DEFAULT, ["doc_id"]).count() == 0
+
+
+def good_texts(n, rng):
+    words = [f"word{i}" for i in range(400)]
+    line = lambda: " ".join(rng.choices(words, k=rng.randrange(8, 22))).capitalize() + "."
+    return ["\n".join(line() for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+
+
+def junk_line(rng):
+    return rng.choice([" | ".join(f"Link{rng.randrange(50)}" for _ in range(9)), "!! ".join(f"BUY{rng.randrange(50)}" for _ in range(9)) + "!!", "### ".join(f"x{rng.randrange(99)}" for _ in range(9))])
+
+
+def test_footers_alone_are_marked_and_good_documents_kept(spark):
+    rng = random.Random(11)
+    good, rows, known = good_texts(600, rng), [], []
+    for i, text in enumerate(good):
+        if i % 2:  # junk, under a line or two that look like content
+            text = "\n".join([*text.split("\n")[:2], *(junk_line(rng) for _ in range(6))])
+        rows.append((i, text))
+        if i < 400:
+            known.append((i, 1 - i % 2))
+    footed = {i: good[i] + "\n" + junk_line(rng) for i in range(400, 600, 2)}
+    docs = spark.createDataFrame([(i, footed.get(i, t)) for i, t in rows], "doc_id long, text string")
+    field = lq.learn(docs, spark.createDataFrame(known, "doc_id long, quality int"))
+    rated = {r.row.doc_id: r for r in lq.rate_quality(docs, field, ["doc_id"]).collect()}
+    alone = sum(rated[i].boilerplate == [t.count("\n")] for i, t in footed.items())
+    assert alone >= 0.95 * len(footed)
+    assert all(rated[i].kept for i in footed) and not any(rated[i].kept for i in range(401, 600, 2))
+    # in documents of junk the first lines are content all the same
+    assert sum(rated[i].boilerplate == list(range(2, 8)) for i in range(401, 600, 2)) >= 80
+
+
+def test_labels_not_fitted_on(spark):
+    docs, known = documents(spark, "/root/testdata/sf0.1"), labels(spark, "/root/testdata/sf0.1").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    half = known.selectExpr("*", "crc32(cast(doc_id as string)) % 2 as part")
+    rated = lq.rate_quality(docs, lq.learn(docs, half.filter("part = 0")), ["doc_id"]).select("row.doc_id", "base_failed", "kept", "boilerplate", "n_words")
+    rows = rated.join(half.filter("part = 1 and quality is not null"), "doc_id").filter("not base_failed").collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert len(good) > 1000 and sum(r.kept for r in good) >= 0.99 * len(good)
+    assert len(bad) > 50 and sum(r.kept for r in bad) <= 0.1 * len(bad)
+
+
+def test_a_long_text(spark):
+    line = "The quick brown fox jumps over the lazy dog and goes on to the river bank.\n"
+    text = "".join(f"{i} {line}" for i in range(14_000))
+    row = lq.rate_quality(spark.createDataFrame([(1, text)], "doc_id long, text string"), lq.DEFAULT, ["doc_id"]).first()
+    assert len(text) > 1_000_000 and (row.n_words, row.n_dup_lines) == (len(text.split()), 0)
