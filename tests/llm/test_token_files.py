@@ -46,6 +46,34 @@ def test_encoder_equals_the_library():
         assert got == want[s.first : s.first + s.count]
 
 
+def test_encoder_stays_within_its_bound(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 500)
+    monkeypatch.setattr(tf, "REMEMBERED_IDS", 1500)
+    own, lib = tf.Encoder(vocabulary()), tokenizers.Tokenizer.from_file(vocabulary())
+    rng = random.Random(7)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("abcdeé \n", k=rng.randrange(1, 12))) for _ in range(rng.randrange(90))) for _ in range(20)]
+        for s in bt.slices(pa.array(texts), 4000):
+            ids, counts = own.slice(s)
+            assert ids.tolist() == [x for t in texts[s.first : s.first + s.count] for x in lib.encode(t, add_special_tokens=False).ids]
+            assert own.count <= 500 and own.used <= 1500 and (own.keys != 0).sum() == own.count
+    assert len(own.keys) + len(own.entry) == 2 * own.SLOTS and len(own.ids) == 1500
+
+
+def test_pieces_joined_with_white_space_before_them():
+    own, lib = tf.Encoder(vocabulary()), tokenizers.Tokenizer.from_file(vocabulary())
+    texts = ["foo\n bar", "x \ny", "a \n b\n \nc", " \n", "q\n", "<|endoftext|> <|endoftext|>", "m <|endoftext|>\n n"] * 2 + ["foo\n" + " \nbar " * 50]
+    for s in bt.slices(pa.array(texts)):
+        ids, _ = own.slice(s)
+        assert ids.tolist() == [x for t in texts for x in lib.encode(t, add_special_tokens=False).ids]
+
+
+def test_a_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    got = tf.token_files(spark.createDataFrame([(1, text), (0, "a")], "doc_id long, text string"), vocabulary())
+    assert len(text) > 1_000_000 and sorted(map(tuple, got.collect())) == brute([(1, text), (0, "a")])
+
+
 def brute(docs):
     lib = tokenizers.Tokenizer.from_file(vocabulary())
     start, out = 0, []
