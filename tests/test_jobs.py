@@ -1,4 +1,5 @@
 import json
+import random
 import threading
 import urllib.error
 import urllib.request
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tests.helpers import close, facts, values
 from tidemark.__main__ import main
-from tidemark.functions.timeutil import micros
 from tidemark.operators import features, parity
 from tidemark.operators.cohort import same_rows
 from tidemark.plans import backfill
@@ -86,38 +86,119 @@ def test_replay_orders_observes_and_keeps_the_clock(spark, tmp_path):
     for bad in ([(True, "a", 1, 1.0)], [("", "a", 1, 1.0)], [(1, "", 1, 1.0)], [(1, "a", 1, float("nan"))], [(1, "a")], [{"uid": "a"}]):
         with pytest.raises(ValueError):
             online.event_rows(spark, bad)
-    assert online.parse_member(online.member_text("ü", 12.5)) == ("ü", 12.5)
-    with pytest.raises(ValueError):
-        online.parse_member("{}")
-
-
-def parity_rows():
-    offsets = [0, 1, 24, 25, 168, 169, 720, 721, 744, 888, 889, 1056, 1057, 1440, 1440, 1441]
-    return [(100 * k + i, f"e{k}", D(2020, 1, 1) + timedelta(hours=h, minutes=k), (k + 1) * 10 + i / 10, 0) for k in range(4) for i, h in enumerate(offsets)]
 
 
-def test_parity_of_batch_and_replay(spark):
-    table = facts(spark, parity_rows())
-    offline = features.build(table, SHIPPED, "prefix")
-    served = online.replay_features(table.select("transaction_id", "uid", micros(F.col("event_ts")).alias("us"), "amount"), SHIPPED)
-    result = parity.run_parity(offline, served, SHIPPED.names, parity.ParityOptions(64))
-    assert (result.sample_count, result.comparison_count, result.mismatch_count, result.ok) == (64, 256, 0, True)
+def edge_rows(seed=20):
+    """Events of a few entities, seeded; before each of some instants there is one at, just inside and just outside every window's far end."""
+    rng = random.Random(seed)
+    windows = sorted({f.window_us for f in SHIPPED.features})
+    instants = []
+    for name in ("north", "south", "west"):
+        for _ in range(2):
+            at = rng.randrange(10**15, 10**15 + 10**13)
+            instants += [(name, at), (name, at)] + [(name, at - w + d) for w in windows for d in (-1, 0, 1)]
+        instants += [(name, rng.randrange(10**15, 10**15 + 10**13)) for _ in range(5)]
+    origin = D(2020, 3, 1) - timedelta(microseconds=10**15)
+    rows = [(i, name, origin + timedelta(microseconds=us), round(rng.uniform(1, 900), 2), 0) for i, (name, us) in enumerate(instants)]
+    return rows + [(len(rows), None, D(2020, 3, 5), 7.5, 0)]
+
+
+def test_parity_of_batch_and_store(spark, tmp_path):
+    table = facts(spark, edge_rows())
+    known = table.filter("uid is not null").count()
+    store = online.OnlineStore(spark, str(tmp_path / "store"))
+    result = parity.store_parity(table, store, SHIPPED, parity.ParityOptions(50))
+    assert (result.sample_count, result.comparison_count, result.mismatch_count, result.ok) == (50, 50 * len(SHIPPED.names), 0, True)
+    # a fault planted in the store is found
+    last = table.filter("uid = 'north'").orderBy(F.desc("event_ts")).first().event_ts
+    store.ingest("north", "planted", 1e6, last - timedelta(minutes=30))
+    found = parity.store_parity(table, store, SHIPPED, replay=False)
+    assert not found.ok and {r.uid for r in found.mismatches.collect()} == {"north"}
+    assert parity.store_parity(table, store, SHIPPED).ok  # a replay starts afresh
+    offline = features.build(table, SHIPPED)
+    served = store.features_at(offline.filter("uid is not null").select("label_id", "uid", "cutoff_ts"), SHIPPED)
     wrong = served.withColumn("sum_amt_24h", F.when(F.col("label_id") == 3, 1e6).otherwise(F.col("sum_amt_24h"))).drop("sum_amt_7d")
     reasons = parity.run_parity(offline, wrong, SHIPPED.names).mismatches.groupBy("reason").count().collect()
-    assert dict(map(tuple, reasons)) == {"values_differ": 1, "online_feature_missing": 64}
+    assert dict(map(tuple, reasons)) == {"values_differ": 1, "online_feature_missing": known}
     for bad in ({"sample_size": 49}, {"sample_size": True}, {"rel_tol": -1}, {"abs_tol": float("nan")}):
         with pytest.raises(ValueError):
             parity.ParityOptions(**bad)
     with pytest.raises(ValueError):
-        parity.run_parity(offline, served, SHIPPED.names, parity.ParityOptions(65))
+        parity.run_parity(offline, served, SHIPPED.names, parity.ParityOptions(known + 1))
+
+
+def test_parity_on_the_command_line(spark, tmp_path):
+    rows = edge_rows(3)
+    last = max(r[2] for r in rows if r[1] == "south")
+    sinks.write_facts(facts(spark, rows), str(tmp_path / "facts"))
+    where = ["parity", "--facts", str(tmp_path / "facts"), "--store", str(tmp_path / "store")]
+    assert main(where, spark) == 0
+    online.OnlineStore(spark, str(tmp_path / "store")).ingest("south", 10**9, 5.0, last - timedelta(minutes=30))
+    assert main([*where, "--as-stored"], spark) == 1
+
+
+def test_event_log_appends_resolves_and_compacts(spark, tmp_path):
+    log = online.ParquetLog(spark, str(tmp_path / "log"))
+    rows = [(f"u{i % 40}", str(i), float(i), i) for i in range(200)]
+    log.put(spark.createDataFrame(rows, online.STATE))
+    log.put(spark.createDataFrame([("u1", "1", 1.0, 999), ("u1", "1", 2.0, 5)], online.STATE))
+    want = sorted((set(rows) - {("u1", "1", 1.0, 1)}) | {("u1", "1", 1.0, 999), ("u1", "1", 2.0, 5)})
+    assert sorted(map(tuple, log.events().collect())) == want
+    asked = log.events(["u1", "nobody"])
+    assert sorted(map(tuple, asked.collect())) == [r for r in want if r[0] == "u1"]
+    assert "PartitionFilters: [isnotnull(bucket" in asked._jdf.queryExecution().toString() or "bucket" in asked._jdf.queryExecution().executedPlan().toString()
+    log.compact()
+    log.put(spark.createDataFrame([("u1", "1", 2.0, 6)], online.STATE))
+    assert ("u1", "1", 2.0, 6) in set(map(tuple, log.events(["u1"]).collect())) and log.events().count() == len(want)
+
+
+class FrameLog:
+    """An event log of a test: one frame in memory."""
+
+    def __init__(self, spark):
+        self.frame, self.us = spark.createDataFrame([], online.STATE), None
+
+    def put(self, rows):
+        new = rows.select("uid", F.col("transaction_id").cast("string").alias("transaction_id"), F.col("amount").cast("double").alias("amount"), "us")
+        self.frame = self.frame.unionByName(new)
+
+    def events(self, uids=None):
+        return self.frame if uids is None else self.frame.filter(F.col("uid").isin(list(uids)))
+
+    def clock(self):
+        return self.us
+
+    def set_clock(self, us):
+        self.us = us
+
+    def clear(self):
+        self.frame, self.us = self.frame.limit(0), None
+
+
+def test_any_event_log_will_do(spark):
+    store = online.OnlineStore(spark, log=FrameLog(spark))
+    table = facts(spark, edge_rows(5))
+    assert parity.store_parity(table, store, SHIPPED).ok and online.lookup(store, "north")["uid"] == "north"
+    with pytest.raises(ValueError):
+        online.OnlineStore(spark)
+
+
+def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
+    place = tmp_path / "table"
+    sinks.publish(spark.range(3), str(place))
+    place.rename(tmp_path / "_old-table-x")
+    assert sinks.restore(spark, str(place)) and spark.read.parquet(str(place)).count() == 3
+    assert not sinks.restore(spark, str(place))
+    place.rename(tmp_path / "_old-table-y")
+    assert sinks.publish(spark.range(5), str(place)) == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["table"]
 
 
 def test_streaming_replay_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", replay.STATE_PROVIDER)
-    rows = sorted(parity_rows(), key=lambda r: (r[2], r[0]))
+    rows = sorted(edge_rows()[:-1], key=lambda r: (r[2], r[0]))
     source = tmp_path / "in"
-    for n in range(3):  # a file a micro-batch; peers of one instant are cut apart
-        facts(spark, rows[n * 22 : (n + 1) * 22]).coalesce(1).write.mode("append").parquet(str(source))
+    for n in range(3):  # a file a micro-batch; peers of one instant may be cut apart
+        facts(spark, rows[n * 25 : (n + 1) * 25 if n < 2 else None]).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(readers.FACT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
     out = replay.stream_features(stream, SHIPPED)
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
@@ -163,7 +244,7 @@ def test_sources_and_sinks(spark, tmp_path):
     stored = readers.read_facts(spark, str(tmp_path / "facts"))
     assert [r.transaction_id for r in readers.in_order(stored, "event_ts")] == [1, 2]
     assert main(["offline", "--facts", str(tmp_path / "facts"), "--output", str(tmp_path / "features")], spark) == 0
-    assert main(["parity", "--facts", str(tmp_path / "facts")], spark) == 0 and main(["catalog"]) == 0
+    assert main(["catalog"]) == 0
     assert main(["replay", "--facts", str(tmp_path / "facts"), "--store", str(tmp_path / "store")], spark) == 0
     assert sinks.export_report(spark.range(3), tmp_path / "r.csv", ["id"]) == 3
     with pytest.raises(ValueError):

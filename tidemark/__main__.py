@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     add("offline", ("facts", need), ("output", need), catalog, ("strategy", {"default": "auto", "choices": features.STRATEGIES}))
     add("backfill", ("facts", need), ("start-date", need), ("end-date", need), ("output-root", need), ("log-path", need), catalog)
     add("replay", ("facts", need), ("store", need), catalog)
-    add("parity", ("facts", need), ("sample-size", {"type": int}), ("rel-tol", {"type": float, "default": 1e-9}), ("abs-tol", {"type": float, "default": 1e-9}), catalog)
+    add("parity", ("facts", need), ("store", need), ("as-stored", {"action": "store_true"}), ("sample-size", {"type": int}), ("rel-tol", {"type": float, "default": 1e-9}), ("abs-tol", {"type": float, "default": 1e-9}), catalog)
     add("serve", ("store", need), ("host", {"default": "127.0.0.1"}), ("port", {"type": int, "default": 8000}), catalog)
     return out
 
@@ -53,8 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(OnlineStore(spark, args.store).replay_facts(facts, catalog))
     elif args.command == "parity":
         options = parity.ParityOptions(args.sample_size, args.rel_tol, args.abs_tol)
-        # two plans of the same features hold each other to account
-        result = parity.run_parity(features.build(facts, catalog), features.build(facts, catalog, "prefix"), catalog.names, options)
+        result = parity.store_parity(facts, OnlineStore(spark, args.store), catalog, options, replay=not args.as_stored)
         print(f"{result.sample_count} rows, {result.comparison_count} comparisons, {result.mismatch_count} mismatches")
         if not result.ok:
             result.mismatches.show(20, truncate=False)

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import missing_as_null, values_equal
+from tidemark.operators import features
 from tidemark.operators.cohort import hash_sample
+from tidemark.plans.catalog import FeatureCatalog
+from tidemark.streaming.online import OnlineStore
 
 LEAST_SAMPLE = 50
 
@@ -55,13 +58,32 @@ def compared(offline: DataFrame, online: DataFrame, names: Sequence[str], option
     return rows.select("label_id", "uid", "cutoff_ts", "feature_name", a.alias("offline_value"), b.alias("online_value"), reason.alias("reason"))
 
 
-def run_parity(offline: DataFrame, online: DataFrame, names: Sequence[str], options: ParityOptions = ParityOptions()) -> ParityResult:
-    """Compare rows with an entity. Errors if there are fewer of them than the sample asks for."""
+def sampled(offline: DataFrame, options: ParityOptions) -> tuple[DataFrame, int]:
+    """The rows with an entity that are compared, and their number."""
     offline = offline.filter("uid is not null")
     total = offline.count()
-    if options.sample_size is not None:
-        if total < options.sample_size:
-            raise ValueError(f"{options.sample_size} rows are asked for, {total} are there")
-        offline, total = hash_sample(offline, "label_id", options.sample_size, options.seed), options.sample_size
+    if options.sample_size is None:
+        return offline, total
+    if total < options.sample_size:
+        raise ValueError(f"{options.sample_size} rows are asked for, {total} are there")
+    return hash_sample(offline, "label_id", options.sample_size, options.seed), options.sample_size
+
+
+def store_parity(transactions: DataFrame, store: OnlineStore, catalog: FeatureCatalog, options: ParityOptions = ParityOptions(), replay: bool = True) -> ParityResult:
+    """Batch features against what the store answers: it is asked for each sampled (uid, cutoff), all in one batch.
+
+    With ``replay`` the store starts afresh from the transactions; without, it is compared as it stands.
+    """
+    if replay:
+        store.replay_facts(transactions, catalog)
+    offline, total = sampled(features.build(transactions, catalog), options)
+    served = store.features_at(offline.select("label_id", "uid", "cutoff_ts"), catalog)
+    wrong = compared(offline, served, catalog.names, options).filter("reason is not null")
+    return ParityResult(total, tuple(catalog.names), total * len(catalog.names), wrong.count(), wrong)
+
+
+def run_parity(offline: DataFrame, online: DataFrame, names: Sequence[str], options: ParityOptions = ParityOptions()) -> ParityResult:
+    """Compare rows with an entity. Errors if there are fewer of them than the sample asks for."""
+    offline, total = sampled(offline, options)
     wrong = compared(offline, online, names, options).filter("reason is not null")
     return ParityResult(total, tuple(names), total * len(names), wrong.count(), wrong)

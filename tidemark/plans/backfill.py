@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeutil import parse_date
 from tidemark.operators import features
 from tidemark.plans.catalog import DEFAULT_PATH, FeatureCatalog, load_catalog
-from tidemark.sources.sinks import append_log, publish
+from tidemark.sources.sinks import append_log, publish, write_bytes
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,10 @@ def requested(transactions: DataFrame, start: date, end: date, catalog: FeatureC
 
 
 def run(transactions: DataFrame, start_date: str | date, end_date: str | date, *, output_root: str, log_path: str | Path, catalog_path: str | Path = DEFAULT_PATH, strategy: str = "range") -> BackfillResult:
-    """Build, publish, log. A rerun gives the same rows at the same place; a failure leaves what was there and is logged."""
+    """Build, publish the catalog's snapshot and then the rows, log. A rerun gives the same rows at the same place; a failure leaves the rows that were there and is logged.
+
+    ``output_root`` may name any file system that Spark knows; ``log_path`` is a local file of the driver.
+    """
     start, end = parse_date(start_date, "start_date"), parse_date(end_date, "end_date")
     if start > end:
         raise ValueError("start_date must not be after end_date")
@@ -52,14 +55,11 @@ def run(transactions: DataFrame, start_date: str | date, end_date: str | date, *
     place = f"{base}/{start}_{end}"
     record = {"run_id": uuid.uuid4().hex, "started_at": datetime.now(UTC).isoformat(), "start_date": start.isoformat(), "end_date": end.isoformat(), "catalog_version": catalog.version, "catalog_fingerprint": catalog.fingerprint, "lookback_hours": catalog.max_lookback_hours}
     try:
+        snapshot = f"{base}/feature_catalog.yaml"
+        write_bytes(transactions.sparkSession, snapshot, text)
         rows = publish(requested(transactions, start, end, catalog, strategy).repartition(F.to_date("cutoff_ts")).sortWithinPartitions("cutoff_ts", "label_id"), f"{place}/features.parquet")
-        snapshot = Path(base.removeprefix("file://")) / "feature_catalog.yaml"
-        snapshot.parent.mkdir(parents=True, exist_ok=True)
-        fresh = snapshot.with_name(f"_tmp-{uuid.uuid4().hex}")
-        fresh.write_bytes(text)
-        fresh.replace(snapshot)
     except Exception as error:
         append_log(log_path, record | {"status": "failed", "error": f"{type(error).__name__}: {error}"[:500], "finished_at": datetime.now(UTC).isoformat()})
         raise
     append_log(log_path, record | {"status": "success", "row_count": rows, "output_path": f"{place}/features.parquet", "finished_at": datetime.now(UTC).isoformat()})
-    return BackfillResult(f"{place}/features.parquet", str(snapshot), catalog.version, catalog.fingerprint, start, end, catalog.max_lookback_hours, rows)
+    return BackfillResult(f"{place}/features.parquet", snapshot, catalog.version, catalog.fingerprint, start, end, catalog.max_lookback_hours, rows)

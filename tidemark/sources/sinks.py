@@ -30,18 +30,21 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not rename {source} to {target}")
 
 
-def publish(df: DataFrame, target: str) -> int:
-    """Write df beside target under a hidden name and rename it into place; an older version moves aside first and back if that fails.
+def publish(df: DataFrame, target: str, by: Sequence[str] = ()) -> int:
+    """Write df (in folders ``by`` columns, if given) beside target under a hidden name and rename it into place. Returns the rows written.
 
-    Readers see the old directory or the new one whole. Returns the rows written. On an object store a rename is a
-    copy: publish a pointer there instead.
+    An older version moves aside first and back if the second rename fails. Readers see the old directory or the new
+    one whole, except between the two renames: then there is none. A crash just there leaves the old version under its
+    hidden name; the next publication of the target puts it back first. On an object store a rename is a copy.
     """
     spark = df.sparkSession
     parent, name = str(target).rstrip("/").rsplit("/", 1)
     mark = uuid.uuid4().hex
     fresh, old = f"{parent}/_tmp-{name}-{mark}", f"{parent}/_old-{name}-{mark}"
+    restore(spark, str(target))
     try:
-        df.write.parquet(fresh)
+        writer = df.write.partitionBy(*by) if by else df.write
+        writer.parquet(fresh)
         n = spark.read.parquet(fresh).count()
         fs, place = _fs(spark, target)
         moved = fs.exists(place)
@@ -53,10 +56,39 @@ def publish(df: DataFrame, target: str) -> int:
             if moved:
                 rename(spark, old, str(target))
             raise
+        delete(spark, old)
         return n
     finally:
         delete(spark, fresh)
-        delete(spark, old)
+
+
+def restore(spark: SparkSession, target: str) -> bool:
+    """Put the version back that a crash between the two renames of ``publish`` left aside."""
+    parent, name = target.rstrip("/").rsplit("/", 1)
+    fs, place = _fs(spark, target)
+    _, folder = _fs(spark, parent)
+    if fs.exists(place) or not fs.exists(folder):
+        return False
+    left = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith(f"_old-{name}-"))
+    if not left:
+        return False
+    rename(spark, left[-1], target)
+    return True
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in whatever file system the path names, renamed into place whole."""
+    fs, place = _fs(spark, path)
+    fs.mkdirs(place.getParent())
+    _, fresh = _fs(spark, f"{place.getParent().toString()}/_tmp-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    fs.delete(place, False)
+    if not fs.rename(fresh, place):
+        raise OSError(f"could not write {path}")
 
 
 def write_facts(df: DataFrame, target: str) -> int:

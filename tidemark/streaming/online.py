@@ -1,7 +1,9 @@
 """The online side: stored events of each entity, features as of any instant, and replay in time order.
 
-State is a table of (uid, transaction_id, amount, us), kept in Parquet under a folder of its own. The key of an event
-is (uid, transaction_id, amount): sending it again moves it in time, a changed amount is a second event. The clock is
+Events (uid, transaction_id, amount, us) go to an event log, which is anything with the methods of ``EventLog``;
+``ParquetLog`` is the one here. It appends: a put writes a delta, dealt to folders by a checksum of the entity, and
+reading resolves the deltas, so one event costs one small file and a lookup reads one folder. The key of an event is
+(uid, transaction_id, amount): sending it again moves it in time, a changed amount is a second event. The clock is
 dataset time, the latest instant replayed, never wall time. Nothing expires, so past instants stay answerable.
 """
 
@@ -9,11 +11,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+import zlib
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,70 +95,128 @@ def event_rows(spark: SparkSession, events: Iterable[OnlineEvent | Mapping | tup
     return spark.createDataFrame(rows, "seq long, transaction_id string, uid string, us long, amount double")
 
 
-class OnlineStore:
-    """State under ``root``; other folders are not touched."""
+class EventLog(Protocol):
+    """Where a store keeps its events and its clock."""
+
+    def put(self, rows: DataFrame) -> None:
+        """Add events (uid, transaction_id, amount, us); of one key the last put stays."""
+
+    def events(self, uids: Sequence[str] | None = None) -> DataFrame:
+        """uid, transaction_id, amount, us: one row per key, of the entities asked for or of all."""
+
+    def clock(self) -> int | None:
+        """Dataset time in microseconds."""
+
+    def set_clock(self, us: int) -> None: ...
+
+    def clear(self) -> None: ...
+
+
+class ParquetLog:
+    """An event log in folders under ``root``; other folders there are not touched. One writer at a time."""
+
+    BUCKETS = 32
+    #: Entities whose folders are worth choosing.
+    FEW = 16
+    KEY = ("uid", "transaction_id", "amount")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, str(root).rstrip("/")
+        self._events, self._clock = f"{self.root}/events", f"{self.root}/clock"
 
-    @property
-    def _events(self) -> str:
-        return f"{self.root}/events"
+    def _deltas(self) -> DataFrame | None:
+        if not exists(self.spark, self._events):
+            return None
+        return self.spark.read.schema(f"{STATE}, turn long, bucket int").parquet(self._events)
 
-    @property
-    def _clock(self) -> str:
-        return f"{self.root}/clock"
+    def _resolved(self, deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy("bucket", *self.KEY).agg(F.max_by("us", F.struct("turn", "us")).alias("us"), F.max("turn").alias("turn"))
 
-    def state(self) -> DataFrame:
-        if not exists(self.spark, self._events):
+    def put(self, rows: DataFrame) -> None:
+        bucket = F.pmod(F.crc32(F.encode("uid", "UTF-8")), F.lit(self.BUCKETS)).cast("int")
+        new = rows.select("uid", F.col("transaction_id").cast("string").alias("transaction_id"), F.col("amount").cast("double").alias("amount"), "us", F.lit(time.time_ns()).alias("turn"), bucket.alias("bucket"))
+        # a folder gets few files, and one of a hot entity is split again
+        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self._events)
+
+    def events(self, uids: Sequence[str] | None = None) -> DataFrame:
+        deltas = self._deltas()
+        if deltas is None:
             return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(self._events)
+        if uids is not None and len(uids) <= self.FEW:
+            deltas = deltas.filter(F.col("bucket").isin(sorted({zlib.crc32(u.encode()) % self.BUCKETS for u in uids})) & F.col("uid").isin(list(uids)))
+        return self._resolved(deltas).select(*self.KEY, "us")
+
+    def compact(self) -> None:
+        """Rewrite the deltas as one. Lookups meanwhile see the old folders or, between two renames, none."""
+        deltas = self._deltas()
+        if deltas is not None:
+            publish(self._resolved(deltas).hint("rebalance", "bucket").sortWithinPartitions("bucket", "uid", "us"), self._events, by=["bucket"])
+
+    def clock(self) -> int | None:
+        if not exists(self.spark, self._clock):
+            return None
+        return self.spark.read.schema("us long").parquet(self._clock).first()[0]
+
+    def set_clock(self, us: int) -> None:
+        publish(self.spark.createDataFrame([(us,)], "us long"), self._clock)
+
+    def clear(self) -> None:
+        delete(self.spark, self._events)
+        delete(self.spark, self._clock)
+
+
+class OnlineStore:
+    """Features of stored events. ``log`` is any event log; by default one in Parquet under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, log: EventLog | None = None):
+        if (root is None) == (log is None):
+            raise ValueError("a store has a root or a log")
+        self.spark, self.log = spark, log or ParquetLog(spark, str(root))
+
+    def state(self) -> DataFrame:
+        return self.log.events()
 
     def put(self, rows: DataFrame) -> None:
-        """Add events (uid, transaction_id, amount, us); of one key the last put stays."""
-        new = rows.select("uid", F.col("transaction_id").cast("string").alias("transaction_id"), F.col("amount").cast("double").alias("amount"), "us")
-        both = self.state().withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
-        merged = both.groupBy("uid", "transaction_id", "amount").agg(F.max_by("us", F.struct("turn", "us")).alias("us"))
-        publish(merged.repartition(F.col("uid")).sortWithinPartitions("uid", "us"), self._events)
+        self.log.put(rows)
 
     def ingest(self, uid: str, transaction_id: int | str, amount: float, at: datetime | float | str) -> None:
         """One event."""
         e = coerce(OnlineEvent(transaction_id, checked_uid(uid), at, amount))
         self.put(self.spark.createDataFrame([(e.uid, str(e.transaction_id), float(e.amount), epoch_micros(e.event_ts))], STATE))
 
-    def clock_micros(self) -> int | None:
-        if not exists(self.spark, self._clock):
-            return None
-        return self.spark.read.schema("us long").parquet(self._clock).first()[0]
-
     def clock(self) -> float | None:
         """Dataset time in seconds; None before any replay."""
-        us = self.clock_micros()
+        us = self.log.clock()
         return None if us is None else us / 1e6
 
     def set_clock(self, at: datetime | float | str | int) -> None:
-        self._set_clock_micros(epoch_micros(at))
-
-    def _set_clock_micros(self, us: int) -> None:
-        publish(self.spark.createDataFrame([(us,)], "us long"), self._clock)
+        self.log.set_clock(epoch_micros(at))
 
     def clear(self) -> None:
         """Forget this store's events and clock, nothing else."""
-        delete(self.spark, self._events)
-        delete(self.spark, self._clock)
+        self.log.clear()
+
+    def features_at(self, points: DataFrame, catalog: FeatureCatalog | None = None) -> DataFrame:
+        """Many lookups at once: points (label_id, uid, cutoff_ts) with the features over stored events before each cutoff."""
+        catalog = catalog or load_catalog()
+        asked = points.select("label_id", "uid", "cutoff_ts", F.lit(0).cast("smallint").alias("label"))
+        past = self.state().select("uid", from_micros(F.col("us")).alias("feature_ts"), "amount")
+        return features.past_features(asked, past, catalog).drop("label")
 
     def features_as_of(self, uids: DataFrame | Iterable[str], at: datetime | float | str | None = None, catalog: FeatureCatalog | None = None) -> DataFrame:
         """uid, as_of, and the catalog's features over stored events before the instant (default: the clock). Unknown entities get defaults."""
-        us = epoch_micros(at) if at is not None else self.clock_micros()
+        us = epoch_micros(at) if at is not None else self.log.clock()
         if us is None:
             raise NoClock("nothing was replayed yet")
         catalog = catalog or load_catalog()
+        named = None
         if not isinstance(uids, DataFrame):
-            uids = self.spark.createDataFrame([(checked_uid(u),) for u in uids], "uid string")
+            named = [checked_uid(u) for u in uids]
+            uids = self.spark.createDataFrame([(u,) for u in named], "uid string")
         points = uids.select(F.lit(0).cast("long").alias("label_id"), "uid", from_micros(F.lit(us)).alias("cutoff_ts"), F.lit(0).cast("smallint").alias("label"))
         reach = us - catalog.max_lookback_hours * 3_600_000_000
         # only what the longest window can see
-        seen = self.state().filter((F.col("us") >= reach) & (F.col("us") < us)).join(uids.select("uid").distinct(), "uid", "left_semi")
+        seen = self.log.events(named).filter((F.col("us") >= reach) & (F.col("us") < us)).join(uids.select("uid").distinct(), "uid", "left_semi")
         past = seen.select("uid", from_micros(F.col("us")).alias("feature_ts"), "amount")
         out = features.past_features(points, past, catalog)
         return out.select("uid", F.col("cutoff_ts").alias("as_of"), *catalog.names)
@@ -177,7 +240,7 @@ class OnlineStore:
         if totals.known:
             self.put(rows.filter("uid is not null"))
         if totals.last is not None:
-            self._set_clock_micros(totals.last)
+            self.log.set_clock(totals.last)
         return ReplayResult(totals.n, totals.known, None if totals.last is None else totals.last / 1e6)
 
     def replay_facts(self, transactions: DataFrame, catalog: FeatureCatalog | None = None, observer: Callable[[DataFrame], None] | None = None) -> ReplayResult:
@@ -224,24 +287,6 @@ def lookup(store: OnlineStore, uid: str, as_of: float | None = None, catalog: Fe
     return {"uid": uid, "as_of_epoch": float(as_of), **row}
 
 
-def member_text(transaction_id: int | str, amount: float) -> str:
-    """Canonical JSON of an event's key."""
-    checked_id(transaction_id)
-    return json.dumps({"amount": float(amount), "transaction_id": transaction_id}, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-
-
-def parse_member(text: str) -> tuple[int | str, float]:
-    try:
-        raw = json.loads(text)
-        key, amount = raw["transaction_id"], raw["amount"]
-        checked_id(key)
-        if isinstance(amount, bool) or not math.isfinite(amount):
-            raise ValueError
-    except (ValueError, TypeError, KeyError):
-        raise ValueError(f"not a stored event: {text!r}") from None
-    return key, float(amount)
-
-
 def serve(store: OnlineStore, host: str = "127.0.0.1", port: int = 8000, catalog: FeatureCatalog | None = None):
     """An HTTP server for GET /features/{uid}?as_of_epoch=; the caller runs and closes it."""
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
