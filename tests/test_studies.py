@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from datetime import datetime, timedelta
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.helpers import BASE, facts, hours
 from tidemark.functions.keys import require_columns, safe_name, values_equal
 from tidemark.functions.timeutil import epoch_micros, parse_date
-from tidemark.operators import cohort, entity, features, metrics, monitoring, profiling, warehouse
+from tidemark.operators import cohort, entity, evidence, features, metrics, monitoring, profiling, warehouse
 from tidemark.plans.catalog import load_catalog
 
 
@@ -78,12 +79,18 @@ def test_warehouse_and_gates(spark):
 def test_entity_candidates(spark):
     rows = [(1, 1, 1, 1, 10), (1, 1, 1, 1, 11), (1, 1, 1, 1, 12), (2, 1, 1, 1, 10), (2, 1, None, 1, 11), (None, 1, 1, 1, 1)]
     df = spark.createDataFrame(rows, "card1 int, card2 int, card5 int, addr1 int, D1 int")
-    got = {r.candidate: r for r in entity.ranked(entity.candidate_metrics(df)).collect()}
+    keys = entity.candidates(("card1", "addr1"), ("card1", "card5"), ("card1", "card2", "addr1", "D1"))
+    metrics = entity.candidate_metrics(df, keys)
+    ordered = entity.ranked(metrics).collect()
+    got = {r.candidate: r for r in ordered}
     assert (got["card1_addr1"].rows_with_uid, got["card1_addr1"].coverage_pct, got["card1_addr1"].repeat_entity_pct) == (5, 83.33, 100.0)
     assert (got["card1_card2_addr1_D1"].repeat_entity_pct, got["card1_card2_addr1_D1"].median_per_entity) == (0.0, 1.0)
+    assert [r.candidate for r in ordered] == ["card1_addr1", "card1_card5", "card1_card2_addr1_D1"]
     with pytest.raises(ValueError):
-        entity.candidate_metrics(df.drop("card5"))
-    chosen = entity.with_decision(entity.candidate_metrics(df), "card1_addr1", "it repeats").filter("selected").collect()
+        entity.candidate_metrics(df.drop("card5"), keys)
+    with pytest.raises(ValueError):
+        entity.candidate_metrics(df, ())
+    chosen = entity.with_decision(metrics, "card1_addr1", "it repeats").filter("selected").collect()
     assert [r.selection_reason for r in chosen] == ["it repeats"]
 
 
@@ -120,6 +127,13 @@ def test_metrics_against_brute_force(spark):
         with pytest.raises(ValueError):
             metrics.check_inputs(bad, "score")
     assert metrics.ranking_metrics(df.limit(0), "score").first().roc_auc is None
+    # a metric does not pass over bad inputs
+    for bad in (df.withColumn("score", F.lit(float("nan"))), df.withColumn("score", F.lit(None).cast("double")), df.withColumn("label", F.lit(2))):
+        with pytest.raises(Exception, match="finite|neither"):
+            metrics.ranking_metrics(bad, "score").collect()
+    with pytest.raises(ValueError, match="infinite"):
+        metrics.check_features(df.withColumn("score", F.lit(float("inf"))), ["score"])
+    metrics.check_features(df.withColumn("score", F.lit(float("nan"))), ["score"])
 
 
 def test_resampling_studies(spark):
@@ -141,12 +155,37 @@ def test_shuffles_of_all_repeats_against_brute_force(spark):
     got = {r.repeat: (r.roc_auc, r.average_precision) for r in metrics.block_shuffle_study(df, F.col("a") + F.col("b"), ["b"], "id", repeats=3).collect()}
     by_id = sorted(rows)
     for r in range(3):
-        given = [x.b for x in sorted(df.withColumn("h", F.xxhash64(F.lit(42 + r), F.col("id"))).collect(), key=lambda x: x.h)]
+        given = [x[2] for x in sorted(rows, key=lambda x: (hashlib.md5(f"{42 + r}:{x[0]}".encode()).hexdigest()[:13], x[0]))]
         assert got[r] == pytest.approx(brute_metrics(np.array([x[1] + g for x, g in zip(by_id, given, strict=True)]), np.array([x[3] for x in by_id])))
     assert len(got) == 3
     assert [tuple(r) for r in metrics.block_shuffle_study(df.limit(0), F.col("a"), ["b"], "id", repeats=1).collect()] == [(0, None, None)]
 
 
+def test_first_qualifying_row(spark):
+    rows = [(1, "a", hours(1), 0, 9, 9), (2, None, hours(5), 0, 9, 9), (3, "a", hours(6), 0, 0, 9), (5, "b", hours(7), 0, 1, 2), (4, "b", hours(7), 0, 3, 4), (6, "c", hours(8), 0, 1, 1)]
+    df = spark.createDataFrame(rows, "label_id long, uid string, cutoff_ts timestamp_ntz, label int, past int, future int")
+    assert tuple(cohort.first_qualifying(df, hours(2), ["past", "future"]).first()) == (4, "b", hours(7), 0, 3, 4)
+    assert cohort.first_qualifying(df, hours(9), ["past", "future"]).count() == 0
+
+
+def test_evidence_verdict_and_report(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.random(), float(i % 3 == 0) + 0.3 * rng.random(), int(i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    score = F.col("a") * 0.1 + F.col("b")
+    base = metrics.ranking_metrics(df.select(score.alias("s"), "label"), "s").first().asDict()
+    both = df.withColumn("both", score)
+    f = evidence.findings(3, 1, metrics.paired_bootstrap(both, "a", "both", replicates=40), metrics.permutation_importance(df, score, ["b"], "id", repeats=4), metrics.block_shuffle_study(df, score, ["b"], "id", repeats=20), base)
+    table = {r.question: r.supports for r in evidence.evidence_table(spark, f).collect()}
+    assert len(table) == 5 and list(table.values()).count(True) == 4 and list(table.values()).count(None) == 1
+    assert f.relies_on_one and f.relies_on_block and {i.sign for i in f.intervals} == {1}
+    assert "relies on it" in evidence.verdict(f) and "above 0" in evidence.verdict(f)
+    none = evidence.Findings(0, 0, [evidence.Interval("roc_auc", 0.0, -0.1, 0.1), evidence.Interval("average_precision", -0.2, -0.3, -0.1)], {"b": (0.001, 0.01)}, {"roc_auc": (0.1, 0.5)})
+    assert not none.relies_on_one and not none.relies_on_block and "holds 0" in evidence.verdict(none) and "below 0" in evidence.verdict(none)
+    text = evidence.report("Study", {"cohort": "x"}, [("past", 4, 0.5, 0.1), ("past and future", 8, 0.9, 0.8)], f)
+    assert text.startswith("# Study") and text.count("\n## ") == 5 and "| past and future | 8 | 0.900000 | 0.800000 |" in text
+
+
 def test_monitoring(spark):
     a = spark.createDataFrame([(float(x),) for x in range(100)], "v double")
     same = monitoring.stability(a, a, "v", [25, 50, 75]).agg(F.sum("psi")).first()[0]

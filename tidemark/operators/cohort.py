@@ -120,8 +120,17 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows of lowest seeded hash of a unique key: the same ones at every partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Exactly min(n, rows) rows of lowest seeded md5 of a unique key: the same ones at every partitioning and in any engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), F.col(key)).limit(n)
+
+
+def first_qualifying(frame: DataFrame, split_ts: datetime, counts: Sequence[str]) -> DataFrame:
+    """The first row by (cutoff_ts, label_id) from the split on that has an entity and more than 0 in every count; none if there is none."""
+    ok = (F.col("cutoff_ts") >= F.lit(split_ts).cast("timestamp_ntz")) & F.col("uid").isNotNull()
+    for c in counts:
+        ok = ok & (F.col(c) > 0)
+    first = frame.filter(ok).agg(F.min(F.struct("cutoff_ts", "label_id", *(c for c in frame.columns if c not in ("cutoff_ts", "label_id")))).alias("x"))
+    return first.filter("x is not null").select(*(F.col(f"x.`{c}`").alias(c) for c in frame.columns))
 
 
 def availability_timeline(transactions: DataFrame, label_id: int, hours: float = 24.0, before: int = 6, at: int = 3, after: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ range    one window with RANGE frames: one shuffle, one sort; the cost of an ent
 prefix   differences of running sums looked up by as-of probes: linear in rows, for entities with many rows.
 chunked  range within (entity, stretch of time): a stretch is as long as the longest window and gets the events of the
          stretch before as well, so one hot entity is spread over many tasks.
-auto     range, or prefix if some entity has many rows.
+auto     range, or prefix if some entity has many rows, or chunked if one has more than a task should hold.
 
 Rows without an entity see no history: they get the defaults without being shuffled.
 """
@@ -22,6 +22,8 @@ from tidemark.plans.catalog import FeatureCatalog, FeatureDefinition
 STRATEGIES = ("auto", "range", "prefix", "chunked")
 #: Rows of one entity from which "auto" takes running sums.
 MANY_ROWS = 5_000
+#: Rows of one entity from which "auto" cuts its time in stretches.
+HOT_ROWS = 2_000_000
 SPINE = ("label_id", "uid", "cutoff_ts", "label")
 
 
@@ -137,7 +139,7 @@ def rolling(points: DataFrame, events: DataFrame, wanted: list[tuple[str, Featur
     events = events.filter("uid is not null").select("uid", micros(F.col("feature_ts")).alias("us"), "amount")
     if strategy == "auto":
         most = events.groupBy("uid").count().agg(F.max("count")).first()[0] or 0
-        strategy = "prefix" if most >= MANY_ROWS else "range"
+        strategy = "chunked" if most >= HOT_ROWS else "prefix" if most >= MANY_ROWS else "range"
     k = F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("k")
     keyed = points.select(k, "uid", micros(F.col("cutoff_ts")).alias("us"))
     known, unknown = keyed.filter("uid is not null"), keyed.filter("uid is null")

@@ -17,23 +17,33 @@ from tidemark.operators.cohort import running_sums
 
 
 def score_groups(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """score, pos, neg: one row per distinct score (of each value of ``by``)."""
-    y = F.col(label).cast("int")
-    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((y == 1).cast("long")).alias("pos"), F.sum((y == 0).cast("long")).alias("neg"))
+    """score, pos, neg: one row per distinct score (of each value of ``by``).
+
+    A score that is null or not finite, or a label other than 0 and 1, is an error when the rows are read.
+    """
+    y, s = F.col(label).cast("int"), F.col(score).cast("double")
+    s = F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), F.raise_error(F.lit("a score is not finite"))).otherwise(s)
+    y = F.when(y.isNull() | ~y.isin(0, 1), F.raise_error(F.lit("a label is neither 0 nor 1"))).otherwise(y)
+    checked = df.select(*by, s.alias("score"), y.cast("int").alias("_y"))
+    return checked.groupBy(*by, "score").agg(F.sum((F.col("_y") == 1).cast("long")).alias("pos"), F.sum((F.col("_y") == 0).cast("long")).alias("neg"))
 
 
-def check_inputs(df: DataFrame, score: str, label: str = "label", features: Sequence[str] = ()) -> None:
-    """Scores finite, labels 0 and 1 with both there, features not infinite (NaN and null may be)."""
+def check_inputs(df: DataFrame, score: str, label: str = "label") -> None:
+    """Scores finite, labels 0 and 1 with both there: for a caller who wants to know before a metric is read."""
     s = F.col(score).cast("double")
-    bad = [F.count_if(F.abs(F.col(c).cast("double")) == float("inf")).alias(c) for c in features]
-    row = df.agg(F.count("*").alias("_n"), F.count_if(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))).alias("_bad_scores"), F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1)).alias("_bad_labels"), F.count_if(F.col(label) == 1).alias("_pos"), *bad).first()
-    if row["_bad_scores"]:
-        raise ValueError(f"{row['_bad_scores']} scores are not finite")
-    if row["_bad_labels"]:
-        raise ValueError(f"{row['_bad_labels']} labels are neither 0 nor 1")
-    if row["_pos"] in (0, row["_n"]):
+    row = df.agg(F.count("*").alias("n"), F.count_if(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))).alias("scores"), F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1)).alias("labels"), F.count_if(F.col(label) == 1).alias("pos")).first()
+    if row.scores:
+        raise ValueError(f"{row.scores} scores are not finite")
+    if row.labels:
+        raise ValueError(f"{row.labels} labels are neither 0 nor 1")
+    if row.pos in (0, row.n):
         raise ValueError("both classes are needed")
-    for c in features:
+
+
+def check_features(df: DataFrame, columns: Sequence[str]) -> None:
+    """Infinite values are an error; NaN and null are missing values."""
+    row = df.agg(*(F.count_if(F.abs(F.col(c).cast("double")) == float("inf")).alias(c) for c in columns)).first()
+    for c in columns:
         if row[c]:
             raise ValueError(f"{c} has {row[c]} infinite values")
 
@@ -116,6 +126,8 @@ def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, label: str = "la
 
     metric, delta, low, high, n_valid. A replicate with one class only is dropped; too many of them are an error.
     """
+    check_inputs(df, score_a, label)
+    check_inputs(df, score_b, label)
     data = _study(df, [score_a, score_b, label])
     y = data[label].to_numpy() == 1
     orders = []
@@ -165,8 +177,10 @@ def shuffled_blocks(df: DataFrame, columns: Sequence[str], key: str, seeds: Sequ
     """``shuffled_block`` for each of the seeds, with _seed, in one pass: rows are ranked by id once and by hash for all seeds together."""
     by_id = _ranked(df, F.col(key).cast("double"), [key], parts)
     given = df.select(*columns, key).withColumn("_seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-    even = [(2 * i / parts - 1) * 2.0**63 for i in range(1, parts)]  # hashes spread evenly
-    given = _ranked(given, F.xxhash64("_seed", key).cast("double"), [key], parts, ["_seed"], even)
+    even = [i / parts * 2.0**52 for i in range(1, parts)]  # hashes spread evenly
+    # 52 bits of md5: exact as a double, and the same in any engine
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", "_seed", key)), 1, 13), 16, 10).cast("double")
+    given = _ranked(given, mark, [key], parts, ["_seed"], even)
     given = given.select(*(F.col(c).alias(f"_{c}") for c in columns), F.col("_rank").alias("_r"), "_seed")
     joined = by_id.join(given, F.col("_rank") == F.col("_r"))
     return joined.select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns), "_seed")
@@ -201,10 +215,11 @@ def block_shuffle_study(df: DataFrame, score, columns: Sequence[str], key: str,
     return every.join(F.broadcast(found), F.col("repeat") + seed == F.col("_seed"), "left").select("repeat", "roc_auc", "average_precision")
 
 
-def study_summary(study: DataFrame, baseline_ap: float) -> DataFrame:
-    """Mean, sample deviation, quantiles, and the share of repeats below a baseline."""
-    ap = F.col("average_precision")
-    return study.agg(F.avg("roc_auc").alias("mean_roc_auc"), F.stddev_samp("roc_auc").alias("std_roc_auc"), F.avg(ap).alias("mean_ap"), F.stddev_samp(ap).alias("std_ap"), F.percentile(ap, F.lit(0.025)).alias("low_ap"), F.percentile(ap, F.lit(0.975)).alias("high_ap"), F.avg((ap < baseline_ap).cast("double")).alias("share_below"))
+def study_summary(study: DataFrame, baseline_ap: float, baseline_auc: float) -> DataFrame:
+    """Means, sample deviations, quantiles, and the shares of repeats below the baselines."""
+    auc, ap = F.col("roc_auc"), F.col("average_precision")
+    below = lambda c, base: F.avg((c < base).cast("double"))
+    return study.agg(F.avg(auc).alias("mean_roc_auc"), F.stddev_samp(auc).alias("std_roc_auc"), below(auc, baseline_auc).alias("share_below_roc_auc"), F.avg(ap).alias("mean_ap"), F.stddev_samp(ap).alias("std_ap"), F.percentile(ap, F.lit(0.025)).alias("low_ap"), F.percentile(ap, F.lit(0.975)).alias("high_ap"), below(ap, baseline_ap).alias("share_below_ap"))
 
 
 def permutation_importance(df: DataFrame, score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
@@ -224,6 +239,8 @@ def boosted_trees(train: DataFrame, test: DataFrame, columns: Sequence[str], lab
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    for part in (train, test):
+        check_features(part, columns)
     names = [n for c in columns for n in (c, f"{c}__missing")]
 
     def filled(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.plans import backfill
 from tidemark.plans.catalog import FeatureCatalog, FeatureDefinition, load_catalog
 from tidemark.plans.roles import EVENTS, EVENTS_SOME_NULL, LINEITEM, ORDERS, Roles, transactions
+from tidemark.sources import readers, sinks
 from tidemark.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,7 +255,16 @@ def availability_timeline(spark, sf_dir):
     return cohort.availability_timeline(facts(spark, sf_dir), 100, hours=240)
 
 
-@query()
+_SAMPLE = features_sql("events", [("count_txn_24h", "count", 24)], [("future_count_txn_24h", "count", 24)])
+
+
+@query(f"SELECT * FROM ({_SAMPLE}) WHERE cutoff_ts >= TIMESTAMP '2024-01-15 12:00:00' AND uid IS NOT NULL AND count_txn_24h > 0 AND future_count_txn_24h > 0 ORDER BY cutoff_ts, label_id LIMIT 1")
+def first_qualifying_row(spark, sf_dir):
+    both = features.combined_features(features.spine(facts(spark, sf_dir)), features.history(facts(spark, sf_dir)), custom(("count_txn_24h", "count", 24)))
+    return cohort.first_qualifying(both, datetime(2024, 1, 15, 12), ["count_txn_24h", "future_count_txn_24h"])
+
+
+@query(f"WITH t AS ({T['events']}) SELECT transaction_id AS label_id, uid, event_ts AS cutoff_ts, label FROM t ORDER BY MD5(CONCAT_WS(':', '42', CAST(transaction_id AS VARCHAR))), transaction_id LIMIT 100")
 def hash_sample(spark, sf_dir):
     return cohort.hash_sample(features.spine(facts(spark, sf_dir)), "label_id", 100)
 
@@ -391,13 +401,26 @@ def replay_features(spark, sf_dir):
     return cents(online.replay_features(_stream(spark, sf_dir), load_catalog()))
 
 
-def _replayed(spark, sf_dir) -> online.OnlineStore:
-    from tidemark.sources.sinks import _fs
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Unset, a local master gets a temporary one; on a cluster it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="online-")
+    return root
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="online-")
-    store = online.OnlineStore(spark, online.new_root(root))
-    fs, p = _fs(spark, store.root)
+
+def _store(spark: SparkSession) -> online.OnlineStore:
+    root = online.new_root(shared_folder(spark))
+    fs, p = sinks._fs(spark, root)
     fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return online.OnlineStore(spark, root)
+
+
+def _replayed(spark, sf_dir) -> online.OnlineStore:
+    store = _store(spark)
     store.replay(_stream(spark, sf_dir))
     return store
 
@@ -423,11 +446,47 @@ def online_lookup_as_of(spark, sf_dir):
 @query(f"SELECT f.feature_name, COUNT(*) AS n_compared, CAST(0 AS BIGINT) AS n_mismatch FROM ({T['some_null']}) t, (VALUES ('sum_amt_24h'), ('count_txn_24h'), ('sum_amt_7d'), ('time_since_last_txn_sec')) f(feature_name) WHERE uid IS NOT NULL GROUP BY 1")
 def parity_report(spark, sf_dir):
     catalog = load_catalog()
-    offline = features.build(facts(spark, sf_dir, EVENTS_SOME_NULL), catalog, "prefix").filter("uid is not null")
-    rows = parity.compared(offline, online.replay_features(_stream(spark, sf_dir), catalog), catalog.names)
+    offline = features.build(facts(spark, sf_dir, EVENTS_SOME_NULL), catalog).filter("uid is not null")
+    served = _replayed(spark, sf_dir).features_at(offline.select("label_id", "uid", "cutoff_ts"), catalog)
+    rows = parity.compared(offline, served, catalog.names)
     return rows.groupBy("feature_name").agg(F.count("*").alias("n_compared"), F.count("reason").alias("n_mismatch"))
 
 
+def _written(spark) -> str:
+    root = online.new_root(shared_folder(spark))
+    fs, p = sinks._fs(spark, root)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return root
+
+
+@query(f"WITH t AS ({T['orders']}) SELECT transaction_id, uid, event_ts, amount, label FROM t")
+def facts_published_and_read(spark, sf_dir):
+    place = f"{_written(spark)}/facts"
+    sinks.write_facts(facts(spark, sf_dir, ORDERS), place)
+    return readers.read_facts(spark, place)
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS TransactionID, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS isFraud, CAST(DATE_DIFF('second', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS BIGINT) AS TransactionDT, CAST(o_totalprice AS DOUBLE) AS TransactionAmt, o_orderstatus AS kind FROM orders")
+def csv_written_and_read(spark, sf_dir):
+    place = f"{_written(spark)}/raw.csv"
+    _raw(spark, sf_dir).select("TransactionID", "isFraud", "TransactionDT", "TransactionAmt", F.col("addr1").alias("kind")).write.option("header", True).csv(place)
+    return readers.read_csv(spark, place, ["TransactionID", "isFraud"])
+
+
+@query(f"SELECT * FROM ({features_sql('orders', SHIPPED)}) WHERE cutoff_ts >= TIMESTAMP '{_DAYS[0]}' AND cutoff_ts < TIMESTAMP '{_DAYS[1]}' + INTERVAL 1 DAY")
+def backfill_published_and_read(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as logs:  # the driver's log only
+        done = backfill.run(facts(spark, sf_dir, ORDERS), *_DAYS, output_root=_written(spark), log_path=f"{logs}/runs.jsonl")
+    return cents(spark.read.parquet(done.output_path))
+
+
+@query(f"WITH t AS ({T['some_null']}) SELECT COUNT(*) AS total_rows, COUNT(uid) AS ingested_events, ROUND(EPOCH_US(MAX(event_ts)) / 1e6, 6) AS last_event_epoch FROM t")
+def replay_result(spark, sf_dir):
+    got = _store(spark).replay(_stream(spark, sf_dir))
+    return spark.createDataFrame([(got.total_rows, got.ingested_events, got.last_event_epoch)], "total_rows long, ingested_events long, last_event_epoch double").withColumn("last_event_epoch", F.round("last_event_epoch", 6))
+
+
 # ---------------------------------------------------------------- metrics: the rolling count scores the label
 
 _S = f"WITH f AS ({features_sql('events', [('count_txn_24h', 'count', 24)])}), s AS (SELECT CAST(count_txn_24h AS DOUBLE) AS score, CAST(label AS INTEGER) AS label FROM f), g AS (SELECT score, SUM(label) AS p, SUM(1 - label) AS q FROM s GROUP BY score), a AS (SELECT SUM(p) AS np, SUM(q) AS nq FROM g), c AS (SELECT x.score, x.p, (SELECT SUM(p) FROM g WHERE g.score >= x.score) AS tp, (SELECT SUM(q) FROM g WHERE g.score >= x.score) AS fp FROM g x)"
@@ -474,7 +533,7 @@ def prior_baseline(spark, sf_dir):
 
 
 def _pair(spark, sf_dir) -> DataFrame:
-    built = features.build(facts(spark, sf_dir), custom(("count_txn_24h", "count", 24), ("sum_amt_7d", "sum", 168)))
+    built = cents(features.build(facts(spark, sf_dir), custom(("count_txn_24h", "count", 24), ("sum_amt_7d", "sum", 168))))
     return built.select("label_id", F.col("count_txn_24h").cast("double").alias("a"), F.col("sum_amt_7d").alias("b"), "label")
 
 
@@ -483,14 +542,31 @@ def paired_bootstrap(spark, sf_dir):
     return metrics.paired_bootstrap(_pair(spark, sf_dir), "a", "b")
 
 
-@query()
+def _shuffles_sql(repeats: int, column: str) -> str:
+    """m: roc_auc and average_precision of a + b with a column dealt to other rows, for each repeat r: ranks by id meet ranks by a seeded md5."""
+    score = {"a": "g.v + p.b", "b": "p.a + g.v"}[column]
+    return (
+        f"g{column} AS (SELECT r, {column} AS v, ROW_NUMBER() OVER (PARTITION BY r ORDER BY SUBSTR(MD5(CONCAT_WS(':', CAST(42 + r AS VARCHAR), CAST(label_id AS VARCHAR))), 1, 13), label_id) AS i FROM p, RANGE({repeats}) s(r)), "
+        f"s{column} AS (SELECT g.r, {score} AS score, SUM(p.label)::DOUBLE AS pos, SUM(1 - p.label)::DOUBLE AS neg FROM p JOIN g{column} g USING (i) GROUP BY 1, 2), "
+        f"c{column} AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY r) AS np, SUM(neg) OVER (PARTITION BY r) AS nq FROM s{column} WINDOW w AS (PARTITION BY r ORDER BY score DESC)), "
+        f"m{column} AS (SELECT CAST(r AS INTEGER) AS r, SUM(pos * (nq - fp + neg / 2)) / (ANY_VALUE(np) * ANY_VALUE(nq)) AS auc, SUM(pos / np * tp / (tp + fp)) AS ap FROM c{column} GROUP BY r)"
+    )
+
+
+_P = f"WITH f AS ({features_sql('events', [('count_txn_24h', 'count', 24), ('sum_amt_7d', 'sum', 168)])}), p AS (SELECT label_id, CAST(count_txn_24h AS DOUBLE) AS a, sum_amt_7d AS b, CAST(label AS INTEGER) AS label, ROW_NUMBER() OVER (ORDER BY label_id) AS i FROM f)"
+
+
+@query(f"{_P}, {_shuffles_sql(50, 'b')} SELECT r AS repeat, ROUND(auc, 8) AS roc_auc, ROUND(ap, 8) AS average_precision FROM mb")
 def block_shuffle(spark, sf_dir):
-    return metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id")
+    return _rounded(metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id"), "roc_auc", "average_precision")
 
 
-@query()
+_BASE = "z AS (SELECT a + b AS score, SUM(label)::DOUBLE AS pos, SUM(1 - label)::DOUBLE AS neg FROM p GROUP BY 1), y AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER () AS np FROM z WINDOW w AS (ORDER BY score DESC)), base AS (SELECT SUM(pos / np * tp / (tp + fp)) AS ap FROM y)"
+
+
+@query(f"{_P}, {_BASE}, {_shuffles_sql(10, 'a')}, {_shuffles_sql(10, 'b')} SELECT 'a' AS feature, ROUND((SELECT ap FROM base) - AVG(ap), 8) AS importance, ROUND(STDDEV_SAMP(ap), 8) AS deviation FROM ma UNION ALL SELECT 'b', ROUND((SELECT ap FROM base) - AVG(ap), 8), ROUND(STDDEV_SAMP(ap), 8) FROM mb")
 def permutation_importance(spark, sf_dir):
-    return metrics.permutation_importance(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["a", "b"], "label_id")
+    return _rounded(metrics.permutation_importance(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["a", "b"], "label_id"), "importance", "deviation")
 
 
 @query()
