@@ -56,11 +56,40 @@ def test_against_brute_force(spark, monkeypatch, tile, seed):
     monkeypatch.setattr(jj, "TILE", tile)
     monkeypatch.setattr(jj, "CHUNK_ROWS", 50)
     if tile == 3:
-        monkeypatch.setattr(jj, "BLOCK_SHINGLES", 300)
-        monkeypatch.setattr(jj, "LEAST_BITS", 64)
+        monkeypatch.setattr(jj, "PARTNERS", 2)
+        monkeypatch.setattr(jj, "NEIGHBOURS", 1)
     docs = corpus(seed)
     got = jj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
-    assert sorted((r.k, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs)
+
+
+def test_sets_that_share_a_name_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(jj, "NAME_BITS", 6)
+    docs = corpus(5)
+    got = jj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs)
+
+
+def test_a_large_tile_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "TILE", 16)
+    rng = random.Random(8)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(100)] = rng.choice(["x", "y", "z"])
+        docs.append((i, " ".join(w + [f"u{rng.randrange(40)}"] * rng.randrange(30))))
+    got = jj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs)
+
+
+def test_many_equal_rows_and_rows_without_words(spark):
+    docs = [(7, "a b c d e f g")] * 300 + [(None, None)] * 50 + [(8, "a b c d e f g"), (9, "")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, k int")
+    got = jj.near_duplicates(df).groupBy("component_id", "n_shingles").count().collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(-(2**63), 0, 50), (7, 3, 301), (9, 0, 1)]
+    kept = jj.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 7), (False, 9)] + [(True, 0)] * 50
 
 
 def test_empty_table_null_id_and_clashing_columns(spark):
@@ -86,7 +115,10 @@ def test_prefix_and_bound_never_exclude_a_link():
             assert both <= jj._bounds(len(a), len(b), *(jj.folded(x, words) for x in g))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_components_of_chains_and_stars(spark, monkeypatch, chunk):
+    monkeypatch.setattr("tidemark.llm.components.CHUNK_EDGES", chunk)
+    monkeypatch.setattr("tidemark.llm.components.TASK_EDGES", 100)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + rng.randrange(40), 2000 + rng.randrange(40)) for _ in range(30)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "x").collect()}

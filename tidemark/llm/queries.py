@@ -69,7 +69,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.near_duplicates(documents(spark, sf_dir))
-    return out.select(F.col("k").alias("doc_id"), "n_shingles", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@
    by 128-bit fingerprints in a partially aggregated group-by, so no task gets a hot group.
 5. ``cover``: the ranges found, joined with the texts once more.
 
-Rows are told apart by doc_id and a hash of the text, so several rows may have one doc_id; a null doc_id is a value
-like any other. A repeated row is a copy and counts as an occurrence elsewhere.
+Rows are told apart by two 64-bit hashes of the text, one of them of the doc_id too, so several rows may have one
+doc_id, or none. Rows equal in both columns are copies: all their stretches are repeats, and one row stands for them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -31,11 +31,13 @@ GROUP_ROWS = 4096
 #: Candidates compared at a time; whole groups only.
 CHUNK_ROWS = 20_000
 #: Window starts looked at together in one long document.
-STRIDE = 1 << 22
+STRIDE = 1 << 18
+#: An end beyond every text.
+END = 2**31 - 1
 _POS = np.uint64((1 << 24) - 1)
 
-ANCHORS = "k long, th int, h long, lo int, n short, d short"
-RANGES = "k long, th int, lo int, hi int"
+ANCHORS = "k long, th long, h long, lo int, n short, d short"
+RANGES = "k long, th long, lo int, hi int"
 
 
 @dataclass(frozen=True)
@@ -47,15 +49,22 @@ class Unit:
     gram: int  # K
 
     def symbols(self, s: bt.Slice) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit symbol a unit, and where each document's units begin."""
+        """A symbol a unit (bytes, or 64-bit hashes of words), and where each document's units begin."""
         if not self.word:
-            return bt.codes(s.data), s.offsets
+            return s.data, s.offsets
         starts, ends, at = bt.word_spans(s, bt.NOT_SPACE)
         return bt.word_hashes(s, starts, ends), at
 
 
+def keys(doc_id: Column, text: Column) -> dict[str, Column]:
+    """Hashes that tell rows apart."""
+    return {"k": F.xxhash64(doc_id, text), "th": F.xxhash64(text, F.lit(7))}
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.hash("text").alias("th"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """k, th, doc_id, text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(*(v.alias(n) for n, v in keys(doc_id, text).items()), doc_id.alias("doc_id"), text.alias("text"))
 
 
 def select(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -93,9 +102,17 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                 h, doc, lo, n, d = select(*unit.symbols(s), unit.width, unit.gram)
                 yield pa.RecordBatch.from_arrays([pa.array(k[s.first + doc]), pa.array(th[s.first + doc]), pa.array(h), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(d.astype(np.int16))], names=["k", "th", "h", "lo", "n", "d"])
 
+        bt.release()
+
     return docs.select("k", "th", "text").mapInArrow(run, ANCHORS)
 
 
+def copies(anchors: DataFrame) -> DataFrame:
+    """Ranges over the whole of rows that occur more than once: each row has one anchor for its first stretch."""
+    many = anchors.filter("lo = 0").groupBy("k", "th").agg(F.count("*").alias("m")).filter("m > 1")
+    return many.select("k", "th", F.lit(0).alias("lo"), F.lit(END).alias("hi"))
+
+
 def salted(candidates: DataFrame) -> DataFrame:
     """candidates (anchor rows with m, the rows of their hash) with the number of salts and one salt each."""
     salts = F.ceil(F.col("m") / GROUP_ROWS).cast("int")
@@ -103,12 +120,22 @@ def salted(candidates: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, candidates: DataFrame, unit: Unit) -> DataFrame:
-    """The bytes of each candidate: its stretches, put end to end where they overlap; words are joined by one space."""
-    lists = candidates.groupBy("k", "th").agg(F.collect_list(F.struct("h", "lo", "n", "d", "salts", "salt")).alias("c"))
+    """The bytes of each candidate: its stretches, put end to end where they overlap; words are joined by one space.
+
+    Of copies that come one after another, as they do from a sorted join, one is looked at.
+    """
+    lists = candidates.groupBy("k", "th").agg(F.collect_set(F.struct("h", "lo", "n", "d", "salts", "salt")).alias("c"))
     kinds = {"h": pa.int64(), "lo": pa.int32(), "n": pa.int16(), "d": pa.int16(), "salts": pa.int32(), "salt": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
+            ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            if not len(ids):
+                continue
+            first = np.concatenate([[before is None or bool((ids[0] != before).any())], (ids[1:] != ids[:-1]).any(axis=1)])
+            before = ids[-1]
+            batch = batch.filter(pa.array(first))
             k, th, lists = batch.column(0), batch.column(1), batch.column(3)
             for s in bt.slices(batch.column(2)):
                 part = lists.slice(s.first, s.count)
@@ -127,9 +154,10 @@ def segments(docs: DataFrame, candidates: DataFrame, unit: Unit) -> DataFrame:
                     texts = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
                 take = pa.array(row + s.first)
                 yield pa.RecordBatch.from_arrays([k.take(take), th.take(take), *get.values(), pa.array(texts, pa.binary())], names=["k", "th", *kinds, "seg"])
+        bt.release()
 
     joined = docs.select("k", "th", "text").join(lists, ["k", "th"])
-    return joined.mapInArrow(run, "k long, th int, h long, lo int, n short, d short, salts int, salt int, seg binary")
+    return joined.mapInArrow(run, "k long, th long, h long, lo int, n short, d short, salts int, salt int, seg binary")
 
 
 #: From a buffer, starts, lengths and group numbers to class numbers: equal where group and bytes are equal.
@@ -150,7 +178,7 @@ def _compare(t: pa.Table, unit: Unit, classify: Classify) -> tuple[pa.RecordBatc
     times = np.bincount(whole)[whole]
     out = [(np.flatnonzero(times > 1), lo[times > 1], (lo + n + unit.width)[times > 1])]
     # then the stretches of one segment of each kind, where a group has several kinds
-    rep = np.unique(whole, return_index=True)[1]
+    rep = np.sort(np.unique(whole, return_index=True)[1])
     kinds = np.bincount(group[rep], minlength=group[-1] + 1)
     rep = rep[(kinds[group[rep]] > 1) | (col["salts"][rep] > 1)]
     row = np.repeat(rep, n[rep] + 1)
@@ -176,10 +204,10 @@ def _compare(t: pa.Table, unit: Unit, classify: Classify) -> tuple[pa.RecordBatc
         r, p = row[hit], lo[row[hit]] + j[hit]
         out.append((r, p, p + unit.width))
         hot = np.flatnonzero(col["salts"][row] > 1)
-        mine = hot[np.unique(inner[hot], return_index=True)[1]]
+        mine = np.sort(hot[np.unique(inner[hot], return_index=True)[1]])
         if len(mine):
             data = np.frombuffer(buf, np.uint8)
-            shared = np.stack([bt.span_hash(bt.prefix(bt.codes(data, x), x), start[mine], start[mine] + length[mine], x) for x in (0, 1)], axis=1)
+            shared = np.stack([bt.span_hashes(data, start[mine], start[mine] + length[mine], x) for x in (0, 1)], axis=1)
             alone = (seen[mine] == 1) & (times[row[mine]] == 1)
     r, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
     # ranges of a row that overlap become one
@@ -217,6 +245,7 @@ def match(segs: DataFrame, unit: Unit, classify: Classify, keep: Callable[[str,
                 held, rows = t.to_batches(), len(t)
         if rows:
             yield from _compare(pa.Table.from_batches(held), unit, classify)
+        bt.release()
 
     parts = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = segs.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
@@ -228,7 +257,7 @@ def match(segs: DataFrame, unit: Unit, classify: Classify, keep: Callable[[str,
 
 def cover(docs: DataFrame, ranges: DataFrame, unit: Unit) -> DataFrame:
     """doc_id, n_units, n_removed, spans (removed runs as [start, end) units), kept (what is left: bytes, or words joined by one space)."""
-    lists = ranges.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    lists = ranges.groupBy("k", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +270,7 @@ def cover(docs: DataFrame, ranges: DataFrame, unit: Unit) -> DataFrame:
                     body = raw[s.offsets[i] : s.offsets[i + 1]]
                     units = body.split() if unit.word else body
                     lo = np.array([x["lo"] for x in ranges or ()], np.int64)
-                    hi = np.array([x["hi"] for x in ranges or ()], np.int64)
+                    hi = np.minimum(np.array([x["hi"] for x in ranges or ()], np.int64), len(units))
                     lo, hi = bt.union_ranges(lo, hi)
                     left, at = [], 0
                     for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
@@ -253,6 +282,7 @@ def cover(docs: DataFrame, ranges: DataFrame, unit: Unit) -> DataFrame:
                     removed.append(int((hi - lo).sum()))
                     spans.append([{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_units", "n_removed", "spans", "kept"])
+        bt.release()
 
     joined = docs.join(lists, ["k", "th"], "left").select("doc_id", "text", "r")
     return joined.mapInArrow(run, "doc_id long, n_units long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
