@@ -37,8 +37,8 @@ def test_against_brute_force(spark):
     docs += [(200, None), (201, ""), (5, docs[5][1]), (None, items[6][1]), (202, "x x x " * 50)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (1_000_000, 60, 15):
-        got = sorted((tuple(r) for r in digest(find_contamination(df, bench, ["doc_id"], block_words=limit)).collect()), key=str)
+    for limit in (1_000_000, 300, 80):
+        got = sorted((tuple(r) for r in digest(find_contamination(df, bench, ["doc_id"], block_bytes=limit)).collect()), key=str)
         assert got == brute(docs, items)
 
 
