@@ -69,3 +69,14 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", "x", 2)], schema)
     assert find_secrets(df, df.columns).select("row.*").collect() == df.collect()
     assert find_secrets(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_long_runs_in_stretches(monkeypatch):
+    rng = random.Random(9)
+    for cls in CLASSES:
+        text = "".join(rng.choice(rng.choice([cls.chars, "ab", "0123"])) for _ in range(3000)).encode()
+        monkeypatch.setattr("tidemark.llm.secrets.LONG", 1 << 30)
+        want = entropy_spans(text, cls)
+        for size in (1, 64, 100):
+            monkeypatch.setattr("tidemark.llm.secrets.LONG", size)
+            assert entropy_spans(text, cls) == want

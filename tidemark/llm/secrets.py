@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -66,6 +67,8 @@ ALLOW = (
     r"0123456789(?:0123456789|abcdef|ABCDEF|$)",
 )
 WINDOW = 20
+#: Characters from which a run is looked at in stretches of this many.
+LONG = 1 << 14
 
 
 def runs(member: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,40 +87,60 @@ def runs(member: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray,
     return a[keep], b[keep]
 
 
+@lru_cache(maxsize=64)
+def _run_pattern(chars: str, window: int) -> re.Pattern[bytes]:
+    return re.compile(b"[" + re.escape(chars.encode()) + b"]{%d,}" % window)
+
+
 def entropy_spans(text: bytes, cls: CharacterClass, window: int = WINDOW) -> list[tuple[int, int]]:
     """Joined windows of high entropy in the runs of a class."""
-    inside = cls.chars.encode()
-    gain = [0.0] + [c * log2(c) for c in range(1, window + 1)]
     found: list[tuple[int, int]] = []
-    i = 0
-    while i < len(text):
-        if text[i] not in inside:
-            i += 1
-            continue
-        j = i
-        while j < len(text) and text[j] in inside:
-            j += 1
-        counts, total, digits = [0] * 256, 0.0, 0  # total: sum of c * log2(c)
-        for x in range(i, j):
-            if x - i >= window:  # one leaves before one enters: no count passes the window's length
-                c = text[x - window]
-                total += gain[counts[c] - 1] - gain[counts[c]]
-                counts[c] -= 1
-                digits -= 47 < c < 58
-            c = text[x]
-            total += gain[counts[c] + 1] - gain[counts[c]]
-            counts[c] += 1
-            digits += 47 < c < 58
-            if x - i >= window - 1 and 0 < digits < window and log2(window) - total / window >= cls.bits:
-                a, b = x - window + 1, x + 1
-                if found and a <= found[-1][1]:
-                    found[-1] = (found[-1][0], b)
-                else:
-                    found.append((a, b))
-        i = j
+    for m in _run_pattern(cls.chars, window).finditer(text):
+        i, j = m.span()
+        at = _high(text, i, j, cls, window) if j - i < LONG else _high_in_strides(text, i, j, cls, window)
+        for a in at:
+            b = a + window
+            if found and a <= found[-1][1]:
+                found[-1] = (found[-1][0], b)
+            else:
+                found.append((a, b))
     return found
 
 
+def _high(text: bytes, i: int, j: int, cls: CharacterClass, window: int) -> Iterator[int]:
+    """Where windows of high entropy begin in the run text[i:j]: one character leaves, one enters."""
+    gain = [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    counts, total, digits = [0] * 256, 0.0, 0  # total: sum of c * log2(c)
+    for x in range(i, j):
+        if x - i >= window:  # one leaves before one enters: no count passes the window's length
+            c = text[x - window]
+            total += gain[counts[c] - 1] - gain[counts[c]]
+            counts[c] -= 1
+            digits -= 47 < c < 58
+        c = text[x]
+        total += gain[counts[c] + 1] - gain[counts[c]]
+        counts[c] += 1
+        digits += 47 < c < 58
+        if x - i >= window - 1 and 0 < digits < window and log2(window) - total / window >= cls.bits:
+            yield x - window + 1
+
+
+def _high_in_strides(text: bytes, i: int, j: int, cls: CharacterClass, window: int) -> Iterator[int]:
+    """The same for a long run: the running counts of each character of the class as arrays, a stretch at a time."""
+    gain = np.array([0.0] + [c * log2(c) for c in range(1, window + 1)])
+    for at in range(i, j - window + 1, LONG):
+        part = np.frombuffer(text, np.uint8)[at : min(at + LONG + window - 1, j)]
+        total = np.zeros(len(part) - window + 1)
+        digits = np.zeros(len(total), np.int64)
+        for c in np.unique(part).tolist():
+            sums = np.concatenate([[0], np.cumsum(part == c)])
+            inside = sums[window:] - sums[:-window]
+            total += gain[inside]
+            if 47 < c < 58:
+                digits += inside
+        yield from (at + np.flatnonzero((digits > 0) & (digits < window) & (log2(window) - total / window >= cls.bits))).tolist()
+
+
 def unlisted(text: bytes, cls: CharacterClass, spans: list[tuple[int, int]], listed: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans without what the allow-list matched at ``listed``.
 
@@ -153,8 +176,8 @@ def find_secrets(docs: DataFrame, carry: list[str], classes: tuple[CharacterClas
     """row (struct of the ``carry`` columns), spans (kind, start, end in code points, by start and then kind): one row per document.
 
     Base kinds (assign, access, hex) are leftmost and non-overlapping within a kind and are never suppressed; entropy
-    kinds follow them. Whole texts of any length; a null or empty text has no spans; repeated rows stay; extra columns
-    matter only if carried.
+    kinds follow them. Whole texts of any length, about 15 bytes of memory a byte beyond the first megabyte; a null or
+    empty text has no spans; an empty table gives an empty result; repeated rows stay; extra columns matter only if carried.
     """
     small_batches(docs.sparkSession)
     order = {kind: i for i, kind in enumerate([*BASE, *(c.kind for c in classes)])}
@@ -205,6 +228,7 @@ def find_secrets(docs: DataFrame, carry: list[str], classes: tuple[CharacterClas
                     points = np.concatenate([[0], np.cumsum((s.data[base : s.offsets[d + 1]] & 0xC0) != 0x80)])
                     result[d] = [{"kind": kinds[k], "start": int(points[a - base]), "end": int(points[b - base])} for a, k, b in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), pa.array(result, span)], names=["row", "spans"])
+        bt.release()
 
     return rows.mapInArrow(run, schema)
 
