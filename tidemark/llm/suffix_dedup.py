@@ -165,7 +165,8 @@ def remove_repeated_substrings(docs: DataFrame, width: int = 200, gram: int = 50
     Texts are UTF-8 bytes, whole; a null text is empty; matches never cross documents; overlaps count; all strings
     are judged on the input. Returns doc_id, n_units (bytes), n_removed, spans, kept (binary: cuts may split a
     character). Texts shorter than ``width`` and empty tables lose nothing. Repeated rows are copies of one another.
-    Extra columns are not carried.
+    A text of any length is taken whole, about 10 bytes of memory a byte beyond the first megabyte. Extra columns are
+    not carried.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -176,6 +177,8 @@ def remove_repeated_substrings(docs: DataFrame, width: int = 200, gram: int = 50
     # a table of its own, so that the join may split a hot hash
     often = scratch.keep("often", all_anchors.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"))
     candidates = rp.salted(all_anchors.join(often, "h"))
-    ranges = scratch.keep("ranges", rp.match(rp.segments(docs, candidates, unit), unit, deep_shallow, scratch.keep))
+    found = rp.match(rp.segments(docs, candidates, unit), unit, deep_shallow, scratch.keep)
+    ranges = scratch.keep("ranges", found.unionByName(rp.copies(all_anchors)))
     scratch.drop("anchors", "often", "found")
+    scratch.sweep()
     return rp.cover(docs, ranges, unit)
