@@ -138,7 +138,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str],
     A window is ``width`` consecutive words of an item, or all words of a shorter one. Every window that occurs
     anywhere in a document is found. Null and empty texts have no words; an item without words has no window; a null
     item_id counts as the empty string; repeated rows are rows of their own; empty tables give no hits; extra columns
-    matter only if carried. Texts of any length are taken whole, about 30 bytes of memory a byte beyond the first megabyte.
+    matter only if carried. Texts of any length are taken whole, about 10 bytes of memory a byte beyond the first megabyte.
     """
     spark = docs.sparkSession
     small_batches(spark)

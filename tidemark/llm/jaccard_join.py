@@ -468,7 +468,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text with fewer words than a shingle has one
     shingle, all its words; a text without words, or null, has none, links with nothing and is its own component.
     Repeated rows link with one another. A null doc_id counts as -2**63. An empty table gives an empty result. Texts of
-    any length are taken whole, about 60 bytes of memory a byte beyond the first megabyte. Extra columns are not carried.
+    any length are taken whole, about 15 bytes of memory a byte beyond the first megabyte. Extra columns are not carried.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -275,7 +275,7 @@ def rate_quality(docs: DataFrame, field: Field, carry: list[str], share: float =
     sequence. base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. kept: not base_failed, and
     at least ``share`` of the words in lines that Viterbi decoding marks as content. A null text has no words and
     fails. Repeated rows are rated alike; an empty table gives an empty one; extra columns matter only if carried.
-    A text of any length is labelled whole: it takes about 40 bytes of memory a byte beyond the first megabyte.
+    A text of any length is labelled whole: it takes about 30 bytes of memory a byte beyond the first megabyte.
     ``only_kept`` leaves out the others.
     """
     spark = docs.sparkSession
