@@ -91,5 +91,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# ---------------------------------------------------------------- SQL, where a whole result can be said in it
+
+_LOWER = "TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Words of a text in order, by the characters between them.
+_BETWEEN_SPACES = "COALESCE(REGEXP_EXTRACT_ALL({text}, '[^\\x20\\x09-\\x0D]+'), [])"
+_ALPHANUMERIC = "COALESCE(REGEXP_EXTRACT_ALL({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+def _documents_sql(words: str, text: str) -> str:
+    return f"d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, {words.format(text=text)} AS w FROM documents)"
+
+
+#: Every string of 200 bytes, as hexadecimal digits, by way of pieces of 1,000 bytes that overlap; runs of those that occur again.
+_OP3 = """WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, LOWER(HEX(ENCODE(COALESCE(text, '')))) AS x FROM documents),
+c AS (SELECT r, b, SUBSTR(x, 2000 * b + 1, 2398) AS y FROM d, UNNEST(RANGE(0, CAST(LEN(x) // 2000 + 1 AS BIGINT))) u(b)),
+s AS (SELECT r, 1000 * b + i AS i, MD5(SUBSTR(y, 2 * i + 1, 400)) AS h FROM c, UNNEST(RANGE(0, LEAST(1000, CAST(LEN(y) // 2 - 199 AS BIGINT)))) u(i)),
+m AS (SELECT h FROM s GROUP BY h HAVING COUNT(*) > 1),
+o AS (SELECT r, i, CASE WHEN i <= LAG(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s SEMI JOIN m USING (h)),
+q AS (SELECT r, i, SUM(new) OVER (PARTITION BY r ORDER BY i) AS run FROM o),
+v AS (SELECT r, MIN(i) AS lo, MAX(i) + 200 AS hi FROM q GROUP BY r, run),
+y AS (SELECT r, lo, hi, COALESCE(LAG(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prev FROM v),
+k AS (SELECT y.r, COUNT(*) AS n_spans, SUM(hi - lo) AS n_removed, STRING_AGG(SUBSTR(x, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS head, MAX(hi) AS tail FROM y JOIN d USING (r) GROUP BY y.r)
+SELECT doc_id, CAST(LEN(x) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, SHA256(FROM_HEX(COALESCE(head || SUBSTR(x, 2 * tail + 1), x))) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+_OP5 = f"""WITH {_documents_sql(_ALPHANUMERIC, _LOWER)},
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALPHANUMERIC.format(text=_LOWER)} AS w FROM benchmark),
+n AS (SELECT item, w, LEAST(LEN(w), 10) AS n FROM b WHERE LEN(w) > 0),
+i AS (SELECT DISTINCT item, n, MD5(ARRAY_TO_STRING(w[i:i + n - 1], ' ')) AS h FROM n, UNNEST(RANGE(1, LEN(w) - n + 2)) u(i)),
+s AS (SELECT r, i, z.n, MD5(ARRAY_TO_STRING(w[i:i + z.n - 1], ' ')) AS h FROM d, (SELECT DISTINCT n FROM i) z, UNNEST(RANGE(1, LEN(w) - z.n + 2)) u(i)),
+x AS (SELECT s.r, s.i, s.n, i.item FROM s JOIN i USING (n, h)),
+g AS (SELECT r, COUNT(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM x), UNNEST(RANGE(0, n)) t(k) GROUP BY r),
+t AS (SELECT r, COUNT(*) AS n_items, STRING_AGG(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM x) GROUP BY r)
+SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, SHA256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN g USING (r) LEFT JOIN t USING (r)"""
+
+_OP7 = f"""WITH {_documents_sql(_BETWEEN_SPACES, "text")},
+s AS (SELECT r, i, MD5(ARRAY_TO_STRING(w[i:i + 34], ' ')) AS h FROM d, UNNEST(RANGE(1, LEN(w) - 33)) u(i)),
+m AS (SELECT h FROM s GROUP BY h HAVING COUNT(*) > 1),
+g AS (SELECT DISTINCT r, i + k AS j FROM s SEMI JOIN m USING (h), RANGE(35) t(k)),
+p AS (SELECT r, j, w[j] AS word FROM d, UNNEST(RANGE(1, LEN(w) + 1)) u(j)),
+k AS (SELECT p.r, COUNT(g.j) AS n_removed, STRING_AGG(word, ' ' ORDER BY p.j) FILTER (WHERE g.j IS NULL) AS kept FROM p LEFT JOIN g ON p.r = g.r AND p.j = g.j GROUP BY p.r)
+SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, COALESCE(n_removed, 0) AS n_removed, SHA256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+_OP9 = f"""WITH RECURSIVE {_documents_sql(_BETWEEN_SPACES, _LOWER)},
+s AS (SELECT DISTINCT r, MD5(ARRAY_TO_STRING(w[i:i + LEAST(LEN(w), 5) - 1], ' ')) AS h FROM d, UNNEST(RANGE(1, LEN(w) - LEAST(LEN(w), 5) + 2)) u(i) WHERE LEN(w) > 0),
+n AS (SELECT r, COUNT(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, COUNT(*) AS m FROM s a JOIN s b ON a.h = b.h AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * m >= 80 * (a.n + b.n - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(r, q) AS (SELECT r, r FROM d UNION SELECT e.y, c.q FROM c JOIN e ON e.x = c.r),
+f AS (SELECT c.r, MIN(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.q GROUP BY c.r)
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN f USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the results that can be said in it whole; the others are tested in other ways."""
+    return {"op3_suffix_array_dedup": _OP3, "op5_benchmark_decontamination": _OP5, "op7_substring_dedup": _OP7, "op9_ngram_jaccard_join": _OP9}
