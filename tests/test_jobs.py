@@ -183,6 +183,17 @@ def test_any_event_log_will_do(spark):
         online.OnlineStore(spark)
 
 
+def test_named_relations(spark):
+    assert sinks.relation(spark.range(3), "three_rows").count() == 3 and spark.sql("SELECT * FROM three_rows").count() == 3
+    sinks.relation(spark.range(4), "three_rows")
+    assert spark.table("three_rows").count() == 4
+    assert sinks.relation(spark.range(5), "five_rows", temporary=False).count() == 5
+    assert sinks.relation(spark.range(6), "five_rows", temporary=False).count() == 6
+    spark.sql("DROP TABLE five_rows")
+    with pytest.raises(ValueError):
+        sinks.relation(spark.range(1), "x; DROP")
+
+
 def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
     place = tmp_path / "table"
     sinks.publish(spark.range(3), str(place))

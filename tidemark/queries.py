@@ -96,6 +96,12 @@ def label_spine(spark, sf_dir):
     return features.spine(facts(spark, sf_dir))
 
 
+@query(f"WITH t AS ({T['orders']}) SELECT uid, COUNT(*) AS n_points, MAX(event_ts) AS last_ts FROM t GROUP BY uid")
+def named_spine(spark, sf_dir):
+    sinks.relation(features.spine(facts(spark, sf_dir, ORDERS)), "named_spine_points")
+    return spark.sql("SELECT uid, COUNT(*) AS n_points, MAX(cutoff_ts) AS last_ts FROM named_spine_points GROUP BY uid")
+
+
 @query(f"WITH t AS ({T['some_null']}) SELECT uid, event_ts AS feature_ts, amount, transaction_id AS event_id FROM t WHERE uid IS NOT NULL")
 def feature_events(spark, sf_dir):
     return features.history(facts(spark, sf_dir, EVENTS_SOME_NULL))

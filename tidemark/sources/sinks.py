@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.keys import require_columns
+from tidemark.functions.keys import require_columns, safe_name
 
 
 def _fs(spark: SparkSession, path: str):
@@ -96,6 +96,16 @@ def write_facts(df: DataFrame, target: str) -> int:
     return publish(df.sortWithinPartitions("event_ts", "transaction_id"), target)
 
 
+def relation(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
+    """df under a plain name: a view of this session, or a table that is written and stays. Either replaces one of its kind and name."""
+    safe_name(name)
+    if temporary:
+        df.createOrReplaceTempView(name)
+    else:
+        df.write.mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_log(path: str | Path, record: dict) -> None:
     """One JSON object a line; spark.read.json reads it back."""
     path = Path(path)
