@@ -31,11 +31,22 @@ def test_toxic_words_are_learnt_and_clean_texts_left_alone(spark):
     docs += [(9000, None, None), (9001, "", None), (0, docs[0][1], "en")]
     out = toxicity.score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), ["doc_id"]).collect()
     assert len(out) == len(docs) and all(0 <= r.score <= 1 for r in out)
-    scores = {r.row.doc_id: r.score for r in out if r.held_out or True}
-    assert all((scores[i] >= 0.5) == (i % 8 == 0) for i in range(1500))
+    scores = {r.row.doc_id: r.score for r in out}
+    held = {r.row.doc_id for r in out if r.held_out} & set(range(1500))
+    assert len(held) > 200 and all((scores[i] >= 0.5) == (i % 8 == 0) for i in held)
+    assert all((scores[i] >= 0.5) == (i % 8 == 0) for i in set(range(1500)) - held)
     assert scores[9000] < 0.5 and scores[9001] < 0.5
 
 
+def test_toxic_documents_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
+    rows = [r for r in queries()["op4_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    bad, clean = [r for r in rows if toxic[r.doc_id] == 1], [r for r in rows if toxic[r.doc_id] == 0]
+    assert len(bad) > 50 and sum(r.predicted for r in bad) >= 0.85 * len(bad)  # some have no toxic word left
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "a", "en"), (2, None, "en")], DOCS)
     none = spark.createDataFrame([], LABELS)
