@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.lsm_dedup import FingerprintIndex, remove_repeated_passages
+from tidemark.llm.lsm_dedup import FingerprintIndex, _merged, remove_repeated_passages
 from tidemark.llm.suffix_dedup import BlindTrie, deep_shallow, multikey_quicksort, remove_repeated_substrings
 
 SCHEMA = "doc_id long, text string"
@@ -72,18 +72,69 @@ def test_empty_table_and_clashing_columns(spark):
 
 
 def test_compaction_keeps_rows_and_finds_old_hits(spark):
-    index = FingerprintIndex(spark, buckets=2, fanout=2)
+    index = FingerprintIndex(spark, "kept_index", buckets=2, fanout=2)
     hits = []
     for b in range(4):
         batch = spark.createDataFrame([(10 * b + i, 0, [7, 100 + b, 200 + b][i], 0, 0, 0) for i in range(3)], repeats.ANCHORS)
-        hits.append({r.k for r in index.add(batch).collect()})
+        hits.append({r.h for r in index.add(batch).collect()})
         index.compact()
-    assert hits[0] == set() and hits[1] == {0, 10} and hits[3] == {0, 10, 20, 30}
+    assert hits == [set(), {7}, {7}, {7}]
     assert [level for level, _ in index.runs] == [2]
-    assert index.rows().count() == 12
+    # found again by name
+    again = FingerprintIndex(spark, "kept_index", buckets=2, fanout=2)
+    assert again.runs == index.runs and sorted(again.anchors) == sorted(index.anchors)
+    seven = spark.createDataFrame([(7,)], "h long")
+    assert again.all_anchors().count() == 12 and {r.k for r in again.where(seven).collect()} == {0, 10, 20, 30}
+    assert sum(r.m for r in again.counts(seven).collect()) == 4
+    again.drop()
+    assert not spark.sql("SHOW TABLES LIKE 'kept_index*'").collect()
+
+
+def test_runs_merge_without_a_shuffle(spark):
+    index = FingerprintIndex(spark, buckets=3, fanout=2)
+    for b in range(2):
+        index.add(spark.createDataFrame([(b, 0, h, 0, 0, 0) for h in range(20)], repeats.ANCHORS))
+    a, b = (spark.table(t) for _, t in index.runs)
+    hits = index.add(spark.createDataFrame([(9, 0, 5, 0, 0, 0)], repeats.ANCHORS))
+    assert [r.h for r in hits.collect()] == [5, 5]
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    merged = _merged(a, b)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    index.compact()
+    assert sorted(map(tuple, spark.table(index.runs[0][1]).collect())) == [(h, 2 + (h == 5)) for h in range(20)] and len(index.runs) == 1
     index.drop()
 
 
+def test_many_equal_rows_and_rows_without_id(spark):
+    long_text = " ".join(f"w{i}" for i in range(300))
+    docs = [(None, long_text), (None, "x" * 19)] + [(3, long_text + " y")] * 500 + [(None, None)] * 3
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    assert result(remove_repeated_substrings(df)) == brute(docs, 200, False)
+    assert result(remove_repeated_passages(df)) == brute(docs, 35, True)
+
+
+def test_work_is_linear_in_equal_rows(spark):
+    unit = repeats.Unit(False, 200, 50)
+    text = " ".join(f"v{i}" for i in range(300))
+    counts = []
+    for n in (50, 200):
+        docs = repeats.keyed(spark.createDataFrame([(1, text)] * n, SCHEMA).repartition(3))
+        found = repeats.anchors(docs, unit)
+        often = found.groupBy("h").agg(F.count("*").alias("m"))
+        counts.append(repeats.segments(docs, repeats.salted(found.join(often, "h")), unit).count())
+    assert counts[1] <= 4 * counts[0] and counts[0] < 50 * 30
+
+
+def test_rows_are_told_apart_though_the_hash_of_their_text_is_one(spark):
+    # a pair of texts with one value of F.hash, found among generated ones
+    df = spark.range(300_000).selectExpr("concat('text ', id) as text").withColumn("x", F.hash("text"))
+    pairs = df.groupBy("x").agg(F.collect_list("text").alias("t")).filter("size(t) > 1").orderBy("x").first()
+    assert pairs is not None
+    a, b = pairs.t[:2]
+    keys = repeats.keyed(spark.createDataFrame([(None, a), (None, b)], SCHEMA)).select("k", "th").collect()
+    assert keys[0].k != keys[1].k and keys[0].th != keys[1].th
+
+
 def test_sorting_orders_suffixes():
     rng = np.random.default_rng(3)
     buf = bytes(rng.integers(97, 99, 400, dtype=np.uint8)) + b"a" * 200 + bytes(range(256)) + b"a" * 200

@@ -1,14 +1,19 @@
 """Incremental substring deduplication over a log-structured index of window fingerprints.
 
-The index is a list of immutable runs. A run is a table of anchor fingerprints (see ``repeats``), bucketed and sorted
-by fingerprint, so that joining two runs is a merge of sorted files without a shuffle. A new batch becomes a run,
-is merge-joined with itself and every older run, and both sides of each hit are candidates: what was indexed long
-ago is found too. Runs of one level are compacted into a run of the next. Candidates are verified word by word.
+The index is a list of immutable runs. A run has two tables. Its fingerprints: one row per anchor hash (see
+``repeats``) with its count, bucketed and sorted by hash, so that runs are merge-joined bucket by bucket without a
+shuffle; counts are added up before they are dealt out, so a hash that stands in a third of all windows is one row like
+any other. And its anchors: where each hash stands, written as they come, without a shuffle. A new batch becomes a run
+and is merge-joined with every older run: hashes that both have, or that the batch has twice, are repeats, and all
+anchors of theirs, old and new, are candidates, verified word by word. Runs of one level are compacted into a run of
+the next by merge-joining their fingerprints; anchors stay where they are.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,59 +24,90 @@ from .scratch import Scratch, small_batches
 
 
 class FingerprintIndex:
-    """Runs of fingerprints, oldest first. ``fanout`` runs of a level become one of the next."""
+    """Runs of fingerprints. ``fanout`` runs of a level become one of the next.
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = 4):
+    All tables are in the catalog under ``name``; with a name given before and a catalog that outlives the session the
+    index is found again as it was. ``drop`` removes it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.name = f"fingerprints_{uuid.uuid4().hex}"
+        self.name = name or f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[tuple[int, str]] = []  # level, table
+        self.anchors: list[str] = []
         self._made = 0
-
-    def _write(self, rows: DataFrame, level: int) -> str:
-        table = f"{self.name}_{self._made}"
+        for row in spark.sql(f"SHOW TABLES LIKE '{self.name}_*'").collect():
+            kind, number, level = re.fullmatch(rf"{self.name}_(run|anchors)_(\d+)_(\d+)", row.tableName).groups()
+            self._made = max(self._made, int(number) + 1)
+            if kind == "run":
+                self.runs.append((int(level), row.tableName))
+            else:
+                self.anchors.append(row.tableName)
+        self.runs.sort(key=lambda r: (-r[0], r[1]))
+
+    def _name(self, kind: str, level: int) -> str:
         self._made += 1
-        (rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(table))
+        return f"{self.name}_{kind}_{self._made - 1}_{level}"
+
+    def _write_run(self, counts: DataFrame, level: int) -> str:
+        """counts: h (once each), m; dealt out by h already, or to be."""
+        table = self._name("run", level)
+        counts.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("compression", "zstd").saveAsTable(table)
         self.runs.append((level, table))
         return table
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Index a batch of anchor rows; return the anchor rows, of the batch and of older runs, whose fingerprint the batch made a repeat."""
-        older = [self.spark.table(t) for _, t in self.runs]
-        new = self.spark.table(self._write(batch, 0))
-        twice = new.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-        hits = [new.join(twice, "h", "left_semi")]
+        """Index a batch of anchor rows; return the hashes (h) that it made repeats, or that were and are in it."""
+        table = self._name("anchors", 0)
+        batch.write.format("parquet").option("compression", "zstd").saveAsTable(table)
+        self.anchors.append(table)
+        older = [t for _, t in self.runs]
+        counts = self.spark.table(table).groupBy("h").agg(F.count("*").alias("m"))
+        new = self.spark.table(self._write_run(counts.repartition(self.buckets, "h"), 0))
+        hits = new.filter("m > 1").select("h")
         for run in older:
-            hits += [new.join(run.select("h"), "h", "left_semi"), run.join(new.select("h"), "h", "left_semi")]
-        out = hits[0]
-        for x in hits[1:]:
-            out = out.unionByName(x)
-        return out
+            hits = hits.unionByName(new.select("h").hint("merge").join(self.spark.table(run).select("h"), "h"))
+        return hits
 
     def compact(self) -> None:
-        """Merge runs until no level has ``fanout`` of them. Call it when the hits of the last batch are stored."""
-        while self.runs:
+        """Merge runs until no level has ``fanout`` of them."""
+        while True:
             level = next((n for n, _ in self.runs if sum(m == n for m, _ in self.runs) >= self.fanout), None)
             if level is None:
                 return
             old = [r for r in self.runs if r[0] == level]
-            merged = self.spark.table(old[0][1])
-            for _, table in old[1:]:
-                merged = merged.unionByName(self.spark.table(table))
-            self._write(merged, level + 1)
             for run in old:
                 self.runs.remove(run)
-                self.spark.sql(f"DROP TABLE {run[1]}")
+            merged = old[0][1]
+            for _, table in old[1:]:
+                both = self._write_run(_merged(self.spark.table(merged), self.spark.table(table)), level + 1)
+                self.runs.pop()
+                for done in (merged, table):
+                    self.spark.sql(f"DROP TABLE {done}")
+                merged = both
+            self.runs.append((level + 1, merged))
+
+    def counts(self, hashes: DataFrame) -> DataFrame:
+        """h and m of the hashes (distinct) in each run: a hash of several runs has several rows."""
+        return reduce(DataFrame.unionByName, (self.spark.table(t).join(hashes, "h") for _, t in self.runs))
+
+    def where(self, hashes: DataFrame) -> DataFrame:
+        """Anchor rows of the hashes (distinct), of all batches."""
+        return self.all_anchors().join(hashes, "h")
 
-    def rows(self) -> DataFrame | None:
-        out = None
-        for _, table in self.runs:
-            out = self.spark.table(table) if out is None else out.unionByName(self.spark.table(table))
-        return out
+    def all_anchors(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, map(self.spark.table, self.anchors))
 
     def drop(self) -> None:
-        for _, table in self.runs:
+        for table in [*(t for _, t in self.runs), *self.anchors]:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self.runs = []
+        self.runs, self.anchors = [], []
+
+
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs in one. Both are bucketed by h alike, so bucket meets bucket and nothing is shuffled."""
+    both = a.hint("merge").join(b.withColumnRenamed("m", "m2"), "h", "full")
+    return both.select("h", (F.coalesce("m", F.lit(0)) + F.coalesce("m2", F.lit(0))).alias("m"))
 
 
 def same_words(buf: bytes, pos: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -83,34 +119,40 @@ def same_words(buf: bytes, pos: np.ndarray, length: np.ndarray, group: np.ndarra
     return out
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = 35, gram: int = 12, batches: int = 4, buckets: int | None = None, fanout: int = 4) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = 35, gram: int = 12, batches: int = 4, buckets: int | None = None, fanout: int = 2) -> DataFrame:
     """Remove every word covered by a window of ``width`` words whose words also start anywhere else in the corpus.
 
     Words are runs of anything but ASCII white space. Documents enter the index in ``batches`` (by a hash of their
     id); hits reach back into older batches, so the result is that of the whole corpus at once and does not depend on
     the number of batches. A null text has no words. Repeated rows are copies of one another; texts shorter than
-    ``width`` words and empty tables lose nothing. Returns doc_id, n_units (words), n_removed, spans, kept (binary:
-    words joined by one space). Extra columns are not carried.
+    ``width`` words and empty tables lose nothing; a text of any length is taken whole, about 20 bytes of memory a byte
+    beyond the first megabyte. Returns doc_id, n_units (words), n_removed, spans, kept (binary: words joined by one
+    space). Extra columns are not carried.
     """
     spark = docs.sparkSession
     small_batches(spark)
     unit = rp.Unit(True, width, gram)
     scratch = Scratch(spark, "lsm")
     docs = rp.keyed(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = FingerprintIndex(spark, buckets or parts, fanout)
-    hits = None
-    for b in range(batches):
-        batch = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)
-        found = scratch.keep(f"hits{b}", index.add(rp.anchors(batch, unit)))
-        index.compact()
-        hits = found if hits is None else hits.unionByName(found)
-    index.drop()
-    hits = scratch.keep("hits", hits.distinct())
-    scratch.drop(*(f"hits{b}" for b in range(batches)))
-    # a table of its own, so that the join may split a hot hash
-    often = scratch.keep("often", hits.groupBy("h").agg(F.count("*").alias("m")))
-    candidates = rp.salted(hits.join(often, "h"))
-    ranges = scratch.keep("ranges", rp.match(rp.segments(docs, candidates, unit), unit, same_words, scratch.keep))
-    scratch.drop("found", "hits", "often")
+    index = FingerprintIndex(spark, None, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    try:
+        for b in range(batches):
+            found = index.add(rp.anchors(docs.filter(F.pmod("k", F.lit(batches)) == b), unit))
+            scratch.keep(f"hits{b}", found)
+            index.compact()
+        hits = scratch.read("hits0", found.schema)
+        for b in range(1, batches):
+            hits = hits.unionByName(scratch.read(f"hits{b}", found.schema))
+        # tables of their own: sums over a union of bucketed tables cannot be trusted to be whole in Spark 4.1, and the
+        # join may split a hot hash
+        often = scratch.keep("counts", index.counts(hits.distinct())).groupBy("h").agg(F.sum("m").alias("m"))
+        often = scratch.keep("often", often)
+        scratch.drop("counts", *(f"hits{b}" for b in range(batches)))
+        candidates = rp.salted(index.where(often))
+        found = rp.match(rp.segments(docs, candidates, unit), unit, same_words, scratch.keep)
+        ranges = scratch.keep("ranges", found.unionByName(rp.copies(index.all_anchors())))
+    finally:
+        index.drop()
+    scratch.drop("found", "often")
+    scratch.sweep()
     return rp.cover(docs, ranges, unit)
