@@ -77,3 +77,22 @@ def test_empty_and_clashing_columns(spark):
     assert sample(df, df.columns).select("row.*").collect() == df.collect()
     empty = spark.createDataFrame([(1, None, "s"), (2, "", "s")], SCHEMA)
     assert {r.taken for r in sample(empty, ["doc_id"]).collect()} == {0}
+
+
+def test_a_document_longer_than_its_bucket_does_not_leave_a_gap(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.mixing.BUCKET_ROWS", 10)
+    rng = random.Random(2)
+    docs = [(i, " ".join(["w"] * (600 if i % 40 == 0 else rng.randrange(1, 9))), "a" if i % 3 else "b") for i in range(2000)]
+    out = sample(spark.createDataFrame(docs, SCHEMA), ["source"]).selectExpr("row.source as s", "taken", "target").groupBy("s").agg({"taken": "sum", "target": "max"}).collect()
+    for r in out:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 8
+
+
+def test_some_of_many_equal_rows_are_taken(spark):
+    docs = [(1, "a b c d", "x")] * 900 + [(2, "e f", "y")] * 901
+    df = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    out = sample(df, ["source"]).selectExpr("row.source as s", "taken", "target", "copies").collect()
+    assert len(out) == len(docs)
+    for s in "xy":
+        mine = [r for r in out if r.s == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2 and {r.copies for r in mine} <= {0, 1, 2}

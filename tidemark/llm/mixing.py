@@ -6,22 +6,34 @@ their random odds u / (1 - u) over the inclusion odds p / (1 - p), u a hash of t
 order until the source's remaining words are used up: a sample of fixed size, counted in words, with inclusion
 probabilities that differ between sources.
 
-No source is sorted whole. Ranks fall into buckets of about ``BUCKET_ROWS`` documents; sums per bucket tell in which
-bucket the remaining words end, and only that bucket is ordered. What the cut leaves over is then filled from the
-same bucket by documents that still fit, in rank order, and at last by the smallest one if that comes nearer.
+No source is sorted whole. Ranks fall into buckets of about ``BUCKET_ROWS`` documents. Sums per bucket tell in which
+bucket, the edge, the remaining words end; only that one is ordered, and what still fits is taken from it in rank
+order. What then is left over, as a long document may leave much, goes on to the documents behind the edge that fit, in the
+same way, ``ROUNDS`` edges in all; at last the smallest document left is taken if to go beyond the end by it comes nearer.
+
+Texts are counted once for the plan, which works on one narrow row a document (kept in the shared folder), and once
+more where the rows come out; nothing but narrow rows is shuffled. Rows equal in doc_id and text have one rank and are
+counted, not listed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import repeats as rp
+from .scratch import Scratch
+
 #: Documents of a bucket of ranks.
 BUCKET_ROWS = 4096
-#: Passes that fill what the cut left over.
-FILLS = 3
+#: Edges that a source may have, and passes over each that fill what is left over.
+ROUNDS, FILLS = 3, 3
 #: Weights of the sources in order of code points (null last), repeating.
 WEIGHTS = (3, 1, 2)
+#: Rows of a table that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -53,52 +65,100 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return per.select("source", "n_docs", "source_size", target.alias("target"))
 
 
+def _small(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """broadcast if df has few enough rows, else nothing."""
+    return F.broadcast if df.count() <= BROADCAST_ROWS else lambda x: x
+
+
+def _on_source(left: DataFrame, right: DataFrame, hint: Callable[[DataFrame], DataFrame], how: str = "inner") -> DataFrame:
+    """Join on source, null with null."""
+    return left.join(hint(right.withColumnRenamed("source", "_of")), F.col("source").eqNullSafe(F.col("_of")), how).drop("_of")
+
+
+def _fill(edge: DataFrame) -> DataFrame:
+    """Edge rows (source, k, th, size, rank, m copies, room, final: no other edge follows) with n, the copies taken, and left, the room that stays."""
+    of = Window.partitionBy("source")
+    order = of.orderBy("rank", "th", "k")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("n", F.lit(0).cast("long")).withColumn("left", F.col("room"))
+    for _ in range(FILLS + 1):
+        rest = F.when((F.col("size") > 0) & (F.col("size") <= F.col("left")), F.col("m") - F.col("n")).otherwise(0)
+        edge = edge.withColumn("rest", rest)
+        before = F.coalesce(F.sum(F.col("rest") * F.col("size")).over(earlier), F.lit(0))
+        fits = F.floor((F.col("left") - before) / F.greatest("size", F.lit(1)))
+        edge = edge.withColumn("n", F.col("n") + F.greatest(F.lit(0), F.least("rest", fits)))
+        edge = edge.withColumn("left", F.col("room") - F.sum(F.col("n") * F.col("size")).over(of))
+    edge = edge.withColumn("spare", F.col("final") & (F.col("n") < F.col("m")) & (F.col("size") > 0))
+    first = F.row_number().over(Window.partitionBy("source", "spare").orderBy("size", "rank", "th", "k")) == 1
+    edge = edge.withColumn("n", F.col("n") + F.when(F.col("spare") & first & (F.col("size") < 2 * F.col("left")), 1).otherwise(0))
+    return edge.select("source", "k", "th", "m", "n", "left", "bucket")
+
+
 def sample(docs: DataFrame, carry: list[str], share: float = 1.5, cap: float = 2.0, seed: int = 11, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per document: row (struct of the ``carry`` columns), size, source_size, target, copies, taken (copies * size).
 
-    Deterministic: u depends on doc_id and text alone, so reruns and repartitioning agree; rows equal in both tie and
-    are taken in either order. A null or empty text has size 0 and gets the certain copies only. A null source is a
-    source of its own, last. An empty table gives an empty result. No document gets more than ceil(cap) copies.
+    Deterministic: u depends on doc_id and text alone, so reruns and repartitioning agree; rows equal in both tie, and
+    any of them are taken. A null or empty text has size 0 and gets the certain copies only. A null source is a source
+    of its own, last. An empty table gives an empty result. No document gets more than ceil(cap) copies. A text of any
+    length is counted by the JVM in place. Extra columns matter only if carried.
     """
+    scratch = Scratch(docs.sparkSession, "mix")
+    own = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")
+    keys = rp.keys(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), u.alias("u"), F.xxhash64("text").alias("tie"))
-    per = source_targets(rows.select("source", "size"), share, cap, weights)
+    rows = docs.select(own, F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), u.alias("u"), *(v.alias(n) for n, v in keys.items()))
+    sized = scratch.keep("sized", rows.drop("row"))
+    per = source_targets(sized.select("source", "size"), share, cap, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sure = F.floor(rate).cast("long")
     per = per.withColumn("sure", sure).withColumn("p", rate - sure).withColumn("open", F.col("target") - sure * F.col("source_size"))
-    per = per.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long"))
-    rows = rows.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    per = scratch.keep("per", per.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long")))
+    hint = _small(per)  # one row a source
     # odds of the document over odds of its inclusion; only the order within a source counts
     rank = F.col("u") / (1 - F.col("u")) / F.greatest(F.col("p") / (1 - F.col("p")), F.lit(1e-300))
-    rows = rows.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")).cast("long"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("open").alias("open"))
+    bucket = F.floor(F.col("u") * F.col("buckets")).cast("long")
+    ranked = _on_source(sized, per.select("source", "p", "buckets"), hint).withColumn("rank", rank).withColumn("bucket", bucket)
+    tops = scratch.keep("tops", ranked.groupBy("source").agg(F.max("bucket").alias("top")))
+    state = per.select("source", F.col("open").alias("room"), F.lit(-1).cast("long").alias("from"))
+    plan, taken = per, None
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "open", (upto - F.col("words")).alias("before"), upto.alias("upto"))
-    cut = sums.filter((F.col("before") < F.col("open")) & (F.col("upto") >= F.col("open"))).drop("upto", "open")
-    rows = rows.join(cut.groupBy("of").agg(F.min("in").alias("edge"), F.min_by("before", "in").alias("before")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    inside = F.col("bucket") == F.col("edge")
-    easy = rows.filter(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.col("open") <= 0, 0).when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1).otherwise(0))
-    edge = rows.filter(inside)
-    order = Window.partitionBy("source").orderBy("rank", "tie", "size")
-    run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    room = F.col("open") - F.col("before")
-    edge = edge.withColumn("extra", F.when((F.col("size") > 0) & (run <= room), 1).otherwise(0))
-    for _ in range(FILLS):
-        used = F.sum(F.col("extra") * F.col("size")).over(Window.partitionBy("source"))
-        edge = edge.withColumn("gap", room - used)
-        fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        more = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        edge = edge.withColumn("more", more).withColumn("extra", F.when(fits & (F.col("more") <= F.col("gap")), 1).otherwise(F.col("extra")))
-    # the smallest document left, if to go beyond the end by it comes nearer than to stay short
-    used = F.sum(F.col("extra") * F.col("size")).over(Window.partitionBy("source"))
-    edge = edge.withColumn("gap", room - used).withColumn("spare", (F.col("extra") == 0) & (F.col("size") > 0))
-    last = F.row_number().over(Window.partitionBy("source", "spare").orderBy("size", "rank", "tie")) == 1
-    edge = edge.withColumn("last", last)
-    edge = edge.withColumn("extra", F.when(F.col("spare") & F.col("last") & (F.col("size") < 2 * F.col("gap")), 1).otherwise(F.col("extra")))
+    for r in range(ROUNDS):
+        plan = _on_source(plan, state.select("source", F.col("room").alias(f"room{r}"), F.col("from").alias(f"from{r}")), hint, "left")
+        # documents that fit at all, by bucket
+        sums = _on_source(ranked, state, hint).filter("bucket > from and size <= room").groupBy("source", "bucket", "room").agg(F.sum("size").alias("words"))
+        after = sums.withColumn("upto", upto).filter("upto > room")
+        cut = after.groupBy("source").agg(F.min(F.struct("bucket", (F.col("room") - F.col("upto") + F.col("words")).alias("room"))).alias("x")).select("source", "x.bucket", "x.room")
+        final = (F.col("bucket") == F.col("top")) | F.lit(r == ROUNDS - 1)
+        cut = scratch.keep(f"cut{r}", _on_source(cut, tops, hint).select("source", F.col("bucket").alias("edge"), "room", final.alias("final")))
+        edge = _on_source(ranked, cut, hint).filter("bucket = edge")
+        edge = edge.groupBy("source", "k", "th", "size", "rank", "bucket", "room", "final").agg(F.count("*").alias("m"))
+        edge = scratch.keep(f"edge{r}", _fill(edge))
+        state = edge.groupBy("source").agg(F.max("left").alias("room"), F.max("bucket").alias("from"))
+        plan = _on_source(plan, cut.select("source", F.col("edge").alias(f"edge{r}")), hint, "left")
+        took = edge.filter("n > 0").select("source", "k", "th", "m", "n")
+        taken = took if taken is None else taken.unionByName(took)
+    plan, taken = scratch.keep("plan", plan), scratch.keep("taken", taken)
+    scratch.drop("sized", "tops", *(f"{x}{r}" for x in ("cut", "edge") for r in range(ROUNDS)))
+    near = _small(taken)  # documents of the edges
+    rows = _on_source(rows, plan.drop("n_docs", "w", "p", "open"), hint).withColumn("bucket", bucket)
+    picked = near(taken.select(F.col("source").alias("_of"), F.col("k").alias("_k"), F.col("th").alias("_th"), "m", "n"))
+    rows = rows.join(picked, F.col("source").eqNullSafe(F.col("_of")) & (F.col("k") == F.col("_k")) & (F.col("th") == F.col("_th")), "left")
+    at_edge, inside = F.lit(False), F.lit(False)
+    for r in range(ROUNDS):
+        at_edge = at_edge | F.coalesce(F.col(f"edge{r}") == F.col("bucket"), F.lit(False))
+        # between two edges, or all that is left
+        reached = (F.col("bucket") > F.col(f"from{r}")) & (F.col("size") <= F.col(f"room{r}")) & (F.col(f"edge{r}").isNull() | (F.col("bucket") < F.col(f"edge{r}")))
+        inside = inside | F.coalesce(reached, F.lit(False))
+    whole = F.when(F.col("size") == 0, 0).when(at_edge, F.when(F.col("n") >= F.col("m"), 1).otherwise(0)).when(inside, 1).otherwise(0)
     names = ["row", "size", "source_size", "target", "sure", "extra"]
-    both = easy.select(*names).unionByName(edge.select(*names))
+    partly = F.coalesce((F.col("n") > 0) & (F.col("n") < F.col("m")) & at_edge, F.lit(False))
+    out = rows.filter(~partly).withColumn("extra", whole).select(*names)
+    if not taken.filter("n < m").isEmpty():
+        # some of the copies of a row: any of them
+        place = F.row_number().over(Window.partitionBy("source", "k", "th").orderBy(F.lit(0)))
+        out = out.unionByName(rows.filter(partly).withColumn("place", place).withColumn("extra", F.when(F.col("place") <= F.col("n"), 1).otherwise(0)).select(*names))
     copies = F.col("sure") + F.col("extra")
-    return both.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 11, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
