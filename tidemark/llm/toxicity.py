@@ -31,33 +31,42 @@ POSITIVES, UNLABELLED = 4000, 12000
 def features(s: bt.Slice) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) of all words and word beginnings, repeats included."""
     starts, ends, at = bt.word_spans(s, bt.ALNUM)
-    sums = bt.prefix(bt.codes(bt.LOWER[s.data]))
+    data = bt.LOWER[s.data]
     doc = np.repeat(np.arange(s.count), np.diff(at))
-    docs, hashes = [doc], [bt.span_hash(sums, starts, ends)]
+    docs, hashes = [doc], [bt.span_hashes(data, starts, ends)]
     for n in PREFIXES:
         use = ends - starts > n
         docs.append(doc[use])
-        hashes.append(bt.span_hash(sums, starts[use], starts[use] + n) ^ np.uint64(n))
+        hashes.append(bt.span_hashes(data, starts[use], starts[use] + n) ^ np.uint64(n))
     return np.concatenate(docs), (np.concatenate(hashes) % np.uint64(DIMENSION)).astype(np.int64)
 
 
-def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def accepted(toxic: np.ndarray, mixed: np.ndarray, positives: int, unlabelled: int, prior: float) -> np.ndarray:
+    """Features that may add to the score, from how many positive and unlabelled texts have each.
+
+    Words of toxic texts only are log(1 / prior) more common among the positives than in the mixture; three quarters
+    of the way there and beyond what chance explains, a feature may add to the score; none takes away from it.
+    """
+    expected = (mixed + 0.5) * positives / (unlabelled + 1)
+    odds = np.log(toxic + 0.5) - np.log(expected)
+    return np.flatnonzero((odds > 0.75 * np.log(1 / prior)) & (toxic - expected > 4 * np.sqrt(expected)) & (toxic >= 3))
+
+
+def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.ndarray | None = None, steps: int = 300, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights (DIMENSION) and bias from each text's distinct features; texts that are not positive are unlabelled.
 
-    The loss of a text is the sigmoid one, which is bounded, so the corrected risk does not hang on a few texts.
+    Only ``chosen`` features count, or those that ``accepted`` finds in the texts. The loss of a text is the sigmoid
+    one, which is bounded, so the corrected risk does not hang on a few texts.
     """
     weights = np.zeros(DIMENSION)
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
     if not len(p) or not len(u) or not 0 < prior < 1:
         return weights, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (12.0 if prior >= 1 else -12.0)
-    seen = {True: np.zeros(DIMENSION), False: np.zeros(DIMENSION)}
-    for i, x in enumerate(texts):
-        seen[bool(positive[i])][x] += 1
-    # words of toxic texts only are log(1 / prior) more common among the positives than in the mixture; three quarters
-    # of the way there and beyond what chance explains, a feature may add to the score; none takes away from it
-    expected = (seen[False] + 0.5) * len(p) / (len(u) + 1)
-    odds = np.log(seen[True] + 0.5) - np.log(expected)
-    chosen = np.flatnonzero((odds > 0.75 * np.log(1 / prior)) & (seen[True] - expected > 4 * np.sqrt(expected)) & (seen[True] >= 3))
+    if chosen is None:
+        seen = {True: np.zeros(DIMENSION), False: np.zeros(DIMENSION)}
+        for i, x in enumerate(texts):
+            seen[bool(positive[i])][x] += 1
+        chosen = accepted(seen[True], seen[False], len(p), len(u), prior)
     column = np.full(DIMENSION, -1)
     column[chosen] = np.arange(len(chosen))
 
@@ -99,7 +108,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], positiv
     Labels are learnt only from rows that are not held out, at most ``positives`` toxic ones and ``unlabelled`` texts
     of any kind (lowest hashes of doc_id); the class prior is the toxic share of those rows. Only the text is scored.
     A null or empty text has no features and gets the bias alone. With no labels every score is 0; with labels of
-    one kind only it is nearly 0 or 1. Repeated rows score alike; extra columns matter only if carried.
+    one kind only it is nearly 0 or 1. Repeated rows score alike; an empty table gives an empty result; extra columns
+    matter only if carried. Texts of any length are taken whole, about 20 bytes of memory a byte beyond the first
+    megabyte; to the driver go at most DIMENSION counts, and of the texts fitted on only the accepted features.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -109,21 +120,53 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], positiv
     sampled = sample_of(known.filter("toxic = 1"), positives, 1).select("doc_id", F.lit(True).alias("p")).unionByName(sample_of(ids, unlabelled, 2).select("doc_id", F.lit(False).alias("p")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sampled), "doc_id").select("p", "text")
 
+    def distinct_features(s: bt.Slice) -> np.ndarray:
+        doc, feature = features(s)
+        return np.unique(doc * DIMENSION + feature)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, DIMENSION), np.int32)
+        texts = np.zeros(2, np.int64)
+        for batch in batches:
+            for s in bt.slices(batch.column(1)):
+                both = distinct_features(s)
+                kind = np.asarray(batch.column(0).slice(s.first, s.count), bool).astype(np.int64)
+                texts += np.bincount(kind, minlength=2)
+                for k in (0, 1):
+                    seen[k] += np.bincount(both[kind[both // DIMENSION] == k] % DIMENSION, minlength=DIMENSION).astype(np.int32)
+        x = np.flatnonzero(seen.any(axis=0))
+        x, mixed, toxic = np.append(x, -1), np.append(seen[0, x], texts[0]), np.append(seen[1, x], texts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(mixed.astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["x", "mixed", "toxic"])
+        bt.release()
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = wanted.value
         for batch in batches:
             for s in bt.slices(batch.column(1)):
-                doc, feature = features(s)
-                both = np.unique(doc * DIMENSION + feature)
+                both = distinct_features(s)
+                both = both[use[both % DIMENSION]]
                 cuts = np.searchsorted(both, np.arange(s.count + 1) * DIMENSION)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((both % DIMENSION).astype(np.int32)))], names=["p", "x"])
+        bt.release()
 
     weights, bias = np.zeros(DIMENSION), -np.inf
     if share is not None:
+        # how many texts have each feature: at most DIMENSION rows, of which few are accepted
+        seen = texts.mapInArrow(count, "x long, mixed long, toxic long").groupBy("x").agg(F.sum("mixed").alias("mixed"), F.sum("toxic").alias("toxic")).toArrow()
+        x, mixed, toxic = (seen.column(i).to_numpy() for i in range(3))
+        total = {k: int(v[x == -1].sum()) for k, v in (("mixed", mixed), ("toxic", toxic))}
+        chosen = np.zeros(0, np.int64)
+        if total["mixed"] and total["toxic"] and 0 < share < 1:
+            there = np.zeros((2, DIMENSION))
+            there[:, x[x >= 0]] = mixed[x >= 0], toxic[x >= 0]
+            chosen = accepted(there[1], there[0], total["toxic"], total["mixed"], float(share))
+        use = np.zeros(DIMENSION, bool)
+        use[chosen] = True
+        wanted = spark.sparkContext.broadcast(use)
         got = texts.mapInArrow(extract, "p boolean, x array<int>").toArrow()
-        order = sorted(range(len(got)), key=lambda i: (got.column(0)[i].as_py(), hash(tuple(got.column(1)[i].as_py()))))
+        order = sorted(range(len(got)), key=lambda i: (got.column(0)[i].as_py(), tuple(got.column(1)[i].as_py())))
         got = got.take(pa.array(order, pa.int64()))
-        x = [a.values.to_numpy().astype(np.int64) for a in got.column(1)]
-        weights, bias = fit(x, np.array(got.column(0).to_pylist(), bool), float(share))
+        weights, bias = fit([a.values.to_numpy().astype(np.int64) for a in got.column(1)], np.array(got.column(0).to_pylist(), bool), float(share), chosen)
     sent = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     schema = rows.select("row", "held_out", F.lit(0.0).alias("score")).schema
@@ -138,5 +181,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], positiv
                 z = np.bincount(both // DIMENSION, weights[both % DIMENSION], s.count) + bias
                 part = batch.slice(s.first, s.count)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))) if bias > -np.inf else np.zeros(s.count))], names=["row", "held_out", "score"])
+        bt.release()
 
     return rows.mapInArrow(score, schema)
