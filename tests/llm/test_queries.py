@@ -5,13 +5,17 @@ import hashlib
 import os
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
 
+from tests.llm.test_conversations import account
 from tests.llm.test_line_quality import brute as line_counts
 from tests.llm.test_mixing import brute_targets
+from tests.llm.test_periods import brute as brute_runs
+from tests.llm.test_periods import collapsed
 from tidemark.llm.queries import oracle_sql, queries, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +99,34 @@ def test_op10_against_the_library(spark, docs):
         ids = [*lib.encode(docs[r.doc_id].text or "", add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_op11_against_brute_force(spark, docs):
+    for r in rows_of(spark, "op11_periodic_runs"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or "")
+        h, n = zlib.crc32(str(r.doc_id).encode()), len(words)
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        runs = brute_runs(words)
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=None)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        assert (r.n_runs, r.start, r.length, r.period, r.exponent_milli) == (len(runs), *want)
+        assert r.runs_sha256 == sha("".join(f"{a},{m},{q}\n" for a, m, q in runs)) and r.collapsed_sha256 == sha(collapsed(words, runs))
+
+
+def test_op13_against_brute_force(spark):
+    per, original = {}, set()
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        original.add(r.conv_id)
+        fault = zlib.crc32(f"{r.conv_id}:{r.turn}".encode()) % 20
+        text = "" if fault == 1 else re.sub("[.!?]", "", r.text) if fault == 2 else r.text
+        per.setdefault(r.conv_id, []).extend([(r.turn, "user" if fault == 4 else r.role, text)] * {0: 0, 3: 2}.get(fault, 1))
+    rows = rows_of(spark, "op13_conversation_repair")
+    assert sorted(r.conv_id for r in rows) == sorted(original)
+    for r in rows:
+        want, turns = account(per[r.conv_id])
+        assert (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit) == want
+        assert r.repaired_sha256 == hashlib.sha256("\n".join(f"{a}:{b}" for a, b in turns).encode()).hexdigest()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, folds, jaccard_join, language, line_quality, mixing, secrets, token_files, toxicity
+from . import conversations, decontaminate, folds, jaccard_join, language, line_quality, mixing, periods, secrets, token_files, toxicity
 from .lsm_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_substrings
 
@@ -76,6 +76,46 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), vocabulary())
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten repeats itself from some word on, by the checksum of its doc_id; words are joined by spaces there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(made_periodic(documents(spark, sf_dir)), ["doc_id"])
+    best = periods.longest("runs")
+    listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), (x["period"].cast("string")))), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    found = found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: by the checksum of its number a turn is dropped, emptied, loses its stops, comes twice or is given to the user."""
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fault = (F.crc32(key.cast("binary")) % 20).cast("int")
+    text = F.coalesce("text", F.lit(" "))
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fault == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    times = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = conversations.repair(damaged(rows))
+    report, texts = repaired.report.withColumnRenamed("conv_id", "c1"), conversations.digest(repaired.turns).withColumnRenamed("conv_id", "c2")
+    all_ids = rows.select("conv_id").distinct()
+    out = all_ids.join(report, F.col("conv_id").eqNullSafe(F.col("c1")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("c2")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -88,6 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_token_output": op10_token_output,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
