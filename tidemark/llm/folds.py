@@ -11,6 +11,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_of(ids: DataFrame, rows: int, seed: int) -> DataFrame:
-    """The ``rows`` distinct doc_ids of lowest hash: the same ones at every partitioning."""
-    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+def sample_rows(docs: DataFrame, ids: DataFrame, rows: int, seed: int) -> DataFrame:
+    """doc_id and text of at most ``rows`` rows whose doc_id is among ``ids``: the same ones at every partitioning.
+
+    Ids of lowest hash are taken first, at most ``rows``, so what is broadcast is bounded; of their rows, each of
+    equal ones once, those of lowest hash of id and text. So an id of any number of rows brings no more than the bound.
+    """
+    few = ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    there = texts.join(F.broadcast(few), "doc_id", "left_semi").distinct()
+    return there.orderBy(F.xxhash64("doc_id", "text", F.lit(seed)), "doc_id", "text").limit(rows)

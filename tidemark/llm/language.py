@@ -101,16 +101,17 @@ class Filters:
 
 
 def fit(docs: DataFrame, per_language: int = FITTED) -> Filters:
-    """Filters from text and lang of rows that are not held out, at most ``per_language`` of each (lowest hashes)."""
+    """Filters from text and lang of rows that are not held out, at most ``per_language`` of each (lowest hashes; of equal rows one)."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     # the rows of lowest hash by a threshold per language, found by a percentile: no language is sorted whole
-    known = known.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).cast("long"))
+    known = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit(3))).withColumn("u", F.pmod("h", F.lit(1 << 30)).cast("long"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("m"))
     # one row a language, by which no row is dealt out, unless there are too many to send
     near = F.broadcast if sizes.count() <= BROADCAST_ROWS else lambda x: x
-    few = known.select("lang", "doc_id", "u").join(near(sizes), "lang").filter(F.col("u") < F.lit(2.0 * per_language) / F.col("m") * (1 << 30) + 64 / F.col("m") * (1 << 30))
-    chosen = few.withColumn("place", F.row_number().over(W.Window.partitionBy("lang").orderBy("u", "doc_id"))).filter(F.col("place") <= per_language).select(F.col("lang").alias("l"), F.col("doc_id").alias("d")).distinct()
-    sample = known.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("lang", "text")
+    few = known.join(near(sizes), "lang").filter(F.col("u") < F.lit(2.0 * per_language) / F.col("m") * (1 << 30) + 64 / F.col("m") * (1 << 30))
+    # equal rows count once, however many there are
+    rows = few.select("lang", "u", "h").distinct().withColumn("place", F.row_number().over(W.Window.partitionBy("lang").orderBy("u", "h"))).filter(F.col("place") <= per_language)
+    sample = few.join(rows.select("lang", "h"), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

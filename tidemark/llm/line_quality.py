@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .folds import sample_of
+from .folds import sample_rows
 from .scratch import small_batches
 
 #: Words of a window whose repeats count, fewest words of a document, most repeated words in percent.
@@ -31,7 +31,7 @@ CONTENT_SHARE = 0.5
 FITTED = 1500
 #: While fitting: most boilerplate expected in a good document, least in a bad one, as shares of its words.
 MOST_IN_GOOD, LEAST_IN_BAD = 0.1, 0.6
-#: Lines of a document that is fitted on: what comes to the driver is bounded.
+#: Lines of a document that is fitted on, half from its beginning and half from its end: what comes to the driver is bounded.
 LINES = 200
 CONTENT, BOILERPLATE = 0, 1
 _SYMBOLS = np.zeros(256, bool)
@@ -246,20 +246,19 @@ def _regularised(chains: Chains, theta: list[np.ndarray], y: np.ndarray, size: n
 
 
 def learn(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Field:
-    """A field from at most ``fitted`` documents of either label (lowest hashes of doc_id), the first LINES lines of each; the default one without both labels."""
+    """A field from at most ``fitted`` rows of either label (lowest hashes; of equal rows one), of each at most LINES lines; the default one without both labels."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null and quality in (0, 1)")
-    sampled = sample_of(known.filter("quality = 1"), fitted, 7).select("doc_id", F.lit(0).alias("y")).unionByName(sample_of(known.filter("quality = 0"), fitted, 7).select("doc_id", F.lit(1).alias("y")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sampled), "doc_id").select("doc_id", "y", "text")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    texts = sample_rows(docs, known.filter("quality = 1"), fitted, 7).withColumn("y", F.lit(CONTENT)).unionByName(sample_rows(docs, known.filter("quality = 0"), fitted, 7).withColumn("y", F.lit(BOILERPLATE))).select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in bt.slices(batch.column(2)):
                 _, lines = measure(s)
                 cuts = np.searchsorted(lines.doc, np.arange(s.count + 1))
-                ranges = list(zip(cuts[:-1].tolist(), np.minimum(cuts[1:], cuts[:-1] + LINES).tolist(), strict=True))
-                raw = [lines.features[a:b].astype(np.uint8).tobytes() for a, b in ranges]
-                words = [lines.words[a:b].astype("<i4").tobytes() for a, b in ranges]
+                both_ends = [np.arange(a, b) if b - a <= LINES else np.concatenate([np.arange(a, a + LINES // 2), np.arange(b - LINES // 2, b)]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                raw = [lines.features[i].astype(np.uint8).tobytes() for i in both_ends]
+                words = [lines.words[i].astype("<i4").tobytes() for i in both_ends]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), batch.column(1).slice(s.first, s.count), pa.array(raw, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "y", "x", "w"])
         bt.release()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, folds, jaccard_join, language, line_quality, mixing, periods, secrets, token_files, toxicity
+from . import conversations, decontaminate, folds, jaccard_join, language, line_quality, mixing, periods, secrets, token_files, toxicity, web_quality
 from .lsm_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_substrings
 
@@ -95,6 +95,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = web_quality.score_quality(docs, web_quality.learn(docs, labels(spark, sf_dir)), ["doc_id"])
+    return out.select("row.doc_id", "held_out", "score", (F.col("score") >= web_quality.GOOD).cast("int").alias("predicted"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults: by the checksum of its number a turn is dropped, emptied, loses its stops, comes twice or is given to the user."""
     key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
@@ -129,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_token_output": op10_token_output,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_quality_classifier": op12_quality_classifier,
         "op13_conversation_repair": op13_conversation_repair,
     }
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .folds import held_out, sample_of
-from .scratch import small_batches
+from .folds import held_out, sample_rows
+from .scratch import Scratch, small_batches
 
 #: Hashed features.
 DIMENSION = 1 << 20
@@ -105,8 +105,8 @@ def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.
 def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """row (struct of the ``carry`` columns), held_out, score (0 to 1): one row per document.
 
-    Labels are learnt only from rows that are not held out, at most ``positives`` toxic ones and ``unlabelled`` texts
-    of any kind (lowest hashes of doc_id); the class prior is the toxic share of those rows. Only the text is scored.
+    Labels are learnt only from rows that are not held out, at most ``positives`` toxic rows and ``unlabelled`` rows
+    of any kind (lowest hashes; of equal rows one); the class prior is the toxic share of those rows. Only the text is scored.
     A null or empty text has no features and gets the bias alone. With no labels every score is 0; with labels of
     one kind only it is nearly 0 or 1. Repeated rows score alike; an empty table gives an empty result; extra columns
     matter only if carried. Texts of any length are taken whole, about 20 bytes of memory a byte beyond the first
@@ -117,8 +117,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], positiv
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
-    sampled = sample_of(known.filter("toxic = 1"), positives, 1).select("doc_id", F.lit(True).alias("p")).unionByName(sample_of(ids, unlabelled, 2).select("doc_id", F.lit(False).alias("p")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sampled), "doc_id").select("p", "text")
+    toxic, mixed = sample_rows(docs, known.filter("toxic = 1"), positives, 1), sample_rows(docs, ids, unlabelled, 2)
+    scratch = Scratch(spark, "toxicity")
+    texts = scratch.keep("sample", toxic.withColumn("p", F.lit(True)).unionByName(mixed.withColumn("p", F.lit(False))).select("p", "text"))
 
     def distinct_features(s: bt.Slice) -> np.ndarray:
         doc, feature = features(s)
@@ -166,6 +167,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], positiv
         got = texts.mapInArrow(extract, "p boolean, x array<int>").toArrow()
         order = sorted(range(len(got)), key=lambda i: (got.column(0)[i].as_py(), tuple(got.column(1)[i].as_py())))
         got = got.take(pa.array(order, pa.int64()))
+        scratch.drop("sample")
         weights, bias = fit([a.values.to_numpy().astype(np.int64) for a in got.column(1)], np.array(got.column(0).to_pylist(), bool), float(share), chosen)
     sent = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
