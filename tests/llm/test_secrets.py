@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from math import log2
 
-from tidemark.llm.secrets import CLASSES, WINDOW, digest, entropy_spans, find_secrets
+from tidemark.llm.secrets import ALLOW, CLASSES, WINDOW, digest, entropy_spans, find_secrets, unlisted
 
 PATTERNS = [("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8), ("access", re.compile("AKIA[A-Z0-9]+"), 16), ("hex", re.compile("[0-9a-f]+"), 32)]
 
@@ -80,3 +81,43 @@ def test_long_runs_in_stretches(monkeypatch):
         for size in (1, 64, 100):
             monkeypatch.setattr("tidemark.llm.secrets.LONG", size)
             assert entropy_spans(text, cls) == want
+
+
+def test_time_of_the_allow_list_is_linear_in_the_text():
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = lambda n: "".join(rng.choices(letters, k=n))
+    patterns = [re.compile(x.encode()) for x in ALLOW]
+    one_run, paths = (noise(1 << 20) + "example").encode(), "/".join(f"x/example{noise(30)}" for _ in range(26_000)).encode()
+    for text in (one_run, paths):
+        listed = [m.span() for p in patterns for m in p.finditer(text)]
+        for c in CLASSES:
+            began = time.process_time()
+            assert unlisted(text, c, entropy_spans(text, c), listed) == []
+            assert time.process_time() - began < 6  # hours where time grows with the square
+
+
+def test_allow_list_against_every_span_and_match():
+    rng = random.Random(12)
+    patterns = [re.compile(x.encode()) for x in ALLOW]
+    for _ in range(300):
+        words = [rng.choice(["example", "abcdefghijkl", "/", "=", "_", "-", "--"]) if rng.random() < 0.5 else "".join(rng.choices("abcdefGHIJKLMNOPQRSTUV0123456789+", k=rng.randint(3, 40))) for _ in range(rng.randint(1, 14))]
+        text = "".join(words).encode()
+        listed = [m.span() for p in patterns for m in p.finditer(text)]
+        for c in CLASSES:
+            want, done = [], set()
+            for a, b in entropy_spans(text, c):
+                low = max(text.rfind(x, 0, a) for x in (b"/", b"=", b"_", b"-")) + 1
+                high = min(x for x in (*(text.find(x, b) for x in (b"/", b"=", b"_", b"-")), len(text)) if x >= 0)
+                if not any(x < high and low < y for x, y in listed):
+                    want.append((a, b))
+                    continue
+                parts = [m.span() for m in re.finditer(rb"[^/=_-]+", text) if low <= m.start() < high and m.start() not in done]
+                done |= {p for p, _ in parts}
+                parts = [p for p in parts if not any(x < p[1] and p[0] < y for x, y in listed)]
+                joined = []
+                for p in parts:
+                    near = joined and not text[joined[-1][1] : p[0]].strip(b"_-")
+                    joined[-1:] = [(joined[-1][0], p[1])] if near else [*joined[-1:], p]
+                want += [(f + x, f + y) for f, g in joined for x, y in entropy_spans(text[f:g], c)]
+            assert unlisted(text, c, entropy_spans(text, c), listed) == want

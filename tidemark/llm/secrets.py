@@ -9,6 +9,7 @@ none; of other spans that a pattern touches, the parts between separators that i
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,6 +38,7 @@ def _lut(chars: str) -> np.ndarray:
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _HEX = _lut(_DIGITS + "abcdef")
 _SEPARATORS = b"/=_-"
+_IS_SEPARATOR = _lut(_SEPARATORS.decode())
 _PART = re.compile(rb"[^/=_-]+")
 _TOKEN = _lut(_DIGITS + _LOWER + _LOWER.upper() + "+/=_-")
 
@@ -148,20 +150,22 @@ def unlisted(text: bytes, cls: CharacterClass, spans: list[tuple[int, int]], lis
     of their own; parts next to each other stay together across '_' and '-'.
     """
     out: list[tuple[int, int]] = []
+    if not spans:
+        return out
+    cuts = np.flatnonzero(_IS_SEPARATOR[np.frombuffer(text, np.uint8)])
+    a, b = np.array(spans).T
+    before, after = np.searchsorted(cuts, a, "left") - 1, np.searchsorted(cuts, b, "left")
+    lows = np.where(before >= 0, np.append(cuts, 0)[before] + 1, 0)
+    highs = np.append(cuts, len(text))[after]
+    hit = _Touched(listed)
     done = 0  # parts up to here were looked at
-    for a, b in spans:
-        low, high = a, b
-        while low and text[low - 1] not in _SEPARATORS:
-            low -= 1
-        while high < len(text) and text[high] not in _SEPARATORS:
-            high += 1
-        if not any(x < high and low < y for x, y in listed):
-            out.append((a, b))
+    for span, low, high in zip(spans, lows.tolist(), highs.tolist(), strict=True):
+        if not hit(low, high):
+            out.append(span)
             continue
-        low = max(low, done)
         free: list[tuple[int, int]] = []
-        for m in _PART.finditer(text, low, high):
-            if any(x < m.end() and m.start() < y for x, y in listed):
+        for m in _PART.finditer(text, max(low, done), high) if high > done else ():
+            if hit(m.start(), m.end()):
                 continue
             if free and not text[free[-1][1] : m.start()].strip(b"_-"):
                 free[-1] = (free[-1][0], m.end())
@@ -172,6 +176,19 @@ def unlisted(text: bytes, cls: CharacterClass, spans: list[tuple[int, int]], lis
     return out
 
 
+class _Touched:
+    """Whether a range has a place in common with any of some ranges."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        lo, hi = np.array([r for r in ranges if r[0] < r[1]], np.int64).reshape(-1, 2).T
+        lo, hi = bt.union_ranges(lo, hi)
+        self.lo, self.hi = lo.tolist(), hi.tolist()
+
+    def __call__(self, low: int, high: int) -> bool:
+        i = bisect_right(self.hi, low)
+        return i < len(self.lo) and self.lo[i] < high
+
+
 def find_secrets(docs: DataFrame, carry: list[str], classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> DataFrame:
     """row (struct of the ``carry`` columns), spans (kind, start, end in code points, by start and then kind): one row per document.
 
