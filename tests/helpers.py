@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from tidemark.sources.readers import FACT_SCHEMA
 
-BASE = datetime(2020, 1, 10, 12)
+START = datetime(2023, 8, 17, 6, 30)
 
 
 def facts(spark, rows):
@@ -16,7 +16,7 @@ def facts(spark, rows):
 
 
 def hours(h):
-    return BASE + timedelta(hours=h)
+    return START + timedelta(hours=h)
 
 
 def second(t):

@@ -1,39 +1,43 @@
 import random
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import BASE, brute, close, facts, hours, values
+from tests.helpers import START, brute, close, facts, hours, values
 from tidemark.operators import features
 from tidemark.operators.asof import asof_join
 from tidemark.plans.catalog import load_catalog
 from tidemark.queries import custom
 
 SHIPPED = load_catalog()
-#: Hours before the cutoff; sum 24 h, count 24 h, sum 7 d, seconds since the last.
-BOUNDARIES = [(24, 10, 1, 10, 86400), (24.5, 0, 0, 10, 88200), (168, 0, 0, 10, 604800), (168.5, 0, 0, 0, 606600), (720, 0, 0, 0, 2592000), (720.5, 0, 0, 0, None)]
 
 
-@pytest.mark.parametrize("strategy", ["range", "prefix", "chunked"])
-def test_window_boundaries(spark, strategy):
+def edges(seed):
+    """Entities with one event at, just within or just before the far end of a window, a point to predict, peers of it, and later events."""
+    rng = random.Random(seed)
     rows = []
-    for n, (h, *_) in enumerate(BOUNDARIES):
-        rows += [(10 * n + 1, f"u{n}", hours(-h), 10), (10 * n + 2, f"u{n}", BASE, 20), (10 * n + 3, f"u{n}", hours(1), 500)]
-    got = values(features.build(facts(spark, rows), SHIPPED, strategy), SHIPPED.names)
-    assert {n: got[10 * n + 2] for n in range(len(BOUNDARIES))} == {n: list(want) for n, (_, *want) in enumerate(BOUNDARIES)}
+    for n, (f, d) in enumerate((f, d) for f in SHIPPED.features for d in (-1, 0, 1)):
+        at = hours(rng.randrange(1000)) + timedelta(microseconds=rng.choice([0, 1, 400_000, 999_999]))
+        far = at - timedelta(microseconds=f.window_us - d)
+        times = [far, far, at, at, at, at + timedelta(microseconds=1), at + timedelta(hours=rng.randrange(1, 900))]
+        rows += [(100 * n + i, f"u{n}", t, rng.randrange(1, 4000) / 8) for i, t in enumerate(times)]
+    return rows
 
 
-def test_ties_at_the_cutoff_do_not_see_each_other(spark):
-    rows = [(1, "a", hours(-1), 10), (2, "a", BASE, 20), (3, "a", BASE, 30), (4, "a", hours(1), 100)]
-    got = values(features.build(facts(spark, rows), SHIPPED), SHIPPED.names)
-    assert got[2] == got[3] == [10, 1, 10, 3600]
+@pytest.mark.parametrize("strategy", features.STRATEGIES)
+def test_window_ends_and_peers(spark, strategy):
+    rows = edges(strategy)
+    got = values(features.build(facts(spark, rows), SHIPPED, strategy), SHIPPED.names)
+    assert close(got, brute(rows, SHIPPED))
+    # peers of one instant see the same, and not each other
+    assert all(got[n + 2] == got[n + 3] == got[n + 4] for n in range(0, rows[-1][0], 100))
 
 
 def random_rows(seed, n=150):
     rng = random.Random(seed)
     steps = [0, 1, 24, 168, 720, 24.5, 0.0001, 700]
-    return [(i, rng.choice(["a", "b", "", None]), BASE + timedelta(hours=rng.choice(steps) * rng.randrange(-3, 4), microseconds=rng.choice([0, 0, 1, 999_999])), rng.randrange(-500, 5000) / 100) for i in range(n)]
+    return [(i, rng.choice(["a", "b", "", None]), START + timedelta(hours=rng.choice(steps) * rng.randrange(-3, 4), microseconds=rng.choice([0, 0, 1, 999_999])), rng.randrange(-500, 5000) / 100) for i in range(n)]
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
@@ -57,8 +61,7 @@ def test_strategies_against_brute_force(spark, zone):
 
 
 def test_shapes_and_types(spark):
-    rows = [(1, "a", datetime(2020, 1, 1), 10, 0), (2, "a", datetime(2020, 1, 1, 1), 20, 1), (3, "b", datetime(2020, 1, 1, 2), 30, 0)]
-    table = facts(spark, rows)
+    table = facts(spark, random_rows(8, 12))
     assert features.spine(table).columns == ["label_id", "uid", "cutoff_ts", "label"]
     assert features.history(table).columns == ["uid", "feature_ts", "amount", "event_id"]
     assert features.prefix_sums(features.history(table)).columns == ["uid", "feature_ts", "amount", "event_id", "cumulative_amount", "cumulative_count"]

@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import close, facts, values
+from tests.helpers import brute, close, facts, values
 from tidemark.__main__ import main
 from tidemark.operators import features, parity
 from tidemark.operators.cohort import same_rows
@@ -19,32 +19,41 @@ from tidemark.streaming import online, replay
 
 SHIPPED = load_catalog()
 D = datetime
-ROWS = [
-    (1, "entity-a", D(2019, 12, 31, 23, 59), 1, 0), (2, "entity-a", D(2020, 1, 1), 10, 0), (3, "entity-a", D(2020, 1, 30), 20, 0), (4, "entity-a", D(2020, 1, 31), 30, 1), (5, "entity-a", D(2020, 1, 31), 5, 0),
-    (6, "entity-a", D(2020, 1, 31, 12), 40, 0), (7, "entity-b", D(2020, 1, 31, 12), 100, 1), (8, None, D(2020, 2, 1), 200, 0), (9, "entity-a", D(2020, 2, 1), 50, 1), (10, "entity-a", D(2020, 2, 2), 60, 0),
-]
+FIRST, LAST = date(2022, 9, 14), date(2022, 9, 16)
+
+
+def around(seed, first=FIRST, last=LAST):
+    """Events of three entities and of none: at both ends of some days, one lookback before these, and anywhere near."""
+    rng = random.Random(seed)
+    low, high = D.combine(first, D.min.time()), D.combine(last + timedelta(days=1), D.min.time())
+    us, back = timedelta(microseconds=1), timedelta(hours=SHIPPED.max_lookback_hours)
+    times = [t - b + d for t in (low, low, high) for b in (timedelta(0), back) for d in (-us, timedelta(0), us)]
+    times += [low + rng.random() * (high - low) for _ in range(25)] + [low - rng.random() * 1.2 * back for _ in range(25)] + [high + rng.random() * back for _ in range(5)]
+    return [(i + 1, rng.choice(["k1", "k1", "k2", None]), t, rng.randrange(1, 900) / 4, rng.randrange(2)) for i, t in enumerate(times)]
 
 
 def test_backfill_reruns_and_equals_the_whole_build(spark, tmp_path):
-    table = facts(spark, ROWS)
+    rows = around(4)
+    table = facts(spark, rows)
     how = {"output_root": str(tmp_path / "out"), "log_path": tmp_path / "log.jsonl"}
-    first = backfill.run(table, "2020-01-31", date(2020, 2, 1), **how)
-    rows = spark.read.parquet(first.output_path)
-    whole = features.build(table, SHIPPED).filter("label_id between 4 and 9")
-    assert first.row_count == 6 and same_rows(rows, whole)
-    before = rows.collect()
-    second = backfill.run(table, "2020-01-31", "2020-02-01", **how)
-    assert second.output_path == first.output_path and sorted(spark.read.parquet(second.output_path).collect()) == sorted(before)
-    assert f"version=1.0.0-{SHIPPED.fingerprint}/2020-01-31_2020-02-01" in first.output_path
+    first = backfill.run(table, str(FIRST), LAST, **how)
+    built = spark.read.parquet(first.output_path)
+    asked = [i for i, _, t, *_ in rows if FIRST <= t.date() <= LAST]
+    whole = features.build(table, SHIPPED).filter(F.col("label_id").isin(asked))
+    assert first.row_count == len(asked) and close(values(built, SHIPPED.names), values(whole, SHIPPED.names))
+    before = built.collect()
+    second = backfill.run(table, str(FIRST), str(LAST), **how)
+    assert second.output_path == first.output_path and sorted(spark.read.parquet(second.output_path).collect(), key=str) == sorted(before, key=str)
+    assert f"version=1.0.0-{SHIPPED.fingerprint}/{FIRST}_{LAST}" in first.output_path
     assert open(first.snapshot_path, "rb").read() == DEFAULT_PATH.read_bytes()
     assert not [p for p in (tmp_path / "out").rglob("*") if p.name.startswith(("_tmp", "_old"))]
     with pytest.raises(ValueError):
-        backfill.run(table, "2020-02-02", "2020-02-01", **how)
+        backfill.run(table, LAST, FIRST, **how)
     with pytest.raises(Exception):
-        backfill.run(table.drop("amount"), "2020-01-31", "2020-02-01", **how)
+        backfill.run(table.drop("amount"), FIRST, LAST, **how)
     log = [json.loads(x)["status"] for x in (tmp_path / "log.jsonl").read_text().splitlines()]
     assert log == ["success", "success", "failed"] and spark.read.json(str(tmp_path / "log.jsonl")).count() == 3
-    assert sorted(spark.read.parquet(first.output_path).collect()) == sorted(before)
+    assert sorted(spark.read.parquet(first.output_path).collect(), key=str) == sorted(before, key=str)
 
 
 def test_store_boundaries_and_state(spark, tmp_path):
@@ -54,33 +63,41 @@ def test_store_boundaries_and_state(spark, tmp_path):
     other.write_text("x")
     with pytest.raises(online.NoClock):
         online.lookup(store, "u")
-    at, h = 1_700_000_000, 3600
-    events = [(i, "u", at + s, a) for i, (s, a) in enumerate([(-720 * h, 1), (-168 * h, 2), (-24 * h, 3), (-1, 4), (0, 100), (1, 200)])]
+    rng = random.Random(6)
+    at = rng.randrange(10**9, 10**10)
+    seconds = sorted({-f.window_us // 10**6 + d for f in SHIPPED.features for d in (-2, 0, 2)} | {-7, 0, 3})
+    events = [(i, "u", at + s, rng.randrange(1, 90) / 2) for i, s in enumerate(seconds)]
     result = store.replay(online.event_rows(spark, events))
-    assert (result.total_rows, result.ingested_events, result.last_event_epoch) == (6, 6, at + 1) and store.clock() == at + 1
-    assert online.lookup(store, "u", at) == {"uid": "u", "as_of_epoch": at, "sum_amt_24h": 7.0, "count_txn_24h": 2, "sum_amt_7d": 9.0, "time_since_last_txn_sec": 1.0}
+    assert (result.total_rows, result.ingested_events, result.last_event_epoch) == (len(events), len(events), at + 3) and store.clock() == at + 3
+    moment = lambda s: D(1970, 1, 1) + timedelta(seconds=s)
+    want = brute([(i, u, moment(s), a) for i, u, s, a in events] + [(-1, "u", moment(at), 0.0)], SHIPPED)[-1]
+    assert online.lookup(store, "u", at) == {"uid": "u", "as_of_epoch": at, **dict(zip(SHIPPED.names, want, strict=True))}
     assert online.lookup(store, "nobody")["count_txn_24h"] == 0 and online.lookup(store, "nobody")["time_since_last_txn_sec"] is None
-    store.ingest("u", 3, 4, at + 5)  # the same event moves
-    store.ingest("u", 3, 5, at + 5)  # another amount is another event
-    assert store.state().count() == 7 and store.state().filter(F.col("us") == (at + 5) * 10**6).count() == 2
+    i, _, _, amount = events[3]
+    store.ingest("u", i, amount, at + 5)  # the same event moves
+    store.ingest("u", i, amount + 1, at + 5)  # another amount is another event
+    assert store.state().count() == len(events) + 1 and store.state().filter(F.col("us") == (at + 5) * 10**6).count() == 2
     for bad in (float("nan"), float("inf"), True):
         with pytest.raises(online.BadInstant):
             online.lookup(store, "u", bad)
     with pytest.raises(ValueError):
         store.replay(online.event_rows(spark, [(1, "u", 5, 1.0), (2, "v", 4, 1.0)]))
-    assert store.state().count() == 7
+    assert store.state().count() == len(events) + 1
     store.clear()
     assert store.clock() is None and store.state().count() == 0 and other.exists()
 
 
 def test_replay_orders_observes_and_keeps_the_clock(spark, tmp_path):
-    start = D(2017, 12, 1)
-    rows = [(3, "a", start + timedelta(seconds=60), 5.0), (2, "a", start + timedelta(seconds=0), 20.0), (4, None, start + timedelta(seconds=60), 1.0), (1, "a", start + timedelta(seconds=0), 10.0)]
+    rows = edge_rows(11)
+    random.Random(11).shuffle(rows)
     seen = []
     store = online.OnlineStore(spark, str(tmp_path))
-    result = store.replay_facts(facts(spark, rows), observer=lambda df: seen.extend(df.orderBy("label_id").collect()))
-    assert [r.label_id for r in seen] == [1, 2, 3] and tuple(seen[2][3:]) == (30.0, 2, 30.0, 60.0)
-    assert (result.total_rows, result.ingested_events, result.last_event_epoch) == (4, 3, 1512086460.0)
+    result = store.replay_facts(facts(spark, rows), observer=lambda df: seen.extend(df.collect()))
+    want = brute(rows, SHIPPED)
+    known = {i for i, u, *_ in rows if u is not None}
+    assert close({r.label_id: list(r[3:]) for r in seen}, {i: want[i] for i in known})
+    last = max(t for _, _, t, *_ in rows)
+    assert (result.total_rows, result.ingested_events, result.last_event_epoch) == (len(rows), len(known), (last - D(1970, 1, 1)) // timedelta(microseconds=1) / 1e6)
     with pytest.raises(FileNotFoundError):
         readers.read_facts(spark, str(tmp_path / "nowhere"))
     for bad in ([(True, "a", 1, 1.0)], [("", "a", 1, 1.0)], [(1, "", 1, 1.0)], [(1, "a", 1, float("nan"))], [(1, "a")], [{"uid": "a"}]):

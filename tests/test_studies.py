@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import BASE, facts, hours
+from tests.helpers import START, facts, hours
 from tidemark.functions.keys import require_columns, safe_name, values_equal
 from tidemark.functions.timeutil import epoch_micros, parse_date
 from tidemark.operators import cohort, entity, evidence, features, metrics, monitoring, profiling, warehouse
@@ -18,34 +18,47 @@ def points(spark, offsets):
     return features.spine(facts(spark, [(i + 1, "a", hours(h), 1) for i, h in enumerate(offsets)]))
 
 
+def random_offsets(seed, lookback, n=40):
+    """Hours from the start, some just at or beside the ends that a lookback leaves."""
+    rng = random.Random(seed)
+    last = rng.randrange(3 * lookback, 4 * lookback)
+    ends = [lookback + d for d in (-1, 0, 1)] + [last - lookback + d for d in (-1, 0, 1)]
+    return [0, last, *ends, *(rng.randrange(last) for _ in range(n))]
+
+
 def test_observation_bounds_are_closed(spark):
-    p = points(spark, [0, 719, 720, 1000, 1440, 1441, 2160])
-    b = cohort.observation_bounds(p, 720)
-    assert (b.start, b.end, b.total_rows, b.eligible_rows, b.excluded_rows) == (hours(720), hours(1440), 7, 3, 4)
-    assert sorted(r.label_id for r in cohort.eligible(p, b).collect()) == [3, 4, 5]
+    offsets = random_offsets(1, 90)
+    p = points(spark, offsets)
+    b = cohort.observation_bounds(p, 90)
+    inside = [i + 1 for i, h in enumerate(offsets) if 90 <= h <= max(offsets) - 90]
+    assert (b.start, b.end, b.total_rows, b.eligible_rows, b.excluded_rows) == (hours(90), hours(max(offsets) - 90), len(offsets), len(inside), len(offsets) - len(inside))
+    assert sorted(r.label_id for r in cohort.eligible(p, b).collect()) == inside
     with pytest.raises(ValueError):
-        cohort.observation_bounds(points(spark, [0, 1]), 720)
+        cohort.observation_bounds(p, max(offsets))
     with pytest.raises(ValueError):
-        cohort.observation_bounds(p.limit(0), 720)
-
-
-def test_split_keeps_equal_instants_together(spark):
-    days = [datetime(2020, 1, d) for d in (1, 2, 3, 3, 4, 5)]
-    p = features.spine(facts(spark, [(i, "a", t, 1) for i, t in enumerate(days)]))
-    b = cohort.ObservationBounds(days[1], days[4], 6, 4)
-    at = cohort.split_timestamp(p, b, 0.5)
-    assert at == datetime(2020, 1, 3)
-    train, test = cohort.temporal_split(cohort.eligible(p, b), at)
-    assert (train.count(), test.count()) == (1, 3)
+        cohort.observation_bounds(p.limit(0), 90)
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.5, 0.75])
+def test_split_keeps_equal_instants_together(spark, fraction):
+    offsets = sorted(h // 20 * 20 for h in random_offsets(2, 50))  # many of one instant
+    p = points(spark, offsets)
+    b = cohort.ObservationBounds(hours(20), hours(140), len(offsets), sum(20 <= h <= 140 for h in offsets))
+    inside = [h for h in offsets if 20 <= h <= 140]
+    at = cohort.split_timestamp(p, b, fraction)
+    assert at == hours(inside[math.ceil(fraction * len(inside)) - 1])
+    if at > hours(inside[0]):
+        train, test = cohort.temporal_split(cohort.eligible(p, b), at)
+        assert (train.count(), test.count()) == (sum(hours(h) < at for h in inside), sum(hours(h) >= at for h in inside))
     for bad in (0, 1, 1.5):
         with pytest.raises(ValueError):
             cohort.split_timestamp(p, b, bad)
 
 
 def test_experiment_frames_share_rows(spark):
-    table = facts(spark, [(i + 1, "a", hours(h), 1) for i, h in enumerate([0, 720, 800, 900, 1000, 1100, 1200, 1300, 1440, 2160])])
-    f = cohort.experiment_frames(table, load_catalog(), 0.5)
-    assert f.bounds.eligible_rows == 8
+    offsets = random_offsets(3, load_catalog().max_lookback_hours, 25)
+    f = cohort.experiment_frames(facts(spark, [(i, f"e{i % 3}", hours(h), 1 + i) for i, h in enumerate(offsets)]), load_catalog(), 0.5)
+    assert f.bounds.eligible_rows == sum(load_catalog().max_lookback_hours <= h <= max(offsets) - load_catalog().max_lookback_hours for h in offsets)
     spine = f.past.select(*features.SPINE)
     assert cohort.same_rows(spine, f.future.select(*features.SPINE)) and cohort.same_rows(spine, f.combined.select(*features.SPINE))
 
@@ -64,8 +77,8 @@ def test_warehouse_and_gates(spark):
     warehouse.check(table, 3)
     with pytest.raises(ValueError, match="expected"):
         warehouse.check(table, 4)
-    good = [(1, "a", BASE, 1.0, 0), (2, "a", BASE, 1.0, 1)]
-    bad = [(1, "a", BASE, 1.0, 0)], [(None, "a", BASE, 1.0, 0)], [(3, "a", None, 1.0, 0)], [(3, "a", BASE, 1.0, 2)], [(3, "a", BASE, math.nan, 0)], [(3, "a", BASE, math.inf, 0)], [(3, "", BASE, 1.0, 0)], [(3, "b", BASE, 1.0, 0)]
+    good = [(1, "a", START, 1.0, 0), (2, "a", START, 1.0, 1)]
+    bad = [(1, "a", START, 1.0, 0)], [(None, "a", START, 1.0, 0)], [(3, "a", None, 1.0, 0)], [(3, "a", START, 1.0, 2)], [(3, "a", START, math.nan, 0)], [(3, "a", START, math.inf, 0)], [(3, "", START, 1.0, 0)], [(3, "b", START, 1.0, 0)]
     warehouse.check(facts(spark, good))
     for extra in bad:
         with pytest.raises(ValueError):

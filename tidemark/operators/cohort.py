@@ -102,7 +102,7 @@ class ExperimentFrames:
     split_ts: datetime
 
 
-def experiment_frames(transactions: DataFrame, catalog: FeatureCatalog, fraction: float = 0.8, strategy: str = "range") -> ExperimentFrames:
+def experiment_frames(transactions: DataFrame, catalog: FeatureCatalog, fraction: float = 0.8, strategy: str = "auto") -> ExperimentFrames:
     """The three frames of a leakage study over one set of prediction points."""
     points, events = features.spine(transactions), features.history(transactions)
     bounds = observation_bounds(points, catalog.max_lookback_hours)

@@ -1,12 +1,14 @@
 """Rolling features of an entity over [cutoff - window, cutoff), and their future-looking twins over (cutoff, cutoff + window].
 
-Four physical strategies give the same values:
+Several physical strategies give the same values:
 
+auto     (default) range for most entities, prefix for those of MANY_ROWS events or more; one pass counts them.
 range    one window with RANGE frames: one shuffle, one sort; the cost of an entity grows with rows x frame.
-prefix   differences of running sums looked up by as-of probes: linear in rows, for entities with many rows.
+prefix   two levels: an entity's time is cut into buckets, whole buckets come from running sums over buckets, the ends of
+         a window from running sums within its bucket. Linear in rows whatever the window, and an entity of any
+         number of rows is spread over many tasks.
 chunked  range within (entity, stretch of time): a stretch is as long as the longest window and gets the events of the
-         stretch before as well, so one hot entity is spread over many tasks.
-auto     range, or prefix if some entity has many rows, or chunked if one has more than a task should hold.
+         stretch before as well.
 
 Rows without an entity see no history: they get the defaults without being shuffled.
 """
@@ -17,13 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeutil import micros, whole_seconds
+from tidemark.operators.carry import BUCKET_ROWS, FEW_KEYS, HOT_ROWS, bucketed, carried_in, heat_of
 from tidemark.plans.catalog import FeatureCatalog, FeatureDefinition
 
 STRATEGIES = ("auto", "range", "prefix", "chunked")
-#: Rows of one entity from which "auto" takes running sums.
+#: Events of one entity from which "auto" takes running sums.
 MANY_ROWS = 5_000
-#: Rows of one entity from which "auto" cuts its time in stretches.
-HOT_ROWS = 2_000_000
 SPINE = ("label_id", "uid", "cutoff_ts", "label")
 
 
@@ -37,11 +38,22 @@ def history(transactions: DataFrame) -> DataFrame:
     return transactions.filter("uid is not null").select("uid", F.col("event_ts").alias("feature_ts"), "amount", F.col("transaction_id").alias("event_id"))
 
 
-def prefix_sums(events: DataFrame) -> DataFrame:
-    """uid, feature_ts, amount, event_id, cumulative_amount, cumulative_count: one row per entity and instant."""
+def prefix_sums(events: DataFrame, hot_rows: int | None = HOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """uid, feature_ts, amount, event_id, cumulative_amount, cumulative_count: one row per entity and instant.
+
+    Entities of ``hot_rows`` instants or more are spread over buckets of time, into which the sums before are carried; None
+    leaves out the counting of entities, and each is one task's.
+    """
     once = events.groupBy("uid", "feature_ts").agg(F.sum("amount").alias("amount"), F.max("event_id").alias("event_id"), F.count("*").alias("n"))
-    upto = Window.partitionBy("uid").orderBy("feature_ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return once.select("uid", "feature_ts", "amount", "event_id", F.sum("amount").over(upto).alias("cumulative_amount"), F.sum("n").over(upto).alias("cumulative_count"))
+    once = once.select(F.col("uid").alias("key"), micros(F.col("feature_ts")).alias("at"), "feature_ts", "amount", "event_id", "n")
+    heat = heat_of(once.select("key", "at"), hot_rows, bucket_rows) if hot_rows is not None else None
+    rows = bucketed(once, heat).withColumn("is_row", F.lit(True))
+    if heat is not None:
+        carried = carried_in(rows, {"amount": (F.sum("amount"), F.sum), "n": (F.sum("n"), F.sum)})
+        rows = rows.unionByName(carried.withColumn("is_row", F.lit(False)), allowMissingColumns=True)
+    upto = Window.partitionBy("key", "bucket").orderBy("is_row", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(F.col("key").alias("uid"), "feature_ts", "amount", "event_id", F.sum("amount").over(upto).alias("cumulative_amount"), F.sum("n").over(upto).alias("cumulative_count"), "is_row")
+    return sums.filter("is_row").drop("is_row")
 
 
 def future_name(feature: FeatureDefinition) -> str:
@@ -89,95 +101,121 @@ def _by_frames(points: DataFrame, events: DataFrame, wanted: list[tuple[str, Fea
     return both.select("k", "flag", *values).filter("flag = 0").select("k", *(_typed(F.col(name), f).alias(name) for name, f, _ in wanted))
 
 
-def _by_prefixes(points: DataFrame, events: DataFrame, wanted: list[tuple[str, FeatureDefinition, bool]]) -> DataFrame:
-    """Running sums at the ends of each window: one union, one shuffle by entity, one by prediction point."""
+def _by_prefixes(points: DataFrame, events: DataFrame, wanted: list[tuple[str, FeatureDefinition, bool]], hot_rows: int | None, bucket_rows: int) -> DataFrame:
+    """Differences of running sums at the two ends of each window: one union, one shuffle by entity, one by prediction point.
+
+    What comes after a point is what comes before it in reversed time, so future windows run in a time of their own (turn -1).
+    """
+    turns = sorted({-1 if future else 1 for _, _, future in wanted})
+    times = F.explode(F.array(*(F.lit(t) for t in turns))).alias("turn")
     once = events.groupBy("uid", "us").agg(F.sum(F.col("amount").cast("double")).alias("a"), F.count("*").alias("n"))
-    upto = Window.partitionBy("uid").orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nothing = F.lit(None).cast(points.schema["k"].dataType).alias("k")
-    # side: past probes come before the states of their instant, future ones after
-    states = once.select(nothing, "uid", "us", F.lit(1).alias("side"), F.lit(None).cast("string").alias("probe"), F.struct(F.sum("a").over(upto).alias("a"), F.sum("n").over(upto).alias("n"), whole_seconds(F.col("us")).alias("sec")).alias("s"))
-    probes: dict[str, tuple[int, int]] = {}
-    for _, f, future in wanted:
-        if future:
-            probes |= {"f0": (0, 2), f"f{f.window_us}": (f.window_us, 2)}
-        else:
-            probes |= {"p0": (0, 0), f"p{f.window_us}": (-f.window_us, 0)}
-    kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("probe"), F.lit(shift).alias("shift"), F.lit(side).alias("side")) for name, (shift, side) in probes.items()))).alias("p")
-    asked = points.select("k", "uid", "us", kinds).select("k", "uid", (F.col("us") + F.col("p.shift")).alias("us"), F.col("p.side").alias("side"), F.col("p.probe").alias("probe"), F.lit(None).cast(states.schema["s"].dataType).alias("s"))
-    order = Window.partitionBy("uid").orderBy("us", "side")
-    looked = asked.unionByName(states)
-    looked = looked.withColumn("before", F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    if any(future and f.aggregation == "time_since_last" for _, f, future in wanted):
-        looked = looked.withColumn("next", F.first("s", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    else:
-        looked = looked.withColumn("next", F.col("before"))
-    at = {name: F.max(F.when(F.col("probe") == name, F.struct("before", "next"))).alias(name) for name in probes}
-    per = looked.filter("side != 1").groupBy("k", "uid").agg(*at.values())
+    once = once.select(F.col("uid").alias("key"), "us", "a", "n", times).withColumn("at", F.col("us") * F.col("turn"))
+    ends = sorted({(-1 if future else 1, w) for _, f, future in wanted for w in (0, f.window_us)})
+    asked = points.select("k", "uid", "us", F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), F.lit(w).alias("back")) for t, w in ends))).alias("p"))
+    asked = asked.select("k", F.col("uid").alias("key"), F.col("p.turn").alias("turn"), F.col("p.back").alias("back"), (F.col("us") * F.col("p.turn") - F.col("p.back")).alias("at"))
+    heat = heat_of(once.select("key", "at").unionByName(asked.select("key", "at")), hot_rows, bucket_rows) if hot_rows is not None else None
+    # side: a probe comes before the events of its instant
+    states = once.select("key", "turn", "at", F.lit(1).alias("side"), "a", "n", F.col("at").alias("last"))
+    rows = bucketed(states.unionByName(asked.withColumn("side", F.lit(0)), allowMissingColumns=True), heat)
+    if heat is not None:
+        carried = carried_in(rows, {"a": (F.sum("a"), F.sum), "n": (F.sum("n"), F.sum), "last": (F.max("last"), F.max)}, ("key", "turn"))
+        rows = rows.unionByName(carried.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    # carried rows have no instant and stand first
+    before = Window.partitionBy("key", "turn", "bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.struct(F.coalesce(F.sum("a").over(before), F.lit(0.0)).alias("a"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.max("last").over(before).alias("last"))
+    looked = rows.select("k", "key", "turn", "back", "side", seen.alias("s")).filter("side = 0")
+    name = {(t, w): f"{'f' if t < 0 else 'p'}{w}" for t, w in ends}
+    per = looked.groupBy("k", "key").agg(*(F.max(F.when((F.col("turn") == t) & (F.col("back") == w), F.col("s"))).alias(n) for (t, w), n in name.items()))
     sec = whole_seconds(micros(F.col("k.cutoff_ts")))
     values = []
-    for name, f, future in wanted:
-        low, high = ("f0", f"f{f.window_us}") if future else (f"p{f.window_us}", "p0")
+    for feature, f, future in wanted:
+        turn = -1 if future else 1
+        low, high = name[turn, f.window_us], name[turn, 0]
         if f.aggregation == "time_since_last":
-            if future:
-                # the end of the window is judged in microseconds: the first state after it must not be the next one
-                v = F.when(~F.col("f0.next").eqNullSafe(F.col(f"{high}.next")), F.col("f0.next.sec") - sec)
-            else:
-                v = F.when(~F.col("p0.before").eqNullSafe(F.col(f"{low}.before")), sec - F.col("p0.before.sec"))
+            v = (whole_seconds(F.col(f"{high}.last") * turn) - sec) * -turn
+        elif f.aggregation == "sum":
+            v = F.col(f"{high}.a") - F.col(f"{low}.a")
         else:
-            part = "a" if f.aggregation == "sum" else "n"
-            v = F.col(f"{high}.before.{part}") - F.coalesce(F.col(f"{low}.before.{part}"), F.lit(0))
-            # nothing in the window: an exact zero, whatever the rounding of the sums
-            v = F.when(F.col(f"{high}.before.n") > F.coalesce(F.col(f"{low}.before.n"), F.lit(0)), v)
-        values.append(_typed(v, f).alias(name))
+            v = F.col(f"{high}.n") - F.col(f"{low}.n")
+        # nothing in the window: exactly the default, whatever the rounding of the sums
+        values.append(_typed(F.when(F.col(f"{high}.n") > F.col(f"{low}.n"), v), f).alias(feature))
     return per.select("k", *values)
 
 
-def rolling(points: DataFrame, events: DataFrame, wanted: list[tuple[str, FeatureDefinition, bool]], strategy: str = "range") -> DataFrame:
-    """points (label_id, uid, cutoff_ts, label) with the wanted (name, feature, future) columns, over events (uid, feature_ts, amount)."""
+def _many(keys: DataFrame, uid: str) -> DataFrame | None:
+    """Entities with MANY_ROWS rows or more, one column ``of``; None if there are none. At most one in MANY_ROWS rows is one."""
+    many = keys.filter(F.col(uid).isNotNull()).groupBy(F.col(uid).alias("of")).count().filter(F.col("count") >= MANY_ROWS).select("of")
+    few = many.limit(FEW_KEYS + 1).collect()
+    if not few:
+        return None
+    return F.broadcast(keys.sparkSession.createDataFrame(few, many.schema)) if len(few) <= FEW_KEYS else many
+
+
+def rolling(points: DataFrame, events: DataFrame, wanted: list[tuple[str, FeatureDefinition, bool]], strategy: str = "auto", hot_rows: int | None = HOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """points (label_id, uid, cutoff_ts, label) with the wanted (name, feature, future) columns, over events (uid, feature_ts, amount).
+
+    ``hot_rows`` and ``bucket_rows`` say when and how finely ``prefix`` spreads an entity over tasks.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     events = events.filter("uid is not null").select("uid", micros(F.col("feature_ts")).alias("us"), "amount")
-    if strategy == "auto":
-        most = events.groupBy("uid").count().agg(F.max("count")).first()[0] or 0
-        strategy = "chunked" if most >= HOT_ROWS else "prefix" if most >= MANY_ROWS else "range"
     k = F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("k")
     keyed = points.select(k, "uid", micros(F.col("cutoff_ts")).alias("us"))
     known, unknown = keyed.filter("uid is not null"), keyed.filter("uid is null")
-    if strategy == "prefix":
+    names = [name for name, _, _ in wanted]
+    own = [F.col(f"k.`{c}`").alias(c) for c in points.columns]
+
+    def by_frames(known: DataFrame, events: DataFrame) -> DataFrame:
+        return _by_frames(known, events, wanted, max(f.window_us for _, f, _ in wanted) if strategy == "chunked" else None).select(*own, *names)
+
+    def by_prefixes(known: DataFrame, events: DataFrame) -> DataFrame:
         # the same prediction point may be there twice: number the copies
         known = known.withColumn("k", F.struct("k.*", F.monotonically_increasing_id().alias("_copy")))
-        done = _by_prefixes(known, events, wanted)
+        return _by_prefixes(known, events, wanted, hot_rows, bucket_rows).select(*own, *names)
+
+    if strategy == "auto":
+        many = _many(events, "uid")
+        if many is None:
+            done = by_frames(known, events)
+        else:
+            hot = by_prefixes(known.join(many, F.col("uid") == F.col("of"), "left_semi"), events.join(many, F.col("uid") == F.col("of"), "left_semi"))
+            done = by_frames(known.join(many, F.col("uid") == F.col("of"), "left_anti"), events.join(many, F.col("uid") == F.col("of"), "left_anti")).unionByName(hot)
     else:
-        done = _by_frames(known, events, wanted, max(f.window_us for _, f, _ in wanted) if strategy == "chunked" else None)
-    names = [name for name, _, _ in wanted]
-    own = [F.col(f"k.`{c}`").alias(c) for c in points.columns]
+        done = (by_prefixes if strategy == "prefix" else by_frames)(known, events)
     empty = unknown.select(*own, *(_typed(F.lit(None).cast("double"), f).alias(name) for name, f, _ in wanted))
-    return done.select(*own, *names).unionByName(empty)
+    return done.unionByName(empty)
 
 
-def past_features(points: DataFrame, events: DataFrame, catalog: FeatureCatalog, strategy: str = "range") -> DataFrame:
+def past_features(points: DataFrame, events: DataFrame, catalog: FeatureCatalog, strategy: str = "auto", **spread: int | None) -> DataFrame:
     """The catalog's features as of each prediction point."""
-    return rolling(points, events, [(f.name, f, False) for f in catalog.features], strategy)
+    return rolling(points, events, [(f.name, f, False) for f in catalog.features], strategy, **spread)
 
 
-def future_features(points: DataFrame, events: DataFrame, catalog: FeatureCatalog, strategy: str = "range") -> DataFrame:
+def future_features(points: DataFrame, events: DataFrame, catalog: FeatureCatalog, strategy: str = "auto", **spread: int | None) -> DataFrame:
     """The same names over what comes after the prediction point: a deliberate leak, for study only."""
-    return rolling(points, events, [(f.name, f, True) for f in catalog.features], strategy)
+    return rolling(points, events, [(f.name, f, True) for f in catalog.features], strategy, **spread)
 
 
-def combined_features(points: DataFrame, events: DataFrame, catalog: FeatureCatalog, strategy: str = "range") -> DataFrame:
+def combined_features(points: DataFrame, events: DataFrame, catalog: FeatureCatalog, strategy: str = "auto", **spread: int | None) -> DataFrame:
     """Past features, and future ones under their own names, in one pass."""
     names = _future_names(catalog)
-    return rolling(points, events, [(f.name, f, False) for f in catalog.features] + [(names[f.name], f, True) for f in catalog.features], strategy)
+    return rolling(points, events, [(f.name, f, False) for f in catalog.features] + [(names[f.name], f, True) for f in catalog.features], strategy, **spread)
 
 
-def build(transactions: DataFrame, catalog: FeatureCatalog, strategy: str = "range") -> DataFrame:
+def build(transactions: DataFrame, catalog: FeatureCatalog, strategy: str = "auto", **spread: int | None) -> DataFrame:
     """Features of every transaction over all others of its entity.
 
     Prediction points and history are the same rows here, so "range" needs no union: each row is both.
     """
-    if strategy != "range":
-        return past_features(spine(transactions), history(transactions), catalog, strategy)
+    if strategy not in ("range", "auto"):
+        return past_features(spine(transactions), history(transactions), catalog, strategy, **spread)
+    if strategy == "auto":
+        many = _many(transactions.select("uid"), "uid")
+        if many is not None:
+            hot = transactions.join(many, F.col("uid") == F.col("of"), "left_semi")
+            hot = past_features(spine(hot), history(hot), catalog, "prefix", **spread)
+            # an anti join keeps rows without an entity
+            return build(transactions.join(many, F.col("uid") == F.col("of"), "left_anti"), catalog, "range").unionByName(hot)
     rows = transactions.select(F.col("transaction_id").alias("label_id"), "uid", F.col("event_ts").alias("cutoff_ts"), "label", F.col("amount").cast("double").alias("amount"), micros(F.col("event_ts")).alias("us"), F.lit(1).alias("flag"))
     known = rows.filter("uid is not null").withColumn("sec", whole_seconds(F.col("us")))
     values = [_typed(_framed(f, ["uid"], False), f).alias(f.name) for f in catalog.features]

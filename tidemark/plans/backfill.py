@@ -28,7 +28,7 @@ class BackfillResult:
     row_count: int
 
 
-def requested(transactions: DataFrame, start: date, end: date, catalog: FeatureCatalog, strategy: str = "range") -> DataFrame:
+def requested(transactions: DataFrame, start: date, end: date, catalog: FeatureCatalog, strategy: str = "auto") -> DataFrame:
     """Features of the cutoffs from start to end, both days included, in catalog order.
 
     The filter on history goes to the scan: a filter on cutoffs alone would not pass the window.
@@ -41,7 +41,7 @@ def requested(transactions: DataFrame, start: date, end: date, catalog: FeatureC
     return built.filter((F.col("cutoff_ts") >= at(low)) & (F.col("cutoff_ts") < at(high)))
 
 
-def run(transactions: DataFrame, start_date: str | date, end_date: str | date, *, output_root: str, log_path: str | Path, catalog_path: str | Path = DEFAULT_PATH, strategy: str = "range") -> BackfillResult:
+def run(transactions: DataFrame, start_date: str | date, end_date: str | date, *, output_root: str, log_path: str | Path, catalog_path: str | Path = DEFAULT_PATH, strategy: str = "auto") -> BackfillResult:
     """Build, publish the catalog's snapshot and then the rows, log. A rerun gives the same rows at the same place; a failure leaves the rows that were there and is logged.
 
     ``output_root`` may name any file system that Spark knows; ``log_path`` is a local file of the driver.
