@@ -64,6 +64,8 @@ T = {
     "events": _EV.format(uid="user_id"),
     "some_null": _EV.format(uid="CASE WHEN event_type = 'signup' THEN NULL ELSE user_id END"),
     "orders": "SELECT o_orderkey AS transaction_id, CAST(o_custkey AS VARCHAR) AS uid, o_orderdate AS event_ts, CAST(o_totalprice AS DOUBLE) AS amount, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS SMALLINT) AS label FROM orders",
+    "crowded": _EV.format(uid="CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'crowd' END"),
+    "by_status": "SELECT o_orderkey AS transaction_id, o_orderstatus AS uid, o_orderdate AS event_ts, CAST(o_totalprice AS DOUBLE) AS amount, CAST(0 AS SMALLINT) AS label FROM orders",
     "lineitem": "SELECT l_orderkey AS transaction_id, CAST(l_suppkey AS VARCHAR) AS uid, l_shipdate AS event_ts, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS SMALLINT) AS label FROM lineitem",
 }
 
@@ -153,6 +155,52 @@ def pit_separate_spine(spark, sf_dir):
     return cents(features.past_features(features.spine(rows), features.history(rows), load_catalog()))
 
 
+#: When an entity is hot and how many rows a bucket of it has, low enough for the smallest tables.
+SPREAD = {"hot_rows": 400, "bucket_rows": 100}
+
+
+def windows_sql(table: str, past: list[tuple[str, str, int]], future: list[tuple[str, str, int]] = ()) -> str:
+    """The same features by window frames, for entities of so many rows that a join would not do; no entity is null."""
+    columns = []
+    for rows, frame, near, sign in ((past, "INTERVAL {h} HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING", "MAX", 1), (future, "INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL {h} HOUR FOLLOWING", "MIN", -1)):
+        for name, kind, hours in rows:
+            over = f"OVER (PARTITION BY uid ORDER BY event_ts RANGE BETWEEN {frame.format(h=hours)})"
+            ends = f"{near}(event_ts) {over}, event_ts" if sign > 0 else f"event_ts, {near}(event_ts) {over}"
+            columns.append({"sum": f"ROUND(COALESCE(SUM(amount) {over}, 0), 2)", "count": f"COUNT(*) {over}", "time_since_last": f"CAST(DATE_DIFF('second', {ends}) AS DOUBLE)"}[kind] + f" AS {name}")
+    return f"WITH t AS ({T[table]}) SELECT transaction_id AS label_id, uid, event_ts AS cutoff_ts, label, {', '.join(columns)} FROM t"
+
+
+def _crowded(spark, sf_dir) -> DataFrame:
+    """Events of which one entity has two thirds."""
+    return facts(spark, sf_dir).withColumn("uid", F.when(F.col("transaction_id") % 3 == 0, F.col("uid")).otherwise("crowd"))
+
+
+@query(windows_sql("crowded", SHIPPED))
+def pit_hot_entity(spark, sf_dir):
+    return cents(features.build(_crowded(spark, sf_dir), load_catalog(), **SPREAD))
+
+
+@query(windows_sql("crowded", SHIPPED))
+def pit_hot_entity_buckets(spark, sf_dir):
+    return cents(features.build(_crowded(spark, sf_dir), load_catalog(), "prefix", **SPREAD))
+
+
+@query(windows_sql("crowded", SHIPPED, FUTURE))
+def pit_plus_future_hot_entity(spark, sf_dir):
+    rows = _crowded(spark, sf_dir)
+    return cents(features.combined_features(features.spine(rows), features.history(rows), load_catalog(), "prefix", **SPREAD))
+
+
+@query(_prefix_sql("by_status"))
+def feature_cumsum_hot(spark, sf_dir):
+    return cents(features.prefix_sums(features.history(_by_status(spark, sf_dir)), **SPREAD))
+
+
+def _by_status(spark, sf_dir) -> DataFrame:
+    """Orders with their status as the entity: three of them."""
+    return transactions(spark.read.parquet(f"{sf_dir}/orders.parquet"), Roles("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "0"))
+
+
 def _single(name: str, rows: list[tuple[str, str, int]], future: bool = False) -> None:
     catalog = custom(*((n.removeprefix("future_"), k, h) for n, k, h in rows)) if future else custom(*rows)
 
@@ -213,6 +261,25 @@ def _asof(name: str, condition: str, pick: str, **how) -> None:
     query(f"WITH t AS ({T['orders']}), p AS ({_prefix_sql('orders').replace('WITH t AS (' + T['orders'] + '), g AS', 'WITH g AS')}), n AS (SELECT s.transaction_id AS label_id, s.uid, s.event_ts AS cutoff_ts, {pick}(p.feature_ts) AS feature_ts FROM t s LEFT JOIN p ON p.uid = s.uid AND {condition} GROUP BY ALL) SELECT n.label_id, n.uid, n.cutoff_ts, n.feature_ts, p.cumulative_amount, p.cumulative_count FROM n LEFT JOIN p ON p.uid = n.uid AND p.feature_ts = n.feature_ts")(run)
 
 
+def _asof_hot(name: str, condition: str, shift: int = 0, **how) -> None:
+    """Orders against the running totals of their status: three keys with all rows."""
+
+    def run(spark, sf_dir):
+        rows = _by_status(spark, sf_dir)
+        left = features.spine(rows).select("label_id", "uid", "cutoff_ts", micros(F.col("cutoff_ts")).alias("us"))
+        right = features.prefix_sums(features.history(rows), **SPREAD).withColumn("at", micros(F.col("feature_ts")))
+        return cents(asof_join(left, right, "uid", "us", "at", ["feature_ts", "cumulative_amount", "cumulative_count"], shift=shift * 3_600_000_000, **how, **SPREAD).drop("us"))
+
+    run.__name__ = name
+    sums = _prefix_sql("by_status").removeprefix(f"WITH t AS ({T['by_status']}), ").replace("g AS (", "WITH g AS (", 1)
+    query(f"WITH t AS ({T['by_status']}), p AS ({sums}) SELECT s.transaction_id AS label_id, s.uid, s.event_ts AS cutoff_ts, p.feature_ts, p.cumulative_amount, p.cumulative_count FROM t s ASOF LEFT JOIN p ON p.uid = s.uid AND s.event_ts + INTERVAL ({shift}) HOUR {condition} p.feature_ts")(run)
+
+
+_asof_hot("asof_hot_backward_strict", ">")
+_asof_hot("asof_hot_backward_inclusive", ">=", strict=False)
+_asof_hot("asof_hot_backward_shifted", ">", shift=-168)
+_asof_hot("asof_hot_backward_inclusive_forward_shift", ">=", shift=720, strict=False)
+_asof_hot("asof_hot_forward_strict", "<", direction="forward")
 _asof("asof_backward_strict", "p.feature_ts < s.event_ts", "MAX")
 _asof("asof_backward_inclusive", "p.feature_ts <= s.event_ts", "MAX", strict=False)
 _asof("asof_backward_shifted", "p.feature_ts < s.event_ts - INTERVAL 168 HOUR", "MAX", shift=-168 * 3_600_000_000)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 import time
 import uuid
 import zlib
@@ -28,6 +29,7 @@ from tidemark.operators import features
 from tidemark.plans.catalog import FeatureCatalog, load_catalog
 from tidemark.sources.readers import exists
 from tidemark.sources.sinks import delete, publish
+from tidemark.streaming.runs import EntityRun, look_up, sorted_runs
 
 STATE = "uid string, transaction_id string, amount double, us long"
 
@@ -166,18 +168,56 @@ class ParquetLog:
 
 
 class OnlineStore:
-    """Features of stored events. ``log`` is any event log; by default one in Parquet under ``root``."""
+    """Features of stored events. ``log`` is any event log; by default one in Parquet under ``root``.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, log: EventLog | None = None):
+    Single lookups are answered from runs of entities kept in memory, at most ``cached_events`` events of all; an entity of more is
+    answered by a Spark job. What this store writes is seen at once, what others write to the same log after ``fresh`` seconds.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, log: EventLog | None = None, cached_events: int = 1_000_000, fresh: float = 5.0):
         if (root is None) == (log is None):
             raise ValueError("a store has a root or a log")
         self.spark, self.log = spark, log or ParquetLog(spark, str(root))
+        self.cached_events, self.fresh = cached_events, fresh
+        self._runs: dict[str, tuple[float, EntityRun]] = {}
+        self._clock: tuple[float, int | None] | None = None
+        self._lock = threading.Lock()
+
+    def _forget(self) -> None:
+        with self._lock:
+            self._runs, self._clock = {}, None
+
+    def run_of(self, uid: str) -> EntityRun | None:
+        """All events of an entity in memory; None if they are too many."""
+        now = time.monotonic()
+        with self._lock:
+            found = self._runs.get(uid)
+        if found is not None and now - found[0] <= self.fresh:
+            return found[1]
+        rows = self.log.events([uid]).select("us", "amount").limit(self.cached_events + 1).collect()
+        if len(rows) > self.cached_events:
+            return None
+        run = EntityRun((r.us, r.amount) for r in rows)
+        with self._lock:
+            self._runs.pop(uid, None)
+            while self._runs and sum(len(r) + 1 for _, r in self._runs.values()) + len(run) > self.cached_events:
+                del self._runs[next(iter(self._runs))]  # the one that came first
+            self._runs[uid] = (now, run)
+        return run
+
+    def recent_clock(self) -> int | None:
+        """The clock in microseconds, not older than ``fresh`` seconds."""
+        now = time.monotonic()
+        if self._clock is None or now - self._clock[0] > self.fresh:
+            self._clock = (now, self.log.clock())
+        return self._clock[1]
 
     def state(self) -> DataFrame:
         return self.log.events()
 
     def put(self, rows: DataFrame) -> None:
         self.log.put(rows)
+        self._forget()
 
     def ingest(self, uid: str, transaction_id: int | str, amount: float, at: datetime | float | str) -> None:
         """One event."""
@@ -191,17 +231,16 @@ class OnlineStore:
 
     def set_clock(self, at: datetime | float | str | int) -> None:
         self.log.set_clock(epoch_micros(at))
+        self._forget()
 
     def clear(self) -> None:
         """Forget this store's events and clock, nothing else."""
         self.log.clear()
+        self._forget()
 
     def features_at(self, points: DataFrame, catalog: FeatureCatalog | None = None) -> DataFrame:
         """Many lookups at once: points (label_id, uid, cutoff_ts) with the features over stored events before each cutoff."""
-        catalog = catalog or load_catalog()
-        asked = points.select("label_id", "uid", "cutoff_ts", F.lit(0).cast("smallint").alias("label"))
-        past = self.state().select("uid", from_micros(F.col("us")).alias("feature_ts"), "amount")
-        return features.past_features(asked, past, catalog).drop("label")
+        return look_up(points.select("label_id", "uid", "cutoff_ts"), sorted_runs(self.state()), catalog or load_catalog())
 
     def features_as_of(self, uids: DataFrame | Iterable[str], at: datetime | float | str | None = None, catalog: FeatureCatalog | None = None) -> DataFrame:
         """uid, as_of, and the catalog's features over stored events before the instant (default: the clock). Unknown entities get defaults."""
@@ -213,13 +252,11 @@ class OnlineStore:
         if not isinstance(uids, DataFrame):
             named = [checked_uid(u) for u in uids]
             uids = self.spark.createDataFrame([(u,) for u in named], "uid string")
-        points = uids.select(F.lit(0).cast("long").alias("label_id"), "uid", from_micros(F.lit(us)).alias("cutoff_ts"), F.lit(0).cast("smallint").alias("label"))
+        points = uids.select(F.lit(0).cast("long").alias("label_id"), "uid", from_micros(F.lit(us)).alias("cutoff_ts"))
         reach = us - catalog.max_lookback_hours * 3_600_000_000
         # only what the longest window can see
         seen = self.log.events(named).filter((F.col("us") >= reach) & (F.col("us") < us)).join(uids.select("uid").distinct(), "uid", "left_semi")
-        past = seen.select("uid", from_micros(F.col("us")).alias("feature_ts"), "amount")
-        out = features.past_features(points, past, catalog)
-        return out.select("uid", F.col("cutoff_ts").alias("as_of"), *catalog.names)
+        return look_up(points, sorted_runs(seen), catalog).select("uid", F.col("cutoff_ts").alias("as_of"), *catalog.names)
 
     def replay(self, rows: DataFrame, catalog: FeatureCatalog | None = None, observer: Callable[[DataFrame], None] | None = None) -> ReplayResult:
         """Start afresh from events (transaction_id, uid, us, amount, and seq, the order of arrival, if that is to be checked).
@@ -241,6 +278,7 @@ class OnlineStore:
             self.put(rows.filter("uid is not null"))
         if totals.last is not None:
             self.log.set_clock(totals.last)
+        self._forget()
         return ReplayResult(totals.n, totals.known, None if totals.last is None else totals.last / 1e6)
 
     def replay_facts(self, transactions: DataFrame, catalog: FeatureCatalog | None = None, observer: Callable[[DataFrame], None] | None = None) -> ReplayResult:
@@ -274,14 +312,19 @@ def replay_features(rows: DataFrame, catalog: FeatureCatalog) -> DataFrame:
 
 
 def lookup(store: OnlineStore, uid: str, as_of: float | None = None, catalog: FeatureCatalog | None = None) -> dict:
-    """{uid, as_of_epoch, features...} of one entity. An explicit instant goes before the clock."""
+    """{uid, as_of_epoch, features...} of one entity, from memory once it was asked for. An explicit instant goes before the clock."""
     if as_of is not None:
         if isinstance(as_of, bool) or not isinstance(as_of, (int, float)) or not math.isfinite(as_of):
             raise BadInstant("as_of must be a finite number of seconds")
     else:
-        as_of = store.clock()
-        if as_of is None or not math.isfinite(as_of):
+        us = store.recent_clock()
+        if us is None:
             raise NoClock("nothing was replayed yet")
+        as_of = us / 1e6
+    catalog = catalog or load_catalog()
+    run = store.run_of(checked_uid(uid))
+    if run is not None:
+        return {"uid": uid, "as_of_epoch": float(as_of), **dict(zip(catalog.names, run.values(catalog, epoch_micros(float(as_of))), strict=True))}
     row = store.features_as_of([uid], float(as_of), catalog).first().asDict()
     del row["as_of"], row["uid"]
     return {"uid": uid, "as_of_epoch": float(as_of), **row}

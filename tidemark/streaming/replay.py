@@ -8,7 +8,6 @@ stored. (A batch replay checks order over all entities and refuses.)
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.functions.timeutil import micros
 from tidemark.plans.catalog import FeatureCatalog
+from tidemark.streaming.runs import EntityRun
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,37 +39,24 @@ class AsOfProcessor(StatefulProcessor):
         self.events = handle.getListState("events", T.StructType([T.StructField("us", T.LongType()), T.StructField("amount", T.DoubleType())]))
         self.latest = handle.getValueState("latest", T.StructType([T.StructField("us", T.LongType())]))
 
-    def _values(self, times: list[int], amounts: list[float], us: int) -> list:
-        end = bisect_left(times, us)
-        out: list = []
-        for f in self.catalog.features:
-            low = bisect_left(times, us - f.window_us, 0, end)
-            if f.aggregation == "sum":
-                out.append(float(sum(amounts[low:end])) if end > low else float(f.default_value))
-            elif f.aggregation == "count":
-                out.append(end - low)
-            else:
-                out.append(float(us // 1_000_000 - times[end - 1] // 1_000_000) if end > low else None)
-        return out
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "transaction_id"], kind="stable")
-        held = sorted((int(us), float(a)) for us, a in self.events.get()) if self.events.exists() else []
+        held = [(int(us), float(a)) for us, a in self.events.get()] if self.events.exists() else []
         latest = int(self.latest.get()[0]) if self.latest.exists() else None
-        times, amounts = [x[0] for x in held], [x[1] for x in held]
+        run = EntityRun(held)
         out = []
         for us, group in batch.groupby("us", sort=True):
             us = int(us)
             late = latest is not None and us < latest
-            values = [None] * len(self.catalog.features) if late else self._values(times, amounts, us)
+            values = [None] * len(self.catalog.features) if late else run.values(self.catalog, us)
             out += [(int(r), key[0], us, late, *values) for r in group["transaction_id"]]
             if not late:
-                times += [us] * len(group)
-                amounts += [float(a) for a in group["amount"]]
+                for a in group["amount"]:
+                    run.add(us, float(a))
+                    held.append((us, float(a)))
                 latest = us
         reach = (latest or 0) - self.catalog.max_lookback_hours * 3_600_000_000
-        first = bisect_left(times, reach)  # no later cutoff sees what is before it
-        self.events.put(list(zip(times[first:], amounts[first:], strict=True)) or [(reach, 0.0)][:0])
+        self.events.put([(us, a) for us, a in held if us >= reach])  # no later cutoff sees what is before
         self.latest.update((latest,))
         frame = pd.DataFrame(out, columns=["label_id", "uid", "us", "late", *self.catalog.names])
         for f in self.catalog.features:
