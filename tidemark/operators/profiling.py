@@ -7,23 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles
+
+
+#: Quantiles of a profile.
+PROFILED = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation and exact quantiles of numeric columns, one row each, from one pass."""
-    stats = {
-        "n": lambda c: F.count(c).cast("double"),
-        "mean": F.avg,
-        "stddev": F.stddev_samp,
-        "min_value": F.min,
-        "p25": lambda c: F.percentile(c, F.lit(0.25)),
-        "median": F.median,
-        "p75": lambda c: F.percentile(c, F.lit(0.75)),
-        "p95": lambda c: F.percentile(c, F.lit(0.95)),
-        "p99": lambda c: F.percentile(c, F.lit(0.99)),
-        "max_value": F.max,
-    }
+    """Count, mean, deviation and exact quantiles of numeric columns, one row each. The quantiles are found by jobs of their own, when called."""
+    stats = {"n": lambda c: F.count(c).cast("double"), "mean": F.avg, "stddev": F.stddev_samp, "min_value": F.min, "max_value": F.max}
+    found = quantiles(df, columns, list(PROFILED.values()))
+    known = lambda c: [F.round(F.lit(found[c, f]).cast("double"), 4).alias(n) for n, f in PROFILED.items()]
     one = df.agg(*(F.struct(*(F.round(f(F.col(c).cast("double")), 4).alias(n) for n, f in stats.items())).alias(c) for c in columns))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in columns))).alias("x")).select("x.column_name", "x.s.*")
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s"), *known(c)) for c in columns))).alias("x"))
+    order = ("n", "mean", "stddev", "min_value")
+    return rows.select("x.column_name", *(F.col(f"x.s.{n}").alias(n) for n in order), *(F.col(f"x.{n}").alias(n) for n in PROFILED), F.col("x.s.max_value").alias("max_value"))
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,12 +38,14 @@ def id_quality(df: DataFrame, key: str) -> DataFrame:
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
-    """Quartiles, the fence 1.5 quartile ranges above, and how many values are beyond it or not positive: one row."""
-    c = F.col(column).cast("double")
-    fence = df.agg(F.percentile(c, F.lit(0.25)).alias("p25"), F.percentile(c, F.lit(0.75)).alias("p75")).withColumn("fence", F.col("p75") + 1.5 * (F.col("p75") - F.col("p25")))
-    rows = df.select(c.alias("v")).crossJoin(F.broadcast(fence)).groupBy("p25", "p75", "fence")
-    rounded = [F.round(x, 4).alias(x) for x in ("p25", "p75", "fence")]
-    return rows.agg(F.count_if(F.col("v") > F.col("fence")).alias("n_high"), F.count_if(F.col("v") <= 0).alias("n_not_positive"), F.count("v").alias("n_values")).select(*rounded, "n_high", "n_not_positive", "n_values")
+    """Quartiles, the fence 1.5 quartile ranges above, and how many values are beyond it or not positive: one row; none without values."""
+    found = quantiles(df, [column], [0.25, 0.75])
+    low, high = found[column, 0.25], found[column, 0.75]
+    v = F.col(column).cast("double")
+    fence = None if low is None else high + 1.5 * (high - low)
+    shown = [F.round(F.lit(x).cast("double"), 4).alias(n) for n, x in (("p25", low), ("p75", high), ("fence", fence))]
+    counted = df.agg(F.count_if(v > F.lit(fence).cast("double")).alias("n_high"), F.count_if(v <= 0).alias("n_not_positive"), F.count(v).alias("n_values"), F.count("*").alias("n"))
+    return counted.filter("n > 0").select(*shown, "n_high", "n_not_positive", "n_values")
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
