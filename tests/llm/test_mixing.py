@@ -62,12 +62,41 @@ def test_buckets_do_not_change_the_sizes(spark, monkeypatch):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 200
 
 
-def test_inclusion_is_fair(spark):
-    docs = [(i, "w w", "a" if i % 2 else "b") for i in range(4000)]
-    rows = sample(spark.createDataFrame(docs, SCHEMA), ["doc_id", "source"]).collect()
-    b = [r.copies for r in rows if r.row["source"] == "b"]
-    half = [r.copies for r in rows if r.row["source"] == "b" and r.row["doc_id"] < 2000]
-    assert abs(sum(half) / len(half) - sum(b) / len(b)) < 0.06
+def test_documents_of_a_length_are_taken_as_often_as_their_probability_says(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join(["w"] * rng.choice([1, 2, 5, 11, 24, 50])), "a" if i % 3 else "b") for i in range(6000)]
+    df = spark.createDataFrame(docs, SCHEMA).cache()
+    seeds, taken, p, sure = 4, {}, {}, {}
+    for seed in range(seeds):
+        for r in sample(df, ["doc_id", "source"], seed=seed).collect():
+            key = (r.row["source"], r.size)
+            taken[key] = taken.get(key, 0) + r.copies
+            p.setdefault(key, set()).add(round(r.p, 9))
+            sure[key] = sure.get(key, 0) + (r.copies >= 1)
+    n = {}
+    for i, text, source in docs:
+        n[source, len(text.split())] = n.get((source, len(text.split())), 0) + 1
+    assert all(len(x) == 1 for x in p.values()) and len({x for k, s in p.items() for x in s if k[0] == "a"}) >= 5
+    for key, times in taken.items():
+        chance = next(iter(p[key]))
+        whole = 1 if sure[key] == n[key] * seeds else 0
+        trials = n[key] * seeds
+        deviation = (trials * chance * (1 - chance)) ** 0.5
+        # the end of a source is filled with what fits, some short documents a source
+        assert abs(times - trials * (whole + chance)) <= 4 * deviation + 20 * seeds, (key, times / trials, whole + chance)
+    df.unpersist()
+
+
+def test_expected_words_are_the_target(spark):
+    docs = corpus(3000, ["a", "b", "c", "d"])
+    rows = sample(spark.createDataFrame(docs, SCHEMA), ["source"], emphasis=0.5).collect()
+    for s in "abcd":
+        mine = [r for r in rows if r.row["source"] == s]
+        least = {r.size: min(x.copies for x in mine if x.size == r.size) for r in mine}
+        rates = {r.size: (least[r.size] if r.p > 0 or least[r.size] == 2 else r.copies) + r.p for r in mine}
+        assert sum(rates[r.size] * r.size for r in mine) == pytest.approx(mine[0].target, rel=0.02)
+        sizes = sorted(rates)
+        assert all(rates[x] <= rates[y] + 1e-9 for x, y in zip(sizes[1:], sizes[2:], strict=False))
 
 
 def test_empty_and_clashing_columns(spark):
