@@ -193,6 +193,60 @@ f AS (SELECT c.r, MIN(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.q GROUP
 SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN f USING (r)"""
 
 
+
+def _crc32_sql(text: str) -> str:
+    """The checksum bit by bit: each byte comes in, then eight shifts (-1)."""
+    steps = f"LIST_CONCAT([CAST(4294967295 AS BIGINT)], FLATTEN(LIST_TRANSFORM(STRING_SPLIT({text}, ''), LAMBDA x: [CAST(ASCII(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"XOR(LIST_REDUCE({steps}, LAMBDA c, x: CASE WHEN x >= 0 THEN XOR(c, x) WHEN c & 1 = 1 THEN XOR(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT))"
+
+
+#: Equal runs of five words a period apart lie in a row; a row of them is a run of that period.
+_OP11 = f"""WITH {_documents_sql(_BETWEEN_SPACES, "text")},
+h AS (SELECT *, LEN(w) AS n, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM d),
+v AS (SELECT *, h // 10 % GREATEST(n, 1) AS a, 1 + (n - h // 10 % GREATEST(n, 1)) // (3 + h // 10 % 8) AS p FROM h),
+e AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN LIST_TRANSFORM(RANGE(0, n), LAMBDA i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM v),
+g AS (SELECT r, n, i, MD5(ARRAY_TO_STRING(w[i + 1:i + 5], ' ')) AS h FROM e, UNNEST(RANGE(0, n - 4)) u(i)),
+x AS (SELECT a.r, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.r = b.r AND a.h = b.h AND b.i > a.i AND b.i - a.i <= a.n // 4),
+y AS (SELECT r, i, q, i - ROW_NUMBER() OVER (PARTITION BY r, q ORDER BY i) AS part FROM x),
+z AS (SELECT r, MIN(i) AS start, MAX(i) - MIN(i) + 5 + q AS length, q FROM y GROUP BY r, q, part),
+t AS (SELECT r, start, length, MIN(q) AS period FROM z WHERE length >= GREATEST(6, 4 * q) GROUP BY r, start, length),
+o AS (SELECT r, COUNT(*) AS n_runs, STRING_AGG(start || ',' || length || ',' || period || CHR(10), '' ORDER BY start, period) AS listed FROM t GROUP BY r),
+b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS place FROM t),
+k AS (SELECT DISTINCT r, UNNEST(RANGE(start + period, start + length)) AS i FROM t),
+c AS (SELECT l.r, STRING_AGG(word, ' ' ORDER BY l.i) AS kept FROM (SELECT r, UNNEST(RANGE(0, n)) AS i, UNNEST(w) AS word FROM e) l LEFT JOIN k ON k.r = l.r AND k.i = l.i WHERE k.i IS NULL GROUP BY l.r)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, SHA256(COALESCE(listed, '')) AS runs_sha256, SHA256(COALESCE(kept, '')) AS collapsed_sha256 FROM e LEFT JOIN o USING (r) LEFT JOIN c USING (r) LEFT JOIN b ON b.r = e.r AND b.place = 1"""
+
+
+def _edited(state: str, cost: str, letter: str) -> str:
+    """A state, its cost in six digits and then its audit, after one more edit."""
+    return f"LPAD(CAST(CAST(LEFT({state}, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || SUBSTR({state}, 7) || '{letter}'"
+
+
+#: The states b, m, u, a: nothing yet, after a system turn, after a user, after an assistant; one turn a step.
+_OP13 = f"""WITH RECURSIVE f AS (SELECT *, {_crc32_sql("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE COALESCE(role, ' ') END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN REGEXP_REPLACE(COALESCE(text, ' '), '[.!?]', '', 'g') ELSE COALESCE(text, ' ') END AS text FROM f, UNNEST(RANGE(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, LEFT(role, 1) AS c, RIGHT(REGEXP_REPLACE(text, '[\\x20\\x09-\\x0D]+$', ''), 1) AS last FROM x),
+r AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, LAG(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM o),
+s AS (SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (WHERE fault = 'blank') AS blank, COUNT(*) FILTER (WHERE fault = 'duplicate') AS duplicate, COUNT(*) FILTER (WHERE fault = 'truncated') AS truncated, COUNT(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, MAX(i) AS n FROM r GROUP BY conv_id),
+z(conv_id, i, b, m, u, a) AS (
+SELECT conv_id, CAST(0 AS BIGINT), '000000', CAST(NULL AS VARCHAR), '000003I', '000006II' FROM s UNION ALL
+SELECT conv_id, i, b, m, LEAST(u, {_edited("a", "3", "I")}), a FROM (
+SELECT conv_id, i, b, m, u, LEAST(a, {_edited("u", "3", "I")}) AS a FROM (
+SELECT conv_id, i, b, m, LEAST(u, {_edited("b", "3", "I")}, {_edited("m", "3", "I")}, {_edited("a", "3", "I")}) AS u, a FROM (
+SELECT z.conv_id, r.i, {_edited("b", "4", "D")} AS b,
+LEAST({_edited("m", "4", "D")}, CASE WHEN c = 's' AND fault NOT IN ('blank', 'duplicate') THEN {_edited("b", "IF(fault = 'truncated', 3, 0)", "K")} END) AS m,
+LEAST({_edited("u", "4", "D")}, CASE WHEN c = 'u' AND fault NOT IN ('blank', 'duplicate') THEN {_edited("LEAST(b, m, a)", "IF(fault = 'truncated', 3, 0)", "K")} END, CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {_edited("LEAST(b, m, a)", "IF(fault = 'truncated', 6, 3)", "R")} END) AS u,
+LEAST({_edited("a", "4", "D")}, CASE WHEN c = 'a' AND fault NOT IN ('blank', 'duplicate') THEN {_edited("u", "IF(fault = 'truncated', 3, 0)", "K")} END, CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {_edited("u", "IF(fault = 'truncated', 6, 3)", "R")} END) AS a
+FROM z JOIN r ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.i = z.i + 1)))),
+y AS (SELECT s.conv_id, LEAST(b, a) AS best FROM z JOIN s ON s.conv_id IS NOT DISTINCT FROM z.conv_id AND s.n = z.i),
+l AS (SELECT conv_id, p, SUBSTR(best, p + 6, 1) AS e FROM y, UNNEST(RANGE(1, LEN(best) - 5)) t(p)),
+k AS (SELECT *, COUNT(*) FILTER (WHERE e <> 'I') OVER w AS i, COUNT(*) FILTER (WHERE e <> 'D') OVER w AS j FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT k.*, r.role, r.text, r.c, MAX(IF(j = 1 AND e = 'K' AND c = 's', 1, 0)) OVER (PARTITION BY k.conv_id) AS begun FROM k LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.i = k.i),
+q AS (SELECT conv_id, STRING_AGG(CASE WHEN e = 'K' THEN role WHEN (j - begun) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, CHR(10) ORDER BY p) AS repaired FROM t WHERE e <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, CAST(COALESCE(LEFT(best, 6), '0') AS BIGINT) AS cost, COALESCE(SUBSTR(best, 7), '') AS audit, SHA256(COALESCE(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the results that can be said in it whole; the others are tested in other ways."""
-    return {"op3_suffix_array_dedup": _OP3, "op5_benchmark_decontamination": _OP5, "op7_substring_dedup": _OP7, "op9_ngram_jaccard_join": _OP9}
+    return {"op3_suffix_array_dedup": _OP3, "op5_benchmark_decontamination": _OP5, "op7_substring_dedup": _OP7, "op9_ngram_jaccard_join": _OP9, "op11_periodic_runs": _OP11, "op13_conversation_repair": _OP13}
