@@ -153,7 +153,7 @@ def test_resampling_studies(spark):
     rng = random.Random(2)
     rows = [(i, rng.random(), float(i % 3 == 0) + rng.random(), int(i % 3 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, a double, b double, label int")
-    boot = {r.metric: r for r in metrics.paired_bootstrap(df, "a", "b", replicates=40).collect()}
+    boot = {r.metric: r for r in metrics.paired_bootstrap(df, "a", "b", "id", replicates=40).collect()}
     assert boot["roc_auc"].low <= boot["roc_auc"].delta <= boot["roc_auc"].high and boot["roc_auc"].low > 0
     mixed = metrics.shuffled_block(df, ["b"], "id", 1)
     assert sorted(r.b for r in mixed.collect()) == sorted(r[2] for r in rows) and mixed.join(df, ["id", "b"]).count() < 50
@@ -188,7 +188,7 @@ def test_evidence_verdict_and_report(spark):
     score = F.col("a") * 0.1 + F.col("b")
     base = metrics.ranking_metrics(df.select(score.alias("s"), "label"), "s").first().asDict()
     both = df.withColumn("both", score)
-    f = evidence.findings(3, 1, metrics.paired_bootstrap(both, "a", "both", replicates=40), metrics.permutation_importance(df, score, ["b"], "id", repeats=4), metrics.block_shuffle_study(df, score, ["b"], "id", repeats=20), base)
+    f = evidence.findings(3, 1, metrics.paired_bootstrap(both, "a", "both", "id", replicates=40), metrics.permutation_importance(df, score, ["b"], "id", repeats=4), metrics.block_shuffle_study(df, score, ["b"], "id", repeats=20), base)
     table = {r.question: r.supports for r in evidence.evidence_table(spark, f).collect()}
     assert len(table) == 5 and list(table.values()).count(True) == 4 and list(table.values()).count(None) == 1
     assert f.relies_on_one and f.relies_on_block and {i.sign for i in f.intervals} == {1}
@@ -221,3 +221,35 @@ def test_small_functions(spark):
     cases = [(None, None, True), (None, math.nan, True), (1.0, None, False), (1.0, 1.0 + 1e-10, True), (1.0, 1.1, False), (math.inf, math.inf, True), (math.inf, 1.0, False)]
     rows = spark.createDataFrame([c[:2] for c in cases], "a double, b double").select(values_equal(F.col("a"), F.col("b")).alias("x")).collect()
     assert [r.x for r in rows] == [c[2] for c in cases]
+
+
+def test_poisson_weights_are_poisson():
+    rng = np.random.default_rng(0)
+    w = metrics.poisson_weights(rng.integers(0, 2**32, 4000), rng.integers(0, 2**32, 4000), 50)
+    for k in range(5):
+        assert abs((w == k).mean() - math.exp(-1) / math.factorial(k)) < 0.003
+    assert abs(w.mean() - 1) < 0.01 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
+
+
+@pytest.mark.parametrize("parts, frequent", [(1, 2.0), (7, 0.05), (7, 2.0)])
+def test_bootstrap_against_whole_resamples(spark, monkeypatch, parts, frequent):
+    monkeypatch.setattr(metrics, "FREQUENT", frequent)
+    rng = random.Random(parts)
+    n = 2500
+    rows = [(i, rng.random(), float(rng.choice([0, 0, 0, 1, 2, 3])), int(rng.random() < 0.3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(5)
+    got = {r.metric: r for r in metrics.paired_bootstrap(df, "a", "b", "id", replicates=30, seed=5, parts=parts).collect()}
+    hashes = [hashlib.md5(f"5:{i}".encode()).hexdigest() for i in range(n)]
+    w = metrics.poisson_weights(np.array([int(h[:8], 16) for h in hashes]), np.array([int(h[8:16], 16) for h in hashes]), 30)
+    y = np.array([r[3] for r in rows])
+
+    def account(score, weight):
+        values = sorted(set(score), reverse=True)
+        pos = np.array([(weight * y)[score == v].sum() for v in values], float)
+        neg = np.array([(weight * (1 - y))[score == v].sum() for v in values], float)
+        tp, fp = pos.cumsum(), neg.cumsum()
+        return (pos * (neg.sum() - fp + neg / 2)).sum() / (pos.sum() * neg.sum()), (pos / pos.sum() * tp / np.maximum(tp + fp, 1)).sum()
+
+    gains = np.array([np.subtract(account(np.array([r[2] for r in rows]), w[:, k]), account(np.array([r[1] for r in rows]), w[:, k])) for k in range(30)])
+    for i, m in enumerate(("roc_auc", "average_precision")):
+        assert got[m].n_valid == 30 and got[m].low == pytest.approx(np.quantile(gains[:, i], 0.025)) and got[m].high == pytest.approx(np.quantile(gains[:, i], 0.975))

@@ -6,10 +6,12 @@ at quantiles (``running_sums``), so no task sorts all scores.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,67 +103,157 @@ def prior_baseline(train: DataFrame, test: DataFrame, label: str = "label") -> D
     return prior.crossJoin(F.broadcast(seen)).select("score", F.when((F.col("pos") > 0) & (F.col("neg") > 0), 0.5).alias("roc_auc"), F.try_divide(F.col("pos").cast("double"), F.col("pos") + F.col("neg")).alias("average_precision"))
 
 
-def _weighted(pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
-    """ROC-AUC and average precision of counts by descending score."""
-    tp, fp = np.cumsum(pos), np.cumsum(neg)
-    auc = float((pos * (fp[-1] - fp + neg / 2)).sum() / (tp[-1] * fp[-1]))
-    with np.errstate(invalid="ignore"):
-        precision = np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1e-300), 0.0)
-    return auc, float((pos * precision).sum() / tp[-1])
+#: A Poisson(1) draw from 32 random bits is the number of these that the bits reach.
+POISSON = [round(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11)]
+#: The multipliers of a 32-bit integer hash (murmur3's finalizer) and the step between replicates.
+MIX, STEP = (0x85EBCA6B, 0xC2B2AE35), 0x9E3779B1
+#: Share of all rows from which the rows of one score are added up before they are dealt out.
+FREQUENT = 1 / 200
+#: Weights made at a time.
+WEIGHTS_AT_ONCE = 1 << 21
 
 
-#: Rows that a replicate of a resampling study may bring together in one task.
-STUDY_ROWS = 5_000_000
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
 
 
-def _study(df: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """A held-out set for resampling: bounded, and refused when it is larger."""
-    if df.limit(STUDY_ROWS + 1).count() > STUDY_ROWS:
-        raise ValueError(f"resampling studies take at most {STUDY_ROWS} rows: sample first")
-    return df.select(*columns).orderBy(*columns).toPandas()
+def poisson_weights(a: np.ndarray, b: np.ndarray, replicates: int) -> np.ndarray:
+    """(rows, replicates): how often each replicate has a row, from two 32-bit hashes of the row."""
+    turn = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(STEP)).astype(np.uint32)
+    x = _mixed(_mixed(a.astype(np.uint32)[:, None] ^ turn) ^ b.astype(np.uint32)[:, None])
+    out = np.zeros(x.shape, np.int64)
+    for t in POISSON:
+        out += x >= np.uint32(min(t, 2**32 - 1))
+    return out
 
 
-def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, label: str = "label", replicates: int = 500, seed: int = 42, least_valid: float = 0.95) -> DataFrame:
+def _blocks(batch: pa.RecordBatch, replicates: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row of parts of a batch (a, b, pos) with the rows' positives and negatives in every replicate."""
+    a, b, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "pos"))
+    step = max(1, WEIGHTS_AT_ONCE // replicates)
+    for i in range(0, len(a), step):
+        j = min(i + step, len(a))
+        w = poisson_weights(a[i:j], b[i:j], replicates)
+        yield i, j, w * pos[i:j, None], w * (1 - pos[i:j, None])
+
+
+class _Resampled:
+    """ROC-AUC and average precision of one score in all replicates.
+
+    Rows of a frequent score are added up where they lie. All others are dealt by range of score; per range, the first pass adds
+    up positives and negatives of every replicate and the second, knowing what the ranges above come to, walks down its scores. The
+    driver gets two numbers a range and replicate.
+    """
+
+    def __init__(self, df: DataFrame, score: str, label: str, key: str, replicates: int, seed: int, parts: int):
+        self.replicates = n = replicates
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))
+        bits = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+        rows = df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("pos"), bits(1).alias("a"), bits(9).alias("b"))
+        total = df.count()
+        common = [r.score for r in rows.groupBy("score").count().filter(F.col("count") >= max(1000.0, total * FREQUENT)).collect()]
+        is_common = F.col("score").isin(common) if common else F.lit(False)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[float, np.ndarray] = {}
+            for batch in batches:
+                at = batch.column("score").to_numpy(zero_copy_only=False)
+                for i, j, p, q in _blocks(batch, n):
+                    for s in np.unique(at[i:j]).tolist():
+                        sums[s] = sums.get(s, 0) + np.stack([p[at[i:j] == s].sum(axis=0), q[at[i:j] == s].sum(axis=0)])
+            for s, both in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s)), pa.array(np.arange(n)), pa.array(both[0]), pa.array(both[1])], names=["score", "r", "p", "q"])
+
+        summed = rows.filter(is_common).mapInArrow(added, "score double, r long, p long, q long").groupBy("score", "r").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        lists = summed.groupBy("score").agg(F.array_sort(F.collect_list(F.struct("r", "p", "q"))).alias("x")).select("score", F.col("x.p").alias("p"), F.col("x.q").alias("q"))
+        both = rows.filter(~is_common).unionByName(lists, allowMissingColumns=True) if common else rows.withColumn("p", F.lit(None).cast("array<long>")).withColumn("q", F.lit(None).cast("array<long>"))
+        edges = rows.approxQuantile("score", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+        cut = F.lit(0)
+        for e in sorted(set(edges)):
+            cut = cut + F.when(F.col("score") < F.lit(e), 1).otherwise(0)
+        self.rows = both.withColumn("cut", cut).repartition("cut").sortWithinPartitions("cut", F.desc("score"))
+
+    def walk(self, before: dict[int, np.ndarray] | None, all_neg: np.ndarray | None) -> dict[int, np.ndarray]:
+        """Per range: positives and negatives, or, if what stands above is given, parts of AUC and average precision; each of all replicates."""
+        n = self.replicates
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[int, np.ndarray] = {}
+            # the score that is being added up, and what stands above it
+            now: tuple[int, float] | None = None
+            group, above = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+
+            def close() -> None:
+                nonlocal above, group
+                above = above + group
+                if before is None:
+                    out[now[0]] = above
+                else:
+                    upto = above + before.get(now[0], 0)
+                    precision = upto[0] / np.maximum(upto.sum(axis=0), 1)
+                    out[now[0]] = out.get(now[0], 0) + np.stack([group[0] * (all_neg - upto[1] + group[1] / 2), group[0] * precision])
+                group = np.zeros((2, n), np.int64)
+
+            def take(cut: int, score: float, p: np.ndarray, q: np.ndarray) -> None:
+                nonlocal now, above, group
+                if now is not None and now != (cut, score):
+                    close()
+                    if now[0] != cut:
+                        above = np.zeros((2, n), np.int64)
+                now = (cut, score)
+                group = group + np.stack([p, q])
+
+            for batch in batches:
+                cuts, scores = batch.column("cut").to_numpy(), batch.column("score").to_numpy(zero_copy_only=False)
+                whole = batch.column("p").is_valid().to_numpy(zero_copy_only=False)
+                filled = batch.set_column(batch.schema.get_field_index("pos"), "pos", pc.fill_null(batch.column("pos"), 0))
+                for c in ("a", "b"):
+                    filled = filled.set_column(filled.schema.get_field_index(c), c, pc.fill_null(filled.column(c), 0))
+                for i, j, p, q in _blocks(filled, n):
+                    new = np.flatnonzero(np.concatenate([[True], (scores[i + 1 : j] != scores[i : j - 1]) | (cuts[i + 1 : j] != cuts[i : j - 1])]))
+                    ps, qs = np.add.reduceat(p, new), np.add.reduceat(q, new)
+                    for x, at in enumerate((new + i).tolist()):
+                        if whole[at]:
+                            take(int(cuts[at]), float(scores[at]), *(batch.column(c)[at].values.to_numpy() for c in ("p", "q")))
+                        else:
+                            take(int(cuts[at]), float(scores[at]), ps[x], qs[x])
+            if now is not None:
+                close()
+            for cut, both in out.items():
+                yield pa.RecordBatch.from_arrays([pa.array([cut], pa.int32()), pa.array([both[0].astype(float)]), pa.array([both[1].astype(float)])], names=["cut", "x", "y"])
+
+        return {r.cut: np.array([r.x, r.y]) for r in self.rows.mapInArrow(run, "cut int, x array<double>, y array<double>").collect()}
+
+    def metrics(self) -> np.ndarray:
+        """(2, replicates): ROC-AUC and average precision, NaN where a class is missing."""
+        totals = self.walk(None, None)
+        before, upto = {}, np.zeros((2, self.replicates))
+        for cut in sorted(totals):
+            before[cut], upto = upto.astype(np.int64), upto + totals[cut]
+        parts = self.walk(before, upto[1].astype(np.int64))
+        won = sum(parts[c] for c in sorted(parts)) if parts else np.zeros((2, self.replicates))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = np.stack([won[0] / (upto[0] * upto[1]), won[1] / upto[0]])
+        return np.where((upto > 0).all(axis=0), found, np.nan)
+
+
+def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, key: str, label: str = "label", replicates: int = 500, seed: int = 42, least_valid: float = 0.95, parts: int = 32) -> DataFrame:
     """Metric gains of score_b over score_a with percentile intervals over resamples that both scores share.
 
-    metric, delta, low, high, n_valid. A replicate with one class only is dropped; too many of them are an error.
+    A Poisson bootstrap: each row is in a replicate Poisson(1) times, by a hash of its ``key`` and the replicate, so resamples are
+    the same at every partitioning and no row travels for them. metric, delta, low, high, n_valid. A replicate with one class only is
+    dropped; too many of them are an error. Any number of rows.
     """
     check_inputs(df, score_a, label)
     check_inputs(df, score_b, label)
-    data = _study(df, [score_a, score_b, label])
-    y = data[label].to_numpy() == 1
-    orders = []
-    for s in (score_a, score_b):
-        value = data[s].to_numpy(float)
-        order = np.argsort(-value, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(value[order]) != 0]))
-        orders.append((order, edge))
-    sent = df.sparkSession.sparkContext.broadcast((y, orders))
-
-    def both(weight: np.ndarray) -> list[float] | None:
-        y, orders = sent.value
-        if not weight[y].sum() or not weight[~y].sum():
-            return None
-        found = []
-        for order, edge in orders:
-            w, p = weight[order], y[order]
-            found.append(_weighted(np.add.reduceat(w * p, edge), np.add.reduceat(w * ~p, edge)))
-        return [found[1][0] - found[0][0], found[1][1] - found[0][1]]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                n = len(sent.value[0])
-                rows.append((r, *(both(np.bincount(rng.integers(0, n, n), minlength=n).astype(float)) or (None, None))))
-            yield pd.DataFrame(rows, columns=["id", "roc_auc", "average_precision"])
-
-    got = df.sparkSession.range(replicates).mapInPandas(run, "id long, roc_auc double, average_precision double").filter("roc_auc is not null").toPandas()
-    if len(got) < least_valid * replicates:
-        raise ValueError(f"only {len(got)} of {replicates} resamples have both classes")
-    point = both(np.ones(len(y)))
-    rows = [(m, d, float(got[m].quantile(0.025)), float(got[m].quantile(0.975)), len(got)) for m, d in zip(("roc_auc", "average_precision"), point, strict=True)]
+    gain = _Resampled(df, score_b, label, key, replicates, seed, parts).metrics() - _Resampled(df, score_a, label, key, replicates, seed, parts).metrics()
+    valid = ~np.isnan(gain).any(axis=0)
+    if valid.sum() < least_valid * replicates:
+        raise ValueError(f"only {valid.sum()} of {replicates} resamples have both classes")
+    point = [ranking_metrics(df, s, label).first() for s in (score_a, score_b)]
+    rows = [(m, float(point[1][m] - point[0][m]), *(float(x) for x in np.quantile(gain[i][valid], [0.025, 0.975])), int(valid.sum())) for i, m in enumerate(("roc_auc", "average_precision"))]
     return df.sparkSession.createDataFrame(rows, "metric string, delta double, low double, high double, n_valid long")
 
 

@@ -610,11 +610,6 @@ def _pair(spark, sf_dir) -> DataFrame:
     return built.select("label_id", F.col("count_txn_24h").cast("double").alias("a"), F.col("sum_amt_7d").alias("b"), "label")
 
 
-@query()
-def paired_bootstrap(spark, sf_dir):
-    return metrics.paired_bootstrap(_pair(spark, sf_dir), "a", "b")
-
-
 def _shuffles_sql(repeats: int, column: str) -> str:
     """m: roc_auc and average_precision of a + b with a column dealt to other rows, for each repeat r: ranks by id meet ranks by a seeded md5."""
     score = {"a": "g.v + p.b", "b": "p.a + g.v"}[column]
@@ -629,6 +624,32 @@ def _shuffles_sql(repeats: int, column: str) -> str:
 _P = f"WITH f AS ({features_sql('events', [('count_txn_24h', 'count', 24), ('sum_amt_7d', 'sum', 168)])}), p AS (SELECT label_id, CAST(count_txn_24h AS DOUBLE) AS a, sum_amt_7d AS b, CAST(label AS INTEGER) AS label, ROW_NUMBER() OVER (ORDER BY label_id) AS i FROM f)"
 
 
+def _resampled_sql(column: str) -> str:
+    """m: roc_auc and average_precision of a column in every resample r, from the weights in w."""
+    return (
+        f"s{column} AS (SELECT r, {column} AS score, SUM(n * label)::DOUBLE AS pos, SUM(n * (1 - label))::DOUBLE AS neg FROM w GROUP BY ALL), "
+        f"c{column} AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY r) AS np, SUM(neg) OVER (PARTITION BY r) AS nq FROM s{column} WHERE pos + neg > 0 WINDOW w AS (PARTITION BY r ORDER BY score DESC)), "
+        f"m{column} AS (SELECT r, SUM(pos * (nq - fp + neg / 2)) / (ANY_VALUE(np) * ANY_VALUE(nq)) AS auc, SUM(pos / np * tp / (tp + fp)) AS ap FROM c{column} GROUP BY r)"
+    )
+
+
+def _bootstrap_sql(replicates: int = 500, seed: int = 42) -> str:
+    """Weights by the same integer hash; replicate -1 has every row once."""
+    mask, one, two = "CAST(4294967295 AS HUGEINT)", *metrics.MIX
+    part = lambda at: f"CAST('0x' || SUBSTR(MD5('{seed}:' || label_id), {at}, 8) AS HUGEINT)"
+    mixed = lambda x, i: f"(XOR({x}, {x} >> 16) * {one}) & {mask} AS {i}1, (XOR({i}1, {i}1 >> 13) * {two}) & {mask} AS {i}2, XOR({i}2, {i}2 >> 16) AS {i}3"
+    reached = " + ".join(f"(y3 >= {min(t, 2**32 - 1)})::INT" for t in metrics.POISSON)
+    weights = f"x AS (SELECT r, a, b, label, XOR({part(1)}, ((r + 1) * CAST({metrics.STEP} AS HUGEINT)) & {mask}) AS x0, {mixed('x0', 'x')}, XOR(x3, {part(9)}) AS y0, {mixed('y0', 'y')} FROM p, RANGE({replicates}) s(r)), w AS (SELECT r, a, b, label, {reached} AS n FROM x UNION ALL SELECT -1, a, b, label, 1 FROM p)"
+    rows = ", ".join(f"('{name}', '{column}')" for name, column in (("roc_auc", "auc"), ("average_precision", "ap")))
+    gain = "CASE v.metric WHEN 'roc_auc' THEN mb.auc - ma.auc ELSE mb.ap - ma.ap END"
+    return f"{_P}, {weights}, {_resampled_sql('a')}, {_resampled_sql('b')}, g AS (SELECT v.metric, r, {gain} AS gain FROM ma JOIN mb USING (r), (VALUES {rows}) v(metric, of)) SELECT metric, ROUND(MAX(gain) FILTER (WHERE r = -1), 8) AS delta, ROUND(QUANTILE_CONT(gain, 0.025) FILTER (WHERE r >= 0), 8) AS low, ROUND(QUANTILE_CONT(gain, 0.975) FILTER (WHERE r >= 0), 8) AS high, COUNT(*) FILTER (WHERE r >= 0) AS n_valid FROM g GROUP BY metric"
+
+
+@query(_bootstrap_sql())
+def paired_bootstrap(spark, sf_dir):
+    return _rounded(metrics.paired_bootstrap(_pair(spark, sf_dir), "a", "b", "label_id"), "delta", "low", "high")
+
+
 @query(f"{_P}, {_shuffles_sql(50, 'b')} SELECT r AS repeat, ROUND(auc, 8) AS roc_auc, ROUND(ap, 8) AS average_precision FROM mb")
 def block_shuffle(spark, sf_dir):
     return _rounded(metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id"), "roc_auc", "average_precision")
