@@ -14,6 +14,7 @@ from tidemark.operators import features, parity
 from tidemark.operators.cohort import same_rows
 from tidemark.plans import backfill
 from tidemark.plans.catalog import DEFAULT_PATH, load_catalog
+from tidemark.queries import custom
 from tidemark.sources import readers, sinks
 from tidemark.streaming import online, replay
 
@@ -278,3 +279,45 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.export_report(spark.range(3), tmp_path / "r.csv", ["id"], limit=2)
     assert sinks.markdown_table(["a"], [[None], [1]]).count("|") == 8
+
+
+def test_a_day_is_written_by_several_tasks(spark):
+    rows = facts(spark, [(i, f"u{i % 50}", D(2022, 9, 14) + timedelta(seconds=i), 1.0, 0) for i in range(4000)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        built = backfill.requested(rows, FIRST, FIRST, SHIPPED).repartitionByRange("cutoff_ts", "label_id")
+        assert built.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_changed_facts_rebuild_the_days_that_can_differ(spark, tmp_path):
+    catalog = custom(("sum_30h", "sum", 30), ("since_50h", "time_since_last", 50))
+    rng = random.Random(1)
+    start = D(2022, 9, 1)
+    rows = [(i, rng.choice(["a", "b", None]), start + timedelta(days=rng.randrange(20), seconds=rng.randrange(86_400)), rng.randrange(1, 400) / 4, 0) for i in range(150)]
+    day = date(2022, 9, 9)
+    gone = [r for r in rows if r[2].date() == date(2022, 9, 15)]
+    late = [(1000 + i, "a", D(2022, 9, 9, 0, 0) + timedelta(hours=h), 5.0, 0) for i, h in enumerate((0, 12, 23.9))]
+    root = str(tmp_path / "days")
+    backfill.write_days(features.build(facts(spark, rows), catalog), root)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "days").rglob("*.parquet")}
+    before = files()
+    now = facts(spark, [r for r in rows if r not in gone] + late)
+    built = backfill.refresh(now, facts(spark, late + gone), root, catalog)
+    # 23.9 h and 50 h later is the third day after
+    assert built[:4] == [day + timedelta(days=d) for d in range(4)] and date(2022, 9, 15) in built and date(2022, 9, 14) not in built
+    got, want = spark.read.parquet(root).drop("day"), features.build(now, catalog)
+    assert close(values(got, catalog.names), values(want, catalog.names)) and got.count() == want.count()
+    changed = {p.parent.name for p in set(before) ^ set(files())}
+    assert changed <= {f"day={d}" for d in built} and not list((tmp_path / "days").glob("day=2022-09-15"))
+    assert backfill.refresh(now, facts(spark, []), root, catalog) == []
+
+
+def test_same_rows_counts_and_orders(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, None, 0.0)], "x long, y string, z double")
+    assert same_rows(df, df.orderBy(F.desc("x"))) and same_rows(df.limit(0), df.limit(0))
+    assert not same_rows(df, df.distinct()) and not same_rows(df, df.withColumn("z", F.lit(1.0))) and not same_rows(df, df.drop("z"))
+    # nulls are told from one another by place
+    a, b = spark.createDataFrame([(1, None)], "x int, y int"), spark.createDataFrame([(None, 1)], "x int, y int")
+    assert not same_rows(a, b) and same_rows(a, a.select("x", F.col("y").cast("long").alias("y")))

@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import entity_key
@@ -461,6 +461,25 @@ def backfill_slice(spark, sf_dir):
     return cents(backfill.requested(facts(spark, sf_dir, ORDERS), *_DAYS, load_catalog()))
 
 
+def _late(rows: DataFrame) -> Column:
+    """Facts of one day that came after the store was built."""
+    return (F.to_date("event_ts") == F.lit("2024-01-20").cast("date")) & (F.col("transaction_id") % 3 == 0)
+
+
+@query(features_sql("some_null", SHIPPED))
+def backfill_refreshed(spark, sf_dir):
+    rows, root, catalog = facts(spark, sf_dir, EVENTS_SOME_NULL), f"{_written(spark)}/days", load_catalog()
+    backfill.write_days(features.build(rows.filter(~_late(rows)), catalog), root)
+    backfill.refresh(rows, rows.filter(_late(rows)), root, catalog)
+    return cents(spark.read.parquet(root).drop("day"))
+
+
+@query(f"WITH t AS ({T['orders']}), m AS (SELECT MD5(CONCAT_WS('|', transaction_id, uid, EPOCH_US(event_ts), CAST(ROUND(amount * 100) AS BIGINT), label)) AS h FROM t) SELECT COUNT(*) AS n_rows, CAST(SUM(CAST(CAST('0x' || SUBSTR(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS low_sum, CAST(SUM(CAST(CAST('0x' || SUBSTR(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS high_sum FROM m")
+def facts_fingerprint(spark, sf_dir):
+    rows = facts(spark, sf_dir, ORDERS)
+    return cohort.fingerprint(rows.select("transaction_id", "uid", micros(F.col("event_ts")), F.round(F.col("amount") * 100).cast("long"), "label"))
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     rows = facts(spark, sf_dir, EVENTS_SOME_NULL)
     return rows.select("transaction_id", "uid", micros(F.col("event_ts")).alias("us"), "amount")
