@@ -168,7 +168,7 @@ def test_shuffles_of_all_repeats_against_brute_force(spark):
     got = {r.repeat: (r.roc_auc, r.average_precision) for r in metrics.block_shuffle_study(df, F.col("a") + F.col("b"), ["b"], "id", repeats=3).collect()}
     by_id = sorted(rows)
     for r in range(3):
-        given = [x[2] for x in sorted(rows, key=lambda x: (hashlib.md5(f"{42 + r}:{x[0]}".encode()).hexdigest()[:13], x[0]))]
+        given = [by_id[i][2] for i in metrics.permuted(np.arange(len(rows)), len(rows), 42 + r)]
         assert got[r] == pytest.approx(brute_metrics(np.array([x[1] + g for x, g in zip(by_id, given, strict=True)]), np.array([x[3] for x in by_id])))
     assert len(got) == 3
     assert [tuple(r) for r in metrics.block_shuffle_study(df.limit(0), F.col("a"), ["b"], "id", repeats=1).collect()] == [(0, None, None)]
@@ -253,3 +253,12 @@ def test_bootstrap_against_whole_resamples(spark, monkeypatch, parts, frequent):
     gains = np.array([np.subtract(account(np.array([r[2] for r in rows]), w[:, k]), account(np.array([r[1] for r in rows]), w[:, k])) for k in range(30)])
     for i, m in enumerate(("roc_auc", "average_precision")):
         assert got[m].n_valid == 30 and got[m].low == pytest.approx(np.quantile(gains[:, i], 0.025)) and got[m].high == pytest.approx(np.quantile(gains[:, i], 0.975))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 65, 1000, 70_000])
+def test_permutations_are_permutations(n):
+    a, b = metrics.permuted(np.arange(n), n, 1), metrics.permuted(np.arange(n), n, 2)
+    assert sorted(a) == list(range(n)) and sorted(b) == list(range(n))
+    if n > 60:
+        assert (a == b).sum() < 20 + n / 50 and abs(np.corrcoef(a, np.arange(n))[0, 1]) < 4 / n**0.5 + 0.1
+        assert metrics.permuted(np.array([5, 9]), n, 1).tolist() == [a[5], a[9]]

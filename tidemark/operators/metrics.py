@@ -257,40 +257,66 @@ def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, key: str, label:
     return df.sparkSession.createDataFrame(rows, "metric string, delta double, low double, high double, n_valid long")
 
 
-def shuffled_block(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
-    """df with the columns' values, as a block, dealt to other rows: the row of rank i by a seeded hash gives to rank i by id.
+def round_keys(seed: int) -> list[int]:
+    """The keys of a permutation's four rounds."""
+    return [int(_mixed(np.array([(seed * STEP + j) % 2**32], np.uint32))[0]) for j in range(1, 5)]
+
+
+def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a keyed permutation of 0..n-1 sends each x: a four-round Feistel network over a square of a power of two, walked until it is below n."""
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+    keys = round_keys(seed)
+    x = x.astype(np.uint64)
+    todo = np.arange(len(x))
+    while len(todo):
+        left, right = x[todo] >> half, x[todo] & mask
+        for k in keys:
+            left, right = right, left ^ (_mixed(right.astype(np.uint32) ^ np.uint32(k)).astype(np.uint64) & mask)
+        x[todo] = left << half | right
+        todo = todo[x[todo] >= n]
+    return x.astype(np.int64)
 
-    Ranks come from buckets of hashes and ids, so no task sorts all rows.
-    """
+
+def shuffled_block(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
+    """df with the columns' values, as a block, dealt to other rows by a keyed permutation of the rows' places in order of ``key``."""
     return shuffled_blocks(df, columns, key, [seed]).drop("_seed")
 
 
 def shuffled_blocks(df: DataFrame, columns: Sequence[str], key: str, seeds: Sequence[int], parts: int = 32) -> DataFrame:
-    """``shuffled_block`` for each of the seeds, with _seed, in one pass: rows are ranked by id once and by hash for all seeds together."""
-    by_id = _ranked(df, F.col(key).cast("double"), [key], parts)
-    given = df.select(*columns, key).withColumn("_seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-    even = [i / parts * 2.0**52 for i in range(1, parts)]  # hashes spread evenly
-    # 52 bits of md5: exact as a double, and the same in any engine
-    mark = F.conv(F.substring(F.md5(F.concat_ws(":", "_seed", key)), 1, 13), 16, 10).cast("double")
-    given = _ranked(given, mark, [key], parts, ["_seed"], even)
-    given = given.select(*(F.col(c).alias(f"_{c}") for c in columns), F.col("_rank").alias("_r"), "_seed")
-    joined = by_id.join(given, F.col("_rank") == F.col("_r"))
+    """``shuffled_block`` for each of the seeds, with _seed, in one pass.
+
+    Rows are ranked once, by buckets of ids, so no task sorts all of them; where each takes its values from is computed, not
+    sorted for, and one join by place fetches them for all seeds.
+    """
+    n = df.count()
+    ranked = _ranked(df, F.col(key).cast("double"), [key], parts).withColumn("_rank", F.col("_rank") - 1)
+    given = ranked.select(*(F.col(c).alias(f"_{c}") for c in columns), F.col("_rank").alias("_r"))
+    asking = ranked
+    schema = asking.withColumn("_seed", F.lit(0)).withColumn("_from", F.lit(0).cast("long")).schema
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = batch.column("_rank").to_numpy()
+            for s in seeds:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(rank), s, np.int32)), pa.array(permuted(rank, n, s))], names=schema.names)
+
+    joined = asking.mapInArrow(ask, schema).join(given, F.col("_from") == F.col("_r"))
     return joined.select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns), "_seed")
 
 
-def _ranked(df: DataFrame, by, ties: list[str], parts: int = 32, of: Sequence[str] = (), edges: list[float] | None = None) -> DataFrame:
-    """df with _rank, the place of each row in order of an expression (among the rows of the same ``of``)."""
+def _ranked(df: DataFrame, by, ties: list[str], parts: int = 32) -> DataFrame:
+    """df with _rank, the place of each row, from 1, in order of an expression."""
     valued = df.withColumn("_by", by)
-    if edges is None:
-        edges = sorted(set(valued.approxQuantile("_by", [i / parts for i in range(1, parts)], 0.01)))
+    edges = sorted(set(valued.approxQuantile("_by", [i / parts for i in range(1, parts)], 0.01)))
     cut = F.lit(0)
     for e in edges:
         cut = cut + F.when(F.col("_by") > F.lit(e), 1).otherwise(0)
     valued = valued.withColumn("_cut", cut)
-    sizes = valued.groupBy(*of, "_cut").agg(F.count("*").alias("_n"))
-    sizes = sizes.select(*of, "_cut", (F.sum("_n").over(Window.partitionBy(*of).orderBy("_cut")) - F.col("_n")).alias("_first"))
-    within = F.row_number().over(Window.partitionBy(*of, "_cut").orderBy("_by", *ties))
-    return valued.join(F.broadcast(sizes), [*of, "_cut"]).withColumn("_rank", within + F.col("_first")).drop("_by", "_cut", "_first")
+    sizes = valued.groupBy("_cut").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_cut", (F.sum("_n").over(Window.orderBy("_cut")) - F.col("_n")).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_cut").orderBy("_by", *ties))
+    return valued.join(F.broadcast(sizes), "_cut").withColumn("_rank", within + F.col("_first")).drop("_by", "_cut", "_first")
 
 
 def block_shuffle_study(df: DataFrame, score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 50, seed: int = 42) -> DataFrame:

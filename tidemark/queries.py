@@ -630,10 +630,20 @@ def _pair(spark, sf_dir) -> DataFrame:
 
 
 def _shuffles_sql(repeats: int, column: str) -> str:
-    """m: roc_auc and average_precision of a + b with a column dealt to other rows, for each repeat r: ranks by id meet ranks by a seeded md5."""
+    """m: roc_auc and average_precision of a + b with a column dealt to other rows, for each repeat r, by the same keyed permutation of places."""
     score = {"a": "g.v + p.b", "b": "p.a + g.v"}[column]
+    mask, one, two = "CAST(4294967295 AS HUGEINT)", *metrics.MIX
+    rounds, left, right = "", "l0", "r0"
+    for j in range(4):
+        x = f"x{j}"
+        rounds += f", XOR({right}, k{j}) AS {x}0, (XOR({x}0, {x}0 >> 16) * {one}) & {mask} AS {x}1, (XOR({x}1, {x}1 >> 13) * {two}) & {mask} AS {x}2, XOR({left}, XOR({x}2, {x}2 >> 16) & (half - 1)) AS r{j + 1}"
+        left, right = right, f"r{j + 1}"
+    steps = f"SELECT r, i, n, half, k0, k1, k2, k3, {left} * half + {right} AS x FROM (SELECT *, x // half AS l0, x % half AS r0{rounds} FROM {{}})"
+    keys = ", ".join(f"({r}, {', '.join(map(str, metrics.round_keys(42 + r)))})" for r in range(repeats))
     return (
-        f"g{column} AS (SELECT r, {column} AS v, ROW_NUMBER() OVER (PARTITION BY r ORDER BY SUBSTR(MD5(CONCAT_WS(':', CAST(42 + r AS VARCHAR), CAST(label_id AS VARCHAR))), 1, 13), label_id) AS i FROM p, RANGE({repeats}) s(r)), "
+        f"b{column} AS (SELECT r, p.i - 1 AS i, n, CAST(1 AS HUGEINT) << GREATEST(1, (LENGTH(BIN(n - 1)) + 1) // 2) AS half, k0, k1, k2, k3, CAST(p.i - 1 AS HUGEINT) AS x FROM p, (SELECT COUNT(*) AS n FROM p), (VALUES {keys}) k(r, k0, k1, k2, k3)), "
+        f"w{column} AS ({steps.format(f'b{column}')} UNION ALL {steps.format(f'w{column} WHERE x >= n')}), "
+        f"g{column} AS (SELECT r, w.i + 1 AS i, q.{column} AS v FROM w{column} w JOIN p q ON q.i = w.x + 1 WHERE w.x < w.n), "
         f"s{column} AS (SELECT g.r, {score} AS score, SUM(p.label)::DOUBLE AS pos, SUM(1 - p.label)::DOUBLE AS neg FROM p JOIN g{column} g USING (i) GROUP BY 1, 2), "
         f"c{column} AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY r) AS np, SUM(neg) OVER (PARTITION BY r) AS nq FROM s{column} WINDOW w AS (PARTITION BY r ORDER BY score DESC)), "
         f"m{column} AS (SELECT CAST(r AS INTEGER) AS r, SUM(pos * (nq - fp + neg / 2)) / (ANY_VALUE(np) * ANY_VALUE(nq)) AS auc, SUM(pos / np * tp / (tp + fp)) AS ap FROM c{column} GROUP BY r)"
@@ -669,7 +679,7 @@ def paired_bootstrap(spark, sf_dir):
     return _rounded(metrics.paired_bootstrap(_pair(spark, sf_dir), "a", "b", "label_id"), "delta", "low", "high")
 
 
-@query(f"{_P}, {_shuffles_sql(50, 'b')} SELECT r AS repeat, ROUND(auc, 8) AS roc_auc, ROUND(ap, 8) AS average_precision FROM mb")
+@query(f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, {_shuffles_sql(50, 'b')} SELECT r AS repeat, ROUND(auc, 8) AS roc_auc, ROUND(ap, 8) AS average_precision FROM mb")
 def block_shuffle(spark, sf_dir):
     return _rounded(metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id"), "roc_auc", "average_precision")
 
@@ -677,7 +687,7 @@ def block_shuffle(spark, sf_dir):
 _BASE = "z AS (SELECT a + b AS score, SUM(label)::DOUBLE AS pos, SUM(1 - label)::DOUBLE AS neg FROM p GROUP BY 1), y AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER () AS np FROM z WINDOW w AS (ORDER BY score DESC)), base AS (SELECT SUM(pos / np * tp / (tp + fp)) AS ap FROM y)"
 
 
-@query(f"{_P}, {_BASE}, {_shuffles_sql(10, 'a')}, {_shuffles_sql(10, 'b')} SELECT 'a' AS feature, ROUND((SELECT ap FROM base) - AVG(ap), 8) AS importance, ROUND(STDDEV_SAMP(ap), 8) AS deviation FROM ma UNION ALL SELECT 'b', ROUND((SELECT ap FROM base) - AVG(ap), 8), ROUND(STDDEV_SAMP(ap), 8) FROM mb")
+@query(f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, {_BASE}, {_shuffles_sql(10, 'a')}, {_shuffles_sql(10, 'b')} SELECT 'a' AS feature, ROUND((SELECT ap FROM base) - AVG(ap), 8) AS importance, ROUND(STDDEV_SAMP(ap), 8) AS deviation FROM ma UNION ALL SELECT 'b', ROUND((SELECT ap FROM base) - AVG(ap), 8), ROUND(STDDEV_SAMP(ap), 8) FROM mb")
 def permutation_importance(spark, sf_dir):
     return _rounded(metrics.permutation_importance(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["a", "b"], "label_id"), "importance", "deviation")
 
