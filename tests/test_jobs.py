@@ -237,6 +237,40 @@ def test_streaming_replay_equals_batch(spark, tmp_path):
     assert close(values(got, SHIPPED.names), values(features.build(facts(spark, rows), SHIPPED), SHIPPED.names))
 
 
+def test_a_stream_is_observed_once_and_refuses_to_go_back(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", replay.STATE_PROVIDER)
+    rows = sorted(edge_rows(30)[:-1], key=lambda r: (r[2], r[0]))
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema(readers.FACT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
+        replay.replay_stream(stream, SHIPPED, root, lambda df, n: seen.append((n, df.count())), availableNow=True).awaitTermination(180)
+
+    def add(some):
+        facts(spark, some).coalesce(1).write.mode("append").parquet(str(source))
+
+    add(rows[:30])
+    run()
+    add(rows[30:])
+    run()
+    published = lambda: spark.read.parquet(f"{root}/features")
+    assert seen == [(0, 30), (1, len(rows) - 30)]
+    assert close(values(published(), SHIPPED.names), values(features.build(facts(spark, rows), SHIPPED), SHIPPED.names))
+    # a crash after a batch was published, before Spark noted it: it runs again
+    (tmp_path / "out" / "checkpoint" / "commits" / "1").unlink()
+    for left in (tmp_path / "out" / "checkpoint" / "commits").glob(".1*"):
+        left.unlink()
+    run()
+    assert len(seen) == 2 and published().count() == len(rows)
+    assert close(values(published(), SHIPPED.names), values(features.build(facts(spark, rows), SHIPPED), SHIPPED.names))
+    # another entity's event from before: nothing of its batch is published or observed
+    add([(5000, "elsewhere", rows[-1][2] - timedelta(seconds=1), 1.0, 0)])
+    with pytest.raises(Exception, match="older than"):
+        run()
+    assert len(seen) == 2 and published().count() == len(rows)
+
+
 def test_http(spark, tmp_path):
     store = online.OnlineStore(spark, str(tmp_path))
     server = online.serve(store, port=0)

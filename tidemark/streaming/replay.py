@@ -3,21 +3,25 @@
 Per entity the state is the list of events within the longest window and the latest instant seen. Rows of a
 micro-batch are ordered by instant; peers of one instant do not see each other, whichever batch brings them. A row
 older than its entity's latest instant is not dropped: it comes out flagged as late, without features, and is not
-stored. (A batch replay checks order over all entities and refuses.)
+stored. ``replay_stream`` checks order over all entities, as a batch replay does, and refuses a micro-batch that goes back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.timeutil import micros
 from tidemark.plans.catalog import FeatureCatalog
+from tidemark.sources import sinks
+from tidemark.sources.readers import exists
 from tidemark.streaming.runs import EntityRun
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,3 +81,48 @@ def stream_features(stream: DataFrame, catalog: FeatureCatalog) -> DataFrame:
     """
     rows = stream.filter("uid is not null").select("transaction_id", "uid", micros(F.col("event_ts")).alias("us"), F.col("amount").cast("double").alias("amount"))
     return rows.groupBy("uid").transformWithStateInPandas(AsOfProcessor(catalog), output_schema(catalog), "Append", "None")
+
+
+class OutOfOrder(ValueError):
+    """A micro-batch has an event older than one of an earlier micro-batch, of whatever entity."""
+
+
+def _latest_before(spark: SparkSession, root: str, batch: int) -> int | None:
+    """The latest instant of the batches before one, from the record of the last of them."""
+    fs, folder = sinks._fs(spark, f"{root}/batches")
+    if not fs.exists(folder):
+        return None
+    ids = [int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")]
+    earlier = [i for i in ids if i < batch]
+    return json.loads(spark.read.text(f"{root}/batches/{max(earlier)}.json").first()[0])["latest"] if earlier else None
+
+
+def replay_stream(stream: DataFrame, catalog: FeatureCatalog, root: str, observer: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+    """Start a replay of a stream of transactions: features per micro-batch in ``root/features/batch=N``, a record of each in ``root/batches``.
+
+    A micro-batch with an event older than any of an earlier one, of this or another entity, stops the query with OutOfOrder
+    before its features are published. ``observer`` is called with each published micro-batch's features and number, in order; a
+    micro-batch that Spark runs again after a crash is published again, with the same rows, but not observed again. Rows without an
+    entity are left out. ``trigger`` goes to the query's trigger.
+    """
+    spark, root = stream.sparkSession, root.rstrip("/")
+
+    def publish(rows: DataFrame, batch: int) -> None:
+        record, place, fresh = f"{root}/batches/{batch}.json", f"{root}/features/batch={batch}", f"{root}/_checking/{batch}"
+        rows.write.mode("overwrite").parquet(fresh)
+        rows = spark.read.schema(rows.schema).parquet(fresh)
+        seen = rows.agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count_if("late").alias("late")).first()
+        before = _latest_before(spark, root, batch)
+        if seen.late or (seen.first is not None and before is not None and seen.first < before):
+            sinks.delete(spark, fresh)
+            raise OutOfOrder(f"micro-batch {batch} has events older than {before}")
+        again = exists(spark, record)
+        sinks.delete(spark, place)
+        sinks.rename(spark, fresh, place)
+        latest = max((x for x in (before, seen.last) if x is not None), default=None)
+        sinks.write_bytes(spark, record, json.dumps({"batch": batch, "latest": latest}).encode())
+        if observer is not None and not again:
+            observer(spark.read.schema(rows.schema).parquet(place), batch)
+
+    writer = stream_features(stream, catalog).writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(publish)
+    return (writer.trigger(**trigger) if trigger else writer).start()
