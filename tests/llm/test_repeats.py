@@ -155,3 +155,24 @@ def test_blind_trie_is_sorted_and_groups_equals():
     for i, t in enumerate(texts):
         trie.add(t, i)
     assert [[texts[i] for i in leaf] for leaf in trie.leaves()] == [[b""], [b"ab"], [b"abc", b"abc"], [b"abcabc"], [b"abd"], [b"b"]]
+
+
+def test_indexes_of_like_names_and_broken_additions(spark):
+    rows = lambda *hs: spark.createDataFrame([(h, 1, h, 0, 1, 0) for h in hs], repeats.ANCHORS)
+    long, short = FingerprintIndex(spark, "Fp_New", buckets=2), FingerprintIndex(spark, "fp", buckets=2)
+    try:
+        long.add(rows(1, 2))
+        short.add(rows(7))
+        short._write_run = lambda *a: (_ for _ in ()).throw(OSError("the disk is full"))
+        with pytest.raises(OSError):
+            short.add(rows(8, 9))
+        again = FingerprintIndex(spark, "FP", buckets=2)
+        assert again.all_anchors().count() == 1 and len(again.runs) == 1
+        assert sorted(r.h for r in again.add(rows(7, 8)).collect()) == [7] and again.all_anchors().count() == 3
+        assert FingerprintIndex(spark, "fp_new").all_anchors().count() == 2
+        with pytest.raises(ValueError):
+            FingerprintIndex(spark, "a b")
+    finally:
+        for x in (FingerprintIndex(spark, "fp"), long):
+            x.drop()
+    assert not spark.sql("SHOW TABLES LIKE 'fp*'").collect()

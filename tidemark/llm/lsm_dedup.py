@@ -26,23 +26,30 @@ from .scratch import Scratch, small_batches
 class FingerprintIndex:
     """Runs of fingerprints. ``fanout`` runs of a level become one of the next.
 
-    All tables are in the catalog under ``name``; with a name given before and a catalog that outlives the session the
-    index is found again as it was. ``drop`` removes it.
+    All tables are in the catalog under ``name`` (lower case there); with a name given before and a catalog that outlives the
+    session the index is found again as it was. A batch whose addition was broken off is not in it and can be added again.
+    ``drop`` removes it.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.name = name or f"fingerprints_{uuid.uuid4().hex}"
+        self.name = (name or f"fingerprints_{uuid.uuid4().hex}").lower()
+        if not re.fullmatch("[a-z_][a-z0-9_]*", self.name):
+            raise ValueError(f"not a plain name: {name!r}")
         self.runs: list[tuple[int, str]] = []  # level, table
         self.anchors: list[str] = []
         self._made = 0
         for row in spark.sql(f"SHOW TABLES LIKE '{self.name}_*'").collect():
-            kind, number, level = re.fullmatch(rf"{self.name}_(run|anchors)_(\d+)_(\d+)", row.tableName).groups()
-            self._made = max(self._made, int(number) + 1)
-            if kind == "run":
-                self.runs.append((int(level), row.tableName))
-            else:
+            table = re.fullmatch(rf"{self.name}_(run|anchors|pending)_(\d+)_(\d+)", row.tableName)
+            if table is None:  # of another index, whose name goes on
+                continue
+            self._made = max(self._made, int(table[2]) + 1)
+            if table[1] == "run":
+                self.runs.append((int(table[3]), row.tableName))
+            elif table[1] == "anchors":
                 self.anchors.append(row.tableName)
+            else:
+                spark.sql(f"DROP TABLE {row.tableName}")
         self.runs.sort(key=lambda r: (-r[0], r[1]))
 
     def _name(self, kind: str, level: int) -> str:
@@ -58,12 +65,15 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch of anchor rows; return the hashes (h) that it made repeats, or that were and are in it."""
-        table = self._name("anchors", 0)
-        batch.write.format("parquet").option("compression", "zstd").saveAsTable(table)
-        self.anchors.append(table)
+        # the anchors get their name when the run is there: a run too many only makes more candidates, one too few loses repeats
+        pending = self._name("pending", 0)
+        batch.write.format("parquet").option("compression", "zstd").saveAsTable(pending)
         older = [t for _, t in self.runs]
-        counts = self.spark.table(table).groupBy("h").agg(F.count("*").alias("m"))
+        counts = self.spark.table(pending).groupBy("h").agg(F.count("*").alias("m"))
         new = self.spark.table(self._write_run(counts.repartition(self.buckets, "h"), 0))
+        table = pending.replace(f"{self.name}_pending", f"{self.name}_anchors", 1)
+        self.spark.sql(f"ALTER TABLE {pending} RENAME TO {table}")
+        self.anchors.append(table)
         hits = new.filter("m > 1").select("h")
         for run in older:
             hits = hits.unionByName(new.select("h").hint("merge").join(self.spark.table(run).select("h"), "h"))
