@@ -633,12 +633,14 @@ def _shuffles_sql(repeats: int, column: str) -> str:
     """m: roc_auc and average_precision of a + b with a column dealt to other rows, for each repeat r, by the same keyed permutation of places."""
     score = {"a": "g.v + p.b", "b": "p.a + g.v"}[column]
     mask, one, two = "CAST(4294967295 AS HUGEINT)", *metrics.MIX
-    rounds, left, right = "", "l0", "r0"
+    # a query in a query for each step: an alias used in its own query is written out again wherever it stands
+    steps, left, right = "(SELECT *, x // half AS l0, x % half AS r0 FROM {})", "l0", "r0"
     for j in range(4):
         x = f"x{j}"
-        rounds += f", XOR({right}, k{j}) AS {x}0, (XOR({x}0, {x}0 >> 16) * {one}) & {mask} AS {x}1, (XOR({x}1, {x}1 >> 13) * {two}) & {mask} AS {x}2, XOR({left}, XOR({x}2, {x}2 >> 16) & (half - 1)) AS r{j + 1}"
+        for made in (f"XOR({right}, k{j}) AS {x}0", f"(XOR({x}0, {x}0 >> 16) * {one}) & {mask} AS {x}1", f"(XOR({x}1, {x}1 >> 13) * {two}) & {mask} AS {x}2", f"XOR({left}, XOR({x}2, {x}2 >> 16) & (half - 1)) AS r{j + 1}"):
+            steps = f"(SELECT *, {made} FROM {steps})"
         left, right = right, f"r{j + 1}"
-    steps = f"SELECT r, i, n, half, k0, k1, k2, k3, {left} * half + {right} AS x FROM (SELECT *, x // half AS l0, x % half AS r0{rounds} FROM {{}})"
+    steps = f"SELECT r, i, n, half, k0, k1, k2, k3, {left} * half + {right} AS x FROM {steps}"
     keys = ", ".join(f"({r}, {', '.join(map(str, metrics.round_keys(42 + r)))})" for r in range(repeats))
     return (
         f"b{column} AS (SELECT r, p.i - 1 AS i, n, CAST(1 AS HUGEINT) << GREATEST(1, (LENGTH(BIN(n - 1)) + 1) // 2) AS half, k0, k1, k2, k3, CAST(p.i - 1 AS HUGEINT) AS x FROM p, (SELECT COUNT(*) AS n FROM p), (VALUES {keys}) k(r, k0, k1, k2, k3)), "
