@@ -43,7 +43,7 @@ def test_toxic_documents_held_out(spark):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
     rows = [r for r in queries()["op4_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in toxic]
     bad, clean = [r for r in rows if toxic[r.doc_id] == 1], [r for r in rows if toxic[r.doc_id] == 0]
-    assert len(bad) > 50 and sum(r.predicted for r in bad) >= 0.85 * len(bad)  # some have no toxic word left
+    assert len(bad) > 50 and sum(r.predicted for r in bad) >= 0.9 * len(bad)  # some have no toxic word left
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 

@@ -44,12 +44,12 @@ def features(s: bt.Slice) -> tuple[np.ndarray, np.ndarray]:
 def accepted(toxic: np.ndarray, mixed: np.ndarray, positives: int, unlabelled: int, prior: float) -> np.ndarray:
     """Features that may add to the score, from how many positive and unlabelled texts have each.
 
-    Words of toxic texts only are log(1 / prior) more common among the positives than in the mixture; three quarters
+    Words of toxic texts only are log(1 / prior) more common among the positives than in the mixture; six tenths
     of the way there and beyond what chance explains, a feature may add to the score; none takes away from it.
     """
     expected = (mixed + 0.5) * positives / (unlabelled + 1)
     odds = np.log(toxic + 0.5) - np.log(expected)
-    return np.flatnonzero((odds > 0.75 * np.log(1 / prior)) & (toxic - expected > 4 * np.sqrt(expected)) & (toxic >= 3))
+    return np.flatnonzero((odds > 0.6 * np.log(1 / prior)) & (toxic - expected > 4 * np.sqrt(expected)) & (toxic >= 3))
 
 
 def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.ndarray | None = None, steps: int = 300, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
