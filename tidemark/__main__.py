@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     add("warehouse", ("csv-path", need), ("output", need), ("expected-rows", {"type": int}))
     add("offline", ("facts", need), ("output", need), catalog, ("strategy", {"default": "auto", "choices": features.STRATEGIES}))
     add("backfill", ("facts", need), ("start-date", need), ("end-date", need), ("output-root", need), ("log-path", need), catalog)
-    add("replay", ("facts", need), ("store", need), catalog)
+    add("replay", ("facts", need), ("store", need), ("features", {"help": "where to write what each event sees"}), catalog)
     add("parity", ("facts", need), ("store", need), ("as-stored", {"action": "store_true"}), ("sample-size", {"type": int}), ("rel-tol", {"type": float, "default": 1e-9}), ("abs-tol", {"type": float, "default": 1e-9}), catalog)
     add("serve", ("store", need), ("host", {"default": "127.0.0.1"}), ("port", {"type": int, "default": 8000}), catalog)
     return out
@@ -50,7 +50,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "backfill":
         print(backfill.run(facts, args.start_date, args.end_date, output_root=args.output_root, log_path=args.log_path, catalog_path=args.catalog_path))
     elif args.command == "replay":
-        print(OnlineStore(spark, args.store).replay_facts(facts, catalog))
+        observer = (lambda df: print(f"{sinks.publish(df, args.features)} rows written to {args.features}")) if args.features else None
+        print(OnlineStore(spark, args.store).replay_facts(facts, catalog, observer))
     elif args.command == "parity":
         options = parity.ParityOptions(args.sample_size, args.rel_tol, args.abs_tol)
         result = parity.store_parity(facts, OnlineStore(spark, args.store), catalog, options, replay=not args.as_stored)

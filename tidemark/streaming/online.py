@@ -134,11 +134,17 @@ class ParquetLog:
     def _resolved(self, deltas: DataFrame) -> DataFrame:
         return deltas.groupBy("bucket", *self.KEY).agg(F.max_by("us", F.struct("turn", "us")).alias("us"), F.max("turn").alias("turn"))
 
-    def put(self, rows: DataFrame) -> None:
+    def _delta(self, rows: DataFrame) -> DataFrame:
         bucket = F.pmod(F.crc32(F.encode("uid", "UTF-8")), F.lit(self.BUCKETS)).cast("int")
-        new = rows.select("uid", F.col("transaction_id").cast("string").alias("transaction_id"), F.col("amount").cast("double").alias("amount"), "us", F.lit(time.time_ns()).alias("turn"), bucket.alias("bucket"))
+        return rows.select("uid", F.col("transaction_id").cast("string").alias("transaction_id"), F.col("amount").cast("double").alias("amount"), "us", F.lit(time.time_ns()).alias("turn"), bucket.alias("bucket"))
+
+    def put(self, rows: DataFrame) -> None:
         # a folder gets few files, and one of a hot entity is split again
-        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self._events)
+        self._delta(rows).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self._events)
+
+    def replace(self, rows: DataFrame) -> None:
+        """Put rows (some) in place of all events: until they are written whole, the old ones stay."""
+        publish(self._delta(rows).hint("rebalance", "bucket"), self._events, by=["bucket"])
 
     def events(self, uids: Sequence[str] | None = None) -> DataFrame:
         deltas = self._deltas()
@@ -263,7 +269,8 @@ class OnlineStore:
 
         Each event sees what was before its instant; it is then stored. As a batch that is the as-of build over the
         same rows. A row that goes back in time is an error before anything changes; equal instants are fine. Rows
-        without an entity only move the clock. ``observer`` gets the frame of features.
+        without an entity only move the clock. ``observer`` gets the frame of features. A log with ``replace`` keeps its old events
+        until the new ones are there.
         """
         catalog = catalog or load_catalog()
         if "seq" in rows.columns:
@@ -273,9 +280,13 @@ class OnlineStore:
         totals = rows.agg(F.count("*").alias("n"), F.count("uid").alias("known"), F.max("us").alias("last")).first()
         if observer is not None:
             observer(replay_features(rows, catalog))
-        self.clear()
-        if totals.known:
-            self.put(rows.filter("uid is not null"))
+        replace = getattr(self.log, "replace", None)
+        if totals.known and replace is not None:
+            replace(rows.filter("uid is not null"))
+        else:
+            self.clear()
+            if totals.known:
+                self.put(rows.filter("uid is not null"))
         if totals.last is not None:
             self.log.set_clock(totals.last)
         self._forget()
