@@ -21,6 +21,7 @@ from tidemark.plans import backfill
 from tidemark.plans.catalog import FeatureCatalog, FeatureDefinition, load_catalog
 from tidemark.plans.roles import EVENTS, EVENTS_SOME_NULL, LINEITEM, ORDERS, Roles, transactions
 from tidemark.sources import readers, sinks
+from tidemark.sources.versions import Versions
 from tidemark.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,6 +560,15 @@ def facts_published_and_read(spark, sf_dir):
     return readers.read_facts(spark, place)
 
 
+@query(f"WITH t AS ({T['orders']}) SELECT transaction_id, uid, event_ts, amount, label FROM t")
+def facts_versioned_and_read(spark, sf_dir):
+    rows, table = facts(spark, sf_dir, ORDERS), Versions(spark, f"{_written(spark)}/facts")
+    table.publish(rows.filter("label = 0"))
+    table.publish(rows)
+    table.expire(keep=1)
+    return table.read()
+
+
 @query("SELECT CAST(o_orderkey AS BIGINT) AS TransactionID, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS isFraud, CAST(DATE_DIFF('second', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS BIGINT) AS TransactionDT, CAST(o_totalprice AS DOUBLE) AS TransactionAmt, o_orderstatus AS kind FROM orders")
 def csv_written_and_read(spark, sf_dir):
     place = f"{_written(spark)}/raw.csv"
