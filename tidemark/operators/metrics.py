@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
 from tidemark.operators.cohort import running_sums
 
 
@@ -351,25 +352,9 @@ def permutation_importance(df: DataFrame, score, columns: Sequence[str], key: st
     return out.select("feature", "importance", "deviation")
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = "label", trees: int = 100, depth: int = 5, seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
-    """test with score, and each feature's importance. Missing values become a value of their own beside an indicator."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def boosted_trees(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = "label", trees: int = 100, depth: int = 5) -> tuple[DataFrame, dict[str, float]]:
+    """test with score, and each feature's share of the gain. Missing values are that, in training and in scoring (``boosting``)."""
     for part in (train, test):
         check_features(part, columns)
-    names = [n for c in columns for n in (c, f"{c}__missing")]
-
-    def filled(df: DataFrame) -> DataFrame:
-        for c in columns:
-            v = F.col(c).cast("double")
-            gone = v.isNull() | F.isnan(v)
-            df = df.withColumn(f"_f_{c}", F.when(gone, -1.0).otherwise(v)).withColumn(f"_f_{c}__missing", gone.cast("double"))
-        return VectorAssembler(inputCols=[f"_f_{n}" for n in names], outputCol="_x").transform(df.withColumn("_y", F.col(label).cast("double")))
-
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed).fit(filled(train))
-    own = F.struct(*(F.col(c) for c in test.columns)).alias("_own")
-    scored = model.transform(filled(test).select(own, "_x")).select("_own.*", vector_to_array("probability")[1].alias("score"))
-    weights = model.featureImportances.toArray()
-    return scored, {c: float(weights[2 * i] + weights[2 * i + 1]) for i, c in enumerate(columns)}
+    model = boosting.fit(train, columns, label, trees, depth)
+    return test.withColumn("score", model.score()), model.importance
