@@ -174,6 +174,29 @@ def test_shuffles_of_all_repeats_against_brute_force(spark):
     assert [tuple(r) for r in metrics.block_shuffle_study(df.limit(0), F.col("a"), ["b"], "id", repeats=1).collect()] == [(0, None, None)]
 
 
+@pytest.mark.parametrize("ties", [True, False])
+def test_shuffles_in_many_blocks_and_ranges(spark, monkeypatch, ties):
+    monkeypatch.setattr(metrics, "BLOCK", 64)
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 100)
+    monkeypatch.setattr(metrics, "ROWS_AT_ONCE", 700)
+    rng = random.Random(6)
+    rows = [(i, float(rng.randrange(3)), float(rng.randrange(2)) if ties else rng.random(), int(rng.random() < 0.3)) for i in rng.sample(range(9000), 1500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(3)
+    score, by_id, y = F.col("a") + F.col("b"), sorted(rows), np.array([r[3] for r in sorted(rows)])
+    a, b = (np.array([r[i] for r in by_id]) for i in (1, 2))
+    want = {c: [brute_metrics((a[at] + b) if c == "a" else (a + b[at]), y) for at in (metrics.permuted(np.arange(1500), 1500, 42 + r) for r in range(4))] for c in "ab"}
+    lost = metrics.permutation_importance(df, score, ["a", "b"], "id", repeats=4)
+    # the plan of the result holds no study: only small numbers wait on the driver
+    assert "Exchange hashpartitioning" not in lost._jdf.queryExecution().executedPlan().toString()
+    for r in lost.collect():
+        ap = np.array([x[1] for x in want[r.feature]])
+        assert (r.importance, r.deviation) == pytest.approx((brute_metrics(a + b, y)[1] - ap.mean(), ap.std(ddof=1)))
+    got = {r.repeat: (r.roc_auc, r.average_precision) for r in metrics.block_shuffle_study(df, score, ["b"], "id", repeats=4).collect()}
+    assert all(got[r] == pytest.approx(want["b"][r]) for r in range(4)) and len(got) == 4
+    with pytest.raises(Exception, match="neither"):
+        metrics.block_shuffle_study(df.withColumn("label", F.lit(2)), score, ["b"], "id", repeats=1)
+
+
 def test_first_qualifying_row(spark):
     rows = [(1, "a", hours(1), 0, 9, 9), (2, None, hours(5), 0, 9, 9), (3, "a", hours(6), 0, 0, 9), (5, "b", hours(7), 0, 1, 2), (4, "b", hours(7), 0, 3, 4), (6, "c", hours(8), 0, 1, 1)]
     df = spark.createDataFrame(rows, "label_id long, uid string, cutoff_ts timestamp_ntz, label int, past int, future int")

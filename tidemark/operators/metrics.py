@@ -12,7 +12,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
@@ -320,18 +321,221 @@ def _ranked(df: DataFrame, by, ties: list[str], parts: int = 32) -> DataFrame:
     return valued.join(F.broadcast(sizes), "_cut").withColumn("_rank", within + F.col("_first")).drop("_by", "_cut", "_first")
 
 
-def block_shuffle_study(df: DataFrame, score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 50, seed: int = 42) -> DataFrame:
-    """repeat, roc_auc, average_precision of a fitted ``score`` (Column over the features) with the columns shuffled as a block; no refit.
+#: Places whose values one task hands out to the rows of all repeats that ask for them; rows of all repeats in one range of scores.
+BLOCK, RANGE_ROWS = 1 << 16, 1 << 21
+#: Rows of several repeats that a task holds at a time.
+ROWS_AT_ONCE = 1 << 20
+#: A batch that Python gets, in bytes.
+BATCH_BYTES = "32m"
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order of small whole keys, and where each run of equal keys begins and ends in that order."""
+    order = np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")
+    begin = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return order, begin, np.append(begin[1:], len(keys))
+
+
+def _packed(keys: np.ndarray, kind: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each key: its rows as an Arrow stream."""
+    order, begin, end = _runs(keys)
+    rows, data = rows.take(pa.array(order)), []
+    for i, j in zip(begin.tolist(), end.tolist(), strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows.slice(i, j - i))
+        data.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(keys[order[begin]], pa.int32()), pa.array(np.full(len(begin), kind, np.int32)), pa.array(data, pa.binary())], names=["at", "kind", "data"])
+
 
-    All repeats are one job; one repeat more tells the quantiles at which scores are cut.
+def _unpacked(data: pa.Scalar) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data.as_buffer()) as stream:
+        return stream.read_next_batch()
+
+
+class _Shuffles:
+    """ROC-AUC and average precision of a score under shuffles of columns, all repeats together.
+
+    Rows are ranked once and kept. For each repeat a row asks for the values at one place; askers travel packed, by blocks of places, to
+    the task that has the block's values. Scores then travel packed, by ranges of scores, and are kept: one pass adds up positives and
+    negatives of each range and repeat, a second, knowing what stands above, walks down the scores. The driver gets two numbers a
+    range and repeat.
     """
 
-    def scored(seeds: Sequence[int]) -> DataFrame:
-        return shuffled_blocks(df, columns, key, seeds).select("_seed", score.alias("score"), label)
+    def __init__(self, df: DataFrame, score: Column, key: str, label: str):
+        self.score, self.label = score, label
+        self.columns = [c for c in df.columns if c != key or c in str(score)]
+        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        if name not in conf.getAll:
+            conf.set(name, BATCH_BYTES)
+        rows = df.select(*df.columns).persist()
+        self.n = rows.count()
+        ranked = _ranked(rows, F.col(key).cast("double"), [key], max(32, self.n >> 20)).select(*self.columns, (F.col("_rank") - 1).alias("_rank"))
+        self.rows = ranked.persist()
+        self.rows.count()
+        rows.unpersist()
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+    def _checked(self, df: DataFrame, *more: str) -> DataFrame:
+        y, s = F.col(self.label).cast("int"), self.score.cast("double")
+        s = F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), F.raise_error(F.lit("a score is not finite"))).otherwise(s)
+        y = F.when(y.isNull() | ~y.isin(0, 1), F.raise_error(F.lit("a label is neither 0 nor 1"))).otherwise(y)
+        return df.select(*more, s.alias("score"), y.cast("int").alias("pos"))
+
+    def _shuffled(self, columns: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+        """_repeat and the columns, the given ones shuffled."""
+        moved = [c for c in self.columns if c in columns]
+        stay = [c for c in self.columns if c not in columns]
+        n, size = self.n, min(BLOCK, max(1024, -(-self.n // 64)))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rank = batch.column("_rank").to_numpy()
+                if not len(rank):
+                    continue
+                place = pa.array((rank % size).astype(np.int32))
+                yield _packed(rank // size, 0, pa.RecordBatch.from_arrays([place, *(batch.column(c) for c in moved)], names=["_place", *moved]))
+                step = max(1, ROWS_AT_ONCE // len(rank))
+                for i in range(0, len(seeds), step):
+                    some = range(i, min(i + step, len(seeds)))
+                    source = np.concatenate([permuted(rank, n, seeds[j]) for j in some])
+                    own = pa.array(np.tile(np.arange(len(rank)), len(some)))
+                    made = [pa.array(np.repeat(np.array(some, np.int32), len(rank))), pa.array((source % size).astype(np.int32)), *(batch.column(c).take(own) for c in stay)]
+                    yield _packed(source // size, 1, pa.RecordBatch.from_arrays(made, names=["_repeat", "_place", *stay]))
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, parts, values = -1, [], None
+            for batch in batches:
+                for at, kind, data in zip(batch.column("at").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                    if at != block:
+                        block, parts, values = at, [], None
+                    got = _unpacked(data)
+                    if kind == 0:
+                        parts.append(got)
+                        continue
+                    if values is None:
+                        whole = pa.Table.from_batches(parts).combine_chunks()
+                        values, parts = whole.take(pa.array(np.argsort(whole.column("_place").to_numpy()))), []
+                    place = got.column("_place")
+                    yield pa.RecordBatch.from_arrays([got.column("_repeat"), *(got.column(c) for c in stay), *(values.column(c).take(place).combine_chunks() for c in moved)], names=["_repeat", *stay, *moved])
+
+        asked = self.rows.mapInArrow(ask, "at int, kind int, data binary").repartition(max(1, -(-n // size)), "at").sortWithinPartitions("at", "kind")
+        return asked.mapInArrow(answer, self.rows.select(F.lit(0).alias("_repeat"), *stay, *moved).schema)
+
+    def _edges(self, columns: Sequence[str], parts: int) -> list[float]:
+        """Where scores are cut: quantiles with the columns shuffled within batches, which is near enough for ranges of even size."""
+        moved = [c for c in self.columns if c in columns]
+
+        def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                turn = pa.array(permuted(np.arange(batch.num_rows), batch.num_rows, 0)) if batch.num_rows else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(turn) if c in moved else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+        like = self._checked(self.rows.mapInArrow(mixed, self.rows.schema))
+        return sorted(set(like.approxQuantile("score", [i / parts for i in range(1, parts)], 0.25 / parts)))
+
+    def metrics(self, columns: Sequence[str], seeds: Sequence[int]) -> np.ndarray:
+        """(2, seeds): ROC-AUC and average precision, NaN where a class is missing."""
+        m = len(seeds)
+        if not self.n or not m:
+            return np.full((2, m), np.nan)
+        parts = max(32, self.n * m // RANGE_ROWS)
+        edges = np.array(self._edges(columns, parts))
+        tied = len(edges) < parts - 1
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def flush() -> pa.RecordBatch:
+                repeat, score, pos = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("_repeat", "score", "pos"))
+                held.clear()
+                neg = 1 - pos
+                if tied:  # rows of a frequent score are added up where they lie
+                    order = np.lexsort((score, repeat))
+                    repeat, score, pos, neg = (x[order] for x in (repeat, score, pos, neg))
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(repeat) != 0) | (np.diff(score) != 0)]))
+                    repeat, score, pos, neg = repeat[new], score[new], np.add.reduceat(pos, new), np.add.reduceat(neg, new)
+                # the greatest scores come first
+                cut = len(edges) - np.searchsorted(edges, score, "left")
+                return _packed(cut, 0, pa.RecordBatch.from_arrays([pa.array(repeat), pa.array(score), pa.array(pos.astype(np.int32)), pa.array(neg.astype(np.int32))], names=["repeat", "score", "pos", "neg"]))
+
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+                    yield flush()
+            if any(b.num_rows for b in held):
+                yield flush()
+
+        scored = self._checked(self._shuffled(columns, seeds), "_repeat")
+        packed = scored.mapInArrow(pack, "at int, kind int, data binary").select("at", "data").repartition(parts, "at").sortWithinPartitions("at").persist(StorageLevel.DISK_ONLY)
+
+        def walk(account) -> dict[int, np.ndarray]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                now, held = -1, []
+
+                def close() -> pa.RecordBatch:
+                    x = account(now, *(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("repeat", "score", "pos", "neg")))
+                    return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([x[0].astype(float)]), pa.array([x[1].astype(float)])], names=["at", "x", "y"])
+
+                for batch in batches:
+                    for at, data in zip(batch.column("at").to_pylist(), batch.column("data"), strict=True):
+                        if at != now and held:
+                            yield close()
+                            held = []
+                        now = at
+                        held.append(_unpacked(data))
+                if held:
+                    yield close()
+
+            return {r["at"]: np.array([r.x, r.y]) for r in packed.mapInArrow(run, "at int, x array<double>, y array<double>").collect()}
+
+        def count(at: int, repeat: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+            return np.stack([np.bincount(repeat, x, m) for x in (pos, neg)])
+
+        try:
+            totals = walk(count)
+            before, upto = {}, np.zeros((2, m))
+            for at in sorted(totals):
+                before[at], upto = upto, upto + totals[at]
+            all_neg = upto[1]
+
+            def account(at: int, repeat: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+                order = np.argsort(-score)
+                order = order[_runs(repeat[order])[0]]
+                repeat, score = repeat[order], score[order]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(repeat) != 0) | (np.diff(score) != 0)]))
+                p, q = (np.add.reduceat(x[order].astype(np.int64), new) for x in (pos, neg))
+                of = repeat[new]
+                first = np.searchsorted(of, np.arange(m))[of]  # where each repeat begins
+                above = before[at]
+                tp, fp = (np.cumsum(x) - (np.cumsum(x) - x)[first] + above[i, of] for i, x in enumerate((p, q)))
+                return np.stack([np.bincount(of, p * (all_neg[of] - fp + q / 2), m), np.bincount(of, p * (tp / (tp + fp)), m)])
+
+            found = walk(account)
+        finally:
+            packed.unpersist()
+        won = sum(found[at] for at in sorted(found))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where((upto > 0).all(axis=0), np.stack([won[0] / (upto[0] * upto[1]), won[1] / upto[0]]), np.nan)
+
 
-    found = ranking_metrics(scored(range(seed, seed + repeats)), "score", label, ["_seed"], scored([seed]))
-    every = df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))
-    return every.join(F.broadcast(found), F.col("repeat") + seed == F.col("_seed"), "left").select("repeat", "roc_auc", "average_precision")
+def _study(df: DataFrame, found: np.ndarray) -> DataFrame:
+    rows = [(i, *(None if np.isnan(x) else float(x) for x in found[:, i])) for i in range(found.shape[1])]
+    return df.sparkSession.createDataFrame(rows, "repeat int, roc_auc double, average_precision double")
+
+
+def block_shuffle_study(df: DataFrame, score: Column, columns: Sequence[str], key: str, label: str = "label", repeats: int = 50, seed: int = 42) -> DataFrame:
+    """repeat, roc_auc, average_precision of a fitted ``score`` (Column over the features) with the columns shuffled as a block; no refit.
+
+    The values go where ``shuffled_block`` of seed + repeat puts them.
+    """
+    shuffles = _Shuffles(df, score, key, label)
+    try:
+        return _study(df, shuffles.metrics(columns, range(seed, seed + repeats)))
+    finally:
+        shuffles.close()
 
 
 def study_summary(study: DataFrame, baseline_ap: float, baseline_auc: float) -> DataFrame:
@@ -341,14 +545,17 @@ def study_summary(study: DataFrame, baseline_ap: float, baseline_auc: float) ->
     return study.agg(F.avg(auc).alias("mean_roc_auc"), F.stddev_samp(auc).alias("std_roc_auc"), below(auc, baseline_auc).alias("share_below_roc_auc"), F.avg(ap).alias("mean_ap"), F.stddev_samp(ap).alias("std_ap"), F.percentile(ap, F.lit(0.025)).alias("low_ap"), F.percentile(ap, F.lit(0.975)).alias("high_ap"), below(ap, baseline_ap).alias("share_below_ap"))
 
 
-def permutation_importance(df: DataFrame, score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
-    """feature, importance, deviation: how much average precision a fitted ``score`` loses with one column shuffled."""
-    base = average_precision(df.select(score.alias("score"), label), "score", label).first()[0]
-    out = None
-    for c in columns:
-        study = block_shuffle_study(df, score, [c], key, label, repeats, seed)
-        one = study.agg(F.avg(F.lit(base) - F.col("average_precision")).alias("importance"), F.stddev_samp("average_precision").alias("deviation")).withColumn("feature", F.lit(c))
-        out = one if out is None else out.unionByName(one)
+def permutation_importance(df: DataFrame, score: Column, columns: Sequence[str], key: str, label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
+    """feature, importance, deviation: how much average precision a fitted ``score`` loses with one column shuffled. Rows are ranked once for all columns."""
+    shuffles, out = _Shuffles(df, score, key, label), None
+    try:
+        base = average_precision(shuffles.rows.select(score.alias("score"), label), "score", label).first()[0]
+        for c in columns:
+            study = _study(df, shuffles.metrics([c], range(seed, seed + repeats)))
+            one = study.agg(F.avg(F.lit(base) - F.col("average_precision")).alias("importance"), F.stddev_samp("average_precision").alias("deviation")).withColumn("feature", F.lit(c))
+            out = one if out is None else out.unionByName(one)
+    finally:
+        shuffles.close()
     return out.select("feature", "importance", "deviation")
 
 
