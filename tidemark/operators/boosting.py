@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import quantiles
@@ -24,6 +26,8 @@ UNIT = float(1 << 30)
 CHUNK = 10
 #: Beyond so many tasks their sums are added up in Spark before the driver gets them.
 TASKS = 64
+#: Cells of a partition, where there are fewer in all than its partitions could hold.
+CELLS = 10_000
 
 
 @dataclass
@@ -133,7 +137,7 @@ def fit(rows: DataFrame, columns: Sequence[str], label: str = "label", trees: in
     trees. No rows are an error.
     """
     columns = list(columns)
-    named = rows.select(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)), F.col(label).cast("int").alias("y"))
+    named = rows.select(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)), F.col(label).cast("int").alias("y")).persist()
     known = [F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(columns))]
     found = quantiles(named.select(*known), [f"v{i}" for i in range(len(columns))], [j / bins for j in range(1, bins)])
     edges = [np.array(sorted({found[f"v{i}", j / bins] for j in range(1, bins)} - {None})) for i in range(len(columns))]
@@ -141,6 +145,8 @@ def fit(rows: DataFrame, columns: Sequence[str], label: str = "label", trees: in
     cells = named.select(*(_bin(f"v{i}", e).alias(f"b{i}") for i, e in enumerate(edges)), y.cast("long").alias("y"))
     cells = cells.groupBy(*(f"b{i}" for i in range(len(columns)))).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).persist()
     try:
+        cells.count()
+        named.unpersist()
         total = cells.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
         if total.pos is None:
             raise ValueError("no rows to fit to")
@@ -149,15 +155,16 @@ def fit(rows: DataFrame, columns: Sequence[str], label: str = "label", trees: in
             model.start = float(np.log((total.pos + 0.5) / (total.neg + 0.5)))
             return model
         model.start = float(np.log(total.pos / total.neg))
-        held, tasks = _held(cells, model)
+        blocks = _blocks(cells, len(columns))
+        held = _held(blocks, model)
         while len(model.trees) < trees:
-            tree = _grow(held, model.trees[len(model.trees) // CHUNK * CHUNK :], model, depth, l2, least, tasks)
+            tree = _grow(held, model.trees[len(model.trees) // CHUNK * CHUNK :], model, depth, l2, least)
             if tree is None:
                 break
             model.trees.append(tree)
             if len(model.trees) % CHUNK == 0 and len(model.trees) < trees:
                 last = held
-                held, tasks = _held(cells, model)
+                held = _held(blocks, model)
                 last.unpersist()
         held.unpersist()
         return model
@@ -165,28 +172,38 @@ def fit(rows: DataFrame, columns: Sequence[str], label: str = "label", trees: in
         cells.unpersist()
 
 
-def _bins_of(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    return np.stack([batch.column(i).to_numpy() for i in range(n)])
+def _blocks(cells: DataFrame, n: int) -> RDD:
+    """Cells as arrays: bins (columns x cells), positives, negatives. Few cells are in few partitions: each level is a job of its own."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_numpy().astype("<i8").tobytes() for i in range(n + 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(columns)], pa.binary())], names=["x"])
 
-def _held(cells: DataFrame, model: Boosted) -> tuple[DataFrame, int]:
-    """Cells with their margins by the trees there are, kept, and their number of partitions. What is lost is computed from the cells again."""
-    n, trees, start = len(model.columns), list(model.trees), model.start
+    def unpack(row: Row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(row.x, "<i8").reshape(n + 2, -1)
+        return x[:n].astype(np.int16), x[n], x[n + 1]
+
+    blocks = cells.mapInArrow(pack, "x binary").rdd
+    few = max(1, -(-cells.count() // CELLS))
+    return (blocks.coalesce(few) if few < blocks.getNumPartitions() else blocks).map(unpack)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = _bins_of(batch, n)
-            margin = np.full(batch.num_rows, start)
-            for t in trees:
-                margin += t.value[t.node(bins)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin)], names=[*batch.schema.names, "margin"])
 
-    held = cells.mapInArrow(run, cells.withColumn("margin", F.lit(0.0)).schema).persist()
-    held.count()
-    return held, held.rdd.getNumPartitions()
+def _held(blocks: RDD, model: Boosted) -> RDD:
+    """Cells with their margins by the trees there are, kept. What is lost is computed from the cells again."""
+    trees, start = list(model.trees), model.start
 
+    def run(block: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        bins = block[0]
+        margin = np.full(bins.shape[1], start)
+        for t in trees:
+            margin += t.value[t.node(bins)]
+        return *block, margin
 
-def _grow(cells: DataFrame, done: list[Tree], model: Boosted, depth: int, l2: float, least: float, tasks: int) -> Tree | None:
+    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _grow(held: RDD, done: list[Tree], model: Boosted, depth: int, l2: float, least: float) -> Tree | None:
     """One more tree; None if not even its root can be split. ``done``: trees that the cells' margins do not have yet."""
     n, width = len(model.edges), 2 + max((len(e) for e in model.edges), default=0)
     tree, open_nodes = Tree(depth), [1]
@@ -194,11 +211,10 @@ def _grow(cells: DataFrame, done: list[Tree], model: Boosted, depth: int, l2: fl
         size = (1 << level) * n * width
         first = 1 << level
 
-        def run(batches: Iterator[pa.RecordBatch], first: int = first, size: int = size) -> Iterator[pa.RecordBatch]:
+        def run(blocks: Iterator[tuple[np.ndarray, ...]], first: int = first, size: int = size) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for batch in batches:
-                bins, margin = _bins_of(batch, n), batch.column(n + 2).to_numpy().copy()
-                pos, neg = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy()
+            for bins, pos, neg, margin in blocks:
+                margin = margin.copy()
                 for t in done:
                     margin += t.value[t.node(bins)]
                 node = tree.node(bins) - first
@@ -208,16 +224,13 @@ def _grow(cells: DataFrame, done: list[Tree], model: Boosted, depth: int, l2: fl
                     slot = ((node * n + c) * width + bins[c])[here]
                     np.add.at(g, slot, (pos * of_pos + neg * of_neg)[here])
                     np.add.at(h, slot, ((pos + neg) * second)[here])
-            some = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(g[some]), pa.array(h[some])], names=["slot", "g", "h"])
-
-        sums = cells.mapInArrow(run, "slot long, g long, h long")
-        if tasks > TASKS:
-            sums = sums.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-        t = sums.toArrow()
-        g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        np.add.at(g, t.column("slot").to_numpy(), t.column("g").to_numpy())
-        np.add.at(h, t.column("slot").to_numpy(), t.column("h").to_numpy())
+            yield g, h
+
+        def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            return a[0] + b[0], a[1] + b[1]
+
+        sums = held.mapPartitions(run)
+        g, h = sums.treeReduce(add) if held.getNumPartitions() > TASKS else reduce(add, sums.collect())
         g, h = (x.reshape(first, n, width) for x in (g, h))
         further = []
         for i in open_nodes:
