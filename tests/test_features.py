@@ -92,3 +92,18 @@ def test_default_plan_has_one_shuffle_and_one_sort(spark):
     table = facts(spark, random_rows(3)).filter(F.col("uid").isNotNull())
     plan = features.build(table, SHIPPED)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(uid") == 1
+
+
+def test_prefix_deals_rows_by_their_number(spark, monkeypatch):
+    from tidemark.operators import carry
+
+    rng = random.Random(11)
+    rows = facts(spark, [(i, rng.choice(["a", "b", "c", "d", None]), hours(rng.randrange(200)), rng.randrange(50)) for i in range(300)])
+    want = values(features.build(rows, load_catalog(), "range"), load_catalog().names)
+    monkeypatch.setattr(carry, "TASK_ROWS", 20)
+    got = features.build(rows, load_catalog(), "prefix")
+    # 300 points less those without an entity, probed at four instants
+    known = rows.filter("uid is not null").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-known * 4 // 20)}), REPARTITION_BY_NUM" in plan and f", {-(-known * 5 // 20)}), REPARTITION_BY_NUM" in plan
+    assert close(values(got, load_catalog().names), want)

@@ -19,6 +19,14 @@ from pyspark.sql import functions as F
 HOT_ROWS, BUCKET_ROWS = 1_000_000, 200_000
 #: Hot keys that are kept on the driver; beyond, their list is computed where it is used.
 FEW_KEYS = 10_000
+#: Rows that a task of a window or a grouping should have at most.
+TASK_ROWS = 1_000_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows, about n of them, by key over so many tasks that each has TASK_ROWS at most; as they are where the session's number of tasks does."""
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 @dataclass(frozen=True)

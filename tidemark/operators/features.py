@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeutil import micros, whole_seconds
-from tidemark.operators.carry import BUCKET_ROWS, FEW_KEYS, HOT_ROWS, bucketed, carried_in, heat_of
+from tidemark.operators.carry import BUCKET_ROWS, FEW_KEYS, HOT_ROWS, bucketed, carried_in, dealt, heat_of
 from tidemark.plans.catalog import FeatureCatalog, FeatureDefinition
 
 STRATEGIES = ("auto", "range", "prefix", "chunked")
@@ -120,10 +120,12 @@ def _by_prefixes(points: DataFrame, events: DataFrame, wanted: list[tuple[str, F
     if heat is not None:
         carried = carried_in(rows, {"a": (F.sum("a"), F.sum), "n": (F.sum("n"), F.sum), "last": (F.max("last"), F.max)}, ("key", "turn"))
         rows = rows.unionByName(carried.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    n = points.count() * len(ends)
+    rows = dealt(rows, n + events.count() * len(turns), "key", "turn", "bucket")
     # carried rows have no instant and stand first
     before = Window.partitionBy("key", "turn", "bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.struct(F.coalesce(F.sum("a").over(before), F.lit(0.0)).alias("a"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.max("last").over(before).alias("last"))
-    looked = rows.select("k", "key", "turn", "back", "side", seen.alias("s")).filter("side = 0")
+    looked = dealt(rows.select("k", "key", "turn", "back", "side", seen.alias("s")).filter("side = 0"), n, "k", "key")
     name = {(t, w): f"{'f' if t < 0 else 'p'}{w}" for t, w in ends}
     per = looked.groupBy("k", "key").agg(*(F.max(F.when((F.col("turn") == t) & (F.col("back") == w), F.col("s"))).alias(n) for (t, w), n in name.items()))
     sec = whole_seconds(micros(F.col("k.cutoff_ts")))
