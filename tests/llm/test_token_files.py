@@ -68,6 +68,33 @@ def test_pieces_joined_with_white_space_before_them():
         assert ids.tolist() == [x for t in texts for x in lib.encode(t, add_special_tokens=False).ids]
 
 
+def test_pieces_are_cut_behind_letters_and_before_line_feeds():
+    own, lib = tf.Encoder(vocabulary()), tokenizers.Tokenizer.from_file(vocabulary())
+    words = ["alpha", "Beta", "l'été", "it's", "we'RE", "x1y", "<|endoftext|>", "pipe|s", "é"]
+    texts = [f"{a}{e}{b}{f}" for a in words for e in (", ", ".\n", "-", "'", "'s", "\n\n", "\n \n", "\t", ".", "\r\n", "|", "|>", "<|") for b in words for f in ("", ".", "\n")]
+    for s in bt.slices(pa.array(texts), 3000):
+        ids, counts = own.slice(s)
+        want = [lib.encode(t, add_special_tokens=False).ids for t in texts[s.first : s.first + s.count]]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+    # a word is remembered once, whatever follows it
+    own = tf.Encoder(vocabulary())
+    for s in bt.slices(pa.array([" ".join(f" word{e}\nword" for e in (",", ".", ";", ":", "!", "?", "-", ")"))])):
+        own.slice(s)
+    assert own.count <= 12
+
+
+def test_tasks_of_a_worker_share_an_encoder(spark):
+    def run(batches):
+        for batch in batches:
+            encoder = tf.kept_encoder(vocabulary())
+            for s in bt.slices(batch.column(0)):
+                encoder.slice(s)
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.count])], names=["n"])
+
+    counts = [spark.createDataFrame([(" one two",)], "text string").coalesce(1).mapInArrow(run, "n long").first().n for _ in range(3)]
+    assert min(counts) >= 2 and tf.kept_encoder(vocabulary()) is tf.kept_encoder(vocabulary())
+
+
 def test_a_long_text(spark):
     text = " ".join(f"w{i % 5000}" for i in range(300_000))
     got = tf.token_files(spark.createDataFrame([(1, text), (0, "a")], "doc_id long, text string"), vocabulary())

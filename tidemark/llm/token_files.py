@@ -9,6 +9,8 @@ block begins, so any block decodes alone and all words of a selector decode in o
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ BLOCK = 512
 CHUNK_IDS, CHUNK_BLOCKS = 1 << 17, 256
 ESCAPE = np.uint64((15 << 60) | ((1 << 60) - 1))
 _LARGEST = (1 << 60) - 2
-#: Pieces of text and ids of theirs that are remembered in a Python worker (in arrays of 25 MB in all); then it starts afresh.
-REMEMBERED, REMEMBERED_IDS = 400_000, 2_000_000
+#: Pieces of text and ids of theirs that are remembered in a Python worker, from task to task (in arrays of 53 MB in all); then it starts afresh.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 5_000_000
 #: Bytes of pieces that go to the library at a time.
 CALL_BYTES = 1 << 17
 
@@ -140,26 +142,34 @@ def decode_strides(words: np.ndarray, block_words: list[int]) -> Iterator[np.nda
         yield decode(words[a:b])
 
 
+#: Kinds of pieces: those that go to the library by themselves, those led by a space or line feed, those that follow a letter.
+ALONE, LED, TRAILING = range(3)
+#: What stands before each ``TRAILING`` piece of a text: a piece that ends in a letter.
+LETTER = b" a"
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Byte-level BPE with this vocabulary's splitting pattern never merges across the point before a space, unless the
-    space has white space (or an end of the text) on both sides. So a text is the sequence of its space-led pieces.
-    Ids of pieces are remembered under 64-bit hashes in an open-addressing table of fixed size. The unseen pieces of a
-    slice that a letter or mark follows the space of go to the library many at a time, as one text whose ids are dealt
-    to the pieces by the bytes that each id stands for; others, which white space might tie to what is before them or
-    which may hold a special token, go by themselves.
+    Byte-level BPE with this vocabulary's splitting pattern never merges across the point before a space or line feed,
+    unless that has white space (or an end of the text) on both sides, nor across the point between an ASCII letter and
+    an ASCII character that is none. So a text is the sequence of the pieces between such points. Ids of pieces are
+    remembered under 64-bit hashes in an open-addressing table of fixed size. The unseen pieces of a slice go to the
+    library many at a time, as one text whose ids are dealt to the pieces by the bytes that each id stands for: those
+    led by a space or line feed and a letter or mark as they are, those that follow a letter behind a ``LETTER`` each,
+    whose ids are left out. Others, which white space might tie to what is before them or which may hold a special
+    token, go by themselves.
     """
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 21
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a special token is not cut: behind its letters only "|" may come
+        self.fine = all(re.fullmatch(r"<\|[A-Za-z]*\|>", t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that an id stands for
         for token, number in self.tokenizer.get_vocab().items():
             self.width[number] = len(token)
@@ -208,17 +218,32 @@ class Encoder:
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int32)
 
-    def _encode_pieces(self, pieces: list[bytes], joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after another, and the number of each; ``joint`` ones may follow one another in a text."""
+    def _encode_pieces(self, pieces: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and the number of each. Pieces of one kind are neighbours; all but ``ALONE`` ones share texts."""
         ids, counts, i = [], [], 0
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
         while i < len(pieces):
-            j, size = i + 1, len(pieces[i])
-            while joint[i] and j < len(pieces) and joint[j] and size + len(pieces[j]) <= CALL_BYTES:
-                size += len(pieces[j])
-                j += 1
-            made = self._encode(b"".join(pieces[i:j]))
+            kind = kinds[i]
+            if kind == ALONE:
+                ids.append(self._encode(pieces[i]))
+                counts.append([len(ids[-1])])
+                i += 1
+                continue
+            j = int(np.searchsorted(ends, ends[i] - sizes[i] + CALL_BYTES, "right"))
+            j = max(i + 1, min(j, int(np.searchsorted(kinds, kind, "right"))))
+            if kind == LED:
+                made, bounds = self._encode(b"".join(pieces[i:j])), np.cumsum([0, *sizes[i:j]])
+            else:
+                made, bounds = self._encode(LETTER + LETTER.join(pieces[i:j])), np.zeros(2 * (j - i) + 1, np.int64)
+                bounds[1::2], bounds[2::2] = len(LETTER), sizes[i:j]
+                bounds = np.cumsum(bounds)
+            count = np.diff(np.searchsorted(np.cumsum(self.width[made]), bounds, "right"))
+            if kind == TRAILING:
+                own = np.arange(len(count)) % 2 == 1
+                made, count = made[np.repeat(own, count)], count[own]
             ids.append(made)
-            counts.append(np.diff(np.searchsorted(np.cumsum(self.width[made]), np.cumsum([0, *map(len, pieces[i:j])]), "right")) if j > i + 1 else [len(made)])
+            counts.append(count)
             i = j
         return (np.concatenate(ids), np.concatenate(counts).astype(np.int64)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
@@ -230,24 +255,29 @@ class Encoder:
         data, raw = s.data, s.data.tobytes()
         first = np.zeros(n + 1, bool)
         first[s.offsets] = True
-        space = data == 0x20
+        lead = (data == 0x20) | (data == 0x0A)
         before = np.concatenate([[True], _MAY_END[data[:-1]]]) | first[:n]
-        after = np.concatenate([_MAY_BEGIN[data[1:]], [True]]) | first[1:]
-        # pieces: from one space that may be cut before to the next
-        begin = np.flatnonzero((space & ~(before & after)) | first[:n])
-        joins = (space & ~after)[begin]
+        opens = (data == 0x3C) & np.concatenate([data[1:] == 0x7C, [False]])
+        # a special token is an end of the text to the white space before it
+        after = np.concatenate([_MAY_BEGIN[data[1:]] | opens[1:], [True]]) | first[1:]
+        # pieces: from one point that may be cut at to the next
+        trails = np.zeros(n, bool)
+        if self.fine:
+            trails[1:] = _LETTER[data[:-1]] & _ENDS_LETTERS[data[1:]]
+            trails &= ~first[:n]
+        begin = np.flatnonzero((lead & ~(before & after)) | trails | first[:n])
+        kinds = np.where((lead & ~after)[begin], LED, np.where((trails & ~lead)[begin], TRAILING, ALONE))
         end = np.append(begin[1:], n)
-        special = np.flatnonzero((data == 0x3C) & np.concatenate([data[1:] == 0x7C, [False]]))
-        joins[np.searchsorted(begin, special, "right") - 1] = False
+        kinds[np.searchsorted(begin, np.flatnonzero(opens), "right") - 1] = ALONE
         h = np.maximum(bt.span_hashes(data, begin, end), np.uint64(1))
         slot, seen = self._find(h)
         entry = self.entry[slot]
         sizes = np.where(seen, self.lengths[entry], 0).astype(np.int64)
         new = np.flatnonzero(~seen)
         keys, at, of = np.unique(h[new], return_index=True, return_inverse=True)
-        turn = np.argsort(joins[new[at]], kind="stable")  # single ones first
+        turn = np.argsort(kinds[new[at]], kind="stable")
         at = new[at][turn]
-        made, counts = self._encode_pieces([raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], joins[at])
+        made, counts = self._encode_pieces([raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], kinds[at])
         place = np.empty(len(turn), np.int64)
         place[turn] = np.arange(len(turn))
         of = place[of.ravel()]
@@ -266,10 +296,27 @@ class Encoder:
         return ids, np.bincount(doc, sizes, docs).astype(np.int64)
 
 
+#: The encoder of a Python worker, by its file.
+_kept: dict[str, Encoder] = {}
+
+
+def kept_encoder(path: str) -> Encoder:
+    """The encoder that this process keeps for its next task; of one file at a time."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = Encoder(path)
+    return _kept[path]
+
+
 #: Bytes that may end, and begin, a white-space character in UTF-8.
 _MAY_END, _MAY_BEGIN = bt.SPACE.copy(), bt.SPACE.copy()
 _MAY_END[[*range(0x1C, 0x20), 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
 _MAY_BEGIN[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters, and the ASCII characters that end a run of them; not "|", which special tokens have behind their letters.
+_LETTER, _ENDS_LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_ENDS_LETTERS[:0x80] = ~_LETTER[:0x80]
+_ENDS_LETTERS[0x7C] = False
 
 CHUNKS = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>, block_words array<long>, words binary"
 
@@ -288,7 +335,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        shard, encoder = TaskContext.get().partitionId(), kept_encoder(tokenizer)
         state = {"chunk": 0, "first": 0}
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # doc_ids, lengths, ids
 
