@@ -197,6 +197,63 @@ def test_shuffles_in_many_blocks_and_ranges(spark, monkeypatch, ties):
         metrics.block_shuffle_study(df.withColumn("label", F.lit(2)), score, ["b"], "id", repeats=1)
 
 
+@pytest.mark.parametrize("ties", [True, False])
+def test_shuffles_scored_by_a_function(spark, monkeypatch, ties):
+    monkeypatch.setattr(metrics, "BLOCK", 64)
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 100)
+    monkeypatch.setattr(metrics, "ROWS_AT_ONCE", 700)
+    rng = random.Random(7)
+    rows = [(i, float(rng.randrange(3)), float(rng.randrange(2)) if ties else rng.random() ** 9, int(rng.random() < 0.3)) for i in rng.sample(range(900), 150)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(3)
+    column, function = F.col("a") + F.col("b"), lambda x: x["a"] + x["b"]
+    study = lambda rows, score: [tuple(r) for r in metrics.block_shuffle_study(rows, score, ["b"], "id", repeats=4).sort("repeat").collect()]
+    for got, want in zip(study(df, function), study(df, column), strict=True):
+        assert got == pytest.approx(want)
+    if ties:
+        return
+    got, want = (metrics.permutation_importance(df, score, ["b"], "id", repeats=2).first() for score in (function, column))
+    assert tuple(got) == pytest.approx(tuple(want))
+    assert study(df.limit(0), function) == [(i, None, None) for i in range(4)]
+    for label in (F.lit(2), F.lit(None).cast("int")):
+        with pytest.raises(Exception, match="neither"):
+            study(df.withColumn("label", label), function)
+    for bad in (F.lit(float("inf")), F.when(F.col("id") != rows[0][0], F.col("b"))):
+        with pytest.raises(Exception, match="finite"):
+            study(df.withColumn("b", bad), function)
+
+
+def test_permutation_by_tables_and_by_rounds(monkeypatch):
+    for n in (1, 2, 3, 1000, 65_537, 6_000_000, 36_000_000):
+        x = np.random.default_rng(n).integers(0, n, 40_000)
+        by_tables = metrics.permuted(x, n, 43)
+        monkeypatch.setattr(metrics, "TABLE_BITS", 0)
+        assert (metrics.permuted(x, n, 43) == by_tables).all() and by_tables.min() >= 0 and by_tables.max() < n
+        monkeypatch.undo()
+    # as in the round before tables
+    assert metrics.permuted(np.array([0, 1, 999_999, 35_999_999]), 36_000_000, 42).tolist() == [7527522, 3614908, 2756215, 15332369]
+
+
+def test_scores_of_a_range_numbered_or_sorted():
+    rng = np.random.default_rng(8)
+    for values in (6, 10**9):  # few: numbered; many: sorted
+        repeat, score, pos = rng.integers(0, 7, 5000).astype(np.int16), rng.integers(-values, values, 5000) * 0.5, rng.integers(0, 2, 5000).astype(np.int8)
+        score[score == 0] = np.where(rng.random((score == 0).sum()) < 0.5, -0.0, 0.0)
+        want = {}
+        for r, s, y in zip(repeat.tolist(), score.tolist(), pos.tolist(), strict=True):
+            x = want.setdefault((r, -s + 0.0), [0, 0])
+            x[1 - y] += 1
+        got = metrics._by_score(repeat, score, pos, 1 - pos, 7)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == [(r, *want[r, s]) for r, s in sorted(want)]
+
+
+def test_edges_below_scores():
+    rng = np.random.default_rng(5)
+    for edges in ([], [0.0], [1.0, 1.0 + 2**-52], [-1e308, 0.0, 1e308], np.unique(rng.random(800) ** 20), np.unique(rng.normal(size=900).round(2) * 1e6)):
+        edges = np.array(edges, float)
+        x = np.concatenate([edges, np.nextafter(edges, -np.inf), np.nextafter(edges, np.inf), [-1e308, 1e308, 0.0, -0.0, 5e-324], rng.normal(size=3000) * (np.abs(edges).max(initial=1) / 8), rng.random(3000)])
+        assert (metrics._below(edges)(x) == np.searchsorted(edges, x, "left")).all()
+
+
 def test_first_qualifying_row(spark):
     rows = [(1, "a", hours(1), 0, 9, 9), (2, None, hours(5), 0, 9, 9), (3, "a", hours(6), 0, 0, 9), (5, "b", hours(7), 0, 1, 2), (4, "b", hours(7), 0, 3, 4), (6, "c", hours(8), 0, 1, 1)]
     df = spark.createDataFrame(rows, "label_id long, uid string, cutoff_ts timestamp_ntz, label int, past int, future int")

@@ -7,7 +7,8 @@ at quantiles (``running_sums``), so no task sorts all scores.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -329,20 +330,48 @@ def round_keys(seed: int) -> list[int]:
     return [int(_mixed(np.array([(seed * STEP + j) % 2**32], np.uint32))[0]) for j in range(1, 5)]
 
 
+#: Half widths up to which the rounds are tables, and places that are permuted at a time (few enough to stay in a processor's cache).
+TABLE_BITS, PERMUTED_AT_ONCE = 16, 1 << 14
+
+
+@lru_cache(maxsize=64)
+def _round_tables(half: int, seed: int) -> list[np.ndarray]:
+    """What each round makes of every right half."""
+    right = np.arange(1 << half, dtype=np.uint32)
+    return [_mixed(right ^ np.uint32(k)).astype(np.int64) & ((1 << half) - 1) for k in round_keys(seed)]
+
+
+def _walked(x: np.ndarray, half: int, seed: int) -> np.ndarray:
+    """One step of the network."""
+    mask = (1 << half) - 1
+    left, right = x >> half, x & mask
+    if half <= TABLE_BITS:
+        made = np.empty_like(right)
+        for table in _round_tables(half, seed):
+            np.take(table, right, out=made, mode="clip")
+            left ^= made
+            left, right = right, left
+    else:
+        for k in round_keys(seed):
+            left, right = right, left ^ (_mixed(right.astype(np.uint32) ^ np.uint32(k)).astype(np.int64) & mask)
+    left <<= half
+    left |= right
+    return left
+
+
 def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Where a keyed permutation of 0..n-1 sends each x: a four-round Feistel network over a square of a power of two, walked until it is below n."""
-    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
-    mask = np.uint64((1 << int(half)) - 1)
-    keys = round_keys(seed)
-    x = x.astype(np.uint64)
-    todo = np.arange(len(x))
-    while len(todo):
-        left, right = x[todo] >> half, x[todo] & mask
-        for k in keys:
-            left, right = right, left ^ (_mixed(right.astype(np.uint32) ^ np.uint32(k)).astype(np.uint64) & mask)
-        x[todo] = left << half | right
-        todo = todo[x[todo] >= n]
-    return x.astype(np.int64)
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    out = np.array(x, np.int64)
+    for i in range(0, len(out), PERMUTED_AT_ONCE):
+        part = out[i : i + PERMUTED_AT_ONCE]
+        part[:] = y = _walked(part, half, seed)
+        far = np.flatnonzero(y >= n)
+        while len(far):
+            y = _walked(part[far], half, seed)
+            part[far] = y
+            far = far[y >= n]
+    return out
 
 
 def shuffled_block(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
@@ -379,7 +408,8 @@ def _ranked(df: DataFrame, by, ties: list[str], parts: int = 32) -> DataFrame:
     cut = F.lit(0)
     for e in edges:
         cut = cut + F.when(F.col("_by") > F.lit(e), 1).otherwise(0)
-    valued = valued.withColumn("_cut", cut)
+    # a task for each cut: hashed, some tasks would have several
+    valued = valued.withColumn("_cut", cut).repartitionById(len(edges) + 1, F.col("_cut"))
     sizes = valued.groupBy("_cut").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_cut", (F.sum("_n").over(Window.orderBy("_cut")) - F.col("_n")).alias("_first"))
     within = F.row_number().over(Window.partitionBy("_cut").orderBy("_by", *ties))
@@ -401,16 +431,15 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, begin, np.append(begin[1:], len(keys))
 
 
-def _packed(keys: np.ndarray, kind: int, rows: pa.RecordBatch) -> pa.RecordBatch:
-    """One row for each key: its rows as an Arrow stream."""
-    order, begin, end = _runs(keys)
-    rows, data = rows.take(pa.array(order)), []
+def _packed(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each key, given its run of rows: these as an Arrow stream."""
+    data = []
     for i, j in zip(begin.tolist(), end.tolist(), strict=True):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as out:
             out.write_batch(rows.slice(i, j - i))
         data.append(sink.getvalue().to_pybytes())
-    return pa.RecordBatch.from_arrays([pa.array(keys[order[begin]], pa.int32()), pa.array(np.full(len(begin), kind, np.int32)), pa.array(data, pa.binary())], names=["at", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(np.full(len(begin), kind, np.int32)), pa.array(data, pa.binary())], names=["at", "kind", "data"])
 
 
 def _unpacked(data: pa.Scalar) -> pa.RecordBatch:
@@ -418,24 +447,119 @@ def _unpacked(data: pa.Scalar) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many or somewhat more, the last one less; none is empty."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield _joined(held)
+            held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+#: Cells of even width in which edges are looked up.
+CELLS = 1 << 16
+
+
+def _below(edges: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that counts the edges (in order) below each value. Cells of even width settle it for all values that share theirs with no edge."""
+    with np.errstate(all="ignore"):
+        scale = (CELLS - 2) / (edges[-1] - edges[0]) if len(edges) > 1 else np.inf
+    if not 0 < scale < np.inf:
+        return lambda x: np.searchsorted(edges, x, "left")
+
+    def cell(x: np.ndarray) -> np.ndarray:
+        # never falls as x grows, whatever the rounding
+        with np.errstate(over="ignore"):
+            return np.clip((x - edges[0]) * scale + 1, 0, CELLS).astype(np.int64)
+
+    of, cells = cell(edges), np.arange(CELLS + 1)
+    first = np.searchsorted(of, cells, "left")
+    first[np.searchsorted(of, cells, "right") > first] = -1
+
+    def count(x: np.ndarray) -> np.ndarray:
+        out = first[cell(x)]
+        unsettled = np.flatnonzero(out < 0)
+        out[unsettled] = np.searchsorted(edges, x[unsettled], "left")
+        return out
+
+    return count
+
+
+def _by_score(repeat: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeat, positives and negatives of each distinct score of each repeat, the greatest score of a repeat first."""
+    score = score + 0.0  # one zero
+    some = score[:: len(score) // 4096 + 1]
+    if len(np.unique(some)) * 2 < len(some):
+        # few scores: they are numbered, not sorted
+        coded = pc.dictionary_encode(pa.array(score))
+        values = coded.dictionary.to_numpy()
+        if len(values) * m <= 4 * len(score):
+            number = np.empty(len(values), np.int64)
+            number[np.argsort(-values)] = np.arange(len(values))
+            code = number[coded.indices.to_numpy()] + repeat.astype(np.int64) * len(values)
+            p, q = (np.bincount(code, x, len(values) * m) for x in (pos, neg))
+            there = np.flatnonzero(p + q)
+            return there // len(values), p[there].astype(np.int64), q[there].astype(np.int64)
+    order = np.argsort(-score)
+    order = order[_runs(repeat[order])[0]]
+    repeat, score = repeat[order], score[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(repeat) != 0) | (np.diff(score) != 0)]))
+    p, q = (np.add.reduceat(x[order].astype(np.int64), new) for x in (pos, neg))
+    return repeat[new], p, q
+
+
+def _range_sums(m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each range of scores as one row: positives and negatives of each repeat, and, packed, of each of its scores."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for at, data in zip(batch.column("at").to_pylist(), batch.column("data"), strict=True):
+                held.setdefault(at, []).append(_unpacked(data))
+        while held:
+            at, rows = held.popitem()
+            whole = _joined(rows)
+            of, p, q = _by_score(*(whole.column(c).to_numpy() for c in ("repeat", "score", "pos", "neg")), m)
+            kind = np.int32 if max(p.max(), q.max()) < 1 << 31 else np.int64
+            packed = _packed(np.array([at], np.int32), np.array([0]), np.array([len(of)]), 0, pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(p.astype(kind)), pa.array(q.astype(kind))], names=["repeat", "pos", "neg"]))
+            both = [pa.array([np.bincount(of, x, m).astype(np.int64)]) for x in (p, q)]
+            yield pa.RecordBatch.from_arrays([packed.column("at"), *both, packed.column("data")], names=["at", "pos", "neg", "data"])
+
+    return sums
+
+
+#: A score of a fitted model: a Column over the features, or a function of their arrays by name (a missing value is NaN). The function
+#: is called where the values come together, so rows need not go through the JVM once more; with a Column they do.
+Score = Column | Callable[[dict[str, np.ndarray]], np.ndarray]
+
+
 class _Shuffles:
     """ROC-AUC and average precision of a score under shuffles of columns, all repeats together.
 
     Rows are ranked once and kept. For each repeat a row asks for the values at one place; askers travel packed, by blocks of places, to
-    the task that has the block's values. Scores then travel packed, by ranges of scores, and are kept: one pass adds up positives and
-    negatives of each range and repeat, a second, knowing what stands above, walks down the scores. The driver gets two numbers a
-    range and repeat.
+    the task that has the block's values. Scores then travel packed, by ranges of scores, to a task of each range, which adds up the
+    positives and negatives of each score and repeat; these are kept. A pass that knows what stands above each range walks down its
+    scores. The driver gets two numbers a range and repeat.
     """
 
-    def __init__(self, df: DataFrame, score: Column, key: str, label: str):
+    def __init__(self, df: DataFrame, score: Score, key: str, label: str):
         self.score, self.label = score, label
-        self.columns = [c for c in df.columns if c != key or c in str(score)]
+        self.columns = [c for c in df.columns if c != key or not isinstance(score, Column) or c in str(score)]
         conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
         if name not in conf.getAll:
             conf.set(name, BATCH_BYTES)
         rows = df.select(*df.columns).persist()
         self.n = rows.count()
-        ranked = _ranked(rows, F.col(key).cast("double"), [key], max(32, self.n >> 20)).select(*self.columns, (F.col("_rank") - 1).alias("_rank"))
+        ranked = _ranked(rows, F.col(key).cast("double"), [key], max(48, self.n >> 19)).select(*self.columns, (F.col("_rank") - 1).alias("_rank"))
         self.rows = ranked.persist()
         self.rows.count()
         rows.unpersist()
@@ -449,45 +573,89 @@ class _Shuffles:
         y = F.when(y.isNull() | ~y.isin(0, 1), F.raise_error(F.lit("a label is neither 0 nor 1"))).otherwise(y)
         return df.select(*more, s.alias("score"), y.cast("int").alias("pos"))
 
-    def _shuffled(self, columns: Sequence[str], seeds: Sequence[int]) -> DataFrame:
-        """_repeat and the columns, the given ones shuffled."""
+    def _scorer(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Batches with score and pos in place of the columns, by a function."""
+        function, label = self.score, self.label
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = [c for c in batch.schema.names if c == "_repeat"]
+                score = np.asarray(function({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in kept}), np.float64)
+                if score.shape != (batch.num_rows,):
+                    raise ValueError("a score function gives one number a row")
+                if not np.isfinite(score).all():
+                    raise ValueError("a score is not finite")
+                y = batch.column(label)
+                pos = pc.cast(y, pa.int32(), safe=False)
+                if y.null_count or not pc.all(pc.is_in(pos, pa.array([0, 1], pa.int32())), min_count=0).as_py():
+                    raise ValueError("a label is neither 0 nor 1")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), pos], names=[*kept, "score", "pos"])
+
+        return scored
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """score and pos of rows."""
+        if isinstance(self.score, Column):
+            return self._checked(rows)
+        return rows.select(*self.columns).mapInArrow(self._scorer(), "score double, pos int")
+
+    def _asked(self, columns: Sequence[str], seeds: Sequence[int]) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], object]:
+        """Askers by block of places, what a task makes of them (_repeat and the columns, the given ones shuffled), and its schema."""
         moved = [c for c in self.columns if c in columns]
         stay = [c for c in self.columns if c not in columns]
-        n, size = self.n, min(BLOCK, max(1024, -(-self.n // 64)))
+        n, m, at_once = self.n, len(seeds), ROWS_AT_ONCE
+        # a power of two
+        size = min(BLOCK, 1 << max(10, ((n - 1) // 64).bit_length()))
+        bits = size.bit_length() - 1
+        repeat_type = np.int16 if m < 1 << 15 else np.int32
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _gathered(batches, max(1, at_once // m)):
                 rank = batch.column("_rank").to_numpy()
-                if not len(rank):
-                    continue
-                place = pa.array((rank % size).astype(np.int32))
-                yield _packed(rank // size, 0, pa.RecordBatch.from_arrays([place, *(batch.column(c) for c in moved)], names=["_place", *moved]))
-                step = max(1, ROWS_AT_ONCE // len(rank))
-                for i in range(0, len(seeds), step):
-                    some = range(i, min(i + step, len(seeds)))
-                    source = np.concatenate([permuted(rank, n, seeds[j]) for j in some])
-                    own = pa.array(np.tile(np.arange(len(rank)), len(some)))
-                    made = [pa.array(np.repeat(np.array(some, np.int32), len(rank))), pa.array((source % size).astype(np.int32)), *(batch.column(c).take(own) for c in stay)]
-                    yield _packed(source // size, 1, pa.RecordBatch.from_arrays(made, names=["_repeat", "_place", *stay]))
+                order, begin, end = _runs(rank >> bits)
+                own = pa.array(order)
+                place = pa.array((rank[order] & (size - 1)).astype(np.int32))
+                yield _packed(rank[order[begin]] >> bits, begin, end, 0, pa.RecordBatch.from_arrays([place, *(batch.column(c).take(own) for c in moved)], names=["_place", *moved]))
+                step = max(1, at_once // len(rank))
+                for i in range(0, m, step):
+                    some = np.arange(i, min(i + step, m), dtype=repeat_type)
+                    source = np.concatenate([permuted(rank, n, seeds[j]) for j in some.tolist()])
+                    order, begin, end = _runs(source >> bits)
+                    own = pa.array(np.tile(np.arange(len(rank), dtype=np.int32), len(some))[order])
+                    place = source[order]
+                    made = [pa.array(np.repeat(some, len(rank))[order]), pa.array((place & (size - 1)).astype(np.int32 if size > 1 << 16 else np.uint16)), *(batch.column(c).take(own) for c in stay)]
+                    yield _packed(place[begin] >> bits, begin, end, 1, pa.RecordBatch.from_arrays(made, names=["_repeat", "_place", *stay]))
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, parts, values = -1, [], None
+            askers: list[pa.RecordBatch] = []
+
+            def answered() -> pa.RecordBatch:
+                got = _joined(askers)
+                askers.clear()
+                place = got.column("_place")
+                return pa.RecordBatch.from_arrays([got.column("_repeat").cast(pa.int32()), *(got.column(c) for c in stay), *(values.column(c).take(place) for c in moved)], names=["_repeat", *stay, *moved])
+
             for batch in batches:
                 for at, kind, data in zip(batch.column("at").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
                     if at != block:
+                        if askers:
+                            yield answered()
                         block, parts, values = at, [], None
-                    got = _unpacked(data)
                     if kind == 0:
-                        parts.append(got)
+                        parts.append(_unpacked(data))
                         continue
                     if values is None:
-                        whole = pa.Table.from_batches(parts).combine_chunks()
+                        whole = _joined(parts)
                         values, parts = whole.take(pa.array(np.argsort(whole.column("_place").to_numpy()))), []
-                    place = got.column("_place")
-                    yield pa.RecordBatch.from_arrays([got.column("_repeat"), *(got.column(c) for c in stay), *(values.column(c).take(place).combine_chunks() for c in moved)], names=["_repeat", *stay, *moved])
+                    askers.append(_unpacked(data))
+                    if sum(b.num_rows for b in askers) >= at_once >> 2:
+                        yield answered()
+            if askers:
+                yield answered()
 
-        asked = self.rows.mapInArrow(ask, "at int, kind int, data binary").repartition(max(1, -(-n // size)), "at").sortWithinPartitions("at", "kind")
-        return asked.mapInArrow(answer, self.rows.select(F.lit(0).alias("_repeat"), *stay, *moved).schema)
+        asked = self.rows.mapInArrow(ask, "at int, kind int, data binary").repartitionById(max(1, -(-n // size)), F.col("at")).sortWithinPartitions("at", "kind")
+        return asked, answer, self.rows.select(F.lit(0).alias("_repeat"), *stay, *moved).schema
 
     def _edges(self, columns: Sequence[str], parts: int) -> list[float]:
         """Where scores are cut: quantiles with the columns shuffled within batches, which is near enough for ranges of even size."""
@@ -498,7 +666,7 @@ class _Shuffles:
                 turn = pa.array(permuted(np.arange(batch.num_rows), batch.num_rows, 0)) if batch.num_rows else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(turn) if c in moved else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
-        like = self._checked(self.rows.mapInArrow(mixed, self.rows.schema))
+        like = self.scored(self.rows.mapInArrow(mixed, self.rows.schema))
         return sorted(set(like.approxQuantile("score", [i / parts for i in range(1, parts)], 0.25 / parts)))
 
     def metrics(self, columns: Sequence[str], seeds: Sequence[int]) -> np.ndarray:
@@ -508,79 +676,53 @@ class _Shuffles:
             return np.full((2, m), np.nan)
         parts = max(32, self.n * m // RANGE_ROWS)
         edges = np.array(self._edges(columns, parts))
-        tied = len(edges) < parts - 1
+        tied, at_once = len(edges) < parts - 1, ROWS_AT_ONCE
+        below = _below(edges)
+        repeat_type = np.int16 if m < 1 << 15 else np.int32
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-
-            def flush() -> pa.RecordBatch:
-                repeat, score, pos = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("_repeat", "score", "pos"))
-                held.clear()
-                neg = 1 - pos
+            for batch in _gathered(batches, at_once):
+                repeat, score, pos = (batch.column(c).to_numpy() for c in ("_repeat", "score", "pos"))
                 if tied:  # rows of a frequent score are added up where they lie
                     order = np.lexsort((score, repeat))
-                    repeat, score, pos, neg = (x[order] for x in (repeat, score, pos, neg))
+                    repeat, score, pos = (x[order] for x in (repeat, score, pos))
                     new = np.flatnonzero(np.concatenate([[True], (np.diff(repeat) != 0) | (np.diff(score) != 0)]))
-                    repeat, score, pos, neg = repeat[new], score[new], np.add.reduceat(pos, new), np.add.reduceat(neg, new)
+                    repeat, score, pos, neg = repeat[new], score[new], np.add.reduceat(pos, new), np.add.reduceat(1 - pos, new)
+                else:
+                    pos = pos.astype(np.int8)
+                    neg = 1 - pos
                 # the greatest scores come first
-                cut = len(edges) - np.searchsorted(edges, score, "left")
-                return _packed(cut, 0, pa.RecordBatch.from_arrays([pa.array(repeat), pa.array(score), pa.array(pos.astype(np.int32)), pa.array(neg.astype(np.int32))], names=["repeat", "score", "pos", "neg"]))
-
-            for batch in batches:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
-                    yield flush()
-            if any(b.num_rows for b in held):
-                yield flush()
-
-        scored = self._checked(self._shuffled(columns, seeds), "_repeat")
-        packed = scored.mapInArrow(pack, "at int, kind int, data binary").select("at", "data").repartition(parts, "at").sortWithinPartitions("at").persist(StorageLevel.DISK_ONLY)
-
-        def walk(account) -> dict[int, np.ndarray]:
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                now, held = -1, []
-
-                def close() -> pa.RecordBatch:
-                    x = account(now, *(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("repeat", "score", "pos", "neg")))
-                    return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([x[0].astype(float)]), pa.array([x[1].astype(float)])], names=["at", "x", "y"])
-
-                for batch in batches:
-                    for at, data in zip(batch.column("at").to_pylist(), batch.column("data"), strict=True):
-                        if at != now and held:
-                            yield close()
-                            held = []
-                        now = at
-                        held.append(_unpacked(data))
-                if held:
-                    yield close()
-
-            return {r["at"]: np.array([r.x, r.y]) for r in packed.mapInArrow(run, "at int, x array<double>, y array<double>").collect()}
-
-        def count(at: int, repeat: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(repeat, x, m) for x in (pos, neg)])
+                cut = len(edges) - below(score)
+                order, begin, end = _runs(cut)
+                made = [pa.array(x[order]) for x in (repeat.astype(repeat_type), score, pos, neg)]
+                yield _packed(cut[order[begin]], begin, end, 0, pa.RecordBatch.from_arrays(made, names=["repeat", "score", "pos", "neg"]))
+
+        asked, answer, schema = self._asked(columns, seeds)
+        if isinstance(self.score, Column):
+            messages = self._checked(asked.mapInArrow(answer, schema), "_repeat").mapInArrow(pack, "at int, kind int, data binary")
+        else:
+            scored = self._scorer()
+            messages = asked.mapInArrow(lambda batches: pack(scored(answer(batches))), "at int, kind int, data binary")
+        summed = messages.select("at", "data").repartitionById(parts, F.col("at")).mapInArrow(_range_sums(m), "at int, pos array<long>, neg array<long>, data binary").persist(StorageLevel.DISK_ONLY)
 
         try:
-            totals = walk(count)
             before, upto = {}, np.zeros((2, m))
-            for at in sorted(totals):
-                before[at], upto = upto, upto + totals[at]
+            for r in sorted(summed.select("at", "pos", "neg").collect(), key=lambda r: r["at"]):
+                before[r["at"]], upto = upto, upto + np.array([r.pos, r.neg])
             all_neg = upto[1]
 
-            def account(at: int, repeat: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-                order = np.argsort(-score)
-                order = order[_runs(repeat[order])[0]]
-                repeat, score = repeat[order], score[order]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(repeat) != 0) | (np.diff(score) != 0)]))
-                p, q = (np.add.reduceat(x[order].astype(np.int64), new) for x in (pos, neg))
-                of = repeat[new]
-                first = np.searchsorted(of, np.arange(m))[of]  # where each repeat begins
-                above = before[at]
-                tp, fp = (np.cumsum(x) - (np.cumsum(x) - x)[first] + above[i, of] for i, x in enumerate((p, q)))
-                return np.stack([np.bincount(of, p * (all_neg[of] - fp + q / 2), m), np.bincount(of, p * (tp / (tp + fp)), m)])
-
-            found = walk(account)
+            def account(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for at, data in zip(batch.column("at").to_pylist(), batch.column("data"), strict=True):
+                        of, p, q = (c.to_numpy().astype(np.int64) for c in _unpacked(data).columns)
+                        first = np.searchsorted(of, np.arange(m))[of]  # where each repeat begins
+                        tp, fp = (np.cumsum(x) - (np.cumsum(x) - x)[first] + before[at][i, of] for i, x in enumerate((p, q)))
+                        won, precision = np.bincount(of, p * (all_neg[of] - fp + q / 2), m), np.bincount(of, p * (tp / (tp + fp)), m)
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([won]), pa.array([precision])], names=["at", "x", "y"])
+
+            found = {r["at"]: np.array([r.x, r.y]) for r in summed.select("at", "data").mapInArrow(account, "at int, x array<double>, y array<double>").collect()}
         finally:
-            packed.unpersist()
+            summed.unpersist()
         won = sum(found[at] for at in sorted(found))
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where((upto > 0).all(axis=0), np.stack([won[0] / (upto[0] * upto[1]), won[1] / upto[0]]), np.nan)
@@ -591,8 +733,8 @@ def _study(df: DataFrame, found: np.ndarray) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "repeat int, roc_auc double, average_precision double")
 
 
-def block_shuffle_study(df: DataFrame, score: Column, columns: Sequence[str], key: str, label: str = "label", repeats: int = 50, seed: int = 42) -> DataFrame:
-    """repeat, roc_auc, average_precision of a fitted ``score`` (Column over the features) with the columns shuffled as a block; no refit.
+def block_shuffle_study(df: DataFrame, score: Score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 50, seed: int = 42) -> DataFrame:
+    """repeat, roc_auc, average_precision of a fitted ``score`` (Column, or function of arrays, over the features) with the columns shuffled as a block; no refit.
 
     The values go where ``shuffled_block`` of seed + repeat puts them.
     """
@@ -610,11 +752,11 @@ def study_summary(study: DataFrame, baseline_ap: float, baseline_auc: float) ->
     return study.agg(F.avg(auc).alias("mean_roc_auc"), F.stddev_samp(auc).alias("std_roc_auc"), below(auc, baseline_auc).alias("share_below_roc_auc"), F.avg(ap).alias("mean_ap"), F.stddev_samp(ap).alias("std_ap"), F.percentile(ap, F.lit(0.025)).alias("low_ap"), F.percentile(ap, F.lit(0.975)).alias("high_ap"), below(ap, baseline_ap).alias("share_below_ap"))
 
 
-def permutation_importance(df: DataFrame, score: Column, columns: Sequence[str], key: str, label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, score: Score, columns: Sequence[str], key: str, label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance, deviation: how much average precision a fitted ``score`` loses with one column shuffled. Rows are ranked once for all columns."""
     shuffles, out = _Shuffles(df, score, key, label), None
     try:
-        base = average_precision(shuffles.rows.select(score.alias("score"), label), "score", label).first()[0]
+        base = average_precision(shuffles.scored(shuffles.rows), "score", "pos").first()[0]
         for c in columns:
             study = _study(df, shuffles.metrics([c], range(seed, seed + repeats)))
             one = study.agg(F.avg(F.lit(base) - F.col("average_precision")).alias("importance"), F.stddev_samp("average_precision").alias("deviation")).withColumn("feature", F.lit(c))

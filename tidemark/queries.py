@@ -639,6 +639,10 @@ def _pair(spark, sf_dir) -> DataFrame:
     return built.select("label_id", F.col("count_txn_24h").cast("double").alias("a"), F.col("sum_amt_7d").alias("b"), "label")
 
 
+def _sum_of_both(x):
+    return x["a"] + x["b"]
+
+
 def _shuffles_sql(repeats: int, column: str) -> str:
     """m: roc_auc and average_precision of a + b with a column dealt to other rows, for each repeat r, by the same keyed permutation of places."""
     score = {"a": "g.v + p.b", "b": "p.a + g.v"}[column]
@@ -693,7 +697,7 @@ def paired_bootstrap(spark, sf_dir):
 
 @query(f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, {_shuffles_sql(50, 'b')} SELECT r AS repeat, ROUND(auc, 8) AS roc_auc, ROUND(ap, 8) AS average_precision FROM mb")
 def block_shuffle(spark, sf_dir):
-    return _rounded(metrics.block_shuffle_study(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["b"], "label_id"), "roc_auc", "average_precision")
+    return _rounded(metrics.block_shuffle_study(_pair(spark, sf_dir), _sum_of_both, ["b"], "label_id"), "roc_auc", "average_precision")
 
 
 _BASE = "z AS (SELECT a + b AS score, SUM(label)::DOUBLE AS pos, SUM(1 - label)::DOUBLE AS neg FROM p GROUP BY 1), y AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER () AS np FROM z WINDOW w AS (ORDER BY score DESC)), base AS (SELECT SUM(pos / np * tp / (tp + fp)) AS ap FROM y)"
@@ -701,7 +705,7 @@ _BASE = "z AS (SELECT a + b AS score, SUM(label)::DOUBLE AS pos, SUM(1 - label):
 
 @query(f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, {_BASE}, {_shuffles_sql(10, 'a')}, {_shuffles_sql(10, 'b')} SELECT 'a' AS feature, ROUND((SELECT ap FROM base) - AVG(ap), 8) AS importance, ROUND(STDDEV_SAMP(ap), 8) AS deviation FROM ma UNION ALL SELECT 'b', ROUND((SELECT ap FROM base) - AVG(ap), 8), ROUND(STDDEV_SAMP(ap), 8) FROM mb")
 def permutation_importance(spark, sf_dir):
-    return _rounded(metrics.permutation_importance(_pair(spark, sf_dir), F.col("a") + F.col("b"), ["a", "b"], "label_id"), "importance", "deviation")
+    return _rounded(metrics.permutation_importance(_pair(spark, sf_dir), _sum_of_both, ["a", "b"], "label_id"), "importance", "deviation")
 
 
 @query()
