@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import brute, close, facts, values
 from tests.test_hot_keys import hot_rows
 from tidemark.functions.timeutil import micros
-from tidemark.operators import features, parity
+from tidemark.operators import carry, features, parity
 from tidemark.plans.catalog import load_catalog
 from tidemark.streaming import online, runs
 
@@ -37,6 +37,18 @@ def test_runs_of_a_store(spark, segment):
     assert {tuple(v) for v in values(none, SHIPPED.names).values()} == {(0.0, 0, 0.0, None)}
 
 
+def test_many_questions_get_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(carry, "TASK_ROWS", 50)
+    rows = hot_rows(5, 250)
+    df = facts(spark, rows)
+    made = runs.sorted_runs(df.select("uid", micros(F.col("event_ts")).alias("us"), "amount"), 3)
+    got = runs.look_up(features.spine(df), made, SHIPPED)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the join, the segments with their questions, and the answers by point
+    assert plan.count(f", {-(-len(rows) * 4 // 50)}), REPARTITION_BY_NUM") >= 3 and "SortAggregate(key=[k" not in plan
+    assert close(values(got, SHIPPED.names), brute(rows, SHIPPED))
+
+
 def test_one_entity_in_memory():
     rng = random.Random(1)
     rows = [(i, "u", datetime(2022, 1, 1) + timedelta(hours=rng.choice([0, 1, 24, 168, 720]), microseconds=rng.randrange(3)), rng.randrange(100) / 4) for i in range(80)]

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.carry import BUCKET_ROWS, HOT_ROWS, bucketed, carried_in, heat_of
+from tidemark.operators.carry import BUCKET_ROWS, HOT_ROWS, bucketed, carried_in, dealt, heat_of
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: Sequence[str], direction: str = "backward", strict: bool = True, shift: int = 0, hot_rows: int | None = HOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: Sequence[str], direction: str = "backward", strict: bool = True, shift: int = 0, hot_rows: int | None = HOT_ROWS, bucket_rows: int = BUCKET_ROWS, about: int | None = None) -> DataFrame:
     """Each left row with ``values`` of the nearest right row of its ``by`` key; nulls where there is none.
 
     backward: the latest right row with right_on < left_on + shift (<= if not strict). forward: the earliest with
@@ -18,7 +18,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     may come back: make (by, right_on) unique first. left_on and right_on are integers, such as microseconds.
 
     Keys of ``hot_rows`` rows or more, both sides together, are spread over buckets of time, into which the last state of the
-    buckets before is carried; None leaves out the counting of keys and every key is one task's.
+    buckets before is carried; None leaves out the counting of keys and every key is one task's. ``about``: the number of rows of both sides, if known; a great many get more tasks.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction {direction!r}")
@@ -39,6 +39,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
         carried = carried_in(rows, {"state": (latest, lambda c: F.last(c, ignorenulls=True))})
         # side 1: a state, and not asked for; it stands before all instants
         rows = rows.unionByName(carried.withColumns({"at": F.lit(None).cast("long"), "side": F.lit(1), "own": F.lit(None).cast(probes.schema["own"].dataType), "hot": F.lit(True)}))
+    if about is not None:
+        rows = dealt(rows, about, "key", "bucket")
     window = Window.partitionBy("key", "bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
     matched = rows.withColumn("found", F.last("state", ignorenulls=True).over(window)).filter("side != 1")
     unmatched = probes.filter(~asking).withColumn("found", F.col("state"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timeutil import from_micros, micros, whole_seconds
 from tidemark.operators.asof import asof_join
-from tidemark.operators.carry import BUCKET_ROWS, HOT_ROWS
+from tidemark.operators.carry import BUCKET_ROWS, HOT_ROWS, dealt
 from tidemark.operators.features import prefix_sums
 from tidemark.plans.catalog import FeatureCatalog
 
@@ -71,15 +71,19 @@ def sorted_runs(events: DataFrame, segment: int = SEGMENT, hot_rows: int | None
 
 
 def look_up(points: DataFrame, runs: DataFrame, catalog: FeatureCatalog, hot_rows: int | None = HOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """points (label_id, uid, cutoff_ts) with the catalog's features over ``runs`` (as ``sorted_runs`` gives them); a point without an entity gets defaults."""
+    """points (label_id, uid, cutoff_ts) with the catalog's features over ``runs`` (as ``sorted_runs`` gives them); a point without an entity gets defaults.
+
+    Questions are dealt by their number, so that more of them make more tasks, not greater ones; ``points`` are counted for that.
+    """
     windows = sorted({0, *(f.window_us for f in catalog.features)})
     k = F.struct("label_id", "uid", "cutoff_ts").alias("k")
     asked = points.select(k, "uid", F.explode(F.array(*(F.lit(w) for w in windows))).alias("back"))
     asked = asked.withColumn("x", micros(F.col("k.cutoff_ts")) - F.col("back"))
-    routed = asof_join(asked, runs.select("uid", "first", "segment"), "uid", "x", "first", ["segment"], hot_rows=hot_rows, bucket_rows=bucket_rows)
+    n = points.count() * len(windows)
+    routed = asof_join(asked, runs.select("uid", "first", "segment"), "uid", "x", "first", ["segment"], hot_rows=hot_rows, bucket_rows=bucket_rows, about=n)
     lists = ("times", "sums", "counts")
     both = runs.select("uid", "segment", F.lit(0).alias("question"), *lists).unionByName(routed.filter("segment is not null").select("uid", "segment", F.lit(1).alias("question"), "k", "back", "x"), allowMissingColumns=True)
-    lined = both.repartition("uid", "segment").sortWithinPartitions("uid", "segment", "question").select("question", "k", "back", "x", *lists)
+    lined = dealt(both.repartition("uid", "segment"), n, "uid", "segment").sortWithinPartitions("uid", "segment", "question").select("question", "k", "back", "x", *lists)
     schema = both.select("k", "back", F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last")).schema
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +105,15 @@ def look_up(points: DataFrame, runs: DataFrame, catalog: FeatureCatalog, hot_row
             yield out.filter(pa.array(question == 1))
 
     none = routed.filter("segment is null").select("k", "back", F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
-    found = lined.mapInArrow(answer, schema).unionByName(none)
-    # equal points have equal answers: they are counted, and come out as often as they came in
-    per = found.groupBy("k").agg(F.count_if(F.col("back") == 0).cast("int").alias("copies"), *(F.max(F.when(F.col("back") == w, F.struct("a", "n", "last"))).alias(f"w{w}") for w in windows))
+    found = dealt(lined.mapInArrow(answer, schema).unionByName(none), n, "k")
+    # equal points have equal answers: they are counted, and come out as often as they came in; plain numbers, no structs, need no sort
+    per = found.groupBy("k").agg(F.count_if(F.col("back") == 0).cast("int").alias("copies"), *(F.max(F.when(F.col("back") == w, F.col(c))).alias(f"{c}{w}") for w in windows for c in ("a", "n", "last")))
     sec = whole_seconds(micros(F.col("k.cutoff_ts")))
     values = []
     for f in catalog.features:
-        high, low = "w0", f"w{f.window_us}"
-        some = F.col(f"{high}.n") > F.col(f"{low}.n")
-        v = {"sum": F.col(f"{high}.a") - F.col(f"{low}.a"), "count": F.col(f"{high}.n") - F.col(f"{low}.n"), "time_since_last": sec - whole_seconds(F.col(f"{high}.last"))}[f.aggregation]
+        w = f.window_us
+        some = F.col("n0") > F.col(f"n{w}")
+        v = {"sum": F.col("a0") - F.col(f"a{w}"), "count": F.col("n0") - F.col(f"n{w}"), "time_since_last": sec - whole_seconds(F.col("last0"))}[f.aggregation]
         values.append(F.when(some, v).otherwise(F.lit(f.default_value)).cast("long" if f.aggregation == "count" else "double").alias(f.name))
     out = per.select("k.label_id", "k.uid", "k.cutoff_ts", *values, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copies"))
     return out.drop("copies")
